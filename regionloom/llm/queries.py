@@ -1,15 +1,22 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL (where SQL can express them)."""
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import bpe, lines, media, mixing, quality, simhash, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op4_media_columns": media.op4_media_columns,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op9_url_filters": urls.op9_url_filters,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_quality_rules": quality.OP2_SQL,
+    "op5_line_dedup": lines.OP5_SQL,
+    "op9_url_filters": urls.OP9_SQL,
 }
