@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, media, mixing, quality, simhash, urls
+from . import bpe, langid, lines, lm, media, mixing, quality, simhash, suffix, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_media_columns": media.op4_media_columns,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_language_id": langid.op7_language_id,
+    "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
     "op9_url_filters": urls.op9_url_filters,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
