@@ -1,14 +1,19 @@
-"""The corpus pipeline: quality rules and source mixing over `documents`.
+"""The corpus pipeline over `documents`: quality rules, line dedup, near-dedup, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on everything that its predecessor kept and returns a
-DataFrame, which `run` writes as Parquet and reads again as the next stage's documents.
+DataFrame, which `run` writes as Parquet and reads again as the next stage's documents. All stages
+but the last return the columns of documents.
+
+Nulls, empty and very long texts, ties, repeated rows and empty tables are handled as each operator's
+module states; a stage adds no columns to what it passes on, so clashing names cannot occur.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regionloom.llm import mixing, quality
+from regionloom.llm import bpe, lines, mixing, quality, simhash
 from regionloom.llm.common import materialize, table
 
 
@@ -18,12 +23,45 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, ratio).where("kept").select(*docs.columns)
 
 
-def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: rows as often as their source's target takes them."""
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that a smaller document holds; n_chars follows the text."""
+    out = lines.dedup_lines(docs).withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every SimHash component: the smallest. Of rows with equal id and text one stays."""
+    last = F.lit((1 << 63) - 1)
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", last).alias("_id")).distinct()
+    rows = docs.withColumn("_id", F.coalesce("doc_id", last)).withColumn("_th", F.xxhash64("text"))
+    return rows.join(keepers, "_id", "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as their source's target takes them."""
     return mixing.repeat_rows(mixing.mix_sources(docs), docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_to_weights)]
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and source with the text's token ids, their number and the digests of ids and decoded bytes."""
+    import public_tokenizers
+
+    columns = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    rows = docs.select("doc_id", "source", "text")
+    return bpe.tokenize(rows, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, columns).drop("text")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", byte_bpe),
+]
+#: SQL cannot express fingerprints by XXH64 or BPE; tests/llm/test_pipeline.py has a plain version of all stages.
 ORACLE_SQL = None
 
 
