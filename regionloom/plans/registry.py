@@ -21,4 +21,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import files, joins, maps, sets, shapes  # noqa: E402, F401  (they register themselves)
+from . import files, jobs, joins, maps, sets, shapes  # noqa: E402, F401  (they register themselves)
