@@ -138,7 +138,7 @@ def unwrapped_longitudes(spark, sf_dir):
 
 @query("""
 SELECT p_partkey, lower(p_name) || ' ' || p_size AS k, CASE WHEN p_size % 2 = 0 THEN 'c_' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN '9' ELSE '' END || replace(replace(p_name, ' ', '_'), '-', '_') AS col,
- round(length(p_name) * 0.56 * 10, 6) AS width, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS title FROM part""")
+ round(length(p_name) * 0.56::DOUBLE * 10, 6) AS width, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS title FROM part""")
 def name_scalars(spark, sf_dir):
     c = F.col("p_name")
     column = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("9"), c)).otherwise(c)
