@@ -51,7 +51,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     columns = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     rows = docs.select("doc_id", "source", "text")
-    return bpe.tokenize(rows, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, columns).drop("text")
+    return bpe.tokenize(rows, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, columns, False)
 
 
 STAGES = [

@@ -28,6 +28,7 @@ from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_PIECES = 150_000
+SLICE_ROWS = 256
 _NONE = 1 << 62
 _SHIFT = 32
 _AT = (1 << _SHIFT) - 1
@@ -139,30 +140,35 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, columns: Sequence[str] = tuple(_FIELDS)) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, columns: Sequence[str] = tuple(_FIELDS), carry_text: bool = True) -> DataFrame:
     """`docs` (with a text column) plus the named ones of ids, n_tokens, ids_sha256, decoded_sha256.
 
-    The digests are of the decimal ids joined by commas and of the bytes decoded from the ids.
+    The digests are of the decimal ids joined by commas and of the bytes decoded from the ids. Results
+    leave the worker in slices of `SLICE_ROWS` rows; without `carry_text` the texts do not travel back.
     """
-    keep = [c for c in docs.columns if c not in columns]
+    keep = [c for c in docs.columns if c not in columns and (carry_text or c != "text")]
+
+    def encoded(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+        new: dict[str, list] = {c: [] for c in columns}
+        for text in part.column("text"):
+            ids = codec.encode(text.as_py() or "")
+            if "ids" in new:
+                new["ids"].append(np.array(ids, np.int32))
+            if "n_tokens" in new:
+                new["n_tokens"].append(len(ids))
+            if "ids_sha256" in new:
+                new["ids_sha256"].append(hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
+            if "decoded_sha256" in new:
+                new["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
+        arrays = [pa.array(new[c], kinds.get(c, pa.string())) for c in columns]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *arrays], [*keep, *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, pattern)
         for batch in batches:
-            new: dict[str, list] = {c: [] for c in columns}
-            for text in batch.column("text"):
-                ids = codec.encode(text.as_py() or "")
-                if "ids" in new:
-                    new["ids"].append(np.array(ids, np.int32))
-                if "n_tokens" in new:
-                    new["n_tokens"].append(len(ids))
-                if "ids_sha256" in new:
-                    new["ids_sha256"].append(hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
-                if "decoded_sha256" in new:
-                    new["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-            arrays = [pa.array(new[c], kinds.get(c, pa.string())) for c in columns]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], [*keep, *columns])
+            for a in range(0, batch.num_rows, SLICE_ROWS):
+                yield encoded(codec, batch.slice(a, SLICE_ROWS))
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, _FIELDS[c]) for c in columns])
     return docs.mapInArrow(run, schema)
@@ -185,5 +191,5 @@ def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = tokenize(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    out = tokenize(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"), False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
