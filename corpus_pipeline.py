@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionloom.llm import bpe, lines, mixing, quality, simhash
+from regionloom.llm import bpe, lines, mixing, nearcopies, quality
 from regionloom.llm.common import materialize, table
 
 
@@ -32,12 +32,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash component: the smallest. Of rows with equal id and text one stays."""
-    last = F.lit((1 << 63) - 1)
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", last).alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.coalesce("doc_id", last)).withColumn("_th", F.xxhash64("text"))
-    return rows.join(keepers, "_id", "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    """One document of every component of near copies (5-word Jaccard of 0.8 or more): the smallest.
+
+    Of rows with equal id and text one stays; null ids count as the largest.
+    """
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_th", F.xxhash64("text"))
+    found = nearcopies.near_copies(rows.select("_id", "_th", "text"))
+    keepers = found.groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k.*")
+    return rows.join(keepers, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,349 @@
+"""Near copies by exact Jaccard similarity of word shingles, as a set-similarity join.
+
+Two sets of J >= SHARE share a member among the first n - ceil(SHARE n) + 1 of each, whatever the
+order of members, as long as it is one order for all. Sets therefore meet by these prefix members only,
+pairs that sizes, positions or parity bitmaps rule out are left (the bitmaps' differing bits are never
+more than the sets' differing members), and the rest is decided by the sets themselves: no pair is
+missed and none is added, up to equal 64-bit hashes of different shingles.
+
+Scale. Equal sets are merged first. The order puts frequent members last (by the counts of the
+heaviest of 2^20 hash buckets, one byte each), so prefixes hold rare ones. A member with up to `limit`
+sets gives all its pairs. Larger groups are cut into chunk pairs, and a first round takes one passing
+pair a set, a second one all passing pairs that the first left in different components. Only
+a group of many sets that bitmaps cannot tell from near copies yields pairs by the square.
+
+Edge cases. Texts without words have the empty set and are copies of each other; fewer words than a
+shingle are one shingle. Ids play no part. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import components
+
+SHINGLE = 5
+SHARE = (4, 5)  # similarity 0.8 as a fraction, so that all bounds are exact in integers
+LIMIT = 32
+CHUNK = 1024
+SEED = 42
+_BUCKETS = 1 << 20
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the word shingles, ascending (uint64)."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII blanks, A-Z
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
+    parts = [line[s:e] for s, e in zip(starts, ends[shingle - 1 :].tolist())]
+    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)))
+
+
+def set_key(members: np.ndarray) -> int:
+    """A 64-bit name of a set, signed."""
+    from xxhash import xxh64_intdigest
+
+    key = xxh64_intdigest(members.tobytes(), SEED + 1)
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(flat members as uint64, offsets) of a list column."""
+    n = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
+def parity(members: np.ndarray) -> bytes:
+    """Parity bitmap of 64 bits or the power of two that is at least four bits a member."""
+    bits = max(64, 1 << (4 * len(members) - 1).bit_length())
+    place = (members >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sets(shingle: int):
+    """Columns _id, _th, text to _id, _th, node, members, bitmap; the last two only once a task for equal sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part, keys, members, maps = batch.slice(a, 256), [], [], []
+                for text in part.column("text"):
+                    found = shingles(text.as_py(), shingle)
+                    keys.append(set_key(found))
+                    known = keys[-1] in seen
+                    members.append(None if known else found.view(np.int64))
+                    maps.append(None if known else parity(found))
+                    seen.add(keys[-1])
+                cols = [part.column("_id"), part.column("_th"), pa.array(keys, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "node", "members", "bitmap"])
+
+    return run
+
+
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets that stand out in one task, with their counts."""
+    total = np.zeros(_BUCKETS, np.int64)
+    for b in batches:
+        flat, _ = _lists(b.column("members"))
+        total += np.bincount((flat % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
+    at = np.flatnonzero(total > max(4, 4 * total.mean()))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+
+def ranks(sets: DataFrame) -> bytes:
+    """By bucket: the bit length of its count, 0 where it does not stand out."""
+    rows = sets.select("members").mapInArrow(_heavy, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(_BUCKETS, np.uint8)
+    for r in rows:
+        out[r["bucket"]] = int(r["n"]).bit_length()
+    return out.tobytes()
+
+
+def _prefixes(rank: bytes, share: tuple[int, int]):
+    p, q = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.frombuffer(rank, np.uint8)
+        for batch in batches:
+            flat, at = _lists(batch.column("members"))
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            token, owner, pos = [], [], []
+            for i in range(batch.num_rows):
+                x = flat[at[i] : at[i + 1]]
+                if not len(x):
+                    continue
+                take = len(x) - -(-p * len(x) // q) + 1
+                x = x[np.argsort(order[(x % np.uint64(_BUCKETS)).astype(np.int64)], kind="stable")[:take]]
+                token.append(x)
+                owner.append(np.full(take, i))
+                pos.append(np.arange(take))
+            if token:
+                owner = np.concatenate(owner)
+                cols = [np.concatenate(token).view(np.int64), nodes[owner], np.diff(at)[owner].astype(np.int32), np.concatenate(pos).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "node", "n", "pos"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of rows that agree in the first `keys` columns; input is sorted by them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        new = np.zeros(len(cols[0]) - 1, bool)
+        for k in range(keys):
+            new |= cols[k][1:] != cols[k][:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        size = np.diff(cuts)
+        for a, n in zip(cuts[:-1][size > 1].tolist(), size[size > 1].tolist()):
+            yield [c[a : a + n] for c in cols]
+        held = [c[cuts[-1] :] for c in cols]
+    if held is not None and len(held[0]) > 1:
+        yield held
+
+
+def _possible(n: np.ndarray, pos: np.ndarray, x, y, share: tuple[int, int]) -> np.ndarray:
+    """Whether sizes and positions allow J >= share if this is the first member that x and y share."""
+    p, q = share
+    most = 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+    return (p + q) * most >= p * (n[x] + n[y])
+
+
+def _emit(u: list, v: list) -> pa.RecordBatch:
+    a, b = np.concatenate(u), np.concatenate(v)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+
+def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    u, v, n = [], [], 0
+    for a, b in found:
+        u.append(a)
+        v.append(b)
+        n += len(a)
+        if n > 1 << 18:
+            yield _emit(u, v)
+            u, v, n = [], [], 0
+    if n:
+        yield _emit(u, v)
+
+
+def _small(share: tuple[int, int], limit: int):
+    """Per member: all possible pairs of up to `limit` sets (u, v), or the rows of more sets as they are (token, u, n, pos)."""
+    names = ["token", "u", "v", "n", "pos"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def rows(cols: list) -> pa.RecordBatch:
+        size = next(len(c) for c in cols if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corners, crowds, u, v, held = {}, [], [], [], 0
+        for token, node, n, pos in _groups(batches, 1):
+            node, at = np.unique(node, return_index=True)  # equal sets of several tasks
+            n, pos, k = n[at].astype(np.int64), pos[at].astype(np.int64), len(node)
+            if k > limit:
+                crowds.append((token[at], node, n, pos))
+            elif k > 1:
+                x, y = corners.get(k) or corners.setdefault(k, np.triu_indices(k, 1))
+                ok = _possible(n, pos, x, y, share)
+                u.append(node[x[ok]])
+                v.append(node[y[ok]])
+            held += k
+            if held > 1 << 18:
+                yield from flush(crowds, u, v)
+                crowds, u, v, held = [], [], [], 0
+        yield from flush(crowds, u, v)
+
+    def flush(crowds: list, u: list, v: list) -> Iterator[pa.RecordBatch]:
+        if crowds:
+            token, node, n, pos = (np.concatenate(c) for c in zip(*crowds))
+            yield rows([token, node, None, n, pos])
+        if sum(map(len, u)):
+            pairs = _emit(u, v)
+            yield rows([None, pairs.column(0), pairs.column(1), None, None])
+
+    return run
+
+
+def _large(share: tuple[int, int], every: bool):
+    """Pairs that bitmaps let pass: one a set, or every one across components.
+
+    Columns token, i, j, node, n, pos, c (the chunk), component, bitmap.
+    """
+    p, q = share
+
+    def pairs(batches):
+        for _, i, j, node, n, pos, c, comp, bitmap in _groups(batches, 3):
+            order = np.argsort(n, kind="stable")
+            node, pos, c, comp, bitmap = node[order], pos[order].astype(np.int64), c[order], comp[order], bitmap[order]
+            n = n[order].astype(np.int64)
+            size = np.fromiter(map(len, bitmap), np.int64, len(bitmap))
+            across, done = i[0] != j[0], np.zeros(len(n), bool)
+            for width in np.unique(size):
+                own = np.flatnonzero(size == width)
+                twice = np.flatnonzero(size == 2 * width)
+                maps = np.frombuffer(b"".join(bitmap[own]), np.uint64).reshape(len(own), -1)
+                if len(twice):
+                    folded = np.frombuffer(b"".join(bitmap[twice]), np.uint64).reshape(len(twice), 2, -1)
+                    maps = np.concatenate([maps, folded[:, 0] ^ folded[:, 1]])
+                at = np.concatenate([own, twice])  # ascending in n: sizes follow n
+                for k in range(len(own)):
+                    x = own[k]
+                    last = np.searchsorted(n[at], q * n[x] // p, side="right")
+                    y = at[k + 1 : last]
+                    if every:
+                        want = comp[y] != comp[x]
+                    else:
+                        want = ~done[y]
+                    if across:
+                        want &= c[y] != c[x]
+                    want &= _possible(n, pos, x, y, share) & (node[y] != node[x])
+                    rows = np.flatnonzero(want)
+                    if not len(rows):
+                        continue
+                    differ = np.bitwise_count(maps[k + 1 + rows] ^ maps[k]).sum(axis=1, dtype=np.int64)
+                    y = y[rows]
+                    y = y[(p + q) * differ <= (q - p) * (n[x] + n[y])]
+                    if len(y):
+                        done[y] = True
+                        yield np.full(len(y), node[x]), node[y]
+
+    return lambda batches: _gathered(pairs(batches))
+
+
+def _passing(share: tuple[int, int]):
+    """The pairs (u, v, x, y, a, b: sizes and bitmaps) that bitmaps let pass."""
+    p, q = share
+
+    def fold(bitmap: np.ndarray, width: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(bitmap.reshape(-1, width), axis=0)
+
+    def passes(x: int, y: int, a: bytes, b: bytes) -> bool:
+        if q * min(x, y) < p * max(x, y):
+            return False
+        one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        width = min(len(one), len(two))
+        return (p + q) * int(np.bitwise_count(fold(one, width) ^ fold(two, width)).sum()) <= (q - p) * (x + y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [passes(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, maps: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) of similarity `share` at least, by bitmaps and then by the sets; written."""
+    p, q = share
+    one = maps.select(F.col("node").alias("u"), F.col("size").alias("x"), F.col("bitmap").alias("a"))
+    two = maps.select(F.col("node").alias("v"), F.col("size").alias("y"), F.col("bitmap").alias("b"))
+    pairs = pairs.distinct().join(one, "u").join(two, "v").select("u", "v", "x", "y", "a", "b")
+    pairs = materialize(pairs.mapInArrow(_passing(share), "u long, v long"), "copies-pairs")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    named = materialize(named, "copies-named")  # mostly few: the planner then broadcasts them rather than shuffle the sets
+    wanted = materialize(sets.select("node", "members").join(named, "node", "left_semi"), "copies-wanted").dropDuplicates(["node"])
+    left = wanted.select(F.col("node").alias("u"), F.col("members").alias("a"))
+    right = wanted.select(F.col("node").alias("v"), F.col("members").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    rows = pairs.join(left, "u").join(right, "v")
+    return materialize(rows.where((p + q) * both >= p * (F.size("a") + F.size("b"))).select("u", "v"), "copies-links")
+
+
+def components_of_sets(sets: DataFrame, share: tuple[int, int] = SHARE, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
+    """(node, component) for the sets (node, members, bitmap) that links of similarity `share` connect with others.
+
+    Equal sets have equal nodes; rows may repeat. `sets` is read several times.
+    """
+    spread = sets.sparkSession.sparkContext.defaultParallelism * 4
+    posts = sets.select("node", "members").mapInArrow(_prefixes(ranks(sets), share), "token long, node long, n int, pos int")
+    posts = posts.repartition(spread, "token").sortWithinPartitions("token")
+    met = materialize(posts.mapInArrow(_small(share, limit), "token long, u long, v long, n int, pos int"), "copies-met")
+    maps = materialize(sets.select("node", F.size("members").alias("size"), "bitmap").dropDuplicates(["node"]), "copies-maps")
+    links = _confirmed(met.where("token IS NULL").select("u", "v"), sets, maps, share)
+
+    rows = met.where("token IS NOT NULL").select("token", F.col("u").alias("node"), "n", "pos")
+    if not rows.limit(1).count():
+        return components(links)
+    many = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("s"))
+    rows = materialize(rows.join(many, "token").join(maps.select("node", "bitmap"), "node"), "copies-crowded")
+
+    def crowded(found: DataFrame | None) -> DataFrame:
+        r = rows if found is None else rows.join(found, "node", "left")
+        comp = F.col("node") if found is None else F.coalesce("component", "node")
+        c = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
+        r = r.withColumn("comp", comp).withColumn("c", c).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        r = r.select("token", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", "n", "pos", "c", "comp", "bitmap")
+        r = r.repartition(spread, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+        return _confirmed(r.mapInArrow(_large(share, found is not None), "u long, v long"), sets, maps, share)
+
+    links = links.unionByName(crowded(None))
+    found = materialize(components(links), "copies-found")
+    more = crowded(found)
+    return components(links.unionByName(more)) if more.limit(1).count() else found
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, limit: int = LIMIT) -> DataFrame:
+    """(_id, _th, component) of `docs` (_id, _th, text; _id and _th name a row): rows that links connect share a component."""
+    rows = docs.select("_id", "_th", "text").mapInArrow(_sets(shingle), "_id long, _th long, node long, members array<long>, bitmap binary")
+    rows = materialize(rows, "copies-sets")
+    found = components_of_sets(rows.where("members IS NOT NULL").select("node", "members", "bitmap"), share, limit)
+    return rows.select("_id", "_th", "node").join(found, "node", "left").select("_id", "_th", F.coalesce("component", "node").alias("component"))

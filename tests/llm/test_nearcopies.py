@@ -1,0 +1,64 @@
+import random
+
+import corpus_pipeline
+import pytest
+from regionloom.llm import nearcopies as N
+
+
+def plain_keepers(rows):
+    """The smallest id of each component of 5-word Jaccard >= 0.8, by all pairs."""
+    sets, root = [], list(range(len(rows)))
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[find(k)] = min(low.get(find(k), i), i)
+    return set(low.values())
+
+
+def planted(seed):
+    """Texts of 4 to 120 words with edits of every size, a shared passage, and copies."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage, texts = [word() for _ in range(25)], ["", None, " \n", "a b"]
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(4, 120))]
+        texts.append(" ".join(base))
+        for _ in range(8):
+            new = base.copy()
+            for _ in range(rng.randint(0, 4)):
+                new[rng.randrange(len(new))] = word()
+            texts.append(" ".join(new))
+    texts += [" ".join(passage + [word() for _ in range(rng.randint(0, 12))]) for _ in range(60)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("limit,chunk", [(N.LIMIT, N.CHUNK), (2, 7)])
+def test_stage_keeps_what_all_pairs_keep(spark, monkeypatch, limit, chunk):
+    plain = N.components_of_sets
+    monkeypatch.setattr(N, "components_of_sets", lambda sets, share, _: plain(sets, share, limit, chunk))
+    rows = planted(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_keepers(rows)
+
+
+def test_null_ids_keep_one_row_a_component_and_join_no_others(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(None, " ".join(a)), (None, near(a)), (None, " ".join(b)), (1, near(b)), (2, "another text")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    ids = sorted((r["doc_id"] for r in got), key=str)
+    assert ids == [1, 2, None]
