@@ -6,7 +6,7 @@ payload. Frames have the largest bitrate until the rest fits; the last takes the
 it, so the stream is a variable-bitrate one.
 
 Reading works on any MPEG-1/2/2.5 Layer I-III stream. Leading ID3v2 tags (also several) and a
-trailing ID3v1 tag are parsed. A header counts as one only if the frame's end meets another agreeing
+trailing ID3v1 tag (one that no frame covers) are parsed. A header counts as one only if the frame's end meets another agreeing
 header, the tags or the end of the stream; anything else is skipped byte by byte until that holds
 again. The VBR table ('Xing'/'Info', 'VBRI') is read from the first frame, CRC-16 is verified where
 a frame has it (Layer III: header and side information), durations are exact rationals and the byte
@@ -204,24 +204,25 @@ def read_stream(data: bytes) -> Stream:
     s, at, end = Stream(), 0, len(data)
     while (nxt := _id3v2(data, at, s.tags)) != at:
         at = nxt
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        s.tags["id3v1"] = data[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
+    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end  # unless a frame covers it
     body, locked = [], False
-    while at + 4 <= end:
+    while at + 4 <= tag:
         h = parse_header(data[at : at + 4])
         stop = at + h.length if h else 0
         agrees = False
         if h and stop <= end and (not s.rate or (h.version, h.layer, h.rate) == (s.version, s.layer, s.rate)):
             after = parse_header(data[stop : stop + 4]) if stop + 4 <= end else None
-            agrees = locked or stop == end or (after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate))
+            follows = after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
+            agrees = follows or stop == end or stop == tag or (locked and stop < tag)
         if not agrees:
             s.skipped, locked = s.skipped + 1, False
-            nxt = data.find(b"\xff", at + 1, end)
-            s.skipped += (nxt if nxt >= 0 else end) - at - 1
-            at = nxt if nxt >= 0 else end
+            nxt = data.find(b"\xff", at + 1, tag)
+            s.skipped += (nxt if nxt >= 0 else tag) - at - 1
+            at = nxt if nxt >= 0 else tag
             continue
         locked = True
+        if stop > tag:
+            tag = end
         if not s.rate:
             s.version, s.layer, s.rate, s.channels = h.version, h.layer, h.rate, 1 if h.mono else 2
         start = at + 4 + 2 * h.crc
@@ -236,7 +237,9 @@ def read_stream(data: bytes) -> Stream:
         s.offsets.append(at)
         body.append(data[start + h.side : stop])
         at = stop
-    s.skipped += max(0, end - at)
+    if tag < end:
+        s.tags["id3v1"] = data[tag + 3 : tag + 33].rstrip(b"\x00 ").decode("latin-1")
+    s.skipped += max(0, tag - at)
     s.body = b"".join(body)
     return s
 
