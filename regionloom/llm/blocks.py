@@ -5,6 +5,12 @@ one that joins answers by block, moves no text. Blocks ask about 64-bit keys: ea
 distinct keys to the buckets of the key space that hold them, every bucket combines what all blocks
 sent, and its answer goes back aligned with what each block sent. A key that a third of all texts
 share counts once per block.
+
+Growth. A block and a bucket stay of one size, whatever the input. There are `LEAST_BUCKETS` buckets
+until that takes more than their share of the keys each, so messages grow with the number of blocks;
+beyond, a message holds fewer keys, and as empty ones are not sent there are never more messages than
+keys: at worst the exchange is a plain shuffle of (key, block). The table has at most `TABLE_BUCKETS`
+buckets, each of them with more blocks then; a task still holds one block at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +26,13 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 BLOCK_BYTES = 4 << 20
+LEAST_BUCKETS = 64
+TABLE_BUCKETS = 50_000  # Spark refuses tables of more than 100,000
+
+
+def bucket_count(n_bytes: int, bucket_bytes: int) -> int:
+    """Buckets of the key space for texts of n_bytes, if a bucket can hold the keys of bucket_bytes of text."""
+    return max(LEAST_BUCKETS, -(-n_bytes // bucket_bytes))
 
 
 def block_count(n_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
@@ -55,11 +68,12 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, marks), [len(keys)]]).astype(np.int64)
 
 
-def store(rows: DataFrame, block: Column, n_blocks: int, shrink=None) -> DataFrame:
-    """`rows` packed by block: (block, blob), a bucketed table in the shared folder.
+def store(rows: DataFrame, block: Column, n_blocks: int, shrink=None, most: int = TABLE_BUCKETS) -> DataFrame:
+    """`rows` packed by block: (block, blob), a table of at most `most` buckets in the shared folder.
 
     `shrink` may merge the rows (an Arrow table) of one batch before they are dealt.
     """
+    buckets = min(n_blocks, most)
     spark = rows.sparkSession
     names = rows.columns
 
@@ -84,13 +98,14 @@ def store(rows: DataFrame, block: Column, n_blocks: int, shrink=None) -> DataFra
     packed = rows.withColumn("_block", block.cast("int")).mapInArrow(pack, "block int, blob binary")
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    writer = packed.repartition(n_blocks, "block").write.bucketBy(n_blocks, "block").sortBy("block")
-    writer.format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
+    writer = packed.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block")
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # an external table: the files stay for `out`
-    return out
+    try:
+        writer.format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # an external table: the files stay for who reads it
 
 
 def unpack(table: pa.Table) -> pa.Table | None:

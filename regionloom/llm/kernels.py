@@ -6,11 +6,14 @@ modulo 2^64, the bytes of [s, e) hash to (S[e] - S[s]) * B^-s, which is then mix
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -57,6 +60,13 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def release() -> None:
+    """Give memory that is free but held by the allocators back to the system; workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def chunks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of the list with at most `limit` bytes each, one text at least."""
     a = total = 0

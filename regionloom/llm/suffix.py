@@ -15,13 +15,19 @@ spans that agree on 15 more bytes left or right of the gram form a family, the s
 family's spans brings equal windows together, and the smallest document of each goes back. A span
 alone in its family needs no sorting.
 
-Scale. A text that occurs many times is one text with its smallest id. Everything is distinct per
-block before it moves. A gram with more than `HOT_SPANS` spans (a passage in a third of all texts)
-is not gathered: its windows are dealt by their own hash, which spreads them evenly and is as exact.
-Windows are told apart by 64-bit hashes of grams and spans together and by their bytes in families.
-
-Edge cases. Null and empty texts have no bytes. A null id counts as the largest id. Rows with equal
-id are one document. Repeated rows get equal results. Texts under 50 bytes lose nothing.
+Exactness. Hashes only bring strings together; what is equal is decided by bytes. Spans are told
+apart by their bytes in blocks and buckets, windows by the suffix array and their bytes. Whole texts
+that are equal (by SHA-256) are one text with its smallest id.
+
+Scale. Everything is distinct per block before it moves. What would not fit a task's memory is cut to
+single windows, which need no suffix array, since equal windows are then equal strings: a gram of more
+than `HOT_SPANS` texts (a passage in a third of all) is not gathered, but its windows are dealt by their
+own hash and told apart by their bytes; and so are the windows of a family of over `FAMILY_SYMBOLS`.
+
+Edge cases. Null and empty texts have no bytes. A null id counts as the largest id; ids must be
+integers (or text of them). Rows with equal id are one document. Repeated rows get equal results.
+Texts under 50 bytes lose nothing. An empty table gives an empty result. Result columns replace input
+columns of the same name; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,15 +39,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import kernels as K
-from .blocks import block_count, bucket_edges, expand, expand_sorted, squeeze, squeeze_sorted, store, unpack
+from .blocks import TABLE_BUCKETS, block_count, bucket_count, bucket_edges, expand, expand_sorted, squeeze, squeeze_sorted, store, unpack
 from .common import materialize, table, text_bytes
 
 LENGTH = 50
 GRAM = 20
 HOT_SPANS = 1000
-PIECE = 1024  # windows of a span at most: longer ones (periodic text) are cut
+PIECE = 256  # windows of a span at most: longer ones (periodic text) are cut
+FAMILY_SYMBOLS = 1 << 16
+BUCKET_BYTES = 32 << 20  # of text whose grams and spans a bucket can hold
 _LAST = (1 << 63) - 1
 _CHUNK = 1 << 18
 U64 = np.uint64
@@ -125,6 +134,8 @@ def suffix_array(s: list[int]) -> list[int]:
 
 def smallest_ids(spans: list[bytes], ids: list[int]) -> list[list[int]]:
     """For every window of every span: the smallest id of the spans that hold the same window."""
+    if sum(map(len, spans)) > FAMILY_SYMBOLS:
+        return _smallest_by_windows(spans, ids)
     text = b"\x00".join(spans)  # bytes 0-255 become 2-257; 1 separates spans, 0 ends
     s: list[int] = []
     for x in spans:
@@ -161,6 +172,32 @@ def smallest_ids(spans: list[bytes], ids: list[int]) -> list[list[int]]:
     return out
 
 
+def _smallest_by_windows(spans: list[bytes], ids: list[int]) -> list[list[int]]:
+    """The same by a dictionary of windows, which takes less memory than the suffix array."""
+    low: dict[bytes, int] = {}
+    for x, i in zip(spans, ids):
+        for a in range(len(x) - LENGTH + 1):
+            w = x[a : a + LENGTH]
+            if low.get(w, i) >= i:
+                low[w] = i
+    return [[low[x[a : a + LENGTH]] for a in range(len(x) - LENGTH + 1)] for x in spans]
+
+
+def _distinct(deal: np.ndarray, raw: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of byte strings raw[begin:stop] with ascending `deal`: the first of each that are equal, and which one each equals."""
+    seen: dict[bytes, int] = {}
+    first: list[int] = []
+    which, last = [], -1
+    for i, (d, a, b) in enumerate(zip(deal.tolist(), begin.tolist(), stop.tolist())):
+        if d != last:
+            seen, last = {}, d
+        k = seen.setdefault(raw[a:b], len(first))
+        if k == len(first):
+            first.append(i)
+        which.append(k)
+    return np.array(first, np.int64), np.array(which, np.int64)
+
+
 def gram_hashes(buf: np.ndarray, k: int = GRAM) -> np.ndarray:
     """Hashes of all k-byte grams, by doubling."""
     base, cur, length, at, out = 0x9E3779B97F4A7C15, buf.astype(U64) + U64(1), 1, 0, None
@@ -196,6 +233,7 @@ class Block:
         self.ids = np.array([i for i, _ in pairs], np.int64)
         self.texts = [t for _, t in pairs]
         self.buf, self.starts, self.ends = K.joined(self.texts)
+        self.raw = self.buf.base if isinstance(self.buf.base, bytes) else self.buf.tobytes()
         parts = [self._spans(a, b) for a, b in K.chunks(self.texts, _CHUNK)]
         self.gram, self.text_of, self.first, self.windows = (np.concatenate(x) for x in zip(*parts))
 
@@ -223,32 +261,36 @@ class Block:
         return m[cut], text[cut], at[cut], n
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.gram, return_counts=True)
+        """Distinct grams and the number of texts that hold each."""
+        order = np.argsort(self.gram, kind="stable")
+        g, t = self.gram[order], self.text_of[order]
+        name, new = np.ones(len(g), bool), np.ones(len(g), bool)
+        name[1:] = g[1:] != g[:-1]
+        new[1:] = name[1:] | (t[1:] != t[:-1])
+        at = np.flatnonzero(name)
+        return g[at], (np.add.reduceat(new.astype(np.int64), at) if len(at) else np.zeros(0, np.int64))
 
     def candidates(self, kind: np.ndarray):
-        """Distinct candidate spans, given each gram's kind (0 alone, 1 shared, 2 hot).
+        """Distinct candidate spans, given each gram's kind (0 in one text, 1 shared, 2 hot).
 
-        Returns the key to deal by, the span's hash, its first occurrence's place and windows, the
-        smallest id, and for all occurrences: their span, place, windows and text.
+        Returns the key to deal by, the span's first occurrence's place and windows, the smallest id,
+        and for all occurrences: their span, place, windows and text.
         """
-        names, _ = self.grams()
+        names = np.unique(self.gram)
         k = kind[np.searchsorted(names, self.gram)] if len(names) else np.zeros(0, np.uint8)
         warm, hot = np.flatnonzero(k == 1), np.flatnonzero(k == 2)
         each = self.windows[hot]  # a hot gram's spans become single windows
         offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        first = np.concatenate([self.first[warm], np.repeat(self.first[hot], each) + offset])
-        windows = np.concatenate([self.windows[warm], np.ones(len(offset), np.int64)])
-        text = np.concatenate([self.text_of[warm], np.repeat(self.text_of[hot], each)])
-        content = K.span_hash(self.buf, first, first + windows + LENGTH - 1)
-        deal = np.concatenate([self.gram[warm], content[len(warm) :]])
-        order = np.lexsort((self.ids[text], content, deal))
-        d, c = deal[order], content[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
-        one = order[new]
-        span = np.empty(len(order), np.int64)
-        span[order] = np.cumsum(new) - 1
-        return deal[one], content[one], first[one], windows[one], self.ids[text[one]], span, first, windows, text
+        alone = np.repeat(self.first[hot], each) + offset
+        own = np.fromiter((xxh64_intdigest(self.raw[a : a + LENGTH]) for a in alone.tolist()), U64, len(alone))
+        deal = np.concatenate([self.gram[warm], own])
+        order = np.argsort(deal, kind="stable")  # texts ascend by id: the first of equal spans has the smallest
+        deal = deal[order]
+        first = np.concatenate([self.first[warm], alone])[order]
+        windows = np.concatenate([self.windows[warm], np.ones(len(alone), np.int64)])[order]
+        text = np.concatenate([self.text_of[warm], np.repeat(self.text_of[hot], each)])[order]
+        one, span = _distinct(deal, self.raw, first, first + windows + LENGTH - 1)
+        return deal[one], first[one], windows[one], self.ids[text[one]], span, first, windows, text
 
 
 def _ask_grams(buckets: int):
@@ -289,20 +331,21 @@ def _ask_spans(buckets: int):
         if not blobs.num_rows:
             blobs = None
         block = Block(blobs)
-        deal, content, first, windows, ids, *_ = block.candidates(_in_order(answers, np.uint8))
-        raw = block.buf.tobytes()
+        deal, first, windows, ids, *_ = block.candidates(_in_order(answers, np.uint8))
+        raw = block.raw
         edges = bucket_edges(deal, buckets)
-        out = {"bucket": [], "block": [], "deal": [], "content": [], "windows": [], "ids": [], "spans": []}
+        out = {"bucket": [], "block": [], "deal": [], "windows": [], "ids": [], "spans": []}
         for i in range(buckets):
             a, b = int(edges[i]), int(edges[i + 1])
             if a == b:
                 continue
             c = slice(a, b)
             spans = b"".join([raw[f : f + w + LENGTH - 1] for f, w in zip(first[c].tolist(), windows[c].tolist())])
-            row = (i, key[0].as_py(), squeeze_sorted(deal[c]), squeeze(content[c]), squeeze(windows[c].astype(np.uint16)), squeeze(ids[c]))
+            row = (i, key[0].as_py(), squeeze_sorted(deal[c]), squeeze(windows[c].astype(np.uint16)), squeeze(ids[c]))
             for name, x in zip(out, (*row, len(spans).to_bytes(8, "little") + pa.compress(spans, codec="zstd", asbytes=True))):
                 out[name].append(x)
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        K.release()
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     return ask
@@ -342,32 +385,33 @@ def _families(spans: list[bytes], grams: int) -> list[list[int]]:
 
 def _answer_spans(key, asked):
     """For every span sent: the smallest id of each of its windows, as differences."""
-    cols = {c: asked.column(c).to_pylist() for c in ("deal", "content", "windows", "ids", "spans")}
+    cols = {c: asked.column(c).to_pylist() for c in ("deal", "windows", "ids", "spans")}
     deal = [expand_sorted(x) for x in cols["deal"]]
     sizes = [len(x) for x in deal]
     deal = np.concatenate(deal)
-    content = np.concatenate([expand(x, U64) for x in cols["content"]])
     windows = np.concatenate([expand(x, np.uint16) for x in cols["windows"]]).astype(np.int64)
     ids = np.concatenate([expand(x, np.int64) for x in cols["ids"]])
-    raw = b"".join(pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in cols["spans"])
-    begin = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
-    order = np.lexsort((ids, content, deal))
-    d, c = deal[order], content[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
-    one = order[new]  # distinct spans, each with its smallest id, gram by gram
+    raw = b"".join(pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in cols.pop("spans"))
+    length = windows + LENGTH - 1
+    begin = np.cumsum(length) - length
+    order = np.argsort(deal, kind="stable")
+    first, which = _distinct(deal[order], raw, begin[order], (begin + length)[order])
+    one = order[first]  # distinct spans, gram by gram
     span = np.empty(len(order), np.int64)
-    span[order] = np.cumsum(new) - 1
+    span[order] = which
+    least = np.full(len(one), _LAST)
+    np.minimum.at(least, span, ids)
     place = np.cumsum(windows[one]) - windows[one]
-    low = np.repeat(ids[one], windows[one])
-    cut = np.flatnonzero(np.diff(deal[one], prepend=deal[one][0] + U64(1)))
+    low = np.repeat(least, windows[one])
+    d = deal[one]
+    cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(one)]):
         if b - a < 2:
             continue
-        texts = [raw[s : s + w + LENGTH - 1] for s, w in zip(begin[one[a:b]].tolist(), windows[one[a:b]].tolist())]
-        for family in _families(texts, int(deal[one[a]])):
+        texts = [raw[s:e] for s, e in zip(begin[one[a:b]].tolist(), (begin + length)[one[a:b]].tolist())]
+        for family in _families(texts, int(d[a])):
             if len(family) > 1:
-                found = smallest_ids([texts[i] for i in family], [int(ids[one[a + i]]) for i in family])
+                found = smallest_ids([texts[i] for i in family], [int(least[a + i]) for i in family])
                 for i, values in zip(family, found):
                     low[place[a + i] : place[a + i] + len(values)] = values
     answers, at = [], 0
@@ -377,6 +421,8 @@ def _answer_spans(key, asked):
         index = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(place[mine], w)
         answers.append(squeeze(np.diff(low[index], prepend=0)))
         at += n
+    del raw, low
+    K.release()
     return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "answer": pa.array(answers, pa.binary())})
 
 
@@ -388,7 +434,7 @@ def _remove(with_text: bool):
         block = Block(blobs)
         kinds = answers.filter(pa.compute.equal(answers.column("step"), 0))
         lows = answers.filter(pa.compute.equal(answers.column("step"), 1)).sort_by("bucket").column("answer").to_pylist()
-        *_, one_windows, _, span, first, windows, text = block.candidates(_in_order(kinds, np.uint8))
+        _, _, one_windows, _, span, first, windows, text = block.candidates(_in_order(kinds, np.uint8))
         low = np.concatenate([np.cumsum(expand(x, np.int64)) for x in lows]) if lows else np.zeros(0, np.int64)
         place = np.cumsum(one_windows) - one_windows
         offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -414,6 +460,8 @@ def _remove(with_text: bool):
                    [{"start": x, "end": y} for x, y in spans] if with_text else None, kept if with_text else None, hashlib.sha256(kept).hexdigest())
             for name, x in zip(out, row):
                 out[name].append(x)
+        del known, at, edge, gone, step, offset
+        K.release()
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pair, pa.binary(), pa.string())
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
@@ -431,23 +479,24 @@ def _lowest_per_text(rows: pa.Table) -> pa.Table:
     return rows.take(pa.array(list(best.values())))
 
 
-def distinct_results(docs: DataFrame, with_text: bool = False, block_bytes: int | None = None, hot: int = HOT_SPANS) -> DataFrame:
-    """Per distinct text: its sha256, smallest id and what is removed from it in that document."""
+def distinct_results(docs: DataFrame, with_text: bool = False, block_bytes: int | None = None, hot: int = HOT_SPANS, tables: int = TABLE_BUCKETS) -> DataFrame:
+    """Per distinct text of `docs` (doc_id, text): its sha256, smallest id and what is removed from it in that document."""
     size = text_bytes(docs)
     n = block_count(size, block_bytes) if block_bytes else block_count(size)
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"))
-    blocks = store(rows, F.pmod(F.xxhash64("text"), F.lit(n)), n, _lowest_per_text)
+    blocks = store(rows, F.pmod(F.xxhash64("text"), F.lit(n)), n, _lowest_per_text, tables)
+    buckets = bucket_count(size, BUCKET_BYTES)
     reply = "block int, bucket int, answer binary"
-    asked = blocks.groupBy("block").applyInArrow(_ask_grams(n), "bucket int, block int, keys binary, counts binary")
+    asked = blocks.groupBy("block").applyInArrow(_ask_grams(buckets), "bucket int, block int, keys binary, counts binary")
     kinds = materialize(asked.groupBy("bucket").applyInArrow(_answer_grams(hot), reply), "gram-kinds")
-    sent = "bucket int, block int, deal binary, content binary, windows binary, ids binary, spans binary"
-    spans = blocks.groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(_ask_spans(n), sent)
+    sent = "bucket int, block int, deal binary, windows binary, ids binary, spans binary"
+    spans = blocks.groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(_ask_spans(buckets), sent)
     lows = materialize(spans.groupBy("bucket").applyInArrow(_answer_spans, reply), "span-lows")
     answers = kinds.withColumn("step", F.lit(0)).unionByName(lows.withColumn("step", F.lit(1)))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(with_text), _RESULT)
 
 
-def dedup_substrings(docs: DataFrame, with_text: bool = False, block_bytes: int | None = None, hot: int = HOT_SPANS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, with_text: bool = False, block_bytes: int | None = None, hot: int = HOT_SPANS, tables: int = TABLE_BUCKETS) -> DataFrame:
     """`docs` without text, plus n_bytes, n_removed, n_spans and kept_sha256; with_text adds spans and kept.
 
     Documents whose text a smaller document has too lose all of it, if it has 50 bytes.
@@ -456,17 +505,17 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, block_bytes: int
     keep = [c for c in docs.columns if c not in ("text", *new)]
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(
-        *keep,
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"),
+        F.struct(*keep).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
         F.sha2(text, 256).alias("sha"),
         F.octet_length(text).cast("long").alias("n_bytes"),
     )
-    r = distinct_results(docs, with_text, block_bytes, hot)
-    copy = (F.col("_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
+    r = distinct_results(docs.select("doc_id", "text"), with_text, block_bytes, hot, tables)
+    copy = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
     span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     more = [F.when(copy, span).otherwise(F.col("spans")).alias("spans"), F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")]
     return slim.join(r, "sha").select(
-        *keep,
+        "row.*",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),

@@ -59,3 +59,45 @@ def test_planted_passages_and_edge_cases(spark, hot):
     for r in out:
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] and len(r["spans"]) == r["n_spans"]
     assert S.dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_strings_of_equal_weak_hashes_stay_apart(spark):
+    """Thue-Morse words and their complements agree under polynomial hashes modulo 2^64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, "x" * 30 + word), (2, "y" * 30 + other), (3, other[:500] + "z" + word[:500])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1000, 1):
+        got = sorted(tuple(r) for r in S.dedup_substrings(df, hot=hot).collect())
+        assert got == sorted(plain(rows))
+
+
+def test_large_families_and_many_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcd ") for _ in range(400))
+    rows = [(i, "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 80))) + passage[: rng.randint(0, 400)] + str(i)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(plain(rows))
+    sent = []
+    keep = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda d, tag: (lambda m: (sent.append((tag, m.count())), m)[1])(keep(d, tag)))
+    for block_bytes in (400, 4000):
+        assert sorted(tuple(r) for r in S.dedup_substrings(df, block_bytes=block_bytes, tables=8).collect()) == want
+    n = S.text_bytes(df)
+    assert n // 400 > 1000 and all(rows <= 64 * (n // size + 1) for (_, rows), size in zip(sent, (400, 400, 4000, 4000)))
+
+
+def test_families_beyond_the_limit_agree():
+    rng = random.Random(5)
+    base = bytes(rng.choice(b"ab") for _ in range(120))
+    spans = [base[: 50 + i] for i in range(20)] + [bytes([99 + i]) + base[:60] for i in range(20)]
+    ids = rng.sample(range(100), len(spans))
+    assert S._smallest_by_windows(spans, ids) == S.smallest_ids(spans, ids)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x" * 60, "a", 5, "k"), (2, "x" * 60, "b", 6, "l")], "doc_id long, text string, sha string, rep long, row string")
+    got = sorted(tuple(r) for r in S.dedup_substrings(df).select("doc_id", "sha", "rep", "row", "n_removed").collect())
+    assert got == [(1, "a", 5, "k", 0), (2, "b", 6, "l", 60)]
