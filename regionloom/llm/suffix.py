@@ -213,6 +213,11 @@ def gram_hashes(buf: np.ndarray, k: int = GRAM) -> np.ndarray:
         length *= 2
 
 
+def gram_key(h: np.ndarray) -> np.ndarray:
+    """What a gram is known by elsewhere: the smallest of many hashes is small, its key is spread evenly."""
+    return K.mix(h ^ U64(0x5851F42D4C957F2D))
+
+
 def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     n, cur, length = len(h) - w + 1, h, 1
     while length * 2 <= w:
@@ -258,15 +263,22 @@ class Block:
         if (pieces > 1).any():
             part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             cut, n = np.repeat(cut, pieces) + part * PIECE, np.minimum(np.repeat(n, pieces) - part * PIECE, PIECE)
-        return m[cut], text[cut], at[cut], n
+        return gram_key(m[cut]), text[cut], at[cut], n
+
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of spans by gram, the grams in that order, and where a new gram begins."""
+        order = np.argsort(self.gram, kind="stable")
+        g = self.gram[order]
+        new = np.ones(len(g), bool)
+        new[1:] = g[1:] != g[:-1]
+        return order, g, new
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct grams and the number of texts that hold each."""
-        order = np.argsort(self.gram, kind="stable")
-        g, t = self.gram[order], self.text_of[order]
-        name, new = np.ones(len(g), bool), np.ones(len(g), bool)
-        name[1:] = g[1:] != g[:-1]
-        new[1:] = name[1:] | (t[1:] != t[:-1])
+        order, g, name = self._sorted()
+        t = self.text_of[order]
+        new = name.copy()
+        new[1:] |= t[1:] != t[:-1]
         at = np.flatnonzero(name)
         return g[at], (np.add.reduceat(new.astype(np.int64), at) if len(at) else np.zeros(0, np.int64))
 
@@ -276,8 +288,9 @@ class Block:
         Returns the key to deal by, the span's first occurrence's place and windows, the smallest id,
         and for all occurrences: their span, place, windows and text.
         """
-        names = np.unique(self.gram)
-        k = kind[np.searchsorted(names, self.gram)] if len(names) else np.zeros(0, np.uint8)
+        order, _, new = self._sorted()
+        k = np.zeros(len(order), np.uint8)
+        k[order] = kind[np.cumsum(new) - 1]
         warm, hot = np.flatnonzero(k == 1), np.flatnonzero(k == 2)
         each = self.windows[hot]  # a hot gram's spans become single windows
         offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
@@ -357,7 +370,7 @@ def _families(spans: list[bytes], grams: int) -> list[list[int]]:
     lengths = np.fromiter(map(len, spans), np.int64, len(spans))
     starts = np.cumsum(lengths) - lengths
     buf = np.frombuffer(b"".join(spans), np.uint8)
-    hit = np.flatnonzero(gram_hashes(buf) == U64(grams))
+    hit = np.flatnonzero(gram_key(gram_hashes(buf)) == U64(grams))
     of = np.searchsorted(starts, hit, side="right") - 1
     inside = hit + GRAM <= starts[of] + lengths[of]
     hit, of = (hit - starts[of])[inside], of[inside]
