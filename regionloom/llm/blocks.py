@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .common import shared_dir
 
@@ -68,14 +69,34 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, marks), [len(keys)]]).astype(np.int64)
 
 
+def _blob(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _saved(packed: DataFrame, buckets: int) -> DataFrame:
+    """Rows (block, blob) as a table bucketed by block, whose name is gone again."""
+    spark = packed.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    try:
+        writer = packed.write.bucketBy(buckets, "block").sortBy("block").format("parquet")
+        writer.option("compression", "none").option("path", path).saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # an external table: the files stay for who reads it
+
+
 def store(rows: DataFrame, block: Column, n_blocks: int, shrink=None, most: int = TABLE_BUCKETS) -> DataFrame:
     """`rows` packed by block: (block, blob), a table of at most `most` buckets in the shared folder.
 
     `shrink` may merge the rows (an Arrow table) of one batch before they are dealt.
     """
-    buckets = min(n_blocks, most)
-    spark = rows.sparkSession
-    names = rows.columns
+    names, buckets = rows.columns, min(n_blocks, most)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,25 +108,41 @@ def store(rows: DataFrame, block: Column, n_blocks: int, shrink=None, most: int
             order = np.argsort(at, kind="stable")
             sorted_rows = rows.select(names).take(pa.array(order))
             cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
-            blobs = []
-            for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, sorted_rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(sorted_rows.slice(a, b - a).combine_chunks())
-                blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(at[order][cuts], pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
-
-    packed = rows.withColumn("_block", block.cast("int")).mapInArrow(pack, "block int, blob binary")
-    name = f"blocks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    writer = packed.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block")
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    try:
-        writer.format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
-        return spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")  # an external table: the files stay for who reads it
+            blobs = [_blob(sorted_rows.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            yield pa.RecordBatch.from_arrays([pa.array(at[order][cuts], pa.int64()), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+    packed = rows.withColumn("_block", block.cast("long")).mapInArrow(pack, "block long, blob binary")
+    return _saved(packed.repartition(buckets, "block"), buckets)
+
+
+def store_as_read(rows: DataFrame, n_blocks: int, block_bytes: int, most: int = TABLE_BUCKETS) -> DataFrame:
+    """`rows` (with a text column) packed as they come, about block_bytes of text a block: a table as of `store`.
+
+    No text is shuffled: a block is named by the task that packs it and stays whole in one bucket.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, size, made = TaskContext.get().partitionId(), [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            out = [pa.array([task << 32 | made], pa.int64()), pa.array([_blob(pa.Table.from_batches(held))], pa.binary())]
+            return pa.RecordBatch.from_arrays(out, ["block", "blob"])
+
+        for batch in batches:
+            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            a = 0
+            for i, n in enumerate(lengths.tolist()):
+                size += n
+                if size >= block_bytes:
+                    held.append(batch.slice(a, i + 1 - a))
+                    yield flush()
+                    held, size, made, a = [], 0, made + 1, i + 1
+            if a < batch.num_rows:
+                held.append(batch.slice(a))
+        if held:
+            yield flush()
+
+    return _saved(rows.mapInArrow(pack, "block long, blob binary"), min(n_blocks, most))
 
 
 def unpack(table: pa.Table) -> pa.Table | None:

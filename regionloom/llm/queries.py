@@ -20,6 +20,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_quality_rules": quality.OP2_SQL,
+    "op3_lm_scoring": lm.OP3_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op8_suffix_array_dedup": suffix.OP8_SQL,
     "op9_url_filters": urls.OP9_SQL,
 }

@@ -313,7 +313,7 @@ def _ask_grams(buckets: int):
         full = [i for i in range(buckets) if edges[i] < edges[i + 1]]
         cut = [slice(edges[i], edges[i + 1]) for i in full]
         return pa.table({
-            "bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()),
+            "bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int64()),
             "keys": pa.array([squeeze_sorted(names[c]) for c in cut], pa.binary()),
             "counts": pa.array([squeeze(counts[c].astype(np.uint32)) for c in cut], pa.binary()),
         })
@@ -357,7 +357,7 @@ def _ask_spans(buckets: int):
             row = (i, key[0].as_py(), squeeze_sorted(deal[c]), squeeze(windows[c].astype(np.uint16)), squeeze(ids[c]))
             for name, x in zip(out, (*row, len(spans).to_bytes(8, "little") + pa.compress(spans, codec="zstd", asbytes=True))):
                 out[name].append(x)
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
         K.release()
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
@@ -499,10 +499,10 @@ def distinct_results(docs: DataFrame, with_text: bool = False, block_bytes: int
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"))
     blocks = store(rows, F.pmod(F.xxhash64("text"), F.lit(n)), n, _lowest_per_text, tables)
     buckets = bucket_count(size, BUCKET_BYTES)
-    reply = "block int, bucket int, answer binary"
-    asked = blocks.groupBy("block").applyInArrow(_ask_grams(buckets), "bucket int, block int, keys binary, counts binary")
+    reply = "block long, bucket int, answer binary"
+    asked = blocks.groupBy("block").applyInArrow(_ask_grams(buckets), "bucket int, block long, keys binary, counts binary")
     kinds = materialize(asked.groupBy("bucket").applyInArrow(_answer_grams(hot), reply), "gram-kinds")
-    sent = "bucket int, block int, deal binary, windows binary, ids binary, spans binary"
+    sent = "bucket int, block long, deal binary, windows binary, ids binary, spans binary"
     spans = blocks.groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(_ask_spans(buckets), sent)
     lows = materialize(spans.groupBy("bucket").applyInArrow(_answer_spans, reply), "span-lows")
     answers = kinds.withColumn("step", F.lit(0)).unionByName(lows.withColumn("step", F.lit(1)))
@@ -541,3 +541,18 @@ def op8_suffix_array_dedup(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT r, id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+low AS (SELECT r, i, id, min(id) OVER (PARTITION BY g) AS low FROM w),
+new AS (SELECT r, i, CASE WHEN i <= lag(i) OVER o + 50 THEN 0 ELSE 1 END AS new FROM low WHERE low < id WINDOW o AS (PARTITION BY r ORDER BY i)),
+run AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM new) GROUP BY r, k),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM run),
+gone AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+                string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
