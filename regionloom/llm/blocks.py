@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from .common import shared_dir
 
 BLOCK_BYTES = 4 << 20
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 128
 TABLE_BUCKETS = 50_000  # Spark refuses tables of more than 100,000
 
 

@@ -11,9 +11,9 @@ A suffix array needs its strings in one place, so strings are first brought toge
 50-byte window the smallest of its 31 hashed 20-byte grams stands for it; windows in a row with the
 same gram form a span, and equal windows have equal grams. Blocks of texts ask which grams occur in
 two texts (see blocks.py), then send the distinct spans of those grams to the gram's bucket. There,
-spans that agree on 15 more bytes left or right of the gram form a family, the suffix array of a
-family's spans brings equal windows together, and the smallest document of each goes back. A span
-alone in its family needs no sorting.
+spans that agree on the gram and 25 bytes beside it form a family, the suffix array of a family's
+spans brings equal windows together, and the smallest document of each goes back. A span alone in its
+family needs no sorting.
 
 Exactness. Hashes only bring strings together; what is equal is decided by bytes. Spans are told
 apart by their bytes in blocks and buckets, windows by the suffix array and their bytes. Whole texts
@@ -33,6 +33,7 @@ columns of the same name; other columns are kept, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from itertools import accumulate
 
 import numpy as np
@@ -50,7 +51,8 @@ GRAM = 20
 HOT_SPANS = 1000
 PIECE = 256  # windows of a span at most: longer ones (periodic text) are cut
 FAMILY_SYMBOLS = 1 << 16
-BUCKET_BYTES = 32 << 20  # of text whose grams and spans a bucket can hold
+SIDES = [(a, LENGTH - GRAM - 5 - a) for a in range(0, LENGTH - GRAM, 5)]  # bytes left and right of a gram
+BUCKET_BYTES = 16 << 20  # of text whose grams and spans a bucket can hold
 _LAST = (1 << 63) - 1
 _CHUNK = 1 << 18
 U64 = np.uint64
@@ -79,19 +81,40 @@ def lyndon_groups(s: list[int]) -> tuple[list[int], list[int]]:
     prev = [-1] * n
     end = n - 1
     while end > 0:
-        start = group[order[end]]
-        members = sorted(order[start : end + 1]) if start < end else (order[end],)
-        hits: dict[int, int] = {}
-        for i in members:
+        i = order[end]
+        start = group[i]
+        if start == end:  # a group of one moves one suffix at most
             j = i - 1
             while j >= 0 and group[j] >= start:
                 j = prev[j]
             prev[i] = j
+            end -= 1
             if j >= 0:
-                hits[j] = hits.get(j, 0) + 1
-        by_count: dict[int, list[int]] = {}
-        for p, k in hits.items():
-            by_count.setdefault(k, []).append(p)
+                g = group[j]
+                if left := size[g] - 1:
+                    size[g] = left
+                    to = g + left
+                    q, a = order[to], at[j]
+                    order[a], at[q] = q, a
+                    order[to] = j
+                    at[j] = group[j] = to
+                    size[to] = 1
+            continue
+        met: list[int] = []
+        for i in sorted(order[start : end + 1]):
+            j = i - 1
+            while j >= 0 and group[j] >= start:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0:
+                met.append(j)
+        once = set(met)
+        if len(once) == len(met):
+            by_count = {1: met}
+        else:
+            by_count = {}
+            for p, k in Counter(met).items():
+                by_count.setdefault(k, []).append(p)
         for k in sorted(by_count, reverse=True):
             shrunk: dict[int, int] = {}
             for p in by_count[k]:  # to the upper end of what is left of its group
@@ -365,8 +388,11 @@ def _ask_spans(buckets: int):
 
 
 def _families(spans: list[bytes], grams: int) -> list[list[int]]:
-    """Spans of one gram that may share a window: those with the same 15 bytes beside the gram."""
-    side = (LENGTH - GRAM) // 2
+    """Spans of one gram that may share a window, alone or by others: those that agree around the gram.
+
+    A window that two spans share has o bytes left of the gram and 30 - o right of it, so the spans agree
+    on one of `SIDES` at least: the multiple of 5 below o on the left and 25 in all.
+    """
     lengths = np.fromiter(map(len, spans), np.int64, len(spans))
     starts = np.cumsum(lengths) - lengths
     buf = np.frombuffer(b"".join(spans), np.uint8)
@@ -385,11 +411,13 @@ def _families(spans: list[bytes], grams: int) -> list[list[int]]:
         return i
 
     seen: dict[tuple[int, bytes], int] = {}
-    for i, p in zip(of.tolist(), hit.tolist()):
-        x = spans[i]
-        for name in ((0, x[p - side : p]) if p >= side else None, (1, x[p + GRAM : p + GRAM + side]) if len(x) - p - GRAM >= side else None):
-            if name is not None:
-                root[find(i)] = find(seen.setdefault(name, i))
+    for i, (x, p) in enumerate(zip(spans, hit.tolist())):
+        right = len(x) - p - GRAM
+        for a, b in SIDES:
+            if a <= p and b <= right:
+                first = seen.setdefault((a, x[p - a : p + GRAM + b]), i)
+                if first != i:
+                    root[find(i)] = find(first)
     out: dict[int, list[int]] = {}
     for i in range(len(spans)):
         out.setdefault(find(i), []).append(i)

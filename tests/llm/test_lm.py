@@ -108,4 +108,4 @@ def test_messages_grow_with_blocks(spark, monkeypatch):
     assert all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-12) for a, b in zip(one, many))
     rows = [k.where("block >= 0") for k in kept]
     blocks = [r.select("block").distinct().count() for r in rows]
-    assert blocks[1] > 2000 and all(r.count() <= 64 * n for r, n in zip(rows, blocks))
+    assert blocks[1] > 2000 and all(r.count() <= 128 * n for r, n in zip(rows, blocks))
