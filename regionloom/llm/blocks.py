@@ -71,7 +71,7 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _blob(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
         w.write_table(rows.combine_chunks())
     return sink.getvalue().to_pybytes()
 

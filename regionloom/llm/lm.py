@@ -16,8 +16,10 @@ the root to the word, for a word not in training back to the root.
 
 Scale. The model is never gathered anywhere: its n-grams grow with the corpus. A block of texts asks
 for the counts of just its own n-grams, builds its part of the automaton from the answers and reads its
-texts through it (see blocks.py). Counts are summed within blocks before they move. Words and n-grams
-are known by 64-bit hashes (XXH64, mixed): two of n n-grams fall together by a chance of n^2 / 2^65.
+texts through it (see blocks.py). Counts are summed within blocks before they move. Words and pairs
+are known by 64-bit hashes (XXH64, mixed): two of n of them fall together by a chance of n^2 / 2^65. A
+triple is known by its first pair and 32 bits of its last word: of f words that follow one pair, two
+fall together by a chance of f^2 / 2^33.
 
 Edge cases. Null and empty texts are one end token. A null learn flag is false. With no training text
 every probability is 1 (score 0). Repeated rows are learned and scored as often as they occur. An empty
@@ -81,7 +83,8 @@ class Grams:
     """The tokens of texts, each text's words then its end, and their distinct n-grams.
 
     word, pair, triple: for every token the number of the word, of the pair and of the triple that it
-    ends (-1 where a text has no triple yet); words, pairs, triples: hashes by number.
+    ends (-1 where a text has no triple yet); words, pairs: hashes by number; triples: the number of the
+    first pair (which ascends) and half the last word's hash.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -110,7 +113,7 @@ class Grams:
         longer = np.ones(len(h), bool)
         longer[self.starts] = False
         at = np.flatnonzero(longer)
-        key = K.mix(key[at - 1] * _STEP + h[at] + np.uint64(1))
+        key = self.pair[at - 1].astype(np.uint64) << np.uint64(32) | h[at] >> np.uint64(32)
         self.triples, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         self.triple = np.full(len(h), -1, np.int32)
         self.triple[at] = inverse
@@ -204,22 +207,29 @@ def _block_rows(blobs: pa.Table) -> tuple[pa.Table, Grams, np.ndarray]:
 _KINDS = ("words", "pairs", "triples")
 
 
+_SENT = ("words", "pairs", "followers", "triples", "n_words", "n_pairs", "n_triples")
+
+
 def _ask(buckets: int):
-    names = ["bucket", "block", *_KINDS, *(f"n_{k}" for k in _KINDS)]
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in names[2:])])
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in _SENT)])
 
     def ask(key, blobs):
+        """Per bucket: sorted words and pairs, how many words follow each pair and these words, and all counts."""
         _, grams, learn = _block_rows(blobs)
         order = np.argsort(grams.words)
         n1, n2, n3 = grams.counts(learn)
-        keys, counts = (grams.words[order], grams.pairs, grams.triples), (n1[order], n2, n3)
+        n1, words, pairs = n1[order], grams.words[order], grams.pairs
+        first, last = (grams.triples >> np.uint64(32)).astype(np.int64), grams.triples.astype(np.uint32)
         del grams
-        edges = [bucket_edges(k, buckets) for k in keys]
+        w, p = bucket_edges(words, buckets), bucket_edges(pairs, buckets)
+        t = np.searchsorted(first, p)
+        followers = np.bincount(first, minlength=len(pairs)).astype(np.uint32)
         out = []
         for i in range(buckets):
-            cut = [slice(e[i], e[i + 1]) for e in edges]
-            if any(c.start < c.stop for c in cut):
-                out.append((i, key[0].as_py(), *(squeeze_sorted(k[c]) for k, c in zip(keys, cut)), *(squeeze(n[c]) for n, c in zip(counts, cut))))
+            a, b, c = slice(w[i], w[i + 1]), slice(p[i], p[i + 1]), slice(t[i], t[i + 1])
+            if a.start < a.stop or b.start < b.stop:
+                row = squeeze_sorted(words[a]), squeeze_sorted(pairs[b]), *map(squeeze, (followers[b], last[c], n1[a], n2[b], n3[c]))
+                out.append((i, key[0].as_py(), *row))
         K.release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -232,15 +242,19 @@ _ANSWER = "block long, bucket int, n_words binary, n_pairs binary, n_triples bin
 def _answer(key, asked):
     """Sums per key over all blocks, sent back to each block; block -1 gets the bucket's totals."""
 
-    def summed(kind: str) -> tuple[np.ndarray, list[bytes]]:
-        keys = [expand_sorted(x) for x in asked.column(kind).to_pylist()]
-        counts = np.concatenate([expand(x, np.uint32) for x in asked.column(f"n_{kind}").to_pylist()])
+    cols = {c: asked.column(c).to_pylist() for c in _SENT}
+
+    def summed(keys: list[np.ndarray], counts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         names, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, weights=counts, minlength=len(names)).astype(np.uint64)
+        sums = np.bincount(at, weights=np.concatenate([expand(x, np.uint32) for x in counts]), minlength=len(names)).astype(np.uint64)
         parts = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
         return sums, [squeeze(p) for p in parts]
 
-    (sums, words), (_, pairs), (_, triples) = map(summed, _KINDS)
+    sums, words = summed([expand_sorted(x) for x in cols["words"]], cols["n_words"])
+    keys = [expand_sorted(x) for x in cols["pairs"]]
+    _, pairs = summed(keys, cols["n_pairs"])
+    last = (np.repeat(k, expand(n, np.uint32)) * _STEP + expand(x, np.uint32) for k, n, x in zip(keys, cols["followers"], cols["triples"]))
+    _, triples = summed([K.mix(x) for x in last], cols["n_triples"])
     n, bucket = len(words), key[0].as_py()
     K.release()
     return pa.table({
@@ -277,7 +291,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, tables: int = TABLE_B
     kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
     rows = docs.select(kept.alias("row"), "text", F.coalesce("learn", F.lit(False)).alias("learn"))
     blocks = store_as_read(rows, block_count(size, block_bytes), block_bytes, tables)
-    sent = "bucket int, block long, words binary, pairs binary, triples binary, n_words binary, n_pairs binary, n_triples binary"
+    sent = "bucket int, block long, " + ", ".join(f"{c} binary" for c in _SENT)
     asked = blocks.groupBy("block").applyInArrow(_ask(bucket_count(size, BUCKET_BYTES)), sent)
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER), "lm-counts")
     whole = answers.where("block = -1").agg(F.sum("total"), F.sum("distinct")).first()
