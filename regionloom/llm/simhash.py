@@ -1,27 +1,33 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Two 64-bit fingerprints that differ in at most t bits differ in at most t // 3 bits on one of three
-blocks of 21, 21 and 22 bits. On each block the anchors are the words of a covering code: the
-perfect Hamming code of length 15 times all words on the other bits, which has covering radius
-R = 1. Every fingerprint is at home at its nearest anchor (distance at most R) and is replicated to
-every anchor within R + t // 3. So for any linked pair the home anchor of one also holds the other,
-and comparing homes with all others per anchor loses no link. A single code over all 64 bits would
-need far more replicas: within R + 4 there are at least (64/R)^4 / 24 times as many anchors.
-
-Scale. Equal fingerprints are merged first, so a group of copies is one row. An anchor with more
-than `BLOCK_ROWS` rows is cut into chunks of homes and of visitors, each pair of chunks a group of
-its own. A group yields links that span what it connects rather than all its pairs. Links, components and
+Two 64-bit fingerprints that differ in at most t bits differ in at most t // k bits on one of k blocks.
+On each block the anchors are the words of a covering code: a perfect Hamming code times all words on
+the other bits, which has covering radius R = 1. Every fingerprint is at home at its nearest anchor
+(distance at most R) and is replicated to every anchor within R + t // k. So for any linked pair the
+home anchor of one also holds the other, and comparing homes with all others per anchor loses no link.
+A single code over all 64 bits would need far more replicas: within R + 4 there are at least
+(64/R)^4 / 24 times as many anchors.
+
+Scale. Equal fingerprints are merged first, so a group of copies is one row. `covering` picks the blocks
+by the number of distinct fingerprints: fewer and longer blocks have more anchors, hence fewer rows at
+each, but take more replicas; whatever it picks, the links are the same. An anchor with more than
+`BLOCK_ROWS` rows is cut into chunks of homes and of visitors, each pair of chunks a group of its own. A
+group yields links that span what it connects rather than all its pairs. Links, components and
 fingerprints stay distributed.
 
 Edge cases. A text without words has fingerprint zero and is linked like any other; fewer words
-than a shingle are one shingle. A null id counts as the largest id and is returned as null. Rows
-that repeat share fingerprint and component. An empty table gives an empty result.
+than a shingle are one shingle. A null id counts as the largest id and is returned as null; ids must be
+integers (or text of them). Rows that repeat share fingerprint and component. An empty table gives an
+empty result. Result columns replace input columns of the same name; other columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,7 @@ from .components import components
 
 SHINGLE = 4
 THRESHOLD = 4
-BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
-CHECKS = 4  # parity checks of the Hamming code: 2^4 - 1 bits
+REPLICA_COST = 60  # of making and moving a replica, in comparisons
 BLOCK_ROWS = 4096
 SEED = 42
 _LAST = (1 << 63) - 1
@@ -79,10 +84,37 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())]))
 
 
-def _masks(bits: int, reach: int) -> list[list[tuple[int, bool]]]:
+def checks(bits: int) -> int:
+    """Parity checks of the longest Hamming code (2^checks - 1 bits) that fits a block."""
+    return (bits + 1).bit_length() - 1
+
+
+def split(bits: int, blocks: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of so many blocks of nearly equal length, the last ones longer."""
+    size, more = divmod(bits, blocks)
+    lengths = [size + (i >= blocks - more) for i in range(blocks)]
+    return [(sum(lengths[:i]), n) for i, n in enumerate(lengths)]
+
+
+def replica_count(bits: int, reach: int) -> float:
+    """Anchors within `reach` of a word, on average."""
+    return sum(comb(bits, k) for k in range(reach + 1)) / (1 << checks(bits))
+
+
+def covering(nodes: int, threshold: int = THRESHOLD, bits: int = 64) -> list[tuple[int, int]]:
+    """The blocks that cost the least for so many distinct fingerprints."""
+
+    def cost(blocks: list[tuple[int, int]]) -> float:
+        each = [replica_count(n, 1 + threshold // len(blocks)) for _, n in blocks]
+        return sum(r * (REPLICA_COST + nodes / (1 << n - checks(n))) for r, (_, n) in zip(each, blocks))
+
+    return min((split(bits, k) for k in (4, 3, 2)), key=cost)
+
+
+def masks(bits: int, reach: int) -> list[list[tuple[int, bool]]]:
     """By syndrome: the error masks of weight `reach` at most that lead to an anchor, and which is home's."""
-    coded = (1 << CHECKS) - 1
-    out: list[list[tuple[int, bool]]] = [[] for _ in range(1 << CHECKS)]
+    coded = (1 << checks(bits)) - 1
+    out: list[list[tuple[int, bool]]] = [[] for _ in range(coded + 1)]
     for weight in range(reach + 1):
         for at in combinations(range(bits), weight):
             syndrome = 0
@@ -93,25 +125,28 @@ def _masks(bits: int, reach: int) -> list[list[tuple[int, bool]]]:
     return out
 
 
-def _syndrome(block: Column) -> Column:
+def syndrome(block: Column, bits: int) -> Column:
     parts = []
-    for j in range(CHECKS):
-        mask = sum(1 << i for i in range((1 << CHECKS) - 1) if (i + 1) >> j & 1)
+    for j in range(checks(bits)):
+        mask = sum(1 << i for i in range((1 << checks(bits)) - 1) if (i + 1) >> j & 1)
         parts.append(F.shiftleft(F.bit_count(block.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(1)), j))
     return sum(parts[1:], parts[0])
 
 
-def replicas(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_anchors(block: Column, bits: int, reach: int) -> Column:
+    """array<struct<mask, home>> of the anchors within `reach` of a block's bits: anchor = block xor mask."""
+    found = [[{"mask": m, "home": h} for m, h in row] for row in masks(bits, reach)]
+    table = F.from_json(F.lit(json.dumps(found)), "array<array<struct<mask:bigint,home:boolean>>>")
+    return F.element_at(table, syndrome(block, bits) + 1)
+
+
+def replicas(nodes: DataFrame, threshold: int, blocks: list[tuple[int, int]]) -> DataFrame:
     """(anchor, fp, node, home): each fingerprint at every anchor within reach."""
     out = None
-    for k, (first, bits) in enumerate(BLOCKS):
+    for k, (first, bits) in enumerate(blocks):
         block = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
-        per_syndrome = [
-            F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(h).alias("home")) for m, h in row])
-            for row in _masks(bits, 1 + threshold // len(BLOCKS))
-        ]
-        near = F.explode(F.element_at(F.array(*per_syndrome), F.col("syndrome") + 1)).alias("near")
-        rows = nodes.withColumn("block", block).withColumn("syndrome", _syndrome(F.col("block"))).select("fp", "node", "block", near)
+        near = F.explode(near_anchors(block, bits, 1 + threshold // len(blocks))).alias("near")
+        rows = nodes.select("fp", "node", block.alias("block"), near)
         rows = rows.select(
             F.col("block").bitwiseXOR(F.col("near.mask")).bitwiseOR(F.lit(k << 40)).alias("anchor"), "fp", "node", F.col("near.home").alias("home")
         )
@@ -220,23 +255,31 @@ def _links(threshold: int):
     return run
 
 
-def links(nodes: DataFrame, threshold: int = THRESHOLD, limit: int = BLOCK_ROWS) -> DataFrame:
+def links(nodes: DataFrame, threshold: int, blocks: list[tuple[int, int]], limit: int = BLOCK_ROWS) -> DataFrame:
     """(u, v): links that span every group of `nodes` (fp, node; fp distinct) within `threshold` bits."""
-    rows = _chunked(replicas(nodes, threshold), limit)
+    rows = _chunked(replicas(nodes, threshold, blocks), limit)
     group = ["anchor", "i", "j"]
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links(threshold), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, limit: int = BLOCK_ROWS) -> DataFrame:
-    """`docs` without text, plus fp and component_id (the smallest doc_id that links reach)."""
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, limit: int = BLOCK_ROWS, blocks: int | None = None
+) -> DataFrame:
+    """`docs` without text, plus fp and component_id (the smallest doc_id that links reach).
+
+    `blocks` fixes the number of blocks; otherwise the number of fingerprints decides.
+    """
     keep = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
-    slim = docs.select(*keep, "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    slim = docs.select(F.struct(*keep).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"))
     prints = materialize(fingerprints(slim, shingle), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("_id").alias("node")), "simhash-nodes")
-    found = components(links(nodes, threshold, limit))
-    known = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("_c"))
-    component = F.when(F.col("_c") != _LAST, F.col("_c")).alias("component_id")
-    return prints.join(known, "fp").select(*keep, "fp", component)
+    # a node is its fingerprint: rows without an id share no node, and the smallest id of a component comes last
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("id")).select("fp", F.col("fp").alias("node"), "id"), "simhash-nodes")
+    cover = split(64, blocks) if blocks else covering(nodes.count(), threshold)
+    found = components(links(nodes.select("fp", "node"), threshold, cover, limit))
+    grouped = nodes.join(found, "node", "left").select("fp", "id", F.coalesce("component", "node").alias("c"))
+    low = grouped.groupBy("c").agg(F.min("id").alias("low"))
+    known = grouped.join(low, "c").select("fp", F.when(F.col("low") != _LAST, F.col("low")).alias("component_id"))
+    return prints.join(known, "fp").select("row.*", "fp", "component_id")
 
 
 def op6_simhash_near_dedup(spark, sf_dir):

@@ -49,8 +49,8 @@ def test_documents_against_brute_force(spark):
     assert got == {i: (f, want[i]) for i, f in fps}
 
 
-@pytest.mark.parametrize("limit", [4096, 7])
-def test_planted_fingerprints(spark, limit):
+@pytest.mark.parametrize("limit,blocks", [(4096, 3), (7, 3), (4096, 2), (7, 4)])
+def test_planted_fingerprints(spark, limit, blocks):
     rng = random.Random(3)
     fps = set()
     for _ in range(40):
@@ -65,7 +65,7 @@ def test_planted_fingerprints(spark, limit):
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in rows], "fp long, node long")
     from regionloom.llm.components import components
 
-    got = {i: i for i, _ in rows} | {r["node"]: r["component"] for r in components(S.links(nodes, limit=limit)).collect()}
+    got = {i: i for i, _ in rows} | {r["node"]: r["component"] for r in components(S.links(nodes, 4, S.split(64, blocks), limit)).collect()}
     assert got == plain_components(rows)
 
 
@@ -80,5 +80,13 @@ def test_edge_cases(spark):
     assert by[4] == by[5] and by[4][1] == 4
     assert by[None][1] == 7 and by[7][1] == 7 and len(got) == 9
     assert S.near_duplicates(df.where("doc_id < 0")).count() == 0
+    nulls = spark.createDataFrame([(None, "a b c d e"), (None, "f g h i j"), (3, "f g h i j"), (4, "k l m n o")], DOCS)
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in S.near_duplicates(nulls).collect() if r["doc_id"] or r["component_id"]) == [(0, 3), (3, 3), (4, 4)]
     only_null = spark.createDataFrame([(None, "p q r s")], DOCS)
     assert S.near_duplicates(only_null).first()["component_id"] is None
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    sizes = [len(S.covering(n)) for n in (10, 10**5, 10**7, 10**9, 10**11)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 2
+    assert all(sum(n for _, n in S.covering(n)) == 64 for n in (10, 10**9))
