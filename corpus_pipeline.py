@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionloom.llm import bpe, lines, mixing, nearcopies, quality
+from regionloom.llm import bpe, lines, mixing, quality, similar
 from regionloom.llm.common import materialize, table
 
 
@@ -34,12 +34,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near copies (5-word Jaccard of 0.8 or more): the smallest.
 
-    Of rows with equal id and text one stays; null ids count as the largest.
+    Of rows with equal id and text one stays, the first by its other columns; null ids count as the largest.
     """
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_th", F.xxhash64("text"))
-    found = nearcopies.near_copies(rows.select("_id", "_th", "text"))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text").alias("_th")]
+    found = similar.similar_texts(docs.select(*key, "text"))
     keepers = found.groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k.*")
-    return rows.join(keepers, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *key).join(keepers, ["_id", "_th"], "left_semi")
+    return rows.groupBy("_id", "_th").agg(F.min("row").alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
