@@ -2,12 +2,14 @@
 
 A text is cut by a pattern, each piece is encoded on its own. A piece's leaves are its byte
 positions; the leaf of a live token holds the rank of the pair that it forms with the next one, and
-every inner node the smallest (rank, position) below it. The root is thus the leftmost pair of
-minimum rank. Merging it kills one leaf and changes the pairs at two live neighbours: three point
-updates of logarithmic cost, so a piece of n bytes takes O(n log n) however long it is.
+every inner node the smallest (rank, position) of its up to `FAN` children. The least of the top is thus
+the leftmost pair of minimum rank. Merging it kills one leaf and changes the pairs at two live
+neighbours: three point updates of logarithmic cost, so a piece of n bytes takes O(n log n) however long
+it is. Most pieces have fewer than `FAN` bytes, whose tree is one node.
 
-Pieces repeat, so each worker remembers the encodings of recent ones in two generations of bounded
-size. Ranks come from a vocabulary file named by a parameter; no special tokens exist.
+Pieces repeat, so each task remembers the encodings of recent ones in two generations of bounded
+size (in bytes, estimated). Ranks come from a vocabulary file named by a parameter; no special tokens exist.
+Results leave the worker in slices of bounded text size.
 
 Edge cases. Null and empty texts have no tokens and decode to no bytes. Repeated rows get equal
 results. Result columns replace input columns of the same name.
@@ -21,14 +23,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import kernels as K
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 150_000
-SLICE_ROWS = 256
+CACHE_BYTES = 24 << 20  # of each of two generations
+SLICE_BYTES = 1 << 20
+FAN = 32
 _NONE = 1 << 62
 _SHIFT = 32
 _AT = (1 << _SHIFT) - 1
@@ -53,47 +58,47 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    tree = [_NONE] * (2 * size)
     rank = ranks.get
+    leaves = [_NONE] * n
     for i in range(n - 1):
         r = rank(piece[i : i + 2])
         if r is not None:
-            tree[size + i] = r << _SHIFT | i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
+            leaves[i] = r << _SHIFT | i
+    tree = [leaves]
+    while len(tree[-1]) > FAN:
+        tree.append([min(tree[-1][a : a + FAN]) for a in range(0, len(tree[-1]), FAN)])
+    top, deep = tree[-1], len(tree) > 1
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
 
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        while k > 1:
-            other = tree[k ^ 1]
-            k >>= 1
-            best = value if value < other else other
-            if tree[k] == best:
+    def risen(k: int) -> None:
+        """The nodes above leaf k made right again."""
+        for below, above in zip(tree, tree[1:]):
+            k //= FAN
+            best = min(below[k * FAN : (k + 1) * FAN])
+            if above[k] == best:
                 return
-            tree[k] = value = best
+            above[k] = best
 
-    while (top := tree[1]) != _NONE:
-        i = top & _AT
+    while (best := min(top)) != _NONE:
+        i = best & _AT
         j = after[i]
-        k = after[j]
-        after[i] = k
-        put(j, _NONE)
-        value = _NONE
+        after[i] = k = after[j]
+        leaves[j] = leaves[i] = _NONE
         if k < n:
             before[k] = i
             r = rank(piece[i : after[k]])
             if r is not None:
-                value = r << _SHIFT | i
-        put(i, value)
+                leaves[i] = r << _SHIFT | i
         h = before[i]
         if h >= 0:
             r = rank(piece[h:k])
-            put(h, _NONE if r is None else r << _SHIFT | h)
+            leaves[h] = _NONE if r is None else r << _SHIFT | h
+        if deep:
+            risen(j)
+            risen(i)
+            if h >= 0:
+                risen(h)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -104,7 +109,7 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, pattern: str, cache: int = CACHE_PIECES):
+    def __init__(self, path: str, pattern: str, cache: int = CACHE_BYTES):
         import regex
 
         self.ranks = read_ranks(path)
@@ -113,16 +118,17 @@ class Codec:
             self.tokens[i] = token
         self.names = list(map(str, range(len(self.tokens))))
         self.pieces = regex.compile(pattern).findall
-        self.limit, self.young, self.old = cache, {}, {}
+        self.limit, self.young, self.old, self.held = cache, {}, {}, 0
 
     def _piece(self, piece: str) -> list[int]:
         ids = self.old.get(piece)
         if ids is None:
             ids = merge_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)
         if len(piece) <= 64:
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
+            if self.held >= self.limit:
+                self.old, self.young, self.held = self.young, {}, 0
             self.young[piece] = ids
+            self.held += 230 + len(piece) + 8 * len(ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -140,11 +146,21 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `SLICE_BYTES`, one text at least."""
+    size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, a = np.cumsum(size + 64), 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, side="right")))
+        yield a, b
+        a = b
+
+
 def tokenize(docs: DataFrame, path: str, pattern: str, columns: Sequence[str] = tuple(_FIELDS), carry_text: bool = True) -> DataFrame:
     """`docs` (with a text column) plus the named ones of ids, n_tokens, ids_sha256, decoded_sha256.
 
-    The digests are of the decimal ids joined by commas and of the bytes decoded from the ids. Results
-    leave the worker in slices of `SLICE_ROWS` rows; without `carry_text` the texts do not travel back.
+    The digests are of the decimal ids joined by commas and of the bytes decoded from the ids. Without
+    `carry_text` the texts do not travel back.
     """
     keep = [c for c in docs.columns if c not in columns and (carry_text or c != "text")]
 
@@ -167,8 +183,11 @@ def tokenize(docs: DataFrame, path: str, pattern: str, columns: Sequence[str] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, pattern)
         for batch in batches:
-            for a in range(0, batch.num_rows, SLICE_ROWS):
-                yield encoded(codec, batch.slice(a, SLICE_ROWS))
+            for a, b in _slices(batch.column("text")):
+                yield encoded(codec, batch.slice(a, b - a))
+            K.release()
+        del codec
+        K.release()
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, _FIELDS[c]) for c in columns])
     return docs.mapInArrow(run, schema)
