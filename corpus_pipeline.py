@@ -49,12 +49,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and source with the text's token ids, their number and the digests of ids and decoded bytes."""
+    """The documents with the text's token ids, their number and the digests of ids and decoded bytes."""
     import public_tokenizers
 
     columns = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
-    rows = docs.select("doc_id", "source", "text")
-    return bpe.tokenize(rows, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, columns, False)
+    return bpe.tokenize(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, columns)
 
 
 STAGES = [
