@@ -2,18 +2,22 @@
 
 Every source gets a token target. Complete epochs of the source come first; the fraction left is
 a weighted sample without replacement: each document draws the exponential key -ln(u) / weight
-(u from a hash of its id), documents are taken in key order while their sizes' prefix sum stays
+(u from a hash of its id and text), documents are taken in key order while their sizes' prefix sum stays
 within the budget, and the document that crosses it is taken if that ends nearer to it.
 
-Scale. A source may hold a third of all rows, so no source is sorted as a whole. Keys fall into
-`buckets` by a monotone map of the key; bucket sums (a partial aggregate) give the one bucket in
-which a source's budget runs out, and only that bucket's rows are sorted. What results is one
-cut-off per source, which every row compares itself with: no row-level shuffle, no text moved.
+Scale. A source may hold a third of all rows, so no source is sorted as a whole. Keys are fixed-point
+numbers; sums of sizes by their leading bits (a partial aggregate of at most 4,096 rows a source) give the
+one value of these bits at which a source's budget runs out, and three times only the rows there are
+looked at further, by 12 more bits. What is left, one of 2^36 slices of the keys, is grouped by document
+and sorted. What results is one cut-off per source, which every row compares itself with: no row-level
+shuffle, no text moved.
 
 Edge cases. A null source is a source of its own, last in order. A null id draws as the text
-'null'. Null or empty texts have size 0 and are taken as often as their source's epochs say.
-Rows that repeat (same key, id and size) are taken or left together. An empty table gives an empty
-result. Result columns replace input columns of the same name; other columns are kept.
+'null'. Null or empty texts have size 0 and are taken as often as their source's epochs say. Rows that
+repeat (same id and text) have one key; if the cut-off falls among them, as many as fit are taken, those
+first by a hash of all columns. Ties of different documents go by id, then size. An empty table gives an
+empty result. Result columns replace input columns of the same name; other columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from .common import WORD, materialize
 
 SYMBOLS = "#*$%&|<>"
 RESULT = ("size", "source_size", "target", "copies", "taken")
+KEY_BITS = 60  # of the key in fixed point, 10 of them before the point
+STEP_BITS = 12
+LEVELS = 3
+CHUNK = 1 << 16
 
 
 def token_count(text: Column) -> Column:
@@ -42,10 +50,10 @@ def quality_weight(text: Column) -> Column:
     return (n + 1.0) / (n + 1.0 + 20.0 * (n - clean))
 
 
-def draw_key(doc_id: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, u in (0, 1) from 52 bits of md5(seed:id)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
-    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+def draw_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight, u in (0, 1) from 52 bits of md5(seed:id:md5(text))."""
+    parts = F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))
+    bits = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 13), 16, 10).cast("long")
     return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
 
 
@@ -80,39 +88,45 @@ def source_targets(sizes: DataFrame, source_weights: Sequence[float], share: flo
     )
 
 
-def _keyed(docs: DataFrame, seed: str, buckets: int) -> DataFrame:
-    key = draw_key(F.col("doc_id"), quality_weight(F.col("text")), seed)
-    rows = docs.withColumn("size", token_count(F.col("text"))).withColumn("_key", key)
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets)).cast("int")
-    return rows.withColumn("_bucket", bucket).withColumn(
-        "source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    )
+def _keyed(docs: DataFrame, keep: list[str], seed: str) -> DataFrame:
+    """row (all columns to keep), text, id, source_key, size, key, and bits, the key in fixed point (60 bits)."""
+    key = draw_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), seed)
+    rows = docs.select(
+        F.struct(*keep).alias("row"), "text", F.col("doc_id").alias("id"), token_count(F.col("text")).alias("size"), key.alias("key"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source_key"),
+    )
+    most = (1 << KEY_BITS) - 1
+    return rows.withColumn("bits", F.least(F.lit(float(most)), F.col("key") * F.lit(float(1 << KEY_BITS - 10))).cast("long"))
+
+
+def _crossing(rows: DataFrame, now: DataFrame, shift: int) -> DataFrame:
+    """`now` (source_key, rest, before, head) with head, the leading bits at the cut-off, made longer: down to `shift`."""
+    running = W.partitionBy("source_key").orderBy("head").rowsBetween(W.unboundedPreceding, -1)
+    here = rows.join(now, "source_key").where(F.shiftright("bits", shift + STEP_BITS) == F.col("head"))
+    sums = here.groupBy("source_key", F.shiftright("bits", shift).alias("head")).agg(F.sum("size").alias("n"))
+    sums = sums.withColumn("more", F.coalesce(F.sum("n").over(running), F.lit(0))).join(now.drop("head"), "source_key")
+    start = F.col("before") + F.col("more")
+    crossed = sums.where((start < F.col("rest")) & (start + F.col("n") >= F.col("rest")))
+    return crossed.select("source_key", "rest", start.alias("before"), "head")
 
 
 def _cutoffs(rows: DataFrame, source_weights: Sequence[float], share: float, max_epochs: int) -> DataFrame:
-    """Per source: targets, epochs and the last (bucket, key, id, size) that the fraction takes."""
-    sums = rows.groupBy("source_key", "_bucket").agg(F.sum("size").alias("n"))
-    sizes = sums.groupBy("source_key").agg(F.sum("n").alias("source_size"))
-    targets = source_targets(sizes, source_weights, share, max_epochs)
-    running = W.partitionBy("source_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    crossing = (
-        sums.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-        .join(targets.select("source_key", "rest"), "source_key")
-        .where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") >= F.col("rest")))
-        .select("source_key", "_bucket", "before", "rest")
-    )
-    inside = W.partitionBy("source_key", "_bucket").orderBy("_key", "doc_id", "size")
-    prefix = F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    last = (
-        rows.select("source_key", "_bucket", "_key", "doc_id", "size")
-        .join(crossing, ["source_key", "_bucket"])
-        .withColumn("prefix", prefix)
-        .where(2 * F.col("prefix") - F.col("size") <= 2 * F.col("rest"))
-        .groupBy("source_key")
-        .agg(F.max(F.struct("_bucket", "_key", "doc_id", "size")).alias("inside"))
-    )
-    edge = crossing.select("source_key", F.col("_bucket").alias("edge"))
-    return targets.join(edge, "source_key", "left").join(last, "source_key", "left")
+    """Per source: targets, epochs, the last (key, id, size) that the fraction takes, how many rows have it and how many of them go in."""
+    sizes = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(sizes, source_weights, share, max_epochs), "mix-targets")
+    now = targets.where("rest > 0").select("source_key", "rest", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("head"))
+    for level in range(1, LEVELS + 1):
+        now = materialize(_crossing(rows, now, KEY_BITS - STEP_BITS * level), "mix-cut")
+    here = rows.join(now, "source_key").where(F.shiftright("bits", KEY_BITS - STEP_BITS * LEVELS) == F.col("head"))
+    equal = here.groupBy("source_key", "rest", "before", "key", "id", "size").agg(F.count(F.lit(1)).alias("n"))
+    inside = W.partitionBy("source_key").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0))
+    fit = F.floor((F.col("rest") - F.col("start")) / F.col("size") + 0.5)  # 2 * (start + fit * size) - size <= 2 * rest
+    fit = F.when(F.col("size") == 0, F.when(F.col("start") <= F.col("rest"), F.col("n")).otherwise(0)).otherwise(F.least("n", fit))
+    last = equal.withColumn("start", start).withColumn("fit", fit.cast("long")).where("fit > 0").groupBy("source_key")
+    last = last.agg(F.max(F.struct("key", "id", "size", "n", "fit")).alias("last"))
+    edge = now.select("source_key", F.col("head").alias("edge"))
+    return materialize(targets.join(edge, "source_key", "left").join(last, "source_key", "left"), "mix-cutoffs")
 
 
 def mix_sources(
@@ -121,7 +135,6 @@ def mix_sources(
     share: float = 1.5,
     max_epochs: int = 2,
     seed: str = "mix",
-    buckets: int = 4096,
     keep_text: bool = True,
 ) -> DataFrame:
     """`docs` (doc_id, text, source, ...) with size, source_size, target, copies and taken.
@@ -130,29 +143,38 @@ def mix_sources(
     fraction takes it. `taken` = copies * size. Without `keep_text` the text column goes, and the
     text is read once; with it, the second pass counts words again rather than moving texts.
     """
-    rest = [c for c in docs.columns if c not in RESULT and c not in ("source_key", "_key", "_bucket")]
-    rows = _keyed(docs.select(*rest), seed, buckets)
-    slim = materialize(rows.select("doc_id", "source", "source_key", "size", "_key", "_bucket"), "mix")
+    keep = [c for c in docs.columns if c not in RESULT]
+    slim_columns = [c for c in keep if c in ("doc_id", "source")]
+    rows = _keyed(docs, keep if keep_text else slim_columns, seed)
+    slim = _keyed(docs, slim_columns, seed).drop("text", *([] if not keep_text else ["row"]))
+    slim = materialize(slim, "mix")
     cut = _cutoffs(slim, source_weights, share, max_epochs)
-    out = rows if keep_text else slim
-    mine = F.struct("_bucket", "_key", "doc_id", "size")
-    taken = (F.col("rest") > 0) & (
-        (F.col("_bucket") < F.col("edge")) | F.coalesce(mine <= F.col("inside"), F.lit(False))
-    )
-    copies = F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("int")
-    keep = [c for c in out.columns if c in rest]
-    return (
-        out.join(cut, "source_key")
-        .withColumn("copies", copies)
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*keep, *RESULT)
-    )
+    if not keep_text:
+        rows = slim
+    mine, last = F.struct("key", "id", "size"), F.struct("last.key", "last.id", "last.size")
+    edge = F.shiftright("bits", KEY_BITS - STEP_BITS * LEVELS)
+    inside = (F.col("rest") > 0) & ((edge < F.col("edge")) | ((edge == F.col("edge")) & (mine <= last)))
+    rows = rows.join(cut, "source_key").withColumn("in", F.coalesce(inside, F.lit(False)))
+    out = ["row", "size", "source_size", "target", "epochs"]
+    if cut.where("last.fit < last.n").limit(1).count():  # the cut-off falls among repeated rows: number those
+        split = (mine == last) & (F.col("last.fit") < F.col("last.n"))
+        split = F.coalesce(split, F.lit(False))
+        whole = rows.where(~split).select(*out, "in")
+        same = rows.where(split).groupBy("source_key", F.xxhash64("row").alias("h"), *out, F.col("last.fit").alias("fit")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("source_key").orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        same = same.withColumn("before", before).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+        same = same.repartition("h", "k")  # so that one row's many repeats are made by many tasks
+        last_k = F.least(F.col("n"), (F.col("k") + 1) * CHUNK) - 1
+        same = same.withColumn("i", F.explode(F.sequence(F.col("k") * CHUNK, last_k)))
+        rows = whole.unionByName(same.select(*out, (F.col("before") + F.col("i") < F.col("fit")).alias("in")))
+    copies = F.col("epochs") + F.col("in").cast("int")
+    return rows.select("row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def repeat_rows(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The mix itself: each row as often as `copies` says."""
-    times = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
-    return mixed.where("copies > 0").withColumn("_copy", times).select(*columns)
+    times = F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("time")
+    return mixed.where("copies > 0").select(F.struct(*columns).alias("row"), times).select("row.*")
 
 
 def op1_mix_sources(spark, sf_dir):
@@ -167,7 +189,7 @@ WITH d AS (
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          coalesce(length(text), 0)::DOUBLE AS n,
          coalesce(length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0)::DOUBLE AS clean,
-         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE)
+         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE)
            / 4503599627370496::DOUBLE AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / ((n + 1) / (n + 1 + 20 * (n - clean))) AS key FROM d),

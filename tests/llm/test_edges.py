@@ -44,13 +44,39 @@ def test_mixing(spark, docs):
 def test_mixing_comes_near_targets(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(1, 40), f"s{min(9, int(rng.expovariate(0.5)))}") for i in range(3000)]
-    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), buckets=64).collect()
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     for s in {r["source"] for r in out}:
         mine = [r for r in out if r["source"] == s]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 20  # half the largest document
         assert mine[0]["target"] <= 2 * mine[0]["source_size"]
 
 
+def test_mixing_splits_repeated_rows_at_the_cut(spark):
+    rows = [(1, "a " * 100, "s", i % 3) for i in range(400)] + [(i, "b " * 10, "t", 0) for i in range(2, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, epochs int")
+    one = mixing.mix_sources(df, (1.0, 1.0), 0.75).collect()
+    assert len(one) == len(rows) and {r["epochs"] for r in one} == {0, 1, 2}
+    for s, half in (("s", 50), ("t", 5)):
+        mine = [r for r in one if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= half
+    for slim in (mixing.mix_sources(df, (1.0, 1.0), 0.75), mixing.mix_sources(df.repartition(7), (1.0, 1.0), 0.75)):
+        assert sorted((r["doc_id"], r["epochs"], r["taken"]) for r in slim.collect()) == sorted((r["doc_id"], r["epochs"], r["taken"]) for r in one)
+    slim = mixing.mix_sources(df, (1.0, 1.0), 0.75, keep_text=False).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in slim) == sorted((r["doc_id"], r["taken"]) for r in one)
+
+
+def test_mixing_of_symbols_and_internal_names(spark):
+    """Symbol-heavy texts have small weights and large keys; columns named as the operator's own stay."""
+    names = "rest edge inside key bits head row last in id n fit before source_key size_ _copy time".split()
+    rows = [(i, "# $ % & | < > " * (1 + i % 5), "s", *range(len(names))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.mix_sources(df, (1.0,), 0.5)
+    got = out.collect()
+    assert [tuple(r[n] for n in names) for r in got] == [tuple(range(len(names)))] * 500
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 20
+    assert mixing.repeat_rows(out, df.columns).columns == df.columns
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("sa", 10), ("sb", 1000), ("sc", 10)], "source_key string, source_size long")
     got = {r["source_key"]: r["target"] for r in mixing.source_targets(sizes, (3.0, 1.0, 2.0), 1.5, 2).collect()}
