@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] == "local":
             found = "file://" + tempfile.mkdtemp(prefix="regionloom-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_regionloom"
@@ -33,15 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again.
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again, in folders by a column of few values if given.
 
     Cuts the lineage and lets several consumers read one computation. The files survive a lost
     executor and go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)

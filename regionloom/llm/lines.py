@@ -5,14 +5,20 @@ runs written so far: a key that a run holds was first seen in a smaller document
 kept in the smallest document of the batch. The fresh keys become a run of their own. A level with
 `fanout` runs is compacted into one run of the next level, so n batches leave O(log n) runs.
 
-Scale. A run is a bucketed table sorted by its 128-bit key, so anti-joining it needs no shuffle of
-the run. A key that a third of all documents share is reduced by a partial min/max before it is
-shuffled, and its occurrences meet a single key row in a join that adaptive execution can split.
-Texts move once, when the dropped positions are joined back.
-
-Edge cases. Null and empty texts are one empty line. A null id counts as the largest id. Rows with
-equal id are one document: they never drop each other's lines. Repeated rows get equal results. An
-empty table gives an empty result. Columns of the input other than results are kept.
+Runs can outlive a call: `Runs(spark, name)` finds the runs that earlier calls with that name left, so a new
+delivery of documents loses the lines that older ones have, and adds its own.
+
+Scale. A run is a table bucketed and sorted by its 128-bit key, one file a bucket: joining it needs neither a
+shuffle nor a sort of the run, and compaction reads the buckets of all runs side by side. Line
+occurrences are stored by batch, so each batch reads its own only. A key that a third of all documents
+share is reduced by a partial min/max before it is shuffled. Its occurrences meet a single row once, in
+the last join, whose sides are both plain scans, so adaptive execution broadcasts the small one or
+splits the hot partition. Texts move once, when the dropped positions are joined back.
+
+Edge cases. Null and empty texts are one empty line. A null id counts as the largest id; ids must be integers
+(or text of them). Rows with equal id are one document: they never drop each other's lines. Repeated rows
+get equal results. An empty table gives an empty result. Result columns replace input columns of the same
+name; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,94 +50,109 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFra
 
 
 class Runs:
-    """The sorted runs of all keys seen so far, by level."""
+    """The sorted runs of all keys seen so far, by level: tables (h1, h2, first, last, fresh), of which fresh rows count.
 
-    def __init__(self, spark, fanout: int):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    With a name the runs are the catalogue's tables of that name and stay there; without one they go with `close`.
+    """
+
+    SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"  # a bucket of one file is read in its order
+
+    def __init__(self, spark, fanout: int = 3, name: str | None = None):
+        self.spark, self.fanout, self.name, self.levels, self.spent = spark, fanout, name, [], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.root, self.names = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}", []
-
-    def _write(self, keys: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        dealt = keys.repartition(self.buckets, *KEY)
-        writer = dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}")
-        writer.format("parquet").option("compression", "zstd").saveAsTable(name)
-        self.names.append(name)
+        self.root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+        self.prefix = f"{name}_run" if name else f"line_run_{uuid.uuid4().hex}"
+        self.before = spark.conf.get(self.SORTED, "false")
+        spark.conf.set(self.SORTED, "true")
+        old = spark.sql(f"SHOW TABLES LIKE '{self.prefix}_*'").collect() if name else []
+        for found in sorted(r["tableName"] for r in old):
+            level = int(found.removeprefix(f"{self.prefix}_").split("_")[0])
+            self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+            self.levels[level].append(found)
+
+    def _write(self, keys: DataFrame, level: int) -> str:
+        name = f"{self.prefix}_{level}_{uuid.uuid4().hex}"
+        writer = keys.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("compression", "zstd")
+        (writer if self.name else writer.option("path", f"{self.root}/{name}")).saveAsTable(name)
         return name
 
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """The keys that no run holds."""
-        for name in [x for level in self.levels for x in level]:
-            keys = keys.join(self.spark.table(name).select(*KEY), KEY, "left_anti")
-        return keys
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("fresh")
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Write a run, compact full levels, and return the run as written."""
-        name = self._write(keys)
-        run = self.spark.table(name)
-        level, new = 0, name
+        """Write a batch's keys (h1, h2, first, last) as a run, with fresh: whether no older run holds the key.
+
+        Returns all of them; compacts full levels.
+        """
+        found = keys.repartition(self.buckets, *KEY)
+        old = [x for level in self.levels for x in level]
+        for i, name in enumerate(old):
+            found = found.join(self._run(name).select(*KEY, F.lit(True).alias(f"old{i}")), KEY, "left")
+        fresh = F.coalesce(*[F.col(f"old{i}") for i in range(len(old))], F.lit(False))
+        name = self._write(found.select(*KEY, "first", "last", (~fresh).alias("fresh")), 0)
+        batch, level = self.spark.table(name), 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
-            self.levels[level].append(new)
+            self.levels[level].append(name)
             if len(self.levels[level]) < self.fanout:
-                return run
-            whole = self.spark.table(self.levels[level][0])
-            for other in self.levels[level][1:]:
-                whole = whole.unionByName(self.spark.table(other))
-            self.levels[level], new = [], self._write(whole)
+                return batch
+            runs = [self._run(x) for x in self.levels[level]]
+            whole = runs[0]
+            for other in runs[1:]:
+                whole = whole.unionByName(other)
+            self.spent += self.levels[level]
+            self.levels[level], name = [], self._write(whole.repartition(self.buckets, *KEY), level + 1)
             level += 1
 
     def close(self) -> None:
-        """Forget the table names; the files stay for whoever still reads a run."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-        for name in self.names:
+        """Forget what is no longer a run, and without a name all; files stay for whoever still reads them."""
+        self.spark.conf.set(self.SORTED, self.before)
+        if not self.name:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+            self.spent += [x for level in self.levels for x in level]
+        for name in self.spent:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def dropped_positions(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
+def dropped_positions(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = MIN_KEY_CHARS, name: str | None = None) -> DataFrame:
     """(_id, _th, pos) of every line that goes."""
     spark = docs.sparkSession
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 10000)).first()[0]
-    batch = sum([(F.col("_id") > c).cast("int") for c in sorted(set(cuts or []))], F.lit(0))
-    seen = materialize(line_occurrences(docs, min_chars).withColumn("batch", batch), "lines")
-    runs, dropped = Runs(spark, fanout), []
-    for b in range(len(set(cuts or [])) + 1):
-        mine = seen.where(F.col("batch") == b).drop("batch")
-        keys = mine.groupBy(*KEY).agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
-        run = runs.add(runs.unseen(keys))
-        # a key that its own batch's run lacks is in an older run: all its lines go
-        judged = keys.join(run.select(*KEY, F.lit(True).alias("fresh")), KEY, "left")
-        doomed = judged.where("fresh is null or first < last").select(*KEY, F.when(F.col("fresh"), F.col("first")).alias("keeper"))
-        dropped.append(mine.join(doomed, KEY).where("keeper is null or _id > keeper").select("_id", "_th", "pos"))
-    out = dropped[0]
-    for d in dropped[1:]:
-        out = out.unionByName(d)
-    out = materialize(out, "dropped-lines")
-    runs.close()
-    return out
-
-
-def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
-    """`docs` plus n_lines, n_dropped and kept_text (the lines that stay, joined by line feeds)."""
+    cuts = sorted(set(cuts or []))
+    batch = sum([(F.col("_id") > c).cast("int") for c in cuts], F.lit(0))
+    seen = materialize(line_occurrences(docs, min_chars).withColumn("batch", batch), "lines", "batch")
+    runs, doomed = Runs(spark, fanout, name), None
+    try:
+        for b in range(len(cuts) + 1):
+            mine = seen.where(F.col("batch") == b)
+            # a key that is not fresh is in an older run: all its lines go
+            run = runs.add(mine.groupBy(*KEY).agg(F.min("_id").alias("first"), F.max("_id").alias("last")))
+            gone = run.where("not fresh or first < last").select(*KEY, F.lit(b).alias("batch"), F.when(F.col("fresh"), F.col("first")).alias("keeper"))
+            doomed = gone if doomed is None else doomed.unionByName(gone)
+        doomed = materialize(doomed, "doomed-lines")
+        lost = seen.join(doomed, [*KEY, "batch"]).where("keeper is null or _id > keeper")
+        return materialize(lost.select("_id", "_th", "pos"), "dropped-lines")
+    finally:
+        runs.close()
+
+
+def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = MIN_KEY_CHARS, name: str | None = None) -> DataFrame:
+    """`docs` plus n_lines, n_dropped and kept_text (the lines that stay, joined by line feeds).
+
+    With `name`, lines that runs of that name hold go too, and this call's lines join them.
+    """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    gone = dropped_positions(docs, batches, fanout, min_chars).groupBy("_id", "_th").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(*keep, *_row_id())
-    lines = F.split("_text", "\n")
+    gone = dropped_positions(docs, batches, fanout, min_chars, name).groupBy("_id", "_th").agg(F.collect_set("pos").alias("gone"))
+    rows = docs.select(F.struct(*keep).alias("row"), *_row_id())
     gone_or_none = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone_or_none)
     stays = F.transform(left, lambda i: F.get("lines", i))
-    return (
-        rows.join(gone, ["_id", "_th"], "left")
-        .withColumn("lines", lines)
-        .select(
-            *keep,
-            F.size("lines").cast("long").alias("n_lines"),
-            F.size(gone_or_none).cast("long").alias("n_dropped"),
-            F.when(F.size(gone_or_none) == 0, F.col("_text")).otherwise(F.array_join(stays, "\n")).alias("kept_text"),
-        )
-    )
+    out = rows.join(gone, ["_id", "_th"], "left").withColumn("lines", F.split("_text", "\n"))
+    kept = F.when(F.size(gone_or_none) == 0, F.col("_text")).otherwise(F.array_join(stays, "\n"))
+    new = F.size("lines").cast("long").alias("n_lines"), F.size(gone_or_none).cast("long").alias("n_dropped"), kept.alias("kept_text")
+    return out.select("row", F.struct(*new).alias("new")).select("row.*", "new.*")
 
 
 def op5_line_dedup(spark, sf_dir):

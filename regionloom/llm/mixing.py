@@ -168,7 +168,8 @@ def mix_sources(
         same = same.withColumn("i", F.explode(F.sequence(F.col("k") * CHUNK, last_k)))
         rows = whole.unionByName(same.select(*out, (F.col("before") + F.col("i") < F.col("fit")).alias("in")))
     copies = F.col("epochs") + F.col("in").cast("int")
-    return rows.select("row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    new = F.struct("size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select("row", new.alias("new")).select("row.*", "new.*")
 
 
 def repeat_rows(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -555,14 +555,14 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, block_bytes: int
     copy = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
     span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     more = [F.when(copy, span).otherwise(F.col("spans")).alias("spans"), F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")]
-    return slim.join(r, "sha").select(
-        "row.*",
-        "n_bytes",
+    out = [
+        F.col("n_bytes"),
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         *(more if with_text else []),
-    )
+    ]
+    return slim.join(r, "sha").select("row", F.struct(*out).alias("new")).select("row.*", "new.*")
 
 
 def op8_suffix_array_dedup(spark, sf_dir):

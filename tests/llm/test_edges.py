@@ -119,6 +119,43 @@ def test_lines(spark, docs):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_later_deliveries(spark):
+    rows = [(i, f"shared line {i % 7} of many\nown line of document {i}") for i in range(40)]
+    schema = "doc_id long, text string"
+    whole = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(spark.createDataFrame(rows, schema)).collect()}
+    got = {}
+    try:
+        for a in range(0, 40, 10):
+            part = lines.dedup_lines(spark.createDataFrame(rows[a : a + 10], schema), 2, 2, name="deliveries")
+            got |= {r["doc_id"]: r["kept_text"] for r in part.collect()}
+        names = [r["tableName"] for r in spark.sql("SHOW TABLES LIKE 'deliveries_*'").collect()]
+        assert got == whole and 0 < len(names) <= 4
+    finally:
+        for r in spark.sql("SHOW TABLES LIKE 'deliveries_*'").collect():
+            spark.sql(f"DROP TABLE {r['tableName']}")
+    assert not spark.sql("SHOW TABLES LIKE 'line_run_*'").collect()
+
+
+def test_runs_are_joined_in_their_order(spark):
+    runs = lines.Runs(spark)
+    try:
+        keys = spark.range(1000).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("first"), F.col("id").alias("last"))
+        runs.add(keys)
+        again = keys.repartition(runs.buckets, *lines.KEY).join(runs._run(runs.levels[0][0]).hint("merge"), lines.KEY)
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("FileScan") - 400 : plan.index("FileScan")]
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1, side
+    finally:
+        runs.close()
+
+
+def test_lines_keep_columns_of_internal_names(spark):
+    names = "gone lines row _id _th _text pos h1 h2 batch keeper fresh".split()
+    df = spark.createDataFrame([(i, "a line of many words", *range(len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = lines.dedup_lines(df).collect()
+    assert [tuple(r[n] for n in names) for r in out] == [tuple(range(len(names)))] * 3 and sorted(r["n_dropped"] for r in out) == [0, 1, 1]
+
+
 def test_media_rows(spark, docs):
     out = media.round_trip(docs).collect()
     assert len(out) == len(ROWS)
