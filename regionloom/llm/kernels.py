@@ -1,8 +1,4 @@
-"""Vectorised text kernels (NumPy) used inside Arrow batches.
-
-Words are hashed without making a Python object per word: with S the running sum of byte * B^i
-modulo 2^64, the bytes of [s, e) hash to (S[e] - S[s]) * B^-s, which is then mixed.
-"""
+"""Vectorised text kernels (NumPy) used inside Arrow batches."""
 
 from __future__ import annotations
 
@@ -14,27 +10,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=U64)
-    return _powers["up"], _powers["down"]
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit values."""
@@ -51,13 +28,16 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
-    up, down = _power_table(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def words_of(text: bytes, lower: bool = False) -> Iterator[list[bytes]]:
+    """The words of a text, about a megabyte at a time (a longer word in one)."""
+    a = 0
+    while a < len(text):
+        b = a + (1 << 20)
+        while b < len(text) and not IS_BLANK[text[b]]:
+            b += 1
+        part = text[a:b]
+        yield (part.lower() if lower else part).split()  # bytes: ASCII blanks, A-Z
+        a = b
 
 
 def release() -> None:

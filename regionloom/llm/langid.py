@@ -6,10 +6,11 @@ weights are learned by follow-the-regularised-leader with an elastic net (L1 and
 them stay zero. A temperature, fitted on examples the weights did not see, calibrates the scores.
 
 Bounds. The idf counts every training document. The weights are fitted on at most `PER_LANGUAGE`
-training documents of each language, those with the smallest hash of their id, in one task that
-holds their features; a model is FEATURES x languages numbers. Prediction sees only the text.
+distinct training documents (id, language and text) of each language, those with the smallest hash of id
+and text, in one task that holds their features; a model is FEATURES x languages numbers, broadcast.
+Prediction sees only the text.
 
-Edge cases. Null texts and texts without a letter are 'und' with score 0. Documents with a null id
+Edge cases. Ids may be of any type that has a text form. Null texts and texts without a letter are 'und' with score 0. Documents with a null id
 are never learned from; null languages neither. With nothing to learn from all is 'und'. Repeated
 rows get equal results. Result columns replace input columns of the same name.
 """
@@ -30,7 +31,6 @@ from .common import table
 
 FEATURES = 1 << 14
 PER_LANGUAGE = 600
-SHARDS = 64
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.5, 1.0, 0.02, 1e-4
 CALIBRATION = 5  # every fifth example calibrates instead of training
@@ -145,15 +145,18 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def sample_ids(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(doc_id, lang): at most `per_language` documents of a language, by the smallest hash of the id.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(id, lang, th, h): at most `per_language` distinct documents of a language, by the smallest hash of id and text.
 
-    Hashes are first ranked within shards of a language, so that none is sorted as a whole.
+    Only documents whose hash lies so low that about 1.3 times as many remain are ranked, so no language
+    is sorted as a whole.
     """
-    rows = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("shard", F.pmod(F.col("h"), F.lit(SHARDS)))
-    order = ["h", "doc_id"]
-    few = rows.withColumn("r", F.row_number().over(W.partitionBy("lang", "shard").orderBy(*order))).where(F.col("r") <= per_language)
-    return few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_language).select("doc_id", "lang")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "lang", F.xxhash64("text").alias("th")).distinct()
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "th"), 11))  # 53 bits
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = F.col("h").cast("double") * F.col("n") <= F.lit(1.3 * per_language + 20) * F.lit(float(1 << 53))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "th"))
+    return rows.join(sizes, "lang").where(low).withColumn("r", rank).where(F.col("r") <= per_language).select("id", "lang", "th", "h")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
@@ -167,18 +170,20 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
         else:
             idf[r["bucket"]] = r["df"]
     idf = np.log((1 + total) / (1 + idf)) + 1.0
-    ids = sample_ids(docs, per_language)  # bounded: per_language rows a language
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    key = ["id", "lang", "th"]
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "lang", F.xxhash64("text").alias("th"), "text")
+    # the sample is bounded: per_language rows a language
+    few = rows.join(F.broadcast(sample(docs, per_language)), key).dropDuplicates(key)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [features(x.as_py()) for x in b.column("text")]
             at = pa.array([p[0].astype(np.int32) for p in parts], pa.list_(pa.int32()))
             n = pa.array([p[1] for p in parts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), at, n], ["doc_id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("id"), b.column("lang"), at, n], ["h", "id", "lang", "at", "n"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "lang")), b.column("at"), b.column("n"))]
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("h", "id", "lang")), b.column("at"), b.column("n"))]
         if not rows:
             return
         rows.sort(key=lambda r: r[:3])
@@ -199,7 +204,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
             ["bucket", "w", "langs"],
         )
 
-    rows = sample.mapInArrow(featured, "doc_id long, lang string, at array<int>, n array<bigint>").withColumn("h", F.xxhash64("doc_id"))
+    rows = few.mapInArrow(featured, "h long, id string, lang string, at array<int>, n array<bigint>")
     fitted = rows.coalesce(1).mapInArrow(train, "bucket int, w array<double>, langs array<string>").collect()
     head = next((r for r in fitted if r["bucket"] == -1), None)
     langs = head["langs"] if head else []
@@ -214,9 +219,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` (with a text column) plus lang_pred and score."""
     names = ["lang_pred", "score"]
     keep = [c for c in docs.columns if c not in names]
-    langs, w, idf, t = model["langs"], model["w"], model["idf"], model["t"]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers a language, and as many more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, w, idf, t = (shared.value[k] for k in ("langs", "w", "idf", "t"))
         for batch in batches:
             best, score = [], []
             for x in batch.column("text"):

@@ -29,8 +29,6 @@ kept, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +50,6 @@ FEW = 16  # texts that are read one by one rather than in step
 _END, _BEGIN = 0, 1  # word numbers of every block
 _RESERVED = (0x8BADF00D5EED0001, 0x8BADF00D5EED0002)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 20
 
 
 class _Numbers(dict):
@@ -68,17 +65,6 @@ class _Numbers(dict):
         return n
 
 
-def _words(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, a megabyte at a time (a longer word in one)."""
-    a = 0
-    while a < len(text):
-        b = a + _SLICE
-        while b < len(text) and not K.IS_BLANK[text[b]]:
-            b += 1
-        yield text[a:b].lower().split()  # bytes: ASCII blanks, A-Z
-        a = b
-
-
 class Grams:
     """The tokens of texts, each text's words then its end, and their distinct n-grams.
 
@@ -91,7 +77,7 @@ class Grams:
         numbers, parts, stops, n = _Numbers(), [], [], 0
         end = np.array([_END], np.int32)
         for text in texts:
-            for words in _words(text):
+            for words in K.words_of(text, lower=True):
                 parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 n += len(words)
             parts.append(end)

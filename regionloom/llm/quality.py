@@ -9,6 +9,8 @@ Bounds. The raw multinomial counts every document. The trusted one counts at mos
 labelled documents (quality 1, not toxic), those with the smallest md5 of their id. A model is
 `BUCKETS` numbers, whatever the corpus. Counts are summed per partition before they are shuffled.
 
+Exactness. Repeated windows are found by numbers of words and windows, not by hashes.
+
 Edge cases. A null or empty text has no words, so it is base_failed. A text under three code points
 has ratio 0. Without trusted documents both multinomials are smoothed alike and the ratio only
 measures how common the trigrams are; verdicts are still defined. Repeated rows get equal results.
@@ -17,6 +19,7 @@ Result columns replace input columns of the same name.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,31 +95,40 @@ def fit_log_ratio(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED_SAMPL
     return np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def repeated_words(h: np.ndarray, text_of: np.ndarray) -> np.ndarray:
-    """For words (hash, text index, in order): is the word in a window found twice or more in its text?"""
-    n = len(h)
+def _pairs_numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (a, b), equal for equal pairs; a and b are numbers below 2^32."""
+    return np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), return_inverse=True)[1]
+
+
+def repeated_words(word: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """For words (number, text index, in order): is the word in a window found twice or more in its text?
+
+    Windows are numbered by doubling: pairs of words, of pairs, of those; so equal numbers are equal windows.
+    """
+    n = len(word)
     covered = np.zeros(n, bool)
     if n < WINDOW:
         return covered
-    with np.errstate(over="ignore"):
-        w = K.mix(text_of[: n - WINDOW + 1].astype(np.uint64) + np.uint64(1))
-        for i in range(WINDOW):
-            w = (w ^ h[i : n - WINDOW + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            w ^= w >> np.uint64(29)
+    w, length = word, 1
+    while length < WINDOW:
+        w, length = _pairs_numbered(w[:-length], w[length:]), 2 * length
     whole = np.flatnonzero(text_of[: n - WINDOW + 1] == text_of[WINDOW - 1 :])
-    order = whole[np.argsort(w[whole], kind="stable")]
-    s = w[order]
-    same = s[1:] == s[:-1]
-    twice = np.zeros(len(s), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
+    key = _pairs_numbered(w[whole], text_of[whole])
+    twice = np.bincount(key)[key] > 1 if len(key) else np.zeros(0, bool)
     edges = np.zeros(n + 1, np.int64)
-    at = order[twice]
+    at = whole[twice]
     np.add.at(edges, at, 1)
     np.add.at(edges, at + WINDOW, -1)
     return np.cumsum(edges)[:n] > 0
 
 
+def _numbered(raw: list[bytes]) -> np.ndarray:
+    """The words of all texts as numbers, equal for equal words."""
+    numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
+    parts = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for text in raw for words in K.words_of(text)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _surface(raw: list[bytes]) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_repeat_words of the texts."""
     buf, a, b = K.joined(raw)
@@ -124,7 +136,7 @@ def _surface(raw: list[bytes]) -> list[np.ndarray]:
     first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
     text_of = np.searchsorted(b, starts)
     points = ((buf & 0xC0) != 0x80) & ~K.IS_BLANK[buf]
-    repeated = repeated_words(K.span_hash(buf, starts, ends), text_of)
+    repeated = repeated_words(_numbered(raw), text_of)
     return [last - first, K.per_text(points, a, b), K.per_text(_IS_SYMBOL[buf], a, b), K.per_text(repeated, first, last)]
 
 
@@ -138,9 +150,10 @@ def judge(docs: DataFrame, log_ratio: np.ndarray, threshold: float = THRESHOLD)
     """`docs` (with a text column) plus the counts, base_failed, llr and kept."""
     names = [f.name for f in _RESULT]
     keep = [c for c in docs.columns if c not in names]
-    ratio = np.asarray(log_ratio, np.float64)
+    shared = docs.sparkSession.sparkContext.broadcast(np.asarray(log_ratio, np.float64))  # `BUCKETS` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = shared.value
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             raw = [x.encode("utf-8", "surrogatepass") for x in texts]
@@ -155,6 +168,7 @@ def judge(docs: DataFrame, log_ratio: np.ndarray, threshold: float = THRESHOLD)
             new = [n_words, chars, symbols, dups, repeats, failed, llr, ~failed & (llr >= threshold)]
             old = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(old + [pa.array(x) for x in new], keep + names)
+            K.release()
 
     schema = T.StructType([docs.schema[c] for c in keep] + list(_RESULT))
     return docs.select(*keep).mapInArrow(run, schema)

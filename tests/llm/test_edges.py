@@ -105,6 +105,17 @@ def test_quality_repeats():
     assert quality.dup_lines("a\n\n \na\nb") == 1
 
 
+def test_quality_repeats_of_words_with_equal_weak_hashes():
+    """Thue-Morse words agree with their complements under polynomial hashes modulo 2^64; windows of them do not repeat."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rest = [f"w{i}" for i in range(7)]
+    assert quality._surface([" ".join([word, *rest, "x", other, *rest]).encode()])[3][0] == 0
+    assert quality._surface([" ".join([word, *rest, "x", word, *rest]).encode()])[3][0] == 16
+
+
 def test_lines(spark, docs):
     shared = "A line that is long enough"
     rows = [(5, f"{shared}\nown\n{shared}"), (3, f"  {shared.upper()} \nx"), (9, f"{shared}\n{shared}"), (None, f"{shared}\nlast of all lines"), (None, "last of all lines"), (7, None), (8, ""), (9, f"{shared}\n{shared}"), (4, "short\nshort"), (6, "short")]
