@@ -5,12 +5,14 @@ payload's length and CRC-32, a VBR table frame, then silent frames whose main-da
 payload. Frames have the largest bitrate until the rest fits; the last takes the smallest that holds
 it, so the stream is a variable-bitrate one.
 
-Reading works on any MPEG-1/2/2.5 Layer I-III stream. Leading ID3v2 tags (also several) and a
-trailing ID3v1 tag (one that no frame covers) are parsed. A header counts as one only if the frame's end meets another agreeing
-header, the tags or the end of the stream; anything else is skipped byte by byte until that holds
-again. The VBR table ('Xing'/'Info', 'VBRI') is read from the first frame, CRC-16 is verified where
-a frame has it (Layer III: header and side information), durations are exact rationals and the byte
-offset of every frame is kept for seeking.
+Reading works on any MPEG-1/2/2.5 Layer I-III stream, free-format ones included (their frame length is
+the distance of the first two agreeing headers). Leading ID3v2 tags (also several) and a trailing ID3v1
+tag (one that no frame covers) are parsed. A header counts as one only if the frame's end meets another
+agreeing header, the tags or the end of the stream; anything else is skipped byte by byte until that holds
+again. The VBR table ('Xing'/'Info', 'VBRI') is read from the first frame, its seek points are compared
+with the frames found, CRC-16 is verified where a frame has it (over the header and, by layer, bit
+allocation, scale factor selection or side information), durations are exact rationals and the byte offset
+of every frame is kept: `Stream.seek` gives the frame that holds a time.
 
 Edge cases. Null and empty texts are 64 zero bytes. A stream without a frame gives 0 frames, 0
 samples and no payload. Equal texts give equal bytes and features. Each row is handled on its own.
@@ -22,9 +24,10 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +36,8 @@ from pyspark.sql import types as T
 from .common import table
 
 BLOCK = 64
+FREE_BYTES = 1 << 14  # a free-format frame's end is looked for within
+PROTECTED = 64  # bytes after the CRC that it can cover: 30 subbands, two channels of 4 + 2 bits
 RATE = 32_000
 #: Fixed values of the format: kbit/s by bitrate index (1-14), by (MPEG-1?, layer).
 KBPS = {
@@ -55,8 +60,13 @@ class Header:
     kbps: int
     rate: int
     mono: bool
-    length: int
+    length: int  # 0: free format
     samples: int
+    padding: int = 0  # bytes
+    joint: int = 0  # subbands that joint stereo leaves apart; 32 without it
+
+    def agrees(self, other: Header | None) -> bool:
+        return other is not None and (other.version, other.layer, other.rate, not other.length) == (self.version, self.layer, self.rate, not self.length)
 
     @property
     def side(self) -> int:
@@ -68,28 +78,68 @@ class Header:
 
 @lru_cache(maxsize=4096)
 def parse_header(four: bytes) -> Header | None:
-    """A frame header, or None if the four bytes are not one (free-format frames are not read)."""
+    """A frame header, or None if the four bytes are not one."""
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
     version, layer = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3)
     index, rate_index, padding = four[2] >> 4, four[2] >> 2 & 3, four[2] >> 1 & 1
-    if version == 1 or layer == 4 or index in (0, 15) or rate_index == 3 or four[3] & 3 == 2:
+    if version == 1 or layer == 4 or index == 15 or rate_index == 3 or four[3] & 3 == 2:
         return None
     one = version == 3
-    kbps, rate = KBPS[one, layer][index - 1], RATES[version][rate_index]
+    kbps, rate = index and KBPS[one, layer][index - 1], RATES[version][rate_index]
     samples = 384 if layer == 1 else 576 if layer == 3 and not one else 1152
-    length = (12000 * kbps // rate + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + padding
-    return Header(version, layer, not four[1] & 1, kbps, rate, four[3] >> 6 == 3, length, samples)
+    padding *= 4 if layer == 1 else 1
+    length = kbps and (12000 * kbps // rate * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate) + padding
+    joint = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbps, rate, four[3] >> 6 == 3, length, samples, padding, joint)
+
+
+#: Fixed values of the format: bits of allocation by subband in Layer II, for the tables that rates choose.
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def _allocation(h: Header) -> tuple[int, ...]:
+    if h.version != 3:
+        return ALLOCATION["low"]
+    each = h.kbps // (1 if h.mono else 2)
+    if h.kbps and each <= 48:
+        return ALLOCATION["d" if h.rate == 32000 else "c"]
+    return ALLOCATION["a" if h.rate == 48000 or h.kbps and each <= 80 else "b"]
+
+
+def protected_bits(h: Header, body: bytes) -> int:
+    """How many bits after the CRC it covers."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (h.joint * channels + 32 - h.joint)
+    bits, at, used = int.from_bytes(body), 8 * len(body), 0
+    for k, n in enumerate(_allocation(h)):
+        for _ in range(channels if k < h.joint else 1):
+            at -= n
+            if at < 0:
+                return 8 * len(body)
+            if bits >> at & (1 << n) - 1:
+                used += 1 if k < h.joint else channels
+    return 8 * len(body) - at + 2 * used
 
 
 @lru_cache(maxsize=65536)
-def crc16(data: bytes) -> int:
-    """MPEG audio CRC: polynomial 8005 (hex), start FFFF."""
-    c = 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """MPEG audio CRC of all or the leading bits: polynomial 8005 (hex), start FFFF."""
+    c, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
-        c ^= byte << 8
-        for _ in range(8):
+        c ^= byte << 8 if left >= 8 else (byte >> 8 - left << 8 - left) << 8
+        for _ in range(min(8, left)):
             c = (c << 1 ^ 0x8005 if c & 0x8000 else c << 1) & 0xFFFF
+        left -= min(8, left)
     return c
 
 
@@ -152,11 +202,34 @@ class Stream:
     crc_bad: int = 0
     skipped: int = 0
     body: bytes = b""
+    free: int = 0  # bytes of a free-format frame without padding
+    points: list[int] = field(default_factory=list)  # VBRI: bytes between its seek points
+    point_frames: int = 0
+    start: int = 0  # of the frame with the table, or of the first
 
     @property
     def duration(self) -> Fraction:
         return Fraction(self.samples, self.rate) if self.rate else Fraction(0)
 
+    def seek(self, seconds: Fraction | float) -> int | None:
+        """The byte offset of the frame that holds a time; None outside the stream."""
+        if not self.frames or not 0 <= seconds < self.duration:
+            return None
+        return self.offsets[int(Fraction(seconds) * self.rate) * self.frames // self.samples]
+
+    @property
+    def table_agrees(self) -> bool:
+        """Do the table's number of frames and seek points fit the frames found?"""
+        if not self.table or self.table_frames and self.table_frames != self.frames:
+            return False
+        if self.points:
+            wanted, at = self.offsets[self.point_frames :: self.point_frames], self.offsets[0] if self.offsets else 0
+            return all(w == at + n for w, n in zip(wanted, accumulate(self.points)))
+        if len(self.toc) == 100 and self.offsets and self.table_bytes:
+            places = [256 * (self.offsets[p * self.frames // 100] - self.start) // self.table_bytes for p in range(100)]
+            return all(abs(min(255, x) - y) <= 1 for x, y in zip(places, self.toc))
+        return True
+
 
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     """Parse a tag at `at`; its end, or `at` if there is none."""
@@ -193,12 +266,28 @@ def _table(s: Stream, data: bytes, at: int, h: Header) -> bool:
             s.toc = data[q : q + 100]
         return True
     p = at + 4 + 32
-    if data[p : p + 4] == b"VBRI" and len(data) >= p + 18:
+    if data[p : p + 4] == b"VBRI" and len(data) >= p + 26:
         s.table, s.table_bytes, s.table_frames = "VBRI", int.from_bytes(data[p + 10 : p + 14]), int.from_bytes(data[p + 14 : p + 18])
+        n, scale, size, s.point_frames = struct.unpack(">4H", data[p + 18 : p + 26])
+        if size in (1, 2, 3, 4) and s.point_frames and len(data) >= p + 26 + n * size:
+            s.points = [scale * int.from_bytes(data[q : q + size]) for q in range(p + 26, p + 26 + n * size, size)]
         return True
     return False
 
 
+def _free_length(data: bytes, at: int, h: Header) -> int:
+    """Bytes of the free-format frame at `at` without padding, by the next agreeing header; 0 if none is near."""
+    p = at + 4
+    while 0 <= (p := data.find(b"\xff", p, at + FREE_BYTES)):
+        if h.agrees(n := parse_header(data[p : p + 4])) and n.mono == h.mono:
+            size = p - at - h.padding
+            end = p + size + n.padding
+            if end == len(data) or h.agrees(parse_header(data[end : end + 4])):
+                return size
+        p += 1
+    return 0
+
+
 def read_stream(data: bytes) -> Stream:
     """Parse a stream, resynchronising over anything that is not a frame."""
     s, at, end = Stream(), 0, len(data)
@@ -208,6 +297,9 @@ def read_stream(data: bytes) -> Stream:
     body, locked = [], False
     while at + 4 <= tag:
         h = parse_header(data[at : at + 4])
+        if h and not h.length:
+            s.free = s.free or _free_length(data, at, h)
+            h = replace(h, length=s.free + h.padding, kbps=s.free * 8 * h.rate // (h.samples * 1000)) if s.free else None
         stop = at + h.length if h else 0
         agrees = False
         if h and stop <= end and (not s.rate or (h.version, h.layer, h.rate) == (s.version, s.layer, s.rate)):
@@ -226,8 +318,12 @@ def read_stream(data: bytes) -> Stream:
         if not s.rate:
             s.version, s.layer, s.rate, s.channels = h.version, h.layer, h.rate, 1 if h.mono else 2
         start = at + 4 + 2 * h.crc
-        if h.crc and h.layer == 3:
-            good = crc16(data[at + 2 : at + 4] + data[start : start + h.side]) == int.from_bytes(data[at + 4 : at + 6])
+        if not s.frames and not s.table:
+            s.start = at
+        if h.crc:
+            covered = data[start : min(stop, start + PROTECTED)]
+            bits = 16 + protected_bits(h, covered)
+            good = crc16(data[at + 2 : at + 4] + covered[: -(-bits // 8) - 2], bits) == int.from_bytes(data[at + 4 : at + 6])
             s.crc_ok, s.crc_bad = s.crc_ok + good, s.crc_bad + (not good)
         if not s.frames and not s.table and _table(s, data, at, h):
             at = stop
@@ -258,11 +354,10 @@ def feature(s: Stream) -> str:
     seek = hashlib.sha256(",".join(map(str, s.offsets)).encode()).hexdigest()[:16]
     d = s.duration
     kbps = f"{min(s.kbps)}-{max(s.kbps)}" if s.kbps else "-"
-    right = s.table and s.table_frames == s.frames
     return (
         f"mpeg{ {3: '1', 2: '2', 0: '2.5'}[s.version] }-l{s.layer} rate={s.rate} channels={s.channels} frames={s.frames} "
         f"samples={s.samples} seconds={d.numerator}/{d.denominator} kbps={kbps} crc={s.crc_ok}/{s.crc_ok + s.crc_bad} "
-        f"table={s.table or '-'}{':ok' if right else ''} skipped={s.skipped} seek={seek}"
+        f"table={s.table or '-'}{':ok' if s.table_agrees else ''} skipped={s.skipped} seek={seek}"
     )
 
 
@@ -323,6 +418,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     out = [
         ("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
         ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()),
+        ("samples", T.LongType()), ("frame_offsets", T.ArrayType(T.LongType())),
     ]
 
     def make(text: str | None):
@@ -332,7 +428,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
         back = payload_of(s)
         if back is None:
             raise ValueError("a stored stream did not give its payload back")
-        return (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(s))
+        return (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), s.samples, s.offsets)
 
     return _append(docs, out, ("text", make))
 
@@ -340,5 +436,5 @@ def round_trip(docs: DataFrame) -> DataFrame:
 def op4_media_columns(spark, sf_dir):
     out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "frame_offsets"
     )
