@@ -25,59 +25,56 @@ RESULT = ("host", "path", "rule", "verdict")
 Rule = tuple[str, str, str]  # action, host, path
 
 
-class _Node:
-    __slots__ = ("children", "tails", "entry")
-
-    def __init__(self):
-        self.children: dict[str, _Node] = {}
-        self.tails: list[tuple[str, tuple[str, str]]] = []  # rule paths that end inside a segment, longest first
-        self.entry: tuple[str, str] | None = None
-
-
 class UrlTrie:
-    """Host labels from the last to the first, then path segments ('/' ends a segment)."""
+    """Host labels from the last to the first, then path segments ('/' ends a segment).
+
+    Nodes are numbers (0: the root) and edges one table, so the trie itself is what is broadcast.
+    """
 
     def __init__(self, rules: Sequence[Rule]):
-        self.root = _Node()
+        self.edges: dict[tuple[int, str], int] = {}
+        self.entries: dict[int, tuple[str, str]] = {}
+        self.tails: dict[int, list[tuple[str, tuple[str, str]]]] = {}  # rule paths that end inside a segment, longest first
         for action, host, path in rules:
-            node = self.root
+            node = 0
             for label in reversed(host.split(".")):
-                node = node.children.setdefault("." + label, _Node())
-            node = node.children.setdefault("", _Node())  # from here on: the path
+                node = self._child(node, "." + label)
+            node = self._child(node, "")  # from here on: the path
             *whole, tail = path.split("/")
             for segment in whole:
-                node = node.children.setdefault(segment + "/", _Node())
+                node = self._child(node, segment + "/")
             entry = (host + path, action)
             if tail:
-                old = dict(node.tails).get(tail)
-                if old is None or action == "block":
-                    node.tails = sorted([t for t in node.tails if t[0] != tail] + [(tail, entry)], key=lambda t: -len(t[0]))
-            elif node.entry is None or action == "block":
-                node.entry = entry
+                old = self.tails.get(node, [])
+                if action == "block" or tail not in dict(old):
+                    self.tails[node] = sorted([t for t in old if t[0] != tail] + [(tail, entry)], key=lambda t: -len(t[0]))
+            elif node not in self.entries or action == "block":
+                self.entries[node] = entry
+
+    def _child(self, node: int, label: str) -> int:
+        return self.edges.setdefault((node, label), len(self.edges) + 1)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, action) of the longest match."""
-        found, node = None, self.root
+        found, node = None, 0
         for label in reversed(host.split(".")):
-            node = node.children.get("." + label)
+            node = self.edges.get((node, "." + label))
             if node is None:
                 break
-            if (start := node.children.get("")) is not None:
+            if (start := self.edges.get((node, ""))) is not None:
                 found = self._path(start, path) or found
         return found
 
-    @staticmethod
-    def _path(node: _Node, path: str) -> tuple[str, str] | None:
+    def _path(self, node: int, path: str) -> tuple[str, str] | None:
         best, at = None, 0
         while True:
-            if node.entry:
-                best = node.entry
-            for tail, entry in node.tails:
+            best = self.entries.get(node, best)
+            for tail, entry in self.tails.get(node, ()):
                 if path.startswith(tail, at):
                     best = entry
                     break
             end = path.find("/", at)
-            nxt = node.children.get(path[at : end + 1]) if end >= 0 else None
+            nxt = self.edges.get((node, path[at : end + 1])) if end >= 0 else None
             if nxt is None:
                 return best
             node, at = nxt, end + 1
@@ -92,10 +89,10 @@ def split_url(pages: DataFrame) -> DataFrame:
 
 
 def _by_trie(pages: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast(list(rules))
+    shared = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = UrlTrie(shared.value)
+        trie = shared.value
         for b in batches:
             hits = [trie.find(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
             rule = pa.array([h and h[0] for h in hits], pa.string())

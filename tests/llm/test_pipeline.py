@@ -8,7 +8,7 @@ import public_tokenizers as P
 import tiktoken
 from regionloom.llm import bpe, lines, mixing, quality
 
-from .test_simhash import plain_components, plain_fingerprint
+from .test_similar import plain_keepers
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,8 +33,8 @@ def plain_pipeline(docs, labels):
         texts[i] = "\n".join(out)
         assert hashlib.sha256(texts[i].encode()).hexdigest() == digests[i]
     docs["text"] = docs.doc_id.map(texts)
-    component = plain_components([(i, plain_fingerprint(t)) for i, t in texts.items()])
-    docs = docs[[component[i] == i for i in docs.doc_id]].copy()
+    stay = plain_keepers(list(texts.items()))
+    docs = docs[docs.doc_id.isin(stay)].copy()
     con.register("documents", docs)
     mixed = con.sql(mixing.OP1_SQL).fetchall()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.VOCABULARY), "rb"))}
