@@ -28,9 +28,11 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, materialize, shared_dir, table
+from .common import BLANKS, ascii_lower, materialize, shared_dir, table, text_bytes
 
 MIN_KEY_CHARS = 10
+BUCKET_BYTES = 64 << 20  # of text whose line keys make a bucket of a run
+MOST_BUCKETS = 50_000  # Spark refuses tables of more than 100,000
 _LAST = (1 << 63) - 1
 KEY = ["h1", "h2"]
 
@@ -53,13 +55,13 @@ class Runs:
     """The sorted runs of all keys seen so far, by level: tables (h1, h2, first, last, fresh), of which fresh rows count.
 
     With a name the runs are the catalogue's tables of that name and stay there; without one they go with `close`.
+    Runs of another number of buckets join as well, only not without a shuffle.
     """
 
     SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"  # a bucket of one file is read in its order
 
-    def __init__(self, spark, fanout: int = 3, name: str | None = None):
-        self.spark, self.fanout, self.name, self.levels, self.spent = spark, fanout, name, [], []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark, fanout: int = 3, name: str | None = None, buckets: int = 8):
+        self.spark, self.fanout, self.name, self.levels, self.spent, self.buckets = spark, fanout, name, [], [], buckets
         self.root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
         self.prefix = f"{name}_run" if name else f"line_run_{uuid.uuid4().hex}"
         self.before = spark.conf.get(self.SORTED, "false")
@@ -123,7 +125,7 @@ def dropped_positions(docs: DataFrame, batches: int = 4, fanout: int = 3, min_ch
     cuts = sorted(set(cuts or []))
     batch = sum([(F.col("_id") > c).cast("int") for c in cuts], F.lit(0))
     seen = materialize(line_occurrences(docs, min_chars).withColumn("batch", batch), "lines", "batch")
-    runs, doomed = Runs(spark, fanout, name), None
+    runs, doomed = Runs(spark, fanout, name, min(MOST_BUCKETS, max(8, -(-text_bytes(docs) // BUCKET_BYTES)))), None
     try:
         for b in range(len(cuts) + 1):
             mine = seen.where(F.col("batch") == b)

@@ -4,8 +4,9 @@ A text's fingerprint is the SimHash of its set of word shingles, wide enough for
 sets with Jaccard similarity J a share acos(2J / (1 + J)) / pi of the bits differs. The bits are cut into
 blocks. Two sets meet if they differ in at most one bit on some block; there, as in simhash.py, the anchors
 are the words of a covering code of radius 1, homes meet all fingerprints within 2. `plan` picks the
-blocks' length by the number of texts, so that an anchor holds few of them, and as many blocks as bring two
-sets of similarity 0.8 together with probability `RECALL`; more similar ones meet more surely.
+blocks' length by the number of texts, so that an anchor holds some 100 to 200 whatever that number, and as
+many blocks as bring two sets of similarity 0.8 together with probability `RECALL`; more similar ones meet
+more surely.
 
 What meets is checked: by a 64-bit sketch (part of the fingerprint, three deviations beyond 0.8), by sizes
 and parity bitmaps (their differing bits are never more than the sets' differing members), and at last by
@@ -40,7 +41,7 @@ from .simhash import near_anchors
 SHINGLE = 5
 SHARE = (4, 5)  # similarity 0.8 as a fraction, so that all bounds are exact in integers
 RECALL = 0.99
-LIMIT = 64
+LIMIT = 1024
 CHUNK = 1024
 SEED = 42
 SKETCH = 64
@@ -177,11 +178,11 @@ def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Rec
 
 
 def _met(limit: int, far: int):
-    """Per anchor: pairs (u, v) that sketches let pass, or of more than `limit` rows the rows as they are (anchor, u, n).
+    """Per anchor: pairs (u, v) that sketches let pass, or of more than `limit` rows the rows as they are (anchor, u).
 
-    Columns anchor, node, sketch, home, n; sorted by anchor.
+    Columns place (twice the anchor, plus 1 for a home), node, sketch; sorted by place.
     """
-    names, kinds = ["anchor", "u", "v", "n"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    names, kinds = ["anchor", "u", "v"], [pa.int64()] * 3
 
     def rows(cols: list) -> pa.RecordBatch:
         size = next(len(c) for c in cols if c is not None)
@@ -210,7 +211,7 @@ def _met(limit: int, far: int):
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on in the next batch
+            cut = int(np.searchsorted(cols[0], cols[0][-1] >> 1 << 1))  # the last group may go on in the next batch
             held = [c[cut:] for c in cols]
             if cut:
                 yield from whole([c[:cut] for c in cols])
@@ -219,14 +220,14 @@ def _met(limit: int, far: int):
         K.release()
 
     def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchor, node, sketch, home, n = cols
+        (place, node, sketch), anchor = cols, cols[0] >> 1
         size = np.searchsorted(anchor, anchor, side="right") - np.searchsorted(anchor, anchor)
         small, crowd = size <= limit, size > limit
-        pairs = compare(anchor[small], node[small], sketch[small].view(np.uint64), home[small].astype(bool))
+        pairs = compare(anchor[small], node[small], sketch[small].view(np.uint64), (place[small] & 1).astype(bool))
         for found in _gathered(pairs):
-            yield rows([None, found.column(0), found.column(1), None])
+            yield rows([None, found.column(0), found.column(1)])
         if crowd.any():
-            yield rows([anchor[crowd], node[crowd], None, n[crowd]])
+            yield rows([anchor[crowd], node[crowd], None])
 
     return run
 
@@ -338,11 +339,11 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int
 
 
 def anchored(nodes: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(anchor, node, sketch, home, n): each set at every anchor within 2 of each of its blocks."""
-    rows = nodes.select("node", "sketch", F.col("size").alias("n"), F.posexplode("blocks").alias("k", "block"))
+    """(place, node, sketch): each set at every anchor within 2 of each of its blocks; place: see `_met`."""
+    rows = nodes.select("node", "sketch", F.posexplode("blocks").alias("k", "block"))
     rows = rows.select("*", F.explode(near_anchors(F.col("block"), bits, 2)).alias("near"))
     anchor = F.col("block").bitwiseXOR(F.col("near.mask")).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 40))
-    return rows.select(anchor.alias("anchor"), "node", "sketch", F.col("near.home").alias("home"), "n")
+    return rows.select((anchor * 2 + F.col("near.home").cast("long")).alias("place"), "node", "sketch")
 
 
 def similar_texts(
@@ -355,15 +356,15 @@ def similar_texts(
     schema = "_id long, _th long, node long, size int, sketch long, blocks array<long>, bitmap binary"
     prints = materialize(docs.mapInArrow(_prints(shingle, bits, blocks), schema), "copies-prints")
     nodes = materialize(prints.where("size IS NOT NULL").dropDuplicates(["node"]), "copies-nodes")
-    posts = anchored(nodes, bits, blocks).repartition(spread, "anchor").sortWithinPartitions("anchor")
-    met = materialize(posts.mapInArrow(_met(limit, sketch_limit(share)), "anchor long, u long, v long, n int"), "copies-met")
+    posts = anchored(nodes, bits, blocks).repartition(spread, F.shiftright("place", 1)).sortWithinPartitions("place")
+    met = materialize(posts.mapInArrow(_met(limit, sketch_limit(share)), "anchor long, u long, v long"), "copies-met")
     links = _confirmed(met.where("anchor IS NULL").select("u", "v"), nodes, docs, shingle, share)
     found = materialize(components(links), "copies-found")
 
-    rows = met.where("anchor IS NOT NULL").select("anchor", F.col("u").alias("node"), "n")
+    rows = met.where("anchor IS NOT NULL").select("anchor", F.col("u").alias("node"))
     if rows.limit(1).count():
         many = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("s"))
-        rows = materialize(rows.join(many, "anchor").join(nodes.select("node", "bitmap"), "node"), "copies-crowded")
+        rows = materialize(rows.join(many, "anchor").join(nodes.select("node", F.col("size").alias("n"), "bitmap"), "node"), "copies-crowded")
 
         def crowded(found: DataFrame, every: bool) -> DataFrame:
             c = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")

@@ -525,7 +525,7 @@ def distinct_results(docs: DataFrame, with_text: bool = False, block_bytes: int
     size = text_bytes(docs)
     n = block_count(size, block_bytes) if block_bytes else block_count(size)
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"))
-    blocks = store(rows, F.pmod(F.xxhash64("text"), F.lit(n)), n, _lowest_per_text, tables)
+    blocks = store(rows, F.pmod(F.xxhash64("text"), F.lit(n)), n, _lowest_per_text, min(tables, max(8, n // 4)))
     buckets = bucket_count(size, BUCKET_BYTES)
     reply = "block long, bucket int, answer binary"
     asked = blocks.groupBy("block").applyInArrow(_ask_grams(buckets), "bucket int, block long, keys binary, counts binary")
