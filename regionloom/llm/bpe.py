@@ -23,7 +23,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -146,16 +145,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `SLICE_BYTES`, one text at least."""
-    size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    ends, a = np.cumsum(size + 64), 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, side="right")))
-        yield a, b
-        a = b
-
-
 def tokenize(docs: DataFrame, path: str, pattern: str, columns: Sequence[str] = tuple(_FIELDS), carry_text: bool = True) -> DataFrame:
     """`docs` (with a text column) plus the named ones of ids, n_tokens, ids_sha256, decoded_sha256.
 
@@ -183,7 +172,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, columns: Sequence[str] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, pattern)
         for batch in batches:
-            for a, b in _slices(batch.column("text")):
+            for a, b in K.slices(batch.column("text"), SLICE_BYTES):
                 yield encoded(codec, batch.slice(a, b - a))
             K.release()
         del codec

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -47,6 +48,16 @@ def release() -> None:
         _TRIM(0)
 
 
+def slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of a text column of about `limit` bytes, one text at least."""
+    size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, a = np.cumsum(size + 64), 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield a, b
+        a = b
+
+
 def chunks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of the list with at most `limit` bytes each, one text at least."""
     a = total = 0

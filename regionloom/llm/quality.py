@@ -63,12 +63,13 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, good in zip(batch.column("text").to_pylist(), batch.column("trusted").to_pylist()):
-                for b in trigram_buckets(text or ""):
+            for text, good in zip(batch.column("text"), batch.column("trusted").to_pylist()):
+                for b in trigram_buckets(text.as_py() or ""):
                     n = np.bincount(b, minlength=BUCKETS)
                     raw += n
                     if good:
                         trusted += n
+            K.release()
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(trusted[seen])], ["bucket", "raw", "trusted"]
@@ -155,21 +156,22 @@ def judge(docs: DataFrame, log_ratio: np.ndarray, threshold: float = THRESHOLD)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            raw = [x.encode("utf-8", "surrogatepass") for x in texts]
-            parts = [_surface(raw[a:b]) for a, b in K.chunks(raw)]
-            n_words, chars, symbols, repeats = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
-            dups = np.fromiter(map(dup_lines, texts), np.int64, len(texts))
-            llr = np.zeros(len(texts))
-            for i, text in enumerate(texts):
-                total = sum(float(ratio[b].sum()) for b in trigram_buckets(text))
-                llr[i] = total / (len(text) - 2) if len(text) > 2 else 0.0
-            failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
-            new = [n_words, chars, symbols, dups, repeats, failed, llr, ~failed & (llr >= threshold)]
-            old = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(old + [pa.array(x) for x in new], keep + names)
+            for a, b in K.slices(batch.column("text")):
+                yield judged(batch.slice(a, b - a), ratio)
             K.release()
 
+    def judged(part: pa.RecordBatch, ratio: np.ndarray) -> pa.RecordBatch:
+        texts = [x or "" for x in part.column("text").to_pylist()]
+        n_words, chars, symbols, repeats = _surface([x.encode("utf-8", "surrogatepass") for x in texts])
+        dups = np.fromiter(map(dup_lines, texts), np.int64, len(texts))
+        llr = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            total = sum(float(ratio[b].sum()) for b in trigram_buckets(text))
+            llr[i] = total / (len(text) - 2) if len(text) > 2 else 0.0
+        failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
+        new = [n_words, chars, symbols, dups, repeats, failed, llr, ~failed & (llr >= threshold)]
+        return pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(x) for x in new], keep + names)
+
     schema = T.StructType([docs.schema[c] for c in keep] + list(_RESULT))
     return docs.select(*keep).mapInArrow(run, schema)
 
