@@ -12,11 +12,12 @@ What meets is checked: by a 64-bit sketch (part of the fingerprint, three deviat
 and parity bitmaps (their differing bits are never more than the sets' differing members), and at last by
 the sets themselves. So no link is false, up to equal 64-bit hashes of different shingles.
 
-Scale. Equal sets are merged first. An anchor's group of up to `LIMIT` rows gives all its pairs. Larger groups
-(many near copies) are cut into chunk pairs, and a first round takes one passing pair a set, a second
-one all passing pairs that the first left in different components. Only a group of many sets that bitmaps
-cannot tell from near copies yields pairs by the square. Sets are made again from the texts of those few
-documents that are in a pair, and never stored for others.
+Scale. Equal sets are merged first. An anchor's group of up to `LIMIT` rows and `FEW` passing pairs a home gives
+these pairs. Larger and denser groups (many near copies) are cut into chunk pairs. There a first round takes
+the nearest partner of each home; a second one looks at anchors that still hold several components, and
+takes all pairs of different components that bitmaps let pass. Only many sets that bitmaps cannot tell
+from near copies yield pairs by the square. Sets are made again from the texts of those few documents that
+are in a pair, and never stored for others.
 
 Edge cases. Texts without words have the empty set and are copies of each other; fewer words than a
 shingle are one shingle. Ids play no part. An empty table gives an empty result.
@@ -42,6 +43,7 @@ SHINGLE = 5
 SHARE = (4, 5)  # similarity 0.8 as a fraction, so that all bounds are exact in integers
 RECALL = 0.99
 LIMIT = 1024
+FEW = 3
 CHUNK = 1024
 SEED = 42
 SKETCH = 64
@@ -178,11 +180,11 @@ def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Rec
 
 
 def _met(limit: int, far: int):
-    """Per anchor: pairs (u, v) that sketches let pass, or of more than `limit` rows the rows as they are (anchor, u).
+    """Per anchor: pairs (u, v) that sketches let pass, or of large and dense groups the rows as they are (place, u, sketch).
 
     Columns place (twice the anchor, plus 1 for a home), node, sketch; sorted by place.
     """
-    names, kinds = ["anchor", "u", "v"], [pa.int64()] * 3
+    names, kinds = ["place", "u", "v", "sketch"], [pa.int64()] * 4
 
     def rows(cols: list) -> pa.RecordBatch:
         size = next(len(c) for c in cols if c is not None)
@@ -200,7 +202,7 @@ def _met(limit: int, far: int):
             y = np.arange(len(x)) - np.repeat(done[a:b] - done[a], count[a:b]) + first[x]
             near = (np.bitwise_count(sketch[x] ^ sketch[y]) <= far) & (node[x] != node[y])
             if near.any():
-                yield node[x[near]], node[y[near]]
+                yield x[near], y[near]
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,14 +222,29 @@ def _met(limit: int, far: int):
         K.release()
 
     def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        (place, node, sketch), anchor = cols, cols[0] >> 1
-        size = np.searchsorted(anchor, anchor, side="right") - np.searchsorted(anchor, anchor)
-        small, crowd = size <= limit, size > limit
-        pairs = compare(anchor[small], node[small], sketch[small].view(np.uint64), (place[small] & 1).astype(bool))
-        for found in _gathered(pairs):
-            yield rows([None, found.column(0), found.column(1)])
+        place, node, sketch = cols
+        anchor, home = place >> 1, (place & 1).astype(bool)
+        group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
+        rows_of, homes_of = np.bincount(group), np.bincount(group, weights=home)
+        crowd = rows_of > limit
+        small = np.flatnonzero(~crowd[group])
+        u, v = [], []
+        for x, y in compare(anchor[small], node[small], sketch[small].view(np.uint64), home[small]):
+            x, y = small[x], small[y]
+            dense = np.bincount(group[x], minlength=len(crowd)) > FEW * homes_of
+            crowd |= dense
+            u.append(x)
+            v.append(y)
+        if u:
+            u, v = np.concatenate(u), np.concatenate(v)
+            sparse = ~crowd[group[u]]
+            u, v = node[u[sparse]], node[v[sparse]]
+            if len(u):
+                found = _emit([u], [v])
+                yield rows([None, found.column(0), found.column(1), None])
         if crowd.any():
-            yield rows([anchor[crowd], node[crowd], None])
+            at = crowd[group]
+            yield rows([place[at], node[at], None, sketch[at]])
 
     return run
 
@@ -237,20 +254,39 @@ def _sizes_allow(n: np.ndarray, x, y, share: tuple[int, int]) -> np.ndarray:
     return q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y])
 
 
-def _large(share: tuple[int, int], every: bool):
-    """Pairs that bitmaps let pass: one a set, or every one across components.
+def _nearest(far: int):
+    """Each home's nearest partner by sketch, if that may be near enough. Columns anchor, i, j, node, sketch, home, c; sorted by the first three."""
 
-    Columns anchor, i, j, node, n, c (the chunk), component, bitmap; sorted by anchor, i, j.
+    def pairs(batches):
+        for _, i, j, node, sketch, home, c in _groups(batches, 3):
+            across, sketch = i[0] != j[0], sketch.view(np.uint64)
+            homes = np.flatnonzero(home)
+            for a in range(0, len(homes), 256):
+                x = homes[a : a + 256, None]
+                away = np.bitwise_count(sketch[x] ^ sketch).astype(np.int16)
+                away[(node[x] == node) | (across & (c[x] == c))] = SKETCH + 1
+                y = away.argmin(axis=1)
+                near = away[np.arange(len(x)), y] <= far
+                if near.any():
+                    yield node[x[near, 0]], node[y[near]]
+
+    return lambda batches: _gathered(pairs(batches))
+
+
+def _across(share: tuple[int, int]):
+    """Pairs of different components that bitmaps let pass, the larger set a home.
+
+    Columns anchor, i, j, node, n, home, c (the chunk), component, bitmap; sorted by the first three.
     """
     p, q = share
 
     def pairs(batches):
-        for _, i, j, node, n, c, comp, bitmap in _groups(batches, 3):
-            order = np.argsort(n, kind="stable")
-            node, c, comp, bitmap = node[order], c[order], comp[order], bitmap[order]
+        for _, i, j, node, n, home, c, comp, bitmap in _groups(batches, 3):
+            order = np.lexsort((node, n))
+            node, home, c, comp, bitmap = node[order], home[order], c[order], comp[order], bitmap[order]
             n = n[order].astype(np.int64)
             size = np.fromiter(map(len, bitmap), np.int64, len(bitmap))
-            across, done = i[0] != j[0], np.zeros(len(n), bool)
+            across = i[0] != j[0]
             for width in np.unique(size):
                 own = np.flatnonzero(size == width)
                 twice = np.flatnonzero(size == 2 * width)
@@ -263,13 +299,9 @@ def _large(share: tuple[int, int], every: bool):
                     x = own[k]
                     last = np.searchsorted(n[at], q * n[x] // p, side="right")
                     y = at[k + 1 : last]
-                    if every:
-                        want = comp[y] != comp[x]
-                    else:
-                        want = ~done[y]
+                    want = (comp[y] != comp[x]) & home[y] & _sizes_allow(n, x, y, share)
                     if across:
                         want &= c[y] != c[x]
-                    want &= _sizes_allow(n, x, y, share) & (node[y] != node[x])
                     rows = np.flatnonzero(want)
                     if not len(rows):
                         continue
@@ -277,7 +309,6 @@ def _large(share: tuple[int, int], every: bool):
                     y = y[rows]
                     y = y[(p + q) * differ <= (q - p) * (n[x] + n[y])]
                     if len(y):
-                        done[y] = True
                         yield np.full(len(y), node[x]), node[y]
 
     return lambda batches: _gathered(pairs(batches))
@@ -357,26 +388,28 @@ def similar_texts(
     prints = materialize(docs.mapInArrow(_prints(shingle, bits, blocks), schema), "copies-prints")
     nodes = materialize(prints.where("size IS NOT NULL").dropDuplicates(["node"]), "copies-nodes")
     posts = anchored(nodes, bits, blocks).repartition(spread, F.shiftright("place", 1)).sortWithinPartitions("place")
-    met = materialize(posts.mapInArrow(_met(limit, sketch_limit(share)), "anchor long, u long, v long"), "copies-met")
-    links = _confirmed(met.where("anchor IS NULL").select("u", "v"), nodes, docs, shingle, share)
-    found = materialize(components(links), "copies-found")
+    met = materialize(posts.mapInArrow(_met(limit, sketch_limit(share)), "place long, u long, v long, sketch long"), "copies-met")
+    pairs = met.where("place IS NULL").select("u", "v")
+
+    rows = met.where("place IS NOT NULL").select(F.shiftright("place", 1).alias("anchor"), F.expr("place % 2 = 1").alias("home"), F.col("u").alias("node"), "sketch")
+    many = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("s"))
+    rows = materialize(rows.join(many, "anchor").withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")).cast("int")), "copies-crowded")
 
-    rows = met.where("anchor IS NOT NULL").select("anchor", F.col("u").alias("node"))
-    if rows.limit(1).count():
-        many = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("s"))
-        rows = materialize(rows.join(many, "anchor").join(nodes.select("node", F.col("size").alias("n"), "bitmap"), "node"), "copies-crowded")
-
-        def crowded(found: DataFrame, every: bool) -> DataFrame:
-            c = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
-            r = rows.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).withColumn("c", c)
-            r = r.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-            r = r.select("anchor", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", "n", "c", "comp", "bitmap")
-            r = r.repartition(spread, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-            return _confirmed(r.mapInArrow(_large(share, every), "u long, v long"), nodes, docs, shingle, share)
-
-        for every in (False, True):
-            more = crowded(found, every)
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                found = materialize(components(links), "copies-found")
+    def chunked(r: DataFrame, *columns: str) -> DataFrame:
+        r = r.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        r = r.select("anchor", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), *columns)
+        return r.repartition(spread, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+
+    nearest = chunked(rows, "node", "sketch", "home", "c").mapInArrow(_nearest(sketch_limit(share)), "u long, v long")
+    links = _confirmed(pairs.unionByName(nearest), nodes, docs, shingle, share)
+    found = materialize(components(links), "copies-found")
+    rows = rows.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    mixed = rows.groupBy("anchor").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("anchor")
+    left = materialize(rows.join(mixed, "anchor", "left_semi").select("anchor", "s", "c", "node", "home", "comp"), "copies-left")
+    if left.limit(1).count():
+        left = left.join(nodes.select("node", F.col("size").alias("n"), "bitmap"), "node")
+        more = chunked(left, "node", "n", "home", "c", "comp", "bitmap").mapInArrow(_across(share), "u long, v long")
+        more = _confirmed(more, nodes, docs, shingle, share)
+        if more.limit(1).count():
+            found = materialize(components(links.unionByName(more)), "copies-found")
     return prints.select("_id", "_th", "node").join(found, "node", "left").select("_id", "_th", F.coalesce("component", "node").alias("component"))
