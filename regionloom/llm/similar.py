@@ -14,9 +14,9 @@ the sets themselves. So no link is false, up to equal 64-bit hashes of different
 
 Scale. Equal sets are merged first. An anchor's group of up to `LIMIT` rows and `FEW` passing pairs a home gives
 these pairs. Larger and denser groups (many near copies) are cut into chunk pairs. There a first round takes
-the nearest partner of each home; a second one looks at anchors that still hold several components, and
-takes all pairs of different components that bitmaps let pass. Only many sets that bitmaps cannot tell
-from near copies yield pairs by the square. Sets are made again from the texts of those few documents that
+the nearest partner of each home; a second one looks at the rows whose sketches may still link them to
+another component, and takes all pairs of those that bitmaps let pass. Only many sets that bitmaps cannot
+tell from near copies yield pairs by the square. Sets are made again from the texts of those few documents that
 are in a pair, and never stored for others.
 
 Edge cases. Texts without words have the empty set and are copies of each other; fewer words than a
@@ -273,6 +273,26 @@ def _nearest(far: int):
     return lambda batches: _gathered(pairs(batches))
 
 
+def _touching(far: int):
+    """Rows (anchor, node) that sketches may link to another component. Columns anchor, i, j, node, sketch, home, c, component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchor, i, j, node, sketch, home, c, comp in _groups(batches, 3):
+            across, sketch = i[0] != j[0], sketch.view(np.uint64)
+            homes, hit = np.flatnonzero(home), np.zeros(len(node), bool)
+            for a in range(0, len(homes), 256):
+                x = homes[a : a + 256, None]
+                near = (np.bitwise_count(sketch[x] ^ sketch) <= far) & (comp[x] != comp)
+                if across:
+                    near &= c[x] != c
+                hit |= near.any(axis=0)
+                hit[x[near.any(axis=1), 0]] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[hit]), pa.array(node[hit])], ["anchor", "node"])
+
+    return run
+
+
 def _across(share: tuple[int, int]):
     """Pairs of different components that bitmaps let pass, the larger set a home.
 
@@ -404,8 +424,9 @@ def similar_texts(
     links = _confirmed(pairs.unionByName(nearest), nodes, docs, shingle, share)
     found = materialize(components(links), "copies-found")
     rows = rows.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    mixed = rows.groupBy("anchor").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("anchor")
-    left = materialize(rows.join(mixed, "anchor", "left_semi").select("anchor", "s", "c", "node", "home", "comp"), "copies-left")
+    rows = materialize(rows.drop("component"), "copies-grouped")
+    touching = chunked(rows, "node", "sketch", "home", "c", "comp").mapInArrow(_touching(sketch_limit(share)), "anchor long, node long")
+    left = materialize(rows.join(touching.distinct(), ["anchor", "node"]).select("anchor", "s", "c", "node", "home", "comp"), "copies-left")
     if left.limit(1).count():
         left = left.join(nodes.select("node", F.col("size").alias("n"), "bitmap"), "node")
         more = chunked(left, "node", "n", "home", "c", "comp", "bitmap").mapInArrow(_across(share), "u long, v long")
