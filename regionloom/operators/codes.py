@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import not_blank
@@ -96,9 +97,18 @@ def country_alpha2(code: Column, pairs: DataFrame, records: DataFrame) -> DataFr
 
 
 def split_count(rows: DataFrame, order: str) -> DataFrame:
-    """How many consecutive rows have the same 'from' as the row before.
+    """How many rows have the same 'from' as the row before them in order; positions may have gaps.
 
-    The row before is found by a join on the position, so the table is never sorted in one task.
+    Rows are dealt into ranges of the position, each range counts inside itself and names its first and last
+    row, and one row a range is left to compare where ranges meet. So the table is never sorted in one task.
     """
-    before = rows.select((F.col(order) + 1).alias(order), F.col("from").alias("before"))
-    return rows.join(before, order).agg(F.count_if(F.col("from") == F.col("before")).alias("splits"))
+    part = F.spark_partition_id().alias("part")
+    dealt = rows.select(F.col(order).alias("at"), "from").repartitionByRange("at").select("*", part)
+    inside = W.partitionBy("part").orderBy("at")
+    same = dealt.withColumn("same", (F.col("from") == F.lag("from").over(inside)).cast("long"))
+    ends = same.groupBy("part").agg(
+        F.sum("same").alias("n"), F.min("at").alias("at"), F.min_by("from", "at").alias("first"), F.max_by("from", "at").alias("last")
+    )
+    along = W.partitionBy(F.lit(0)).orderBy("at")  # one row a range
+    met = ends.withColumn("met", (F.col("first") == F.lag("last").over(along)).cast("long"))
+    return met.agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("met"), F.lit(0))).alias("splits"))

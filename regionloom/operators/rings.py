@@ -49,9 +49,9 @@ def repeated_vertices(vertices: DataFrame) -> DataFrame:
 
 
 def clean_rings(vertices: DataFrame) -> DataFrame:
-    """Rings without repeated or non-finite vertices, closed, of at least three distinct points."""
-    finite = ~(F.isnan("x") | F.isnan("y") | (F.abs("x") == float("inf")) | (F.abs("y") == float("inf")))
-    v = vertices.where(finite)
+    """Rings without repeated vertices, closed, of at least three distinct points; a ring with a non-finite vertex goes."""
+    odd = F.isnan("x") | F.isnan("y") | (F.abs("x") == float("inf")) | (F.abs("y") == float("inf"))
+    v = vertices.join(vertices.where(odd).select(*RING).distinct(), [*RING], "left_anti")
     fresh = F.coalesce((F.col("x") != F.lag("x").over(_along())) | (F.col("y") != F.lag("y").over(_along())), F.lit(True))
     v = v.withColumn("fresh", fresh).where("fresh").drop("fresh")
     ends = v.groupBy(*RING).agg(

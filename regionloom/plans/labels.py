@@ -59,7 +59,7 @@ def title_areas(spark, sf_dir):
     category = F.when(k == 0, F.concat(F.lit("Category:Blank maps of "), name, F.lit(" (old) (new)"))).when(k == 1, "Category:Maps by country").when(
         k == 2, F.concat(F.lit("SVG map showing "), name, F.lit(". "))).otherwise("Flags")
     text = F.when(k == 0, F.concat(F.lit("<b>Blank map</b> of "), "p_type", F.lit("; more"))).when(k == 1, F.concat(F.lit("map - "), name)).when(k == 2, "Somewhere in africa").otherwise("Nothing")
-    return table(spark, sf_dir, "part").select("p_partkey", P.category_area(category).alias("area"), P.area_from_text(text, ["asia", "africa"]).alias("described"))
+    return table(spark, sf_dir, "part").select("p_partkey", P.area_of_category(category).alias("area"), P.described_area(text, ["asia", "africa"]).alias("described"))
 
 
 @query()

@@ -202,7 +202,7 @@ def catalogue_totals(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, sha1(string_agg(event_type || chr(31) || value::VARCHAR, '' ORDER BY event_id)) IS NOT NULL AS has_key FROM events GROUP BY user_id""")
+SELECT event_id, sha1(event_type || chr(31) || coalesce(props, '') || chr(31) || user_id::VARCHAR) AS key FROM events""")
 def cache_keys(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("k", S.cache_key([F.col("event_type"), F.col("value").cast("string")]))
-    return e.groupBy("user_id").agg(F.bool_and(F.length("k") == 40).alias("has_key"))
+    parts = [F.col("event_type"), F.coalesce("props", F.lit("")), F.col("user_id").cast("string")]
+    return table(spark, sf_dir, "events").select("event_id", S.cache_key(parts).alias("key"))
