@@ -77,47 +77,64 @@ def edges_of(parts) -> np.ndarray:
     return np.vstack(out) if out else np.zeros((0, 4))
 
 
+_CELLS = 1 << 18  # of a matrix of edges that is worked on at a time
+
+
 def _crossing_ys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """y of all proper crossings of the edges of a with those of b."""
     ys = []
-    for x0, y0, x1, y1 in a:
+    step = max(1, _CELLS // max(1, len(b)))
+    ex, ey = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
+    for k in range(0, len(a), step):
+        x0, y0, x1, y1 = a[k : k + step, :, None].swapaxes(0, 1)
         dx, dy = x1 - x0, y1 - y0
-        ex, ey = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
         den = dx * ey - dy * ex
         with np.errstate(divide="ignore", invalid="ignore"):
             t = ((b[:, 0] - x0) * ey - (b[:, 1] - y0) * ex) / den
             u = ((b[:, 0] - x0) * dy - (b[:, 1] - y0) * dx) / den
         ok = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        ys.append(y0 + t[ok] * dy)
+        ys.append((y0 + np.where(ok, t, 0.0) * dy)[ok])
     return np.concatenate(ys) if ys else np.zeros(0)
 
 
-def _section(e: np.ndarray, y: float) -> np.ndarray:
-    """Sorted x of the edges that cross the line at y."""
-    lo, hi = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
-    c = e[(lo < y) & (hi > y)]
-    return np.sort(c[:, 0] + (y - c[:, 1]) * (c[:, 2] - c[:, 0]) / (c[:, 3] - c[:, 1]))
+def _covered(shapes: list[np.ndarray], at: np.ndarray, need: int) -> np.ndarray:
+    """Length that at least `need` of the even-odd shapes cover, on the line at each y."""
+    xs, signs = [], []
+    for e in shapes:
+        x0, y0, x1, y1 = e.T
+        y = at[:, None]
+        active = (np.minimum(y0, y1) < y) & (np.maximum(y0, y1) > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.sort(np.where(active, x0 + (y - y0) * (x1 - x0) / (y1 - y0), np.inf), axis=1)
+        xs.append(x)
+        signs.append(np.where(np.arange(len(e)) % 2 == 0, 1, -1) * np.isfinite(x))
+    x, sign = np.concatenate(xs, axis=1), np.concatenate(signs, axis=1)
+    order = np.argsort(x, axis=1, kind="stable")
+    x, depth = np.take_along_axis(x, order, 1), np.cumsum(np.take_along_axis(sign, order, 1), axis=1)
+    with np.errstate(invalid="ignore"):
+        width = np.where(np.isfinite(x[:, 1:]), np.diff(x, axis=1), 0.0)
+    return (width * (depth[:, :-1] >= need)).sum(axis=1)
 
 
-def _length(sections: list[np.ndarray], union: bool) -> float:
-    """Length covered by all (or by any) of the even-odd sections."""
-    marks = np.concatenate([np.stack([s, np.where(np.arange(len(s)) % 2 == 0, 1, -1)], 1) for s in sections])
-    if not len(marks):
-        return 0.0
-    marks = marks[np.argsort(marks[:, 0], kind="stable")]
-    depth = np.cumsum(marks[:, 1])
-    need = 1 if union else len(sections)
-    return float(np.diff(marks[:, 0])[depth[:-1] >= need].sum())
+def _rectangle(e: np.ndarray) -> tuple[float, float, float, float] | None:
+    """The box of four edges that are its sides."""
+    if len(e) != 4 or not ((e[:, 0] == e[:, 2]) | (e[:, 1] == e[:, 3])).all() or (e[0, 0] == e[0, 2]) == (e[1, 0] == e[1, 2]):
+        return None
+    return e[:, 0].min(), e[:, 1].min(), e[:, 0].max(), e[:, 1].max()
 
 
 def area_of(shapes: list[np.ndarray], union: bool = False) -> float:
     """Area of the intersection (or union) of even-odd polygons given by their edges.
 
     The plane is cut into slabs at every vertex and crossing; inside a slab edges do not cross, so
-    the covered length is linear in y and its value half-way times the height is exact.
+    the covered length is linear in y and its value half-way times the height is exact. Rectangles
+    along the axes are intersected as such.
     """
     if not shapes or (not union and any(len(e) == 0 for e in shapes)):
         return 0.0
+    if not union and None not in (boxes := [_rectangle(e) for e in shapes]):
+        x0, y0, x1, y1 = (f(v) for f, v in zip((max, max, min, min), zip(*boxes)))
+        return float(max(0.0, x1 - x0) * max(0.0, y1 - y0))
     ys = [e[:, [1, 3]].ravel() for e in shapes]
     for i, a in enumerate(shapes):
         for b in shapes[i:]:
@@ -127,9 +144,10 @@ def area_of(shapes: list[np.ndarray], union: bool = False) -> float:
         low = max(e[:, [1, 3]].min() for e in shapes)
         high = min(e[:, [1, 3]].max() for e in shapes)
         cuts = cuts[(cuts >= low) & (cuts <= high)]
-    total = 0.0
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        total += (b - a) * _length([_section(e, (a + b) / 2) for e in shapes], union)
+    total, step = 0.0, max(1, _CELLS // max(1, sum(map(len, shapes))))
+    for k in range(0, len(cuts) - 1, step):
+        c = cuts[k : k + step + 1]
+        total += float((np.diff(c) * _covered(shapes, (c[:-1] + c[1:]) / 2, 1 if union else len(shapes))).sum())
     return total
 
 
@@ -147,7 +165,18 @@ def intersection_area(*polygons: str) -> Column:
 
 
 def polygon_area(polygon: str) -> Column:
-    return _areas("intersection")(polygon)
+    """Area of valid polygons in the JVM: of every part its outer ring less its holes, by the shoelace rule."""
+
+    def ring_area(ring: Column) -> Column:
+        n = F.size(ring)
+        at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+        term = lambda i: F.get(F.get(ring, i), F.lit(0)) * F.get(F.get(ring, (i + 1) % n), F.lit(1)) - F.get(F.get(ring, (i + 1) % n), F.lit(0)) * F.get(F.get(ring, i), F.lit(1))
+        return F.when(n > 2, F.abs(F.aggregate(at, F.lit(0.0), lambda t, i: t + term(i))) / 2).otherwise(F.lit(0.0))
+
+    def part_area(rings: Column) -> Column:
+        return F.aggregate(rings, F.lit(0.0), lambda t, r: t - ring_area(r)) + 2 * F.coalesce(ring_area(F.get(rings, F.lit(0))), F.lit(0.0))
+
+    return F.coalesce(F.aggregate(F.col(polygon), F.lit(0.0), lambda t, p: t + part_area(p)), F.lit(0.0))
 
 
 def union_area(*polygons: str) -> Column:
