@@ -12,12 +12,12 @@ What meets is checked: by a 64-bit sketch (part of the fingerprint, three deviat
 and parity bitmaps (their differing bits are never more than the sets' differing members), and at last by
 the sets themselves. So no link is false, up to equal 64-bit hashes of different shingles.
 
-Scale. Equal sets are merged first. An anchor's group of up to `LIMIT` rows and `FEW` passing pairs a home gives
-these pairs. Larger and denser groups (many near copies) are cut into chunk pairs. There a first round takes
-the nearest partner of each home; a second one looks at the rows whose sketches may still link them to
-another component, and takes all pairs of those that bitmaps let pass. Only many sets that bitmaps cannot
-tell from near copies yield pairs by the square. Sets are made again from the texts of those few documents that
-are in a pair, and never stored for others.
+Scale. Equal sets are merged first. At an anchor, a home with up to `FEW` passing partners gives all these pairs; one
+with more (many near copies) gives its nearest only and counts as dense. Dense sets alone meet at their anchors
+again, with the components found so far, and those that sketches may still link to another component give
+all pairs of different components that bitmaps let pass. Only many sets that bitmaps cannot tell from near
+copies yield pairs by the square. Anchors of over `LIMIT` rows are cut into chunk pairs. Sets are made again
+from the texts of those few documents that are in a pair, and never stored for others.
 
 Edge cases. Texts without words have the empty set and are copies of each other; fewer words than a
 shingle are one shingle. Ids play no part. An empty table gives an empty result.
@@ -32,6 +32,7 @@ from math import acos, ceil, log, log2, pi, sqrt
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -42,9 +43,9 @@ from .simhash import near_anchors
 SHINGLE = 5
 SHARE = (4, 5)  # similarity 0.8 as a fraction, so that all bounds are exact in integers
 RECALL = 0.99
-LIMIT = 1024
-FEW = 3
-CHUNK = 1024
+LIMIT = 1 << 14
+FEW = 8
+CHUNK = 4096
 SEED = 42
 SKETCH = 64
 
@@ -180,11 +181,11 @@ def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Rec
 
 
 def _met(limit: int, far: int):
-    """Per anchor: pairs (u, v) that sketches let pass, or of large and dense groups the rows as they are (place, u, sketch).
+    """Per anchor: pairs (u, v) that sketches let pass, of dense homes the nearest only; of large groups the rows as they are (place, u, sketch).
 
     Columns place (twice the anchor, plus 1 for a home), node, sketch; sorted by place.
     """
-    names, kinds = ["place", "u", "v", "sketch"], [pa.int64()] * 4
+    names, kinds = ["place", "u", "v", "sketch", "dense"], [*[pa.int64()] * 4, pa.bool_()]
 
     def rows(cols: list) -> pa.RecordBatch:
         size = next(len(c) for c in cols if c is not None)
@@ -224,27 +225,25 @@ def _met(limit: int, far: int):
     def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         place, node, sketch = cols
         anchor, home = place >> 1, (place & 1).astype(bool)
-        group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
-        rows_of, homes_of = np.bincount(group), np.bincount(group, weights=home)
-        crowd = rows_of > limit
-        small = np.flatnonzero(~crowd[group])
-        u, v = [], []
+        size = np.searchsorted(anchor, anchor, side="right") - np.searchsorted(anchor, anchor)
+        small, crowd = np.flatnonzero(size <= limit), size > limit
+        all_, nearest = [], []
         for x, y in compare(anchor[small], node[small], sketch[small].view(np.uint64), home[small]):
             x, y = small[x], small[y]
-            dense = np.bincount(group[x], minlength=len(crowd)) > FEW * homes_of
-            crowd |= dense
-            u.append(x)
-            v.append(y)
-        if u:
-            u, v = np.concatenate(u), np.concatenate(v)
-            sparse = ~crowd[group[u]]
-            u, v = node[u[sparse]], node[v[sparse]]
-            if len(u):
-                found = _emit([u], [v])
-                yield rows([None, found.column(0), found.column(1), None])
+            many = np.bincount(x, minlength=len(node))[x] > FEW
+            all_.append((x[~many], y[~many]))
+            x, y = x[many], y[many]
+            if len(x):
+                order = np.lexsort((np.bitwise_count(sketch[x].view(np.uint64) ^ sketch[y].view(np.uint64)), x))
+                first = order[np.concatenate([[True], np.diff(x[order]) > 0])]
+                nearest.append((x[first], y[first]))
+        for found, dense in ((all_, False), (nearest, True)):
+            if found and sum(len(x) for x, _ in found):
+                u, v = (node[np.concatenate(c)] for c in zip(*found))
+                pairs = _emit([u], [v])
+                yield rows([None, pairs.column(0), pairs.column(1), None, np.full(pairs.num_rows, dense)])
         if crowd.any():
-            at = crowd[group]
-            yield rows([place[at], node[at], None, sketch[at]])
+            yield rows([place[crowd], node[crowd], None, sketch[crowd], np.ones(crowd.sum(), bool)])
 
     return run
 
@@ -274,7 +273,7 @@ def _nearest(far: int):
 
 
 def _touching(far: int):
-    """Rows (anchor, node) that sketches may link to another component. Columns anchor, i, j, node, sketch, home, c, component."""
+    """Rows that sketches may link to another component. Columns anchor, i, j, node, sketch, home, c, comp; the same without sketch, i, j, c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for anchor, i, j, node, sketch, home, c, comp in _groups(batches, 3):
@@ -288,7 +287,7 @@ def _touching(far: int):
                 hit |= near.any(axis=0)
                 hit[x[near.any(axis=1), 0]] = True
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[hit]), pa.array(node[hit])], ["anchor", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[hit]) for k in (anchor, node, home.astype(bool), comp)], ["anchor", "node", "home", "comp"])
 
     return run
 
@@ -389,12 +388,12 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int
     return materialize(rows.where((p + q) * both >= p * (F.size("a") + F.size("b"))).select("u", "v"), "copies-links")
 
 
-def anchored(nodes: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(place, node, sketch): each set at every anchor within 2 of each of its blocks; place: see `_met`."""
-    rows = nodes.select("node", "sketch", F.posexplode("blocks").alias("k", "block"))
+def anchored(nodes: DataFrame, bits: int, blocks: int, *more: str) -> DataFrame:
+    """(place, node, sketch, *more): each set at every anchor within 2 of each of its blocks; place: see `_met`."""
+    rows = nodes.select("node", "sketch", *more, F.posexplode("blocks").alias("k", "block"))
     rows = rows.select("*", F.explode(near_anchors(F.col("block"), bits, 2)).alias("near"))
     anchor = F.col("block").bitwiseXOR(F.col("near.mask")).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 40))
-    return rows.select((anchor * 2 + F.col("near.home").cast("long")).alias("place"), "node", "sketch")
+    return rows.select((anchor * 2 + F.col("near.home").cast("long")).alias("place"), "node", "sketch", *more)
 
 
 def similar_texts(
@@ -408,27 +407,33 @@ def similar_texts(
     prints = materialize(docs.mapInArrow(_prints(shingle, bits, blocks), schema), "copies-prints")
     nodes = materialize(prints.where("size IS NOT NULL").dropDuplicates(["node"]), "copies-nodes")
     posts = anchored(nodes, bits, blocks).repartition(spread, F.shiftright("place", 1)).sortWithinPartitions("place")
-    met = materialize(posts.mapInArrow(_met(limit, sketch_limit(share)), "place long, u long, v long, sketch long"), "copies-met")
-    pairs = met.where("place IS NULL").select("u", "v")
-
-    rows = met.where("place IS NOT NULL").select(F.shiftright("place", 1).alias("anchor"), F.expr("place % 2 = 1").alias("home"), F.col("u").alias("node"), "sketch")
-    many = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("s"))
-    rows = materialize(rows.join(many, "anchor").withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")).cast("int")), "copies-crowded")
+    met = "place long, u long, v long, sketch long, dense boolean"
+    met = materialize(posts.mapInArrow(_met(limit, sketch_limit(share)), met), "copies-met")
+    anchor, home = F.shiftright("place", 1).alias("anchor"), F.expr("place % 2 = 1").alias("home")
 
     def chunked(r: DataFrame, *columns: str) -> DataFrame:
-        r = r.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        r = r.select("anchor", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), *columns)
+        """Groups anchor, i, j: all rows of an anchor of up to `chunk` rows, else pairs of chunks of it."""
+        s = F.ceil(F.count(F.lit(1)).over(W.partitionBy("anchor")) / chunk).cast("int")
+        r = r.withColumn("s", s).withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+        one = r.where("s = 1").select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns)
+        r = r.where("s > 1").withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        r = one.unionByName(r.select("anchor", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), *columns))
         return r.repartition(spread, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
-    nearest = chunked(rows, "node", "sketch", "home", "c").mapInArrow(_nearest(sketch_limit(share)), "u long, v long")
-    links = _confirmed(pairs.unionByName(nearest), nodes, docs, shingle, share)
+    large = met.where("place IS NOT NULL").select(anchor, home, F.col("u").alias("node"), "sketch")
+    nearest = chunked(large, "node", "sketch", "home", "c").mapInArrow(_nearest(sketch_limit(share)), "u long, v long")
+    pairs = met.where("place IS NULL").select("u", "v").unionByName(nearest)
+    links = _confirmed(pairs, nodes, docs, shingle, share)
     found = materialize(components(links), "copies-found")
-    rows = rows.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    rows = materialize(rows.drop("component"), "copies-grouped")
-    touching = chunked(rows, "node", "sketch", "home", "c", "comp").mapInArrow(_touching(sketch_limit(share)), "anchor long, node long")
-    left = materialize(rows.join(touching.distinct(), ["anchor", "node"]).select("anchor", "s", "c", "node", "home", "comp"), "copies-left")
-    if left.limit(1).count():
-        left = left.join(nodes.select("node", F.col("size").alias("n"), "bitmap"), "node")
+
+    dense = met.where("dense").select(F.explode(F.array("u", "v")).alias("node")).where("node IS NOT NULL").distinct()
+    dense = nodes.join(dense, "node", "left_semi").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    dense = materialize(dense.select("node", "sketch", "blocks", "comp"), "copies-dense")
+    if dense.limit(1).count():
+        rows = anchored(dense, bits, blocks, "comp").select(anchor, home, "node", "sketch", "comp")
+        rows = chunked(rows, "node", "sketch", "home", "c", "comp")
+        touching = rows.mapInArrow(_touching(sketch_limit(share)), "anchor long, node long, home boolean, comp long").distinct()
+        left = materialize(touching.join(nodes.select("node", F.col("size").alias("n"), "bitmap"), "node"), "copies-left")
         more = chunked(left, "node", "n", "home", "c", "comp", "bitmap").mapInArrow(_across(share), "u long, v long")
         more = _confirmed(more, nodes, docs, shingle, share)
         if more.limit(1).count():

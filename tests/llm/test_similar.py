@@ -45,7 +45,7 @@ def planted(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("limit,chunk", [(N.LIMIT, N.CHUNK), (2, 7)])
+@pytest.mark.parametrize("limit,chunk", [(N.LIMIT, N.CHUNK), (2, 7), (50, 7)])
 def test_stage_keeps_what_all_pairs_keep(spark, monkeypatch, limit, chunk):
     plain = N.similar_texts
     monkeypatch.setattr(N, "similar_texts", lambda docs: plain(docs, limit=limit, chunk=chunk))
