@@ -272,36 +272,35 @@ def _nearest(far: int):
     return lambda batches: _gathered(pairs(batches))
 
 
-def _touching(far: int):
-    """Rows that sketches may link to another component. Columns anchor, i, j, node, sketch, home, c, comp; the same without sketch, i, j, c."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, i, j, node, sketch, home, c, comp in _groups(batches, 3):
-            across, sketch = i[0] != j[0], sketch.view(np.uint64)
-            homes, hit = np.flatnonzero(home), np.zeros(len(node), bool)
-            for a in range(0, len(homes), 256):
-                x = homes[a : a + 256, None]
-                near = (np.bitwise_count(sketch[x] ^ sketch) <= far) & (comp[x] != comp)
-                if across:
-                    near &= c[x] != c
-                hit |= near.any(axis=0)
-                hit[x[near.any(axis=1), 0]] = True
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[hit]) for k in (anchor, node, home.astype(bool), comp)], ["anchor", "node", "home", "comp"])
-
-    return run
-
-
-def _across(share: tuple[int, int]):
-    """Pairs of different components that bitmaps let pass, the larger set a home.
-
-    Columns anchor, i, j, node, n, home, c (the chunk), component, bitmap; sorted by the first three.
+def _touching(sketch: np.ndarray, homes: np.ndarray, comp: np.ndarray, c: np.ndarray | None, far: int) -> np.ndarray:
+    """Which rows of a group sketches may link to another component (and, given chunks c, to another chunk)."""
+    hit = np.zeros(len(sketch), bool)
+    for a in range(0, len(homes), 256):
+        x = homes[a : a + 256, None]
+        near = (np.bitwise_count(sketch[x] ^ sketch) <= far) & (comp[x] != comp)
+        if c is not None:
+            near &= c[x] != c
+        hit |= near.any(axis=0)
+        hit[x[near.any(axis=1), 0]] = True
+    return hit
+
+
+def _across(share: tuple[int, int], far: int):
+    """Pairs of different components that sketches and bitmaps let pass, the larger set a home.
+
+    Columns anchor, i, j, node, sketch, n, home, c (the chunk), component, bitmap; sorted by the first three.
     """
     p, q = share
 
     def pairs(batches):
-        for _, i, j, node, n, home, c, comp, bitmap in _groups(batches, 3):
+        for _, i, j, node, sketch, n, home, c, comp, bitmap in _groups(batches, 3):
+            sketch = sketch.view(np.uint64)
+            hit = _touching(sketch, np.flatnonzero(home), comp, c if i[0] != j[0] else None, far)
+            if not hit.any():
+                continue
+            i, j, node, sketch, n, home, c, comp, bitmap = (k[hit] for k in (i, j, node, sketch, n, home, c, comp, bitmap))
             order = np.lexsort((node, n))
+            sketch = sketch[order]
             node, home, c, comp, bitmap = node[order], home[order], c[order], comp[order], bitmap[order]
             n = n[order].astype(np.int64)
             size = np.fromiter(map(len, bitmap), np.int64, len(bitmap))
@@ -319,6 +318,7 @@ def _across(share: tuple[int, int]):
                     last = np.searchsorted(n[at], q * n[x] // p, side="right")
                     y = at[k + 1 : last]
                     want = (comp[y] != comp[x]) & home[y] & _sizes_allow(n, x, y, share)
+                    want &= np.bitwise_count(sketch[y] ^ sketch[x]) <= far
                     if across:
                         want &= c[y] != c[x]
                     rows = np.flatnonzero(want)
@@ -428,13 +428,12 @@ def similar_texts(
 
     dense = met.where("dense").select(F.explode(F.array("u", "v")).alias("node")).where("node IS NOT NULL").distinct()
     dense = nodes.join(dense, "node", "left_semi").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    dense = materialize(dense.select("node", "sketch", "blocks", "comp"), "copies-dense")
+    carried = "comp", "n", "bitmap"
+    dense = materialize(dense.select("node", "sketch", "blocks", "comp", F.col("size").alias("n"), "bitmap"), "copies-dense")
     if dense.limit(1).count():
-        rows = anchored(dense, bits, blocks, "comp").select(anchor, home, "node", "sketch", "comp")
-        rows = chunked(rows, "node", "sketch", "home", "c", "comp")
-        touching = rows.mapInArrow(_touching(sketch_limit(share)), "anchor long, node long, home boolean, comp long").distinct()
-        left = materialize(touching.join(nodes.select("node", F.col("size").alias("n"), "bitmap"), "node"), "copies-left")
-        more = chunked(left, "node", "n", "home", "c", "comp", "bitmap").mapInArrow(_across(share), "u long, v long")
+        rows = anchored(dense, bits, blocks, *carried).select(anchor, home, "node", "sketch", *carried)
+        rows = chunked(rows, "node", "sketch", "n", "home", "c", "comp", "bitmap")
+        more = rows.mapInArrow(_across(share, sketch_limit(share)), "u long, v long")
         more = _confirmed(more, nodes, docs, shingle, share)
         if more.limit(1).count():
             found = materialize(components(links.unionByName(more)), "copies-found")
