@@ -33,15 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+def spread(docs: DataFrame) -> int:
+    """Tasks for work on tables derived from `docs`: four a core, or as many as read it if that is more."""
+    return max(4 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+
+
+def materialize(df: DataFrame, tag: str, by: str | None = None, most: int | None = None) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again, in folders by a column of few values if given.
 
     Cuts the lineage and lets several consumers read one computation. The files survive a lost
-    executor and go when the application ends.
+    executor and go when the application ends. With `most`, at most that many tasks write one file each: they take
+    the shuffle's partitions one after another, so a task holds no more, and small tables are not scattered.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = (df.coalesce(most) if most else df).write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

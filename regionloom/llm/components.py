@@ -31,17 +31,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _ordered(linked.unionByName(low.select("u", F.col("m").alias("v"))))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of `edges` (u, v long): component is the smallest node reached."""
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, component) for every node of `edges` (u, v long): component is the smallest node reached.
+
+    A round's edges are written by at most `most` tasks if that is given.
+    """
 
     def state(e: DataFrame) -> tuple:
         row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return tuple(row)
 
-    now = materialize(_ordered(edges), "edges")
+    now = materialize(_ordered(edges), "edges", most=most)
     before = state(now)
     while before[0]:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(_large_star(now)), "edges", most=most)
         after = state(now)
         if after == before:
             break

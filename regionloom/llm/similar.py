@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize
+from .common import materialize, spread
 from .components import components
 from .simhash import near_anchors
 
@@ -367,7 +367,7 @@ def _members(shingle: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, share: tuple[int, int], tasks: int) -> DataFrame:
     """The pairs (u, v) of similarity `share` at least, by bitmaps and then by the sets; written.
 
     nodes: (node, size, bitmap, _id, _th: a row that holds the set); docs: (_id, _th, text).
@@ -376,16 +376,16 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int
     one = nodes.select(F.col("node").alias("u"), F.col("size").alias("x"), F.col("bitmap").alias("a"))
     two = nodes.select(F.col("node").alias("v"), F.col("size").alias("y"), F.col("bitmap").alias("b"))
     pairs = pairs.distinct().join(one, "u").join(two, "v").select("u", "v", "x", "y", "a", "b")
-    pairs = materialize(pairs.mapInArrow(_passing(share), "u long, v long"), "copies-pairs")
+    pairs = materialize(pairs.mapInArrow(_passing(share), "u long, v long"), "copies-pairs", most=tasks)
     named = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "_id", "_th")
-    named = materialize(named, "copies-named")  # mostly few: the planner then broadcasts them rather than shuffle texts
+    named = materialize(named, "copies-named", most=tasks)  # mostly few: the planner then broadcasts them rather than shuffle texts
     texts = docs.join(named, ["_id", "_th"]).select("node", "text")
     sets = materialize(texts.mapInArrow(_members(shingle), "node long, members array<long>"), "copies-sets").dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     rows = pairs.join(left, "u").join(right, "v")
-    return materialize(rows.where((p + q) * both >= p * (F.size("a") + F.size("b"))).select("u", "v"), "copies-links")
+    return materialize(rows.where((p + q) * both >= p * (F.size("a") + F.size("b"))).select("u", "v"), "copies-links", most=tasks)
 
 
 def anchored(nodes: DataFrame, bits: int, blocks: int, *more: str) -> DataFrame:
@@ -401,12 +401,12 @@ def similar_texts(
 ) -> DataFrame:
     """(_id, _th, component) of `docs` (_id, _th, text; _id and _th name a row): rows that links connect share a component."""
     docs = docs.select("_id", "_th", "text")
-    spread = docs.sparkSession.sparkContext.defaultParallelism * 4
+    tasks = spread(docs)
     bits, blocks = plan(docs.count(), share, recall)
     schema = "_id long, _th long, node long, size int, sketch long, blocks array<long>, bitmap binary"
     prints = materialize(docs.mapInArrow(_prints(shingle, bits, blocks), schema), "copies-prints")
-    nodes = materialize(prints.where("size IS NOT NULL").dropDuplicates(["node"]), "copies-nodes")
-    posts = anchored(nodes, bits, blocks).repartition(spread, F.shiftright("place", 1)).sortWithinPartitions("place")
+    nodes = materialize(prints.where("size IS NOT NULL").dropDuplicates(["node"]), "copies-nodes", most=tasks)
+    posts = anchored(nodes, bits, blocks).repartition(tasks, F.shiftright("place", 1)).sortWithinPartitions("place")
     met = "place long, u long, v long, sketch long, dense boolean"
     met = materialize(posts.mapInArrow(_met(limit, sketch_limit(share)), met), "copies-met")
     anchor, home = F.shiftright("place", 1).alias("anchor"), F.expr("place % 2 = 1").alias("home")
@@ -418,23 +418,23 @@ def similar_texts(
         one = r.where("s = 1").select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns)
         r = r.where("s > 1").withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         r = one.unionByName(r.select("anchor", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), *columns))
-        return r.repartition(spread, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+        return r.repartition(tasks, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
     large = met.where("place IS NOT NULL").select(anchor, home, F.col("u").alias("node"), "sketch")
     nearest = chunked(large, "node", "sketch", "home", "c").mapInArrow(_nearest(sketch_limit(share)), "u long, v long")
     pairs = met.where("place IS NULL").select("u", "v").unionByName(nearest)
-    links = _confirmed(pairs, nodes, docs, shingle, share)
-    found = materialize(components(links), "copies-found")
+    links = _confirmed(pairs, nodes, docs, shingle, share, tasks)
+    found = materialize(components(links, tasks), "copies-found", most=tasks)
 
     dense = met.where("dense").select(F.explode(F.array("u", "v")).alias("node")).where("node IS NOT NULL").distinct()
     dense = nodes.join(dense, "node", "left_semi").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     carried = "comp", "n", "bitmap"
-    dense = materialize(dense.select("node", "sketch", "blocks", "comp", F.col("size").alias("n"), "bitmap"), "copies-dense")
+    dense = materialize(dense.select("node", "sketch", "blocks", "comp", F.col("size").alias("n"), "bitmap"), "copies-dense", most=tasks)
     if dense.limit(1).count():
         rows = anchored(dense, bits, blocks, *carried).select(anchor, home, "node", "sketch", *carried)
         rows = chunked(rows, "node", "sketch", "n", "home", "c", "comp", "bitmap")
         more = rows.mapInArrow(_across(share, sketch_limit(share)), "u long, v long")
-        more = _confirmed(more, nodes, docs, shingle, share)
+        more = _confirmed(more, nodes, docs, shingle, share, tasks)
         if more.limit(1).count():
-            found = materialize(components(links.unionByName(more)), "copies-found")
+            found = materialize(components(links.unionByName(more), tasks), "copies-found", most=tasks)
     return prints.select("_id", "_th", "node").join(found, "node", "left").select("_id", "_th", F.coalesce("component", "node").alias("component"))
