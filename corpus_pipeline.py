@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionloom.llm import bpe, lines, mixing, quality, similar
-from regionloom.llm.common import materialize, table
+from regionloom.llm.common import materialize, spread, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +35,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near copies (5-word Jaccard of 0.8 or more): the smallest.
 
     Of rows with equal id and text one stays, the first by its other columns; null ids count as the largest.
+    The result has at most as many files as `spread` says, however many partitions a shuffle has.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text").alias("_th")]
     found = similar.similar_texts(docs.select(*key, "text"))
     keepers = found.groupBy("component").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k.*")
     rows = docs.select(F.struct(*docs.columns).alias("row"), *key).join(keepers, ["_id", "_th"], "left_semi")
-    return rows.groupBy("_id", "_th").agg(F.min("row").alias("row")).select("row.*")
+    return rows.groupBy("_id", "_th").agg(F.min("row").alias("row")).select("row.*").coalesce(spread(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
