@@ -135,3 +135,9 @@ def evict(entries: DataFrame, most: int, down_to: float = 0.8, slices: int = 256
 def flags_text(flags: dict[str, Column]) -> Column:
     """The names of the flags that hold, joined by '; '."""
     return F.array_join(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]), lambda x: x.isNotNull()), "; ")
+
+
+def releases(regions: DataFrame) -> DataFrame:
+    """(dataset, release) of regions (dataset, code, release, per_region): the first region's, or that each has its own."""
+    first = F.coalesce(F.min_by("release", "code"), F.lit(""))
+    return regions.groupBy("dataset").agg(F.when(F.bool_or("per_region"), "per region").otherwise(first).alias("release"))

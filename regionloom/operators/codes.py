@@ -112,3 +112,34 @@ def split_count(rows: DataFrame, order: str) -> DataFrame:
     along = W.partitionBy(F.lit(0)).orderBy("at")  # one row a range
     met = ends.withColumn("met", (F.col("first") == F.lag("last").over(along)).cast("long"))
     return met.agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("met"), F.lit(0))).alias("splits"))
+
+
+def listed_codes(codes: DataFrame, prefix: str = "") -> DataFrame:
+    """Distinct prefixed codes of a list (code), trimmed; blank ones go."""
+    return table_codes(codes, "code", prefix)
+
+
+def data_codes(table: DataFrame | None, codes: DataFrame | None, column: str = "code", prefix: str = "") -> DataFrame:
+    """The codes of a request, which gives either a table or a list of codes."""
+    if (table is None) == (codes is None):
+        raise ValueError("give either a table or codes")
+    return table_codes(table, column, prefix) if codes is None else listed_codes(codes, prefix)
+
+
+def gated(summary: DataFrame, most: float) -> DataFrame:
+    """The row of `match_summary`; fails where a larger share than `most` is missing."""
+    share = F.col("missing_share")
+    message = F.concat(F.lit("share of codes that are not on the map: "), share.cast("string"), F.lit(f", allowed: {most}"))
+    return summary.withColumn("missing_share", F.when(share > most, F.raise_error(message).cast("double")).otherwise(share))
+
+
+def town_table(places: DataFrame, state: str, order: str) -> DataFrame:
+    """(town, county, land) of a state's county subdivisions (state, geoid, land); 00000 is no town, of equal towns the last stays.
+
+    A geoid is five digits of the county and five of the town; no land is 0.
+    """
+    geoid = F.trim("geoid")
+    rows = places.where((F.trim("state") == state) & ~geoid.endswith("00000"))
+    land = F.coalesce(F.expr("try_cast(trim(land) AS long)"), F.lit(0).cast("long"))
+    row = F.struct(F.substring(geoid, 1, 5).alias("county"), land.alias("land"))
+    return rows.groupBy(F.substring(geoid, 6, 32).alias("town")).agg(F.max_by(row, order).alias("r")).select("town", "r.*")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import not_blank, number_text, strict_double
+from ..functions.scalars import csv_cell, not_blank, number_text, strict_double
 
 NO_TARGET = "no target in the crosswalk"
 NO_WEIGHTS = "split without weights: choose a rule (area, population…)"
@@ -122,3 +122,16 @@ def reshaped_csv(result: Reshaped, code_name: str, values: Sequence[str]) -> Dat
     """One text line a code, in order of code, values rounded to 1e-9."""
     line = F.concat_ws(",", F.col("code"), *[number_text(F.col(v)) for v in values])
     return result.rows.orderBy("code").select(line.alias(",".join([code_name, *values])))
+
+
+def conflicts_csv(result: Reshaped) -> DataFrame:
+    """One text line a value that needs a decision: from, targets, reason, in order of from."""
+    cells = [F.coalesce(csv_cell(F.col(c)), F.lit("")) for c in ("from", "targets", "reason")]
+    return result.conflicts.orderBy("from").select(F.concat_ws(",", *cells).alias("from,targets,reason"))
+
+
+def crosswalk_csv(crosswalk: DataFrame) -> DataFrame:
+    """One text line a crosswalk row (from, to, weight), in order of from and to; no weight is 1."""
+    weight = number_text(F.coalesce(F.col("weight"), F.lit(1.0)))
+    line = F.concat_ws(",", csv_cell(F.col("from")), csv_cell(F.col("to")), weight)
+    return crosswalk.orderBy("from", "to").select(line.alias("from,to,weight"))

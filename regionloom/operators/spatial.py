@@ -325,3 +325,13 @@ def cluster_edges(boxes: DataFrame, gap_km: float = 500.0) -> DataFrame:
     other = rows.select(*[F.col(c).alias(c if c == "c" else f"{c}_b") for c in rows.columns])
     first = F.col("c") == F.greatest(_cell(F.col("y0"), band), _cell(F.col("y0_b"), band))
     return rows.join(other, "c").where(first & (F.col("id") < F.col("id_b")) & (box_gap_km() <= gap_km)).select(F.col("id").alias("u"), F.col("id_b").alias("v"))
+
+
+def claims_text(overlaps: DataFrame, most: int = 6) -> DataFrame:
+    """One row (n, text): the number of overlapping pairs (a, b, share) and the first of them with their shares in percent."""
+    one = F.format_string("%s/%s (%s%%)", F.col("a").cast("string"), F.col("b").cast("string"), F.round(F.col("share") * 100).cast("long").cast("string"))
+    first = overlaps.orderBy("a", "b").limit(most).select(F.struct("a", "b", one.alias("t")).alias("r"))
+    shown = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), ", ").alias("shown"))
+    n = overlaps.agg(F.count(F.lit(1)).alias("n"))
+    more = F.when(F.col("n") > most, F.concat(F.lit(" and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return n.join(F.broadcast(shown)).select("n", F.concat("shown", more).alias("text"))  # one row each

@@ -134,3 +134,9 @@ def load_crosswalks(spark: SparkSession, folder: str) -> DataFrame:
 def provenance(records: DataFrame, defaults: Mapping[str, str | None]) -> DataFrame:
     """Sidecar values over a dataset's defaults."""
     return records.withColumns({k: F.coalesce(F.col(k), F.lit(v).cast("string")) if k in records.columns else F.lit(v).cast("string") for k, v in defaults.items()})
+
+
+def wanted_files(paths: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Paths (path) of files named by country whose code, the stem up to its first hyphen, is wanted (code)."""
+    code = F.regexp_extract("path", r"([^/.-]*)[^/]*$", 1)
+    return paths.join(wanted.select(F.col("code").alias("_code")).distinct(), code == F.col("_code"), "left_semi")
