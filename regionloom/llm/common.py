@@ -63,3 +63,10 @@ def text_bytes(docs: DataFrame) -> int:
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, everything else left alone."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for DuckDB: unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295::BIGINT)"

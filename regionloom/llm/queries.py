@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lines, lm, media, mixing, quality, simhash, suffix, urls
+from . import bpe, encoding, langid, lines, lm, media, mixing, quality, simhash, suffix, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
     "op9_url_filters": urls.op9_url_filters,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_target_encoding": encoding.op11_target_encoding,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_line_dedup": lines.OP5_SQL,
     "op8_suffix_array_dedup": suffix.OP8_SQL,
     "op9_url_filters": urls.OP9_SQL,
+    "op11_target_encoding": encoding.OP11_SQL,
 }
