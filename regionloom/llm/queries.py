@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, encoding, langid, lines, lm, media, mixing, quality, simhash, suffix, urls
+from . import bpe, encoding, langid, lines, lm, media, mixing, neighbours, quality, simhash, suffix, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filters": urls.op9_url_filters,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_target_encoding": encoding.op11_target_encoding,
+    "op12_nearest_neighbours": neighbours.op12_nearest_neighbours,
 }
 
 ORACLE_SQL = {
