@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, encoding, langid, lines, lm, media, mixing, neighbours, quality, simhash, suffix, urls
+from . import bpe, conversations, encoding, langid, lines, lm, media, mixing, neighbours, quality, simhash, suffix, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_target_encoding": encoding.op11_target_encoding,
     "op12_nearest_neighbours": neighbours.op12_nearest_neighbours,
+    "op13_prefix_trie": conversations.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op8_suffix_array_dedup": suffix.OP8_SQL,
     "op9_url_filters": urls.OP9_SQL,
     "op11_target_encoding": encoding.OP11_SQL,
+    "op13_prefix_trie": conversations.OP13_SQL,
 }
