@@ -41,6 +41,7 @@ FOLDS = 5
 WEIGHT = 50
 START = 500_000  # the rate, in millionths, where nothing is known
 GROUP = ("col", "key", "block")
+CARRY = 1 << 15  # in a fed row's tag: salt, 8 bits of column, this bit, 15 bits of fold
 
 
 def micros(df: DataFrame, name: str) -> Column:
@@ -120,17 +121,18 @@ def _answers(folds: int):
             return
         rows = pa.Table.from_batches(found)
         del found
-        column = {c: rows[c].to_numpy() for c in ("col", "key", "block", "salt", "at", "fold", "n", "s")}
+        tag, key, t, n, s = (rows[c].to_numpy() for c in ("tag", "key", "t", "n", "s"))
         ids, known = rows["row_id"].fill_null(0).to_numpy(), rows["row_id"].is_valid().to_numpy()
         del rows
-        order = np.lexsort([column[c] for c in ("at", "salt", "block", "key", "col")])
-        column = {k: v[order] for k, v in column.items()}
+        order = np.lexsort((t, key, tag >> 16))  # a carry's time is its block's first, and equal times may stand in any order
+        tag, key, t = tag[order], key[order], t[order]
         change = np.zeros(len(order), bool)
-        for k in ("col", "key", "block", "salt"):
-            change[1:] |= column[k][1:] != column[k][:-1]
-        n, s = lower_sums(np.cumsum(change), column["at"], column["fold"].astype(np.int64), column["n"], column["s"], folds)
+        for x in (tag >> 16, key, t >> LEAF_BITS):
+            change[1:] |= x[1:] != x[:-1]
+        at = np.where(tag & CARRY, -1, t & ((1 << LEAF_BITS) - 1))
+        n, s = lower_sums(np.cumsum(change), at, tag & (CARRY - 1), n[order], s[order], folds)
         asked = known[order]
-        out = pa.table([ids[order][asked], column["col"][asked].astype(np.int32), n[asked], s[asked]], schema=ANSWER)
+        out = pa.table([ids[order][asked], (tag[asked] >> 16 & 255).astype(np.int32), n[asked], s[asked]], schema=ANSWER)
         yield from out.to_batches(max_chunksize=50_000)
 
     return run
@@ -144,29 +146,32 @@ def encode(rows: DataFrame, keys: list[str], last: int, folds: int = FOLDS, hot:
     """
     height = (last >> LEAF_BITS).bit_length()
     pairs = F.explode(F.array(*(F.struct((F.lit(2 * i) + F.col(k).isNull().cast("int")).alias("col"), F.coalesce(F.col(k).cast("long"), F.lit(0).cast("long")).alias("key")) for i, k in enumerate(keys))))
-    x = rows.select("row_id", "t", F.col("fold").cast("int").alias("fold"), "n", "s", pairs.alias("p"))
-    x = x.select("p.col", "p.key", F.shiftright("t", LEAF_BITS).alias("block"), F.col("t").bitwiseAND(F.lit((1 << LEAF_BITS) - 1).cast("long")).alias("at"), "fold", "n", "s", "row_id")
+    x = rows.select("row_id", "t", F.col("fold").cast("long").alias("fold"), "n", "s", pairs.alias("p"))
+    x = x.select("p.col", "p.key", "t", F.shiftright("t", LEAF_BITS).alias("block"), "fold", "n", "s", "row_id")
     blocks = materialize(x.groupBy(*GROUP, "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("rows")), "blocks")
     size = {r["col"]: r["rows"] for r in blocks.groupBy("col").agg((folds * F.max("rows")).alias("rows")).collect()}  # two rows a key column at most
     salts = {c: -(-n // hot) for c, n in size.items() if n > hot}
     count = reduce(lambda found, c: F.when(F.col("col") == c, salts[c]).otherwise(found), salts, F.lit(1))
     every = F.explode(F.sequence(F.lit(0), count - 1)).alias("salt")
-    feed = ("col", "key", "block", "salt", "at", "fold", "n", "s", "row_id")
-    none = F.lit(None).cast("long").alias("row_id")
-    zero = F.lit(0).cast("long")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+
+    def fed(df: DataFrame, carry: int = 0) -> DataFrame:
+        tag = F.shiftleft(F.shiftleft(F.col("salt").cast("long"), 8) + F.col("col"), 16) + carry + F.col("fold")
+        return df.select(tag.alias("tag"), "key", "t", "n", "s", "row_id")
+
     if salts:
         salted = F.col("col").isin(*salts)
-        history = x.where(salted).groupBy(*GROUP, "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select("*", every, none).select(*feed)
-        asked = x.where(salted).withColumns({"salt": F.pmod(F.xxhash64("row_id"), count).cast("int"), "n": zero, "s": zero}).select(*feed)
-        fed = x.where(~salted).withColumn("salt", F.lit(0)).select(*feed).unionByName(history).unionByName(asked)
+        history = x.where(salted).groupBy("col", "key", "t", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select("*", every, none.alias("row_id"))
+        asked = x.where(salted).withColumns({"salt": F.pmod(F.xxhash64("row_id"), count), "n": zero, "s": zero})
+        feed = fed(x.where(~salted).withColumn("salt", zero)).unionByName(fed(history)).unionByName(fed(asked))
     else:
-        fed = x.withColumn("salt", F.lit(0)).select(*feed)
+        feed = fed(x.withColumn("salt", zero))
     if height:
-        fed = fed.unionByName(carries(blocks, height).select("*", every, F.lit(-1).cast("long").alias("at"), none).select(*feed))
+        feed = feed.unionByName(fed(carries(blocks, height).select("*", every, F.shiftleft("block", LEAF_BITS).alias("t"), none.alias("row_id")), CARRY))
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() * len(keys) // TASK_ROWS)
-    fed = fed.repartition(tasks, "col", "key", "block", "salt")
-    answers = fed.mapInArrow(_answers(folds), "row_id long, col int, n long, s long").repartition(tasks, "row_id")
+    feed = feed.repartition(tasks, F.shiftright("tag", 16), "key", F.shiftright("t", LEAF_BITS))
+    answers = feed.mapInArrow(_answers(folds), "row_id long, col int, n long, s long").repartition(tasks, "row_id")
     pick = [F.max(F.when(F.shiftright("col", 1) == i, F.col(c))).alias(f"{c}_{k}") for i, k in enumerate(keys) for c in ("n", "s")]
     return answers.groupBy("row_id").agg(*pick)
 
@@ -199,14 +204,14 @@ def target_encode_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, ve
     fold = F.pmod(F.crc32(F.col("sale_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
     sold = sales.select("sale_id", "client_id", "t", fold.alias("fold")).join(sums, "sale_id").join(_dimension(clients, "client_id", "segment"), "client_id", "left")
     sold = materialize(sold.withColumns({"row_id": F.monotonically_increasing_id(), "every": F.lit(0).cast("long")}), "sales")
-    told = sold.join(encode(sold, ["every", "segment", "client_id"], last), "row_id")
+    told = sold.hint("shuffle_hash").join(encode(sold, ["every", "segment", "client_id"], last), "row_id")
     p = rate("n_every", "s_every", F.lit(START).cast("long"))
     told = told.select("sale_id", "t", "fold", p.alias("p"), "segment", F.col("n_client_id").alias("client_n"), "n_segment", "s_segment", "s_client_id")
     told = told.select("sale_id", "t", "fold", "p", "client_n", rate("client_n", "s_client_id", rate("n_segment", "s_segment", F.col("p"))).alias("client_rate"))
     own = lines.groupBy("sale_id", "item_id", "vendor_id").agg(F.count(F.lit(1)).alias("n"), returned).join(told, "sale_id")
     own = own.join(_dimension(items, "item_id", "kind"), "item_id", "left").join(_dimension(vendors, "vendor_id", "nation_id"), "vendor_id", "left")
     own = materialize(own.withColumn("row_id", F.monotonically_increasing_id()), "lines")
-    found = own.join(encode(own, ["item_id", "kind", "vendor_id", "nation_id"], last), "row_id")
+    found = own.hint("shuffle_hash").join(encode(own, ["item_id", "kind", "vendor_id", "nation_id"], last), "row_id")
     return found.select(
         "sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"),
         F.col("n_item_id").alias("item_n"), rate("n_item_id", "s_item_id", rate("n_kind", "s_kind", F.col("p"))).alias("item_rate"),
