@@ -1,49 +1,83 @@
-"""Joins on boxes and polygons: grid cells make them equi-joins, a kernel gives exact overlap areas.
+"""Joins on boxes and polygons: grid cells make them equi-joins, the arrangement gives exact overlap areas.
 
-A box join written as inequalities would compare all pairs. Here every box is exploded to the grid
-cells that it touches, boxes meet per cell, and a pair is kept only in the smallest cell that the two
-share, so no pair needs to be made distinct afterwards.
+A box join written as inequalities would compare all pairs. Here every box lies in the cells of one
+level of a pyramid of grids, that whose cells are at least as large as the box, so in four cells at
+most, whatever its size; the other side visits its own cells on that level and all coarser ones that
+hold boxes. A pair is kept only in the smallest cell that the two share, so no pair needs to be made
+distinct afterwards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import overlay
+
 BOX = ("x0", "y0", "x1", "y1")
+CELL = ("level", "cx", "cy")
 
 
-def _cell(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(float(size))).cast("long")
+def _cell(c: Column, size: Column | float) -> Column:
+    return F.floor(c / (size if isinstance(size, Column) else F.lit(float(size)))).cast("long")
 
 
-def with_cells(boxes: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
-    """One row for each grid cell that a box (widened by `pad`) touches: cx, cy."""
-    p = F.lit(float(pad))
-    xs = F.sequence(_cell(F.col("x0") - p, size), _cell(F.col("x1") + p, size))
-    ys = F.sequence(_cell(F.col("y0") - p, size), _cell(F.col("y1") + p, size))
+def _level(extent: Column, size: float) -> Column:
+    """The first level, of cells of size times 2^level, whose cells are at least `extent` long."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(float(size))) / F.lit(float(size))) - 1e-9)).cast("int")
+
+
+def levels_of(boxes: DataFrame) -> list[int]:
+    """The levels in use, some dozens at most however many boxes there are."""
+    return sorted(r[0] for r in boxes.select("level").distinct().collect() if r[0] is not None)
+
+
+def _touched(boxes: DataFrame, size: float, pad: float) -> DataFrame:
+    """One row for each cell of its `level` that a box (widened by `pad`) touches: cx, cy; four at most on its own level."""
+    p, cell = F.lit(float(pad)), F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+    xs = F.sequence(_cell(F.col("x0") - p, cell), _cell(F.col("x1") + p, cell))
+    ys = F.sequence(_cell(F.col("y0") - p, cell), _cell(F.col("y1") + p, cell))
     return boxes.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
+def leveled(boxes: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+    """Boxes with finite sides and the level that they lie on."""
+    real = [F.abs(c) < float("inf") for c in BOX]
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * pad
+    return boxes.where(real[0] & real[1] & real[2] & real[3]).withColumn("level", _level(extent, size))
+
+
+def at_home(boxes: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+    """Boxes in the cells of their own level: level, cx, cy."""
+    return _touched(leveled(boxes, size, pad), size, pad)
+
+
+def visiting(boxes: DataFrame, size: float, levels: list[int], pad: float = 0.0, above: int = 0) -> DataFrame:
+    """Boxes in the cells of all given levels from `above` over their own on."""
+    own = leveled(boxes, size, pad).withColumnRenamed("level", "own")
+    level = F.explode(F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda x: x >= F.col("own") + above))
+    return _touched(own.withColumn("level", level).drop("own"), size, pad)
+
+
 def box_pairs(a: DataFrame, b: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
-    """Pairs of boxes that meet (closed), each once; columns of `b` get the suffix _b."""
-    left = with_cells(a, size, pad)
-    right = with_cells(b, size, pad)
-    right = right.select(*[F.col(c).alias(c if c in ("cx", "cy") else f"{c}_b") for c in right.columns])
+    """Pairs of boxes that meet (closed), each once; columns of `b` get the suffix _b. `size`: cells of the finest level."""
     p = F.lit(float(pad))
-    first = (F.col("cx") == F.greatest(_cell(F.col("x0") - p, size), _cell(F.col("x0_b") - p, size))) & (
-        F.col("cy") == F.greatest(_cell(F.col("y0") - p, size), _cell(F.col("y0_b") - p, size))
+    homes = at_home(a, size, pad), at_home(b, size, pad)
+    rename = lambda df: df.select(*[F.col(c).alias(c if c in CELL else f"{c}_b") for c in df.columns])
+    joined = homes[0].join(rename(visiting(b, size, levels_of(leveled(a, size, pad)), pad)), list(CELL))  # b is not the larger
+    joined = joined.unionByName(visiting(a, size, levels_of(leveled(b, size, pad)), pad, 1).join(rename(homes[1]), list(CELL)))  # b is the larger
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+    first = (F.col("cx") == F.greatest(_cell(F.col("x0") - p, cell), _cell(F.col("x0_b") - p, cell))) & (
+        F.col("cy") == F.greatest(_cell(F.col("y0") - p, cell), _cell(F.col("y0_b") - p, cell))
     )
     meets = (
         (F.col("x0") - 2 * p <= F.col("x1_b")) & (F.col("x0_b") - 2 * p <= F.col("x1"))
         & (F.col("y0") - 2 * p <= F.col("y1_b")) & (F.col("y0_b") - 2 * p <= F.col("y1"))
     )
-    return left.join(right, ["cx", "cy"]).where(first & meets).drop("cx", "cy")
+    return joined.where(first & meets).drop(*CELL)
 
 
 def box_area(suffix: str = "") -> Column:
@@ -64,102 +98,37 @@ def in_box(west: float, south: float, east: float, north: float) -> Column:
 # --- polygons: arrays of parts, each an array of rings, each an array of [x, y] ---
 
 
-def edges_of(parts) -> np.ndarray:
-    """(n, 4) array of the ring edges x0, y0, x1, y1."""
-    out = []
-    for rings in parts if parts is not None else ():
-        for ring in rings:
-            r = np.array([tuple(p) for p in ring], float).reshape(-1, 2)
-            if len(r) > 1:
-                if (r[0] != r[-1]).any():
-                    r = np.vstack([r, r[:1]])
-                out.append(np.hstack([r[:-1], r[1:]]))
-    return np.vstack(out) if out else np.zeros((0, 4))
-
-
-_CELLS = 1 << 18  # of a matrix of edges that is worked on at a time
-
-
-def _crossing_ys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """y of all proper crossings of the edges of a with those of b."""
-    ys = []
-    step = max(1, _CELLS // max(1, len(b)))
-    ex, ey = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
-    for k in range(0, len(a), step):
-        x0, y0, x1, y1 = a[k : k + step, :, None].swapaxes(0, 1)
-        dx, dy = x1 - x0, y1 - y0
-        den = dx * ey - dy * ex
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((b[:, 0] - x0) * ey - (b[:, 1] - y0) * ex) / den
-            u = ((b[:, 0] - x0) * dy - (b[:, 1] - y0) * dx) / den
-        ok = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        ys.append((y0 + np.where(ok, t, 0.0) * dy)[ok])
-    return np.concatenate(ys) if ys else np.zeros(0)
-
-
-def _covered(shapes: list[np.ndarray], at: np.ndarray, need: int) -> np.ndarray:
-    """Length that at least `need` of the even-odd shapes cover, on the line at each y."""
-    xs, signs = [], []
-    for e in shapes:
-        x0, y0, x1, y1 = e.T
-        y = at[:, None]
-        active = (np.minimum(y0, y1) < y) & (np.maximum(y0, y1) > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x = np.sort(np.where(active, x0 + (y - y0) * (x1 - x0) / (y1 - y0), np.inf), axis=1)
-        xs.append(x)
-        signs.append(np.where(np.arange(len(e)) % 2 == 0, 1, -1) * np.isfinite(x))
-    x, sign = np.concatenate(xs, axis=1), np.concatenate(signs, axis=1)
-    order = np.argsort(x, axis=1, kind="stable")
-    x, depth = np.take_along_axis(x, order, 1), np.cumsum(np.take_along_axis(sign, order, 1), axis=1)
-    with np.errstate(invalid="ignore"):
-        width = np.where(np.isfinite(x[:, 1:]), np.diff(x, axis=1), 0.0)
-    return (width * (depth[:, :-1] >= need)).sum(axis=1)
-
-
-def _rectangle(e: np.ndarray) -> tuple[float, float, float, float] | None:
-    """The box of four edges that are its sides."""
-    if len(e) != 4 or not ((e[:, 0] == e[:, 2]) | (e[:, 1] == e[:, 3])).all() or (e[0, 0] == e[0, 2]) == (e[1, 0] == e[1, 2]):
-        return None
-    return e[:, 0].min(), e[:, 1].min(), e[:, 0].max(), e[:, 1].max()
-
-
-def area_of(shapes: list[np.ndarray], union: bool = False) -> float:
-    """Area of the intersection (or union) of even-odd polygons given by their edges.
-
-    The plane is cut into slabs at every vertex and crossing; inside a slab edges do not cross, so
-    the covered length is linear in y and its value half-way times the height is exact. Rectangles
-    along the axes are intersected as such.
-    """
-    if not shapes or (not union and any(len(e) == 0 for e in shapes)):
-        return 0.0
-    if not union and None not in (boxes := [_rectangle(e) for e in shapes]):
-        x0, y0, x1, y1 = (f(v) for f, v in zip((max, max, min, min), zip(*boxes)))
-        return float(max(0.0, x1 - x0) * max(0.0, y1 - y0))
-    ys = [e[:, [1, 3]].ravel() for e in shapes]
-    for i, a in enumerate(shapes):
-        for b in shapes[i:]:
-            ys.append(_crossing_ys(a, b))
-    cuts = np.unique(np.concatenate(ys))
-    if not union:
-        low = max(e[:, [1, 3]].min() for e in shapes)
-        high = min(e[:, [1, 3]].max() for e in shapes)
-        cuts = cuts[(cuts >= low) & (cuts <= high)]
-    total, step = 0.0, max(1, _CELLS // max(1, sum(map(len, shapes))))
-    for k in range(0, len(cuts) - 1, step):
-        c = cuts[k : k + step + 1]
-        total += float((np.diff(c) * _covered(shapes, (c[:-1] + c[1:]) / 2, 1 if union else len(shapes))).sum())
-    return total
+POLYGON = "array<array<array<array<double>>>>"
 
 
 def _areas(shape: str):
-    """A pandas UDF over polygon columns: 'intersection' or 'union' of all, one value a row."""
+    """A pandas UDF over polygon columns: the area of their 'intersection' or 'union'; a batch of rows is one arrangement."""
 
     def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([area_of([edges_of(x) for x in row], union=shape == "union") for row in zip(*columns)], dtype=float)
+        return pd.Series(overlay.areas([list(row) for row in zip(*columns)], union=shape == "union"), dtype=float)
 
     return F.pandas_udf(run, "double")
 
 
+def _shapes(shape: str):
+    """A pandas UDF over polygon columns: their 'intersection' or 'union' as polygons, parts of closed rings."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        rows = [list(row) for row in zip(*columns)]
+        return pd.Series(overlay.unions(rows) if shape == "union" else overlay.intersections(rows), dtype=object)
+
+    return F.pandas_udf(run, POLYGON)
+
+
+def intersection_shape(*polygons: str) -> Column:
+    return _shapes("intersection")(*polygons)
+
+
+def union_shape(*polygons: str) -> Column:
+    """One polygon is rebuilt by the even-odd rule: a bow tie becomes two triangles."""
+    return _shapes("union")(*polygons)
+
+
 def intersection_area(*polygons: str) -> Column:
     return _areas("intersection")(*polygons)
 
@@ -192,14 +161,14 @@ def polygon_box(geometry: str) -> dict[str, Column]:
 
 def overlap_crosswalk(pairs: DataFrame, overlap: Column, area: Column, min_share: float) -> DataFrame:
     """Areal weights (from, to, weight) from pairs (id, id_b): shares >= min_share, renormalised, 6 digits."""
-    shares = pairs.withColumn("share", overlap / area).where((F.col("share") >= min_share) & (area > 0))
+    shares = pairs.withColumn("share", F.try_divide(overlap, area)).where((F.col("share") >= min_share) & (area > 0))
     whole = F.sum("share").over(W.partitionBy("id"))
     return shares.select(F.col("id").alias("from"), F.col("id_b").alias("to"), F.round(F.col("share") / whole, 6).alias("weight"))
 
 
 def best_match(pairs: DataFrame, overlap: Column, area: Column, area_b: Column, min_share: float) -> DataFrame:
     """(id, id_b, share): the largest overlap that covers min_share of both; ties by the smaller id."""
-    good = pairs.withColumn("overlap", overlap).where((F.col("overlap") / area >= min_share) & (F.col("overlap") / area_b >= min_share))
+    good = pairs.withColumn("overlap", overlap).where((F.try_divide("overlap", area) >= min_share) & (F.try_divide("overlap", area_b) >= min_share))
     return good.groupBy("id").agg(
         F.max(F.struct(F.col("overlap"))).alias("m"), F.min_by(F.col("id_b"), F.struct(-F.col("overlap"), F.col("id_b"))).alias("id_b")
     ).select("id", "id_b", F.col("m.overlap").alias("overlap"))
@@ -212,6 +181,13 @@ def self_overlaps(pairs: DataFrame, overlap: Column, area: Column, area_b: Colum
     return out.where(F.col("share") > min_share).select(F.col("id").alias("a"), F.col("id_b").alias("b"), "share")
 
 
+def _seen(points: DataFrame, size: float, levels: list[int]) -> DataFrame:
+    """Points (x, y) in their cell of every given level."""
+    level = F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+    return points.withColumn("level", level).withColumn("cx", _cell(F.col("x"), cell)).withColumn("cy", _cell(F.col("y"), cell))
+
+
 def point_in_rings(x: Column, y: Column, edges: str) -> Column:
     """Even-odd test of a point against an array of edge structs (x0, y0, x1, y1)."""
     crosses = F.filter(
@@ -223,8 +199,7 @@ def point_in_rings(x: Column, y: Column, edges: str) -> Column:
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """Pairs of points (pid, x, y) and polygons (id, box, edges) that hold them, by grid cell."""
-    p = points.withColumn("cx", _cell(F.col("x"), size)).withColumn("cy", _cell(F.col("y"), size))
-    hits = p.join(with_cells(polygons, size), ["cx", "cy"])
+    hits = _seen(points, size, levels_of(leveled(polygons, size))).join(at_home(polygons, size), list(CELL))
     inside = hits.where((F.col("x").between(F.col("x0"), F.col("x1"))) & (F.col("y").between(F.col("y0"), F.col("y1"))))
     return inside.where(point_in_rings(F.col("x"), F.col("y"), "edges")).select("pid", "id")
 
@@ -238,19 +213,36 @@ def _to_segment() -> tuple[Column, Column, Column]:
     return (F.col("x") - fx) * (F.col("x") - fx) + (F.col("y") - fy) * (F.col("y") - fy), fx, fy
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
-    """Each point (pid, x, y, ...) with its nearest segment (sid, ax, ay, bx, by, ...) within tolerance.
+PIECES = 16  # of a long segment
+
 
-    Points look into the cells that segments, widened by the tolerance, touch: (d2, foot_x, foot_y).
+def _walked(segments: DataFrame, size: float, tolerance: float) -> DataFrame:
+    """Segments in the cells that they, widened by the tolerance, pass: each walked in pieces of at most a cell's length, at
+    most `PIECES` of them, so a longer segment lies on a coarser level.
     """
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    length = F.greatest(F.abs(dx), F.abs(dy))
+    s = segments.where(length.isNotNull() & (length < float("inf"))).withColumn("level", _level(length / PIECES, size))
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+    n = F.greatest(F.lit(1), F.ceil(length / cell)).cast("int")
+    t = F.lit(float(tolerance))
+
+    def cells(i: Column) -> Column:
+        u, v = i / n, (i + 1) / n
+        ends = [(F.col("ax") + u * dx, F.col("ax") + v * dx), (F.col("ay") + u * dy, F.col("ay") + v * dy)]
+        xs, ys = (F.sequence(_cell(F.least(*e) - t, cell), _cell(F.greatest(*e) + t, cell)) for e in ends)
+        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+    passed = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cells)))
+    return s.select("*", F.inline(passed))
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
+    """Each point (pid, x, y, ...) with the segments (sid, ax, ay, bx, by, ...) within tolerance: (d2, foot_x, foot_y)."""
     size = max(4 * tolerance, 1e-12)
-    boxes = segments.withColumns({
-        "x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by"),
-    })
-    cells = with_cells(boxes, size, tolerance).drop("x0", "x1", "y0", "y1")
-    p = points.withColumn("cx", _cell(F.col("x"), size)).withColumn("cy", _cell(F.col("y"), size))
+    walked = _walked(segments, size, tolerance)
     d2, fx, fy = _to_segment()
-    near = p.join(cells, ["cx", "cy"]).withColumn("d2", d2).withColumn("foot_x", fx).withColumn("foot_y", fy)
+    near = _seen(points, size, levels_of(walked)).join(walked, list(CELL)).drop(*CELL).withColumns({"d2": d2, "foot_x": fx, "foot_y": fy})
     return near.where(F.col("d2") <= tolerance * tolerance)
 
 
@@ -319,12 +311,20 @@ def box_gap_km() -> Column:
 
 
 def cluster_edges(boxes: DataFrame, gap_km: float = 500.0) -> DataFrame:
-    """(u, v) of boxes (id, box) at most gap_km apart: latitude bands meet by an equi-join."""
-    band = gap_km / 111.2
-    rows = boxes.withColumn("c", F.explode(F.sequence(_cell(F.col("y0"), band), _cell(F.col("y1") + F.lit(band), band))))
-    other = rows.select(*[F.col(c).alias(c if c == "c" else f"{c}_b") for c in rows.columns])
-    first = F.col("c") == F.greatest(_cell(F.col("y0"), band), _cell(F.col("y0_b"), band))
-    return rows.join(other, "c").where(first & (F.col("id") < F.col("id_b")) & (box_gap_km() <= gap_km)).select(F.col("id").alias("u"), F.col("id_b").alias("v"))
+    """(u, v) of boxes (id, box) at most gap_km apart, each pair once.
+
+    Boxes are widened by the gap in degrees at their own latitude nearest to a pole (where a degree is shortest) and met on
+    the pyramid of cells; those that reach over the seam are there a second time, a turn away.
+    """
+    dlat = gap_km / 111.2
+    pole = F.least(F.greatest(F.abs("y0"), F.abs("y1")), F.lit(90.0))
+    dlon = F.lit(gap_km) / (F.lit(111.2) * F.greatest(F.abs(F.cos(F.radians(pole))), F.lit(0.05)))
+    wide = boxes.select("id", *BOX, (F.col("x0") - dlon).alias("w"), (F.col("x1") + dlon).alias("e"))
+    turns = F.filter(F.array(F.lit(0.0), F.when(F.col("w") < -180, 360.0), F.when(F.col("e") > 180, -360.0)), lambda t: t.isNotNull())
+    wide = wide.withColumn("t", F.explode(turns)).select(F.struct(*BOX).alias("box"), "id", (F.col("w") + F.col("t")).alias("x0"), (F.col("y0") - dlat).alias("y0"), (F.col("e") + F.col("t")).alias("x1"), (F.col("y1") + dlat).alias("y1"))
+    pairs = box_pairs(wide, wide, 2 * dlat).where("id < id_b")
+    far = pairs.select("id", "id_b", *[F.col(f"box.{c}").alias(c) for c in BOX], *[F.col(f"box_b.{c}").alias(f"{c}_b") for c in BOX])
+    return far.where(box_gap_km() <= gap_km).select(F.col("id").alias("u"), F.col("id_b").alias("v")).distinct()
 
 
 def claims_text(overlaps: DataFrame, most: int = 6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, rings, spatial
+from ..operators import arcs, dissolve, graph, rings, spatial
 from ..session import table
 from .registry import query
 
@@ -60,18 +60,104 @@ def overlap_self(spark, sf_dir):
     return spatial.self_overlaps(spatial.box_pairs(boxes, boxes, 12.0), spatial.box_overlap(), spatial.box_area(), spatial.box_area("_b"), 0.1)
 
 
-@query(_PAIR_SQL + """SELECT id AS "from", id_b AS "to", round(ov / ar / sum(ov / ar) OVER (PARTITION BY id), 6) AS weight FROM p WHERE ov / ar >= 0.05""")
+def _sheared(*corners):
+    """A ring of box corners (u, v) moved by an affine map: x = u + v / 2, y = v + u / 4. Shares of areas stay."""
+    return F.array(*[F.array(F.col(u) + F.col(v) / 2 if isinstance(u, str) else u + v / 2, F.col(v) + F.col(u) / 4 if isinstance(u, str) else v + u / 4) for u, v in corners])
+
+
+def _notched(df):
+    """Boxes without their upper right quarter, sheared."""
+    mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    c = F.col
+    corners = [(c("x0"), c("y0")), (c("x1"), c("y0")), (c("x1"), my), (mx, my), (mx, c("y1")), (c("x0"), c("y1"))]
+    return df.select("id", F.array(F.array(_sheared(*corners))).alias("geometry"))
+
+
+def _holed(df):
+    """Boxes with a hole of half their width and height in their middle, sheared."""
+    c = F.col
+    q = lambda a, b, k: c(a) + (c(b) - c(a)) * k / 4
+    outer = _sheared(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))
+    inner = _sheared(*((q("x0", "x1", i), q("y0", "y1", j)) for i, j in ((1, 1), (1, 3), (3, 3), (3, 1))))
+    return df.select("id", F.array(F.array(outer, inner)).alias("geometry"))
+
+
+def _shape_pairs(spark, sf_dir):
+    """Pairs of notched suppliers and holed customers whose boxes meet, with the area of their intersection and their own."""
+    a = _notched(_boxes(spark, sf_dir))
+    b = _holed(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6)))
+    a, b = (x.withColumns(spatial.polygon_box("geometry")) for x in (a, b))
+    p = spatial.box_pairs(a, b, 8.0).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
+    return p.withColumns({"area": spatial.polygon_area("geometry"), "area_b": spatial.polygon_area("geometry_b")})
+
+
+#: In the plane before the map: what the boxes share, less the part in the notch, less the parts in the hole outside the notch.
+_SHAPE_SQL = _BOX_SQL.rstrip().rstrip(",") + """,
+m AS (SELECT a.id, b.id AS id_b, a.x0, a.y0, a.x1, a.y1, (a.x0 + a.x1) / 2 AS nx, (a.y0 + a.y1) / 2 AS ny, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1,
+  b.x0 + (b.x1 - b.x0) / 4 AS hx0, b.y0 + (b.y1 - b.y0) / 4 AS hy0, b.x1 - (b.x1 - b.x0) / 4 AS hx1, b.y1 - (b.y1 - b.y0) / 4 AS hy1
+  FROM a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+p AS (SELECT id, id_b,
+  greatest(0, least(x1, bx1) - greatest(x0, bx0)) * greatest(0, least(y1, by1) - greatest(y0, by0))
+  - greatest(0, least(x1, bx1) - greatest(nx, bx0)) * greatest(0, least(y1, by1) - greatest(ny, by0))
+  - greatest(0, least(x1, hx1) - greatest(x0, hx0)) * greatest(0, least(y1, hy1) - greatest(y0, hy0))
+  + greatest(0, least(x1, hx1) - greatest(nx, hx0)) * greatest(0, least(y1, hy1) - greatest(ny, hy0)) AS ov,
+  (x1 - x0) * (y1 - y0) * 0.75 AS ar, (bx1 - bx0) * (by1 - by0) * 0.75 AS br FROM m)
+"""
+
+
+@query(_SHAPE_SQL + """SELECT id AS "from", id_b AS "to", round(ov / ar / sum(ov / ar) OVER (PARTITION BY id), 6) AS weight FROM p WHERE ov / ar >= 0.0501""")
 def overlap_crosswalk_polygons(spark, sf_dir):
-    """The same boxes as polygons, their overlaps by the area kernel."""
-    p = _pairs(spark, sf_dir)
+    """Areal weights of concave shapes against shapes with holes."""
+    return spatial.overlap_crosswalk(_shape_pairs(spark, sf_dir), F.col("overlap"), F.col("area"), 0.0501)
+
+
+@query(_SHAPE_SQL + "SELECT id, arg_min(id_b, id_b - 1e7 * round(ov, 6)) AS id_b, round(max(ov), 6) AS overlap FROM p WHERE ov / ar >= 0.2001 AND ov / br >= 0.2001 GROUP BY id")
+def best_match_polygons(spark, sf_dir):
+    p = _shape_pairs(spark, sf_dir)
+    det = 1 - 1 / 8  # of the map
+    return spatial.best_match(p, F.round(F.col("overlap") / det, 6), F.col("area") / det, F.col("area_b") / det, 0.2001)
+
+
+@query(_BOX_SQL.split("b AS (SELECT c_custkey")[0].rstrip().rstrip(",") + """,
+m AS (SELECT a.id AS a, b.id AS b, a.x0, a.y0, a.x1, a.y1, (a.x0 + a.x1) / 2 AS nx, (a.y0 + a.y1) / 2 AS ny, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, (b.x0 + b.x1) / 2 AS mx, (b.y0 + b.y1) / 2 AS my
+  FROM a JOIN a b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+p AS (SELECT a, b,
+  (greatest(0, least(x1, bx1) - greatest(x0, bx0)) * greatest(0, least(y1, by1) - greatest(y0, by0))
+  - greatest(0, least(x1, bx1) - greatest(nx, bx0)) * greatest(0, least(y1, by1) - greatest(ny, by0))
+  - greatest(0, least(x1, bx1) - greatest(x0, mx)) * greatest(0, least(y1, by1) - greatest(y0, my))
+  + greatest(0, least(x1, bx1) - greatest(nx, mx)) * greatest(0, least(y1, by1) - greatest(ny, my)))
+  / (0.75 * least((x1 - x0) * (y1 - y0), (bx1 - bx0) * (by1 - by0))) AS share FROM m)
+SELECT a, b, round(share, 6) AS share FROM p WHERE share > 0.1001""")
+def overlap_self_polygons(spark, sf_dir):
+    """Concave shapes of one layer that overlap."""
+    a = _notched(_boxes(spark, sf_dir)).withColumns(spatial.polygon_box("geometry"))
+    p = spatial.box_pairs(a, a, 8.0).where("id < id_b").withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
+    found = spatial.self_overlaps(p, F.col("overlap"), spatial.polygon_area("geometry"), spatial.polygon_area("geometry_b"), 0.1001)
+    return found.select("a", "b", F.round("share", 6).alias("share"))
+
+
+_CELLS_SQL = """
+WITH c AS (SELECT DISTINCT p_brand, p_partkey * 7 % 43 AS x, p_partkey * 11 % 37 AS y FROM part),
+n AS (SELECT c.*, EXISTS (FROM c r WHERE r.p_brand = c.p_brand AND r.x = c.x + 1 AND r.y = c.y) AS e, EXISTS (FROM c u WHERE u.p_brand = c.p_brand AND u.x = c.x AND u.y = c.y + 1) AS o,
+             EXISTS (FROM c d WHERE d.p_brand = c.p_brand AND d.x = c.x + 1 AND d.y = c.y + 1) AS d, EXISTS (FROM c w JOIN c v ON v.p_brand = w.p_brand AND v.x = w.x AND v.y = w.y + 1 WHERE w.p_brand = c.p_brand AND w.x = c.x + 1 AND w.y = c.y) AS col FROM c)
+"""
 
-    def ring(s: str):
-        c = lambda x, y: F.array(F.col(x + s), F.col(y + s))
-        return F.array(F.array(F.array(c("x0", "y0"), c("x1", "y0"), c("x1", "y1"), c("x0", "y1"), c("x0", "y0"))))
 
-    p = p.withColumn("ga", ring("")).withColumn("gb", ring("_b"))
-    p = p.withColumn("overlap", spatial.intersection_area("ga", "gb")).withColumn("area", spatial.polygon_area("ga"))
-    return spatial.overlap_crosswalk(p, F.col("overlap"), F.col("area"), 0.05)
+@query(_CELLS_SQL + """
+SELECT p_brand AS code, (SELECT arg_min(p_type, p_partkey) FROM part q WHERE q.p_brand = n.p_brand) AS parent, count(*)::DOUBLE AS area,
+  (count(*) - count(*) FILTER (e) - count(*) FILTER (o) + count(*) FILTER (o AND col))::INT AS parts_less_holes,
+  (4 * count(*) - 2 * count(*) FILTER (e) - 2 * count(*) FILTER (o))::DOUBLE AS length
+FROM n GROUP BY p_brand""")
+def dissolved_references(spark, sf_dir):
+    """Parts as squares of a grid, united by brand: area, length of all borders, and by Euler's formula parts less holes."""
+    k = F.col("p_partkey")
+    x, y = (k * 7 % 43).cast("double"), (k * 11 % 37).cast("double")
+    corner = lambda dx, dy: F.array(x + dx, y + dy)
+    square = F.array(F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))))
+    parts = table(spark, sf_dir, "part").select(k.alias("pos"), "p_brand", "p_type", square.alias("geometry"))
+    united = dissolve.grouped_references(parts, F.col("p_brand"), F.col("p_type"))
+    found = united.withColumns(dissolve.ring_counts("geometry"))
+    return found.select("code", "parent", spatial.polygon_area("geometry").alias("area"), (F.col("parts") - F.col("holes")).alias("parts_less_holes"), "length")
 
 
 @query(_BOX_SQL + "w AS (SELECT 1) SELECT id FROM a WHERE x1 >= -20 AND x0 <= 35 AND y1 >= -10 AND y0 <= 50")
@@ -276,3 +362,40 @@ def simplify_arcs(spark, sf_dir):
     k = F.col("n_nationkey")
     n = table(spark, sf_dir, "nation").select(k.cast("long").alias("key"), F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.array(i.cast("double"), F.sin(i.cast("double") * (k + 1) / 7.0))).alias("points"))
     return rings.simplify_arcs(n, 0.2)
+
+
+#: Squares on a grid of five a row; the middle of the border to the right neighbour is moved to the right by d.
+_TEETH_SQL = """
+WITH n AS (SELECT n_nationkey::BIGINT AS k, n_nationkey % 5 AS x, CASE WHEN n_nationkey % 5 < 4 THEN 0.025::DOUBLE * (n_nationkey % 7) ELSE 0 END AS d FROM nation),
+t AS (SELECT *, CASE WHEN d / 2 > 0.03 THEN d ELSE 0 END AS kept FROM n)
+"""
+
+
+def _toothed(spark, sf_dir):
+    k = F.col("n_nationkey").cast("long")
+    tooth = lambda c: F.when(c % 5 < 4, (c % 7) * 0.025).otherwise(0.0)
+    x, y = (k % 5).cast("double"), F.floor(k / 5).cast("double")
+    at = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    west = F.when(k % 5 > 0, tooth(k - 1)).otherwise(0.0)
+    ring = F.array(at(0, 0), at(1, 0), at(tooth(k) + 1, 0.5), at(1, 1), at(0, 1), at(west, 0.5), at(0, 0))
+    n = table(spark, sf_dir, "nation").select(k.alias("feature"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.posexplode(ring).alias("pos", "p"))
+    return n.select("feature", "part", "ring", "pos", "p.x", "p.y")
+
+
+@query(_TEETH_SQL + """
+SELECT t.k AS feature, round(1 + t.kept / 2 - coalesce(w.kept, 0) / 2, 9) AS area, 5 + (t.kept > 0)::INT + (coalesce(w.kept, 0) > 0)::INT AS points
+FROM t LEFT JOIN t w ON w.k = t.k - 1 AND t.x > 0""")
+def simplified_shapes(spark, sf_dir):
+    """Teeth under the threshold go from both sides of their border, the others stay on both."""
+    shapes, _ = arcs.simplify_shared(_toothed(spark, sf_dir), 0.03)
+    return shapes.select("feature", F.round(arcs.shape_area("geometry"), 9).alias("area"), F.size(F.flatten(F.flatten("geometry"))).alias("points"))
+
+
+@query(_TEETH_SQL + """
+SELECT k AS a, k + 1 AS b, round(CASE WHEN kept > 0 THEN 2 * sqrt(0.25 + kept * kept) ELSE 1 END, 9) AS length FROM t WHERE x < 4
+UNION ALL SELECT k, k + 5, 1.0 FROM t WHERE k < 20
+UNION ALL SELECT k, NULL, ((x = 0)::INT + (x = 4)::INT + (k < 5)::INT + (k >= 20)::INT)::DOUBLE FROM t WHERE x IN (0, 4) OR k < 5 OR k >= 20""")
+def simplified_borders(spark, sf_dir):
+    """Length of the border of each pair of neighbours, and of each outline."""
+    _, borders = arcs.simplify_shared(_toothed(spark, sf_dir), 0.03)
+    return borders.groupBy("a", "b").agg(F.round(F.sum(arcs.line_length("line")), 9).alias("length"))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from regionloom.operators import codes, graph, layout, projection, resolve, rings, spatial, units
+from regionloom.operators import codes, graph, layout, overlay, projection, resolve, rings, spatial, units
 from regionloom.operators import reshape as R
 from regionloom.sources import documents, gpkg, markup, tables
 
@@ -104,14 +104,15 @@ def square(x, y, w, h):
 
 
 def test_area_kernel():
-    a, b = spatial.edges_of(square(0, 0, 2, 2)), spatial.edges_of(square(1, 1, 2, 2))
-    assert spatial.area_of([a, b]) == pytest.approx(1) and spatial.area_of([a, b], union=True) == pytest.approx(7)
-    assert spatial.area_of([a, spatial.edges_of(square(5, 5, 1, 1))]) == 0
-    hole = spatial.edges_of([[square(0, 0, 4, 4)[0][0], square(1, 1, 2, 2)[0][0]]])
-    assert spatial.area_of([hole]) == pytest.approx(12) and spatial.area_of([hole, spatial.edges_of(square(1, 1, 1, 1))]) == pytest.approx(0)
-    tri = spatial.edges_of([[[[0, 0], [4, 0], [0, 4], [0, 0]]]])
-    assert spatial.area_of([tri, spatial.edges_of(square(1, 1, 9, 9))]) == pytest.approx(2)
-    assert spatial.area_of([spatial.edges_of([])]) == 0
+    area = lambda *shapes, union=False: overlay.areas([list(shapes)], union)[0]
+    a, b = square(0, 0, 2, 2), square(1, 1, 2, 2)
+    assert area(a, b) == pytest.approx(1) and area(a, b, union=True) == pytest.approx(7)
+    assert area(a, square(5, 5, 1, 1)) == 0
+    hole = [[square(0, 0, 4, 4)[0][0], square(1, 1, 2, 2)[0][0]]]
+    assert area(hole) == pytest.approx(12) and area(hole, square(1, 1, 1, 1)) == pytest.approx(0)
+    tri = [[[[0, 0], [4, 0], [0, 4], [0, 0]]]]
+    assert area(tri, square(1, 1, 9, 9)) == pytest.approx(2)
+    assert area([]) == 0
 
 
 def boxes(spark, rows):
