@@ -16,10 +16,10 @@ the root to the word, for a word not in training back to the root.
 
 Scale. The model is never gathered anywhere: its n-grams grow with the corpus. A block of texts asks
 for the counts of just its own n-grams, builds its part of the automaton from the answers and reads its
-texts through it (see blocks.py). Counts are summed within blocks before they move. Words and pairs
-are known by 64-bit hashes (XXH64, mixed): two of n of them fall together by a chance of n^2 / 2^65. A
-triple is known by its first pair and 32 bits of its last word: of f words that follow one pair, two
-fall together by a chance of f^2 / 2^33.
+texts through it (see blocks.py). Counts are summed within blocks before they move. Within a block n-grams
+are known by numbers, which are exact; between blocks by 64-bit hashes (XXH64, mixed): two of n words, pairs
+or triples fall together by a chance of n^2 / 2^65. A block sends a bucket the hashes of the words that
+end its triples once, and for each triple the place of its word among them.
 
 Edge cases. Null and empty texts are one end token. A null learn flag is false. With no training text
 every probability is 1 (score 0). Repeated rows are learned and scored as often as they occur. An empty
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from . import kernels as K
-from .blocks import TABLE_BUCKETS, block_count, bucket_count, bucket_edges, expand, expand_sorted, squeeze, squeeze_sorted, store_as_read, unpack
+from .blocks import LEAST_BUCKETS, TABLE_BUCKETS, block_count, bucket_count, bucket_edges, expand, expand_sorted, squeeze, squeeze_sorted, store_as_read, unpack
 from .common import materialize, table, text_bytes
 from .langid import held_out
 
@@ -69,8 +69,8 @@ class Grams:
     """The tokens of texts, each text's words then its end, and their distinct n-grams.
 
     word, pair, triple: for every token the number of the word, of the pair and of the triple that it
-    ends (-1 where a text has no triple yet); words, pairs: hashes by number; triples: the number of the
-    first pair (which ascends) and half the last word's hash.
+    ends (-1 where a text has no triple yet); words, pairs: hashes by number; triples: the numbers of the
+    first pair (which ascends) and of the last word.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -99,7 +99,7 @@ class Grams:
         longer = np.ones(len(h), bool)
         longer[self.starts] = False
         at = np.flatnonzero(longer)
-        key = self.pair[at - 1].astype(np.uint64) << np.uint64(32) | h[at] >> np.uint64(32)
+        key = self.pair[at - 1].astype(np.uint64) << np.uint64(32) | self.word[at].astype(np.uint64)
         self.triples, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         self.triple = np.full(len(h), -1, np.int32)
         self.triple[at] = inverse
@@ -193,19 +193,19 @@ def _block_rows(blobs: pa.Table) -> tuple[pa.Table, Grams, np.ndarray]:
 _KINDS = ("words", "pairs", "triples")
 
 
-_SENT = ("words", "pairs", "followers", "triples", "n_words", "n_pairs", "n_triples")
+_SENT = ("words", "pairs", "followers", "last", "triples", "n_words", "n_pairs", "n_triples")
 
 
 def _ask(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in _SENT)])
 
     def ask(key, blobs):
-        """Per bucket: sorted words and pairs, how many words follow each pair and these words, and all counts."""
+        """Per bucket: sorted words and pairs, how many words follow each pair, these words (once, sorted, then their places), and all counts."""
         _, grams, learn = _block_rows(blobs)
         order = np.argsort(grams.words)
         n1, n2, n3 = grams.counts(learn)
         n1, words, pairs = n1[order], grams.words[order], grams.pairs
-        first, last = (grams.triples >> np.uint64(32)).astype(np.int64), grams.triples.astype(np.uint32)
+        first, last = (grams.triples >> np.uint64(32)).astype(np.int64), grams.words[grams.triples.astype(np.uint32)]
         del grams
         w, p = bucket_edges(words, buckets), bucket_edges(pairs, buckets)
         t = np.searchsorted(first, p)
@@ -214,7 +214,8 @@ def _ask(buckets: int):
         for i in range(buckets):
             a, b, c = slice(w[i], w[i + 1]), slice(p[i], p[i + 1]), slice(t[i], t[i + 1])
             if a.start < a.stop or b.start < b.stop:
-                row = squeeze_sorted(words[a]), squeeze_sorted(pairs[b]), *map(squeeze, (followers[b], last[c], n1[a], n2[b], n3[c]))
+                ends, place = np.unique(last[c], return_inverse=True)
+                row = squeeze_sorted(words[a]), squeeze_sorted(pairs[b]), squeeze(followers[b]), squeeze_sorted(ends), *map(squeeze, (place.astype(np.uint32), n1[a], n2[b], n3[c]))
                 out.append((i, key[0].as_py(), *row))
         K.release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
@@ -239,7 +240,7 @@ def _answer(key, asked):
     sums, words = summed([expand_sorted(x) for x in cols["words"]], cols["n_words"])
     keys = [expand_sorted(x) for x in cols["pairs"]]
     _, pairs = summed(keys, cols["n_pairs"])
-    last = (np.repeat(k, expand(n, np.uint32)) * _STEP + expand(x, np.uint32) for k, n, x in zip(keys, cols["followers"], cols["triples"]))
+    last = (np.repeat(k, expand(n, np.uint32)) * _STEP + expand_sorted(e)[expand(x, np.uint32)] for k, n, e, x in zip(keys, cols["followers"], cols["last"], cols["triples"]))
     _, triples = summed([K.mix(x) for x in last], cols["n_triples"])
     n, bucket = len(words), key[0].as_py()
     K.release()
@@ -278,7 +279,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, tables: int = TABLE_B
     rows = docs.select(kept.alias("row"), "text", F.coalesce("learn", F.lit(False)).alias("learn"))
     blocks = store_as_read(rows, block_count(size, block_bytes), block_bytes, tables)
     sent = "bucket int, block long, " + ", ".join(f"{c} binary" for c in _SENT)
-    asked = blocks.groupBy("block").applyInArrow(_ask(bucket_count(size, BUCKET_BYTES)), sent)
+    buckets = bucket_count(size, BUCKET_BYTES) if size > LEAST_BUCKETS << 20 else max(1, size >> 20)
+    asked = blocks.groupBy("block").applyInArrow(_ask(buckets), sent)
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER), "lm-counts")
     whole = answers.where("block = -1").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = (int(x or 0) for x in whole)

@@ -109,3 +109,21 @@ def test_messages_grow_with_blocks(spark, monkeypatch):
     rows = [k.where("block >= 0") for k in kept]
     blocks = [r.select("block").distinct().count() for r in rows]
     assert blocks[1] > 2000 and all(r.count() <= 128 * n for r, n in zip(rows, blocks))
+
+
+def test_words_that_agree_on_half_their_hash_are_told_apart(spark):
+    """After one pair come two words with the same upper 32 bits of the mixed hash, in training once and thrice."""
+    from xxhash import xxh64_intdigest
+
+    words = [f"w{i}" for i in range(300_000)]
+    h = lm.K.mix(np.array([xxh64_intdigest(w.encode()) for w in words], np.uint64))
+    half, order = h >> np.uint64(32), np.argsort(h)
+    k = int(np.flatnonzero(half[order][1:] == half[order][:-1])[0])
+    a, b = words[order[k]], words[order[k + 1]]
+    assert h[order[k]] != h[order[k + 1]]
+    rows = [(True, f"u v {a}")] + [(True, f"u v {b}")] * 3 + [(False, f"u v {a}"), (False, f"u v {b}")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, learn boolean, text string")
+    got = {r["i"]: r["score"] for r in lm.score(df).collect()}
+    for i, want in enumerate(plain_scores(rows)):
+        assert got[i] == pytest.approx(want[-1], abs=1e-9)
+    assert abs(got[4] - got[5]) > 0.05
