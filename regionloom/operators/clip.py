@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import rings, spatial
+from . import spatial
 
 Box = tuple[float, float, float, float]
 
@@ -36,7 +36,8 @@ def clip_ring(ring: list[tuple[float, float]], box: Box) -> list[tuple[float, fl
 
 
 def clip_polygons(features: DataFrame, box: Box) -> DataFrame:
-    """(id, geometry) cut to a box; features wholly inside pass as they are, those outside go.
+    """(id, geometry) cut to a box; features wholly inside pass as they are, those outside go. A concave shape may
+    leave several parts, without bridges along the frame.
 
     The two quick cases are column expressions on the features' boxes; only what crosses the frame
     reaches Python.
@@ -46,20 +47,10 @@ def clip_polygons(features: DataFrame, box: Box) -> DataFrame:
     inside = (F.col("x0") >= x0) & (F.col("x1") <= x1) & (F.col("y0") >= y0) & (F.col("y1") <= y1)
     meets = spatial.in_box(x0, y0, x1, y1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, shapes = [], []
-            for i, parts in zip(b["id"], b["geometry"]):
-                cut = [[c for c in (clip_ring([tuple(p) for p in r], box) for r in rs) if c] for rs in parts]
-                cut = [rs for rs in cut if rs]
-                if cut:
-                    ids.append(i)
-                    shapes.append([[[list(p) for p in r] for r in rs] for rs in cut])
-            yield pd.DataFrame({"id": ids, "geometry": shapes})
-
-    kind = features.schema["id"].dataType.simpleString()
-    crossing = f.where(meets & ~inside).select("id", "geometry").mapInPandas(run, f"id {kind}, geometry array<array<array<array<double>>>>")
-    return f.where(inside).select("id", "geometry").unionByName(crossing)
+    frame = F.lit([[[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]]).cast(spatial.POLYGON)
+    crossing = f.where(meets & ~inside).withColumn("frame", frame)
+    cut = crossing.select("id", spatial.intersection_shape("geometry", "frame").alias("geometry")).where(F.size("geometry") > 0)
+    return f.where(inside).select("id", "geometry").unionByName(cut)
 
 
 def clip_segments(segments: DataFrame, box: Box) -> DataFrame:
@@ -128,30 +119,20 @@ def box_outline(west: float, south: float, east: float, north: float, steps: int
 
 
 def land_grid(polygons: DataFrame, width: int, height: int, cell: float = 6.0) -> DataFrame:
-    """(map, row, col, land): is a cell's centre inside one of the map's polygons (map, id, box, edges)?"""
-    maps = polygons.select("map").distinct()
-    rows = F.explode(F.sequence(F.lit(0), F.lit(int(-(-height // cell)) - 1))).alias("row")
-    grid = maps.select("map", rows).select("map", "row", F.explode(F.sequence(F.lit(0), F.lit(int(-(-width // cell)) - 1))).alias("col"))
-    centre = grid.withColumn("x", (F.col("col") + 0.5) * cell).withColumn("y", (F.col("row") + 0.5) * cell)
-    inside = centre.join(polygons, "map").where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    hits = inside.where(spatial.point_in_rings(F.col("x"), F.col("y"), "edges")).select("map", "row", "col").distinct()
-    return grid.join(hits.withColumn("land", F.lit(True)), ["map", "row", "col"], "left").withColumn("land", F.coalesce("land", F.lit(False)))
+    """(map, row, col, land): is a cell's centre inside one of the map's polygons (map, id, box, edges)?
 
-
-def repair(vertices: DataFrame, tolerance: float) -> tuple[DataFrame, dict[str, int]]:
-    """Snapped and cleaned ring rows (layer, pid, owner, feature, part, ring, pos, x, y), or the cleaned
-    originals if snapping left more near misses than it found. Returns the rows and both counts.
+    A polygon looks only at the cells whose centres its own box holds.
     """
-
-    def outline(v: DataFrame) -> DataFrame:
-        e = rings.edges(v.withColumn("feature", F.col("owner")))
-        return e.select(F.col("feature").alias("owner"), F.monotonically_increasing_id().alias("sid"), F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
-
-    def misses(v: DataFrame) -> int:
-        return int(spatial.near_misses(v, outline(v), tolerance).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-
-    moved = spatial.snap_features(vertices, tolerance).select("pid", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    snapped = vertices.join(moved, "pid").withColumn("x", F.col("nx")).withColumn("y", F.col("ny")).drop("nx", "ny")
-    before, after = misses(vertices), misses(snapped)
-    best = snapped if after <= before else vertices
-    return rings.clean_rings(best), {"before": before, "after": after}
+    rows, cols = int(-(-height // cell)), int(-(-width // cell))
+    grid = polygons.select("map").distinct().select("map", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"))
+
+    def within(low: str, high: str, most: int) -> Column:
+        a = F.greatest(F.lit(0.0), F.ceil(F.col(low) / cell - 0.5)).cast("int")
+        b = F.least(F.lit(most - 1.0), F.floor(F.col(high) / cell - 0.5)).cast("int")
+        return F.explode(F.when(a <= b, F.sequence(a, b)))
+
+    boxed = polygons.withColumn("row", within("y0", "y1", rows)).withColumn("col", within("x0", "x1", cols))
+    centre = boxed.withColumn("x", (F.col("col") + 0.5) * cell).withColumn("y", (F.col("row") + 0.5) * cell)
+    hits = centre.where(spatial.point_in_rings(F.col("x"), F.col("y"), "edges")).select("map", "row", "col").distinct()
+    return grid.join(hits.withColumn("land", F.lit(True)), ["map", "row", "col"], "left").withColumn("land", F.coalesce("land", F.lit(False)))

@@ -239,26 +239,31 @@ def issues(features: DataFrame, vertices: DataFrame, parts: DataFrame, overlaps:
 
 
 def polygon_problem(edge_rows: DataFrame, cell: float) -> DataFrame:
-    """(feature, part, reason): proper crossings or collinear overlaps of edges that are not neighbours.
+    """(feature, part, reason): rings of fewer than three distinct points; else proper crossings or collinear overlaps of
+    edges that are not neighbours.
 
-    Edges meet per grid cell; vertices that only touch are accepted.
+    Edges meet per grid cell; vertices that only touch are accepted, repeated vertices don't count.
     """
     from .spatial import box_pairs
 
-    b = edge_rows.select("feature", "part", "ring", "pos", "x0", "y0", "x1", "y1").withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*RING)))
-    named = b.select(*RING, "pos", "n", F.col("x0").alias("px"), F.col("y0").alias("py"), F.col("x1").alias("qx"), F.col("y1").alias("qy"))
+    few = edge_rows.groupBy(*RING).agg(F.countDistinct("x0", "y0").alias("n")).where("n < 3").select("feature", "part").distinct()
+    ring = W.partitionBy(*RING)
+    b = edge_rows.where("x0 <> x1 OR y0 <> y1").select(*RING, "x0", "y0", "x1", "y1", F.row_number().over(_along()).alias("at"), F.count(F.lit(1)).over(ring).alias("n"))
+    named = b.select(*RING, "at", "n", F.col("x0").alias("px"), F.col("y0").alias("py"), F.col("x1").alias("qx"), F.col("y1").alias("qy"))
     boxed = named.withColumns({"x0": F.least("px", "qx"), "x1": F.greatest("px", "qx"), "y0": F.least("py", "qy"), "y1": F.greatest("py", "qy")})
-    pairs = box_pairs(boxed, boxed, cell).where("feature = feature_b and part = part_b").where("struct(ring, pos) < struct(ring_b, pos_b)")
+    pairs = box_pairs(boxed, boxed, cell).where("feature = feature_b and part = part_b").where("struct(ring, at) < struct(ring_b, at_b)")
+    pairs = pairs.where("NOT (ring = ring_b AND (at_b = at + 1 OR (at = 1 AND at_b = n)))")
     side = lambda ax, ay, bx, by, cx, cy: (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax))
     d1, d2 = side("px", "py", "qx", "qy", "px_b", "py_b"), side("px", "py", "qx", "qy", "qx_b", "qy_b")
     d3, d4 = side("px_b", "py_b", "qx_b", "qy_b", "px", "py"), side("px_b", "py_b", "qx_b", "qy_b", "qx", "qy")
-    crossing = (d1 * d2 < 0) & (d3 * d4 < 0)
+    crossing = (F.signum(d1) * F.signum(d2) < 0) & (F.signum(d3) * F.signum(d4) < 0)
     overlap = (d1 == 0) & (d2 == 0) & (
         (F.least("x1", "x1_b") > F.greatest("x0", "x0_b")) | (F.least("y1", "y1_b") > F.greatest("y0", "y0_b"))
     )
     reason = F.when(crossing, "edges cross").when(overlap, "edges overlap")
-    bad = pairs.withColumn("reason", reason).where("reason is not null")
-    return bad.groupBy("feature", "part").agg(F.min("reason").alias("reason"))
+    bad = pairs.withColumn("reason", reason).where("reason is not null").select("feature", "part", "reason")
+    found = bad.unionByName(few.withColumn("reason", F.lit("a ring of fewer than 3 distinct points")))
+    return found.groupBy("feature", "part").agg(F.min("reason").alias("reason"))
 
 
 def assemble(parts: DataFrame, min_area: float) -> DataFrame:

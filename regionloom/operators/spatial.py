@@ -265,42 +265,6 @@ def near_misses(vertices: DataFrame, segments: DataFrame, tolerance: float) -> D
     return best.groupBy(F.least("owner", "m.other").alias("a"), F.greatest("owner", "m.other").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def snap_features(features: DataFrame, tolerance: float, schema: str = "layer string, pid long, owner long, pos long, x double, y double") -> DataFrame:
-    """Vertices of later features moved onto earlier ones: a vertex within tolerance, else an edge.
-
-    Inherently sequential within a layer (feature i sees the snapped features before it), so a layer
-    is one group; layers run in parallel.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, seen = [], np.zeros((0, 2))
-        edges = np.zeros((0, 4))
-        for _, f in rows.sort_values(["owner", "pos"]).groupby("owner", sort=True):
-            pts = f[["x", "y"]].to_numpy(float).copy()
-            for i, p in enumerate(pts):
-                if len(seen):
-                    d = ((seen - p) ** 2).sum(1)
-                    k = int(d.argmin())
-                    if d[k] <= tolerance**2:
-                        pts[i] = seen[k]
-                        continue
-                    a, v = edges[:, :2], edges[:, 2:] - edges[:, :2]
-                    n = (v**2).sum(1)
-                    t = np.clip(np.where(n > 0, ((p - a) * v).sum(1) / np.where(n > 0, n, 1), 0), 0, 1)
-                    foot = a + t[:, None] * v
-                    d = ((foot - p) ** 2).sum(1)
-                    k = int(d.argmin())
-                    if d[k] <= tolerance**2:
-                        pts[i] = foot[k]
-            out.append(f.assign(x=pts[:, 0], y=pts[:, 1]))
-            seen = np.vstack([seen, pts])
-            edges = np.vstack([edges, np.hstack([pts, np.roll(pts, -1, 0)])])
-        return pd.concat(out)
-
-    names = [c.split()[0] for c in schema.split(",")]
-    return features.select(*names).groupBy("layer").applyInPandas(run, schema)
-
-
 def box_gap_km() -> Column:
     """Approximate distance between two lon/lat boxes, across the antimeridian too."""
     dlat = F.greatest(F.col("y0_b") - F.col("y1"), F.col("y0") - F.col("y1_b"), F.lit(0.0))

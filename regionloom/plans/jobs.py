@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clip, layout, rings, spatial
+from ..operators import clip, layout, rings, snap, spatial
 from ..session import table
 from .registry import query
-from .shapes import _BOX_SQL, _boxes, _squares
+from .shapes import _BOX_SQL, _boxes, _odd_shapes, _squares
 
 
 def unique_ids(rows: DataFrame, raw: str, order: str) -> DataFrame:
@@ -237,10 +237,24 @@ def seamless_lines(spark, sf_dir):
     return rings.without_seam(v).groupBy("feature").agg(F.countDistinct("piece").alias("pieces"), F.count(F.lit(1)).alias("points"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT n_nationkey AS k, n_nationkey % 5 AS i, n_nationkey // 5 AS j FROM nation),
+c(pos, dx, dy) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)),
+v AS (SELECT k, pos, i + dx AS x, j + dy AS y FROM n, c)
+SELECT k::BIGINT AS feature, pos, round(x + 0.001::DOUBLE * ((SELECT min(k) FROM v o WHERE o.x = v.x AND o.y = v.y) % 2), 9) AS x, y::DOUBLE AS y FROM v""")
 def repaired_rings(spark, sf_dir):
-    """Squares whose right-hand neighbours are a little off, snapped and cleaned."""
+    """Squares, every other one a little off to the right: a corner ends where the first of its owners has it."""
     v = _squares(spark, sf_dir)
     off = v.withColumn("x", F.col("x") + F.when(F.col("feature") % 2 == 1, 0.001).otherwise(0.0))
-    rows = off.select(F.lit("l").alias("layer"), F.monotonically_increasing_id().alias("pid"), F.col("feature").alias("owner"), "feature", "part", "ring", F.col("pos").cast("long").alias("pos"), "x", "y")
-    return clip.repair(rows, 0.01)[0]
+    return snap.repair(off, 0.01)[0].select("feature", "pos", F.round("x", 9).alias("x"), "y")
+
+
+@query("""
+SELECT s_suppkey AS feature, count(*) AS parts, round(sum(area), 9) AS area FROM supplier,
+  (VALUES (0, 1.0), (1, 0.25), (1, 0.25), (3, 15.0), (3, 1.0)) v(kind, area) WHERE s_suppkey % 4 = kind GROUP BY s_suppkey""")
+def rebuilt_shapes(spark, sf_dir):
+    """Squares stay, bow ties become two triangles, a ring without area goes, of a hole over the edge the outer half is land by the even-odd rule."""
+    found = snap.repair(_odd_shapes(spark, sf_dir), 1e-6)[0]
+    ring = found.groupBy("feature", "part", "ring").agg(F.abs(rings.ring_area(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("x", "y").alias("p")))), lambda s: s["p"]))).alias("a"))
+    part = ring.groupBy("feature", "part").agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"))
+    return part.groupBy("feature").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum("area"), 9).alias("area"))

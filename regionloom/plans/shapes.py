@@ -325,15 +325,22 @@ def issue_counts(spark, sf_dir):
     return _issues(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT s_suppkey AS feature, 0 AS part, 'edges cross' AS reason FROM supplier WHERE s_suppkey % 2 = 0")
-def polygon_validity(spark, sf_dir):
-    """Even suppliers get a bow tie, odd ones a square."""
+def _odd_shapes(spark, sf_dir):
+    """By supplier a square, a bow tie, a ring there and back, or a square with a hole that crosses its edge."""
     k = F.col("s_suppkey")
-    x = (k % 50 * 3).cast("double")
-    p = lambda dx, dy: F.struct((x + dx).alias("x"), F.lit(float(dy)).alias("y"))
-    ring = F.when(k % 2 == 0, F.array(p(0, 0), p(1, 1), p(1, 0), p(0, 1), p(0, 0))).otherwise(F.array(p(0, 0), p(1, 0), p(1, 1), p(0, 1), p(0, 0)))
-    v = table(spark, sf_dir, "supplier").select(k.alias("feature"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.posexplode(ring).alias("pos", "p"))
-    return rings.polygon_problem(rings.edges(v.select("feature", "part", "ring", "pos", "p.x", "p.y")), 1.0)
+    x, y = (k % 50 * 10).cast("double"), (F.floor(k / 50) * 10).cast("double")
+    ring = lambda *at: F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in at))
+    square = ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+    outer = F.when(k % 4 == 0, square).when(k % 4 == 1, ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))).when(k % 4 == 2, ring((0, 0), (1, 0), (0, 0))).otherwise(ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)))
+    holes = F.when(k % 4 == 3, F.array(ring((3, 1), (5, 1), (5, 2), (3, 2), (3, 1)))).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>"))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("feature"), F.lit(0).alias("part"), F.posexplode(F.concat(F.array(outer), holes)).alias("ring", "points"))
+    return rows.select("feature", "part", "ring", F.posexplode("points").alias("pos", "p")).select("feature", "part", "ring", "pos", "p.x", "p.y")
+
+
+@query("""SELECT s_suppkey AS feature, 0 AS part, CASE s_suppkey % 4 WHEN 2 THEN 'a ring of fewer than 3 distinct points' ELSE 'edges cross' END AS reason
+FROM supplier WHERE s_suppkey % 4 <> 0""")
+def polygon_validity(spark, sf_dir):
+    return rings.polygon_problem(rings.edges(_odd_shapes(spark, sf_dir)), 1.0)
 
 
 @query("""

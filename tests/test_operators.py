@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from regionloom.operators import codes, graph, layout, overlay, projection, resolve, rings, spatial, units
+from regionloom.operators import codes, graph, layout, overlay, projection, resolve, rings, snap, spatial, units
 from regionloom.operators import reshape as R
 from regionloom.sources import documents, gpkg, markup, tables
 
@@ -126,10 +126,10 @@ def test_overlap_crosswalk(spark):
 
 
 def test_snapping_and_near_misses(spark):
-    f = spark.createDataFrame([("l", i, o, p, x, y) for i, (o, p, x, y) in enumerate([(0, 0, 0.0, 0.0), (0, 1, 1.0, 0.0), (0, 2, 1.0, 1.0), (1, 0, 1.001, 0.001), (1, 1, 2.0, 0.0), (1, 2, 1.002, 0.5)])],
-                              "layer string, pid long, owner long, pos long, x double, y double")
-    got = {r["pid"]: (round(r["x"], 6), round(r["y"], 6)) for r in spatial.snap_features(f, 0.01).collect()}
-    assert got[3] == (1.0, 0.0) and got[5] == (1.0, 0.5) and got[4] == (2.0, 0.0)
+    rows = [(0, 0, 0.0, 0.0), (0, 1, 1.0, 0.0), (0, 2, 1.0, 1.0), (1, 0, 1.001, 0.001), (1, 1, 2.0, 0.0), (1, 2, 1.002, 0.5)]
+    f = spark.createDataFrame([("l", o, 0, 0, p, x, y) for o, p, x, y in rows], "layer string, owner long, part int, ring int, pos long, x double, y double")
+    got = {(r["owner"], r["pos"]): (round(r["x"], 6), round(r["y"], 6)) for r in snap.snap_features(f, 0.01).collect()}
+    assert got[1, 0] == (1.0, 0.0) and got[1, 2] == (1.0, 0.5) and got[1, 1] == (2.0, 0.0)
 
 
 def test_components_and_depth(spark):
