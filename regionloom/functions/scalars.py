@@ -95,8 +95,8 @@ def sha1_hex(c: Column) -> Column:
 
 
 def cache_key(parts: Sequence[Column]) -> Column:
-    """SHA-1 of the parts joined by U+001F."""
-    return F.sha1(F.concat_ws("\x1f", *parts).cast("binary"))
+    """SHA-1 of the parts joined by U+001F; a null part is U+0001, so leaving a part out gives another key."""
+    return F.sha1(F.concat_ws("\x1f", *(F.coalesce(p, F.lit("\x01")) for p in parts)).cast("binary"))
 
 
 def file_safe(c: Column) -> Column:

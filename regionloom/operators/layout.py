@@ -35,35 +35,6 @@ def place_box(candidates: DataFrame, taken: DataFrame, gap: float = 4.0) -> Data
     return free.groupBy("map").agg(F.min_by(F.struct("pos", "x0", "y0", "x1", "y1", "land"), F.struct("land", "pos")).alias("b")).select("map", "b.*")
 
 
-def largest_empty(grid: list[list[bool]]) -> tuple[int, int, int, int, int]:
-    """(area, row0, col0, row1, col1) of the largest rectangle of false cells, the first of equals."""
-    best, width = (0, 0, 0, 0, 0), len(grid[0]) if grid else 0
-    height = [0] * width
-    for r, row in enumerate(grid):
-        height = [0 if x else h + 1 for x, h in zip(row, height)]
-        stack: list[int] = []
-        for c in range(width + 1):
-            h = height[c] if c < width else 0
-            while stack and height[stack[-1]] >= h:
-                top = height[stack.pop()]
-                left = stack[-1] + 1 if stack else 0
-                if top * (c - left) > best[0]:
-                    best = (top * (c - left), r - top + 1, left, r, c - 1)
-            stack.append(c)
-    return best
-
-
-def legend_slots(grid: DataFrame) -> DataFrame:
-    """The largest empty rectangle of each map's grid (map, row, col, taken): one map is one group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        m = rows.pivot(index="row", columns="col", values="taken").fillna(True).astype(bool)
-        area, r0, c0, r1, c1 = largest_empty(m.to_numpy().tolist())
-        return pd.DataFrame([(rows["map"].iloc[0], area, r0, c0, r1, c1)], columns=["map", "area", "row0", "col0", "row1", "col1"])
-
-    return grid.groupBy("map").applyInPandas(run, "map long, area long, row0 long, col0 long, row1 long, col1 long")
-
-
 def _distance(x: float, y: float, ring: list[tuple[float, float]]) -> float:
     """Signed distance to a ring: positive inside."""
     inside, best = False, float("inf")
@@ -124,28 +95,6 @@ def poles(polygons: DataFrame, precision: float) -> DataFrame:
     return polygons.select("id", "ring").mapInPandas(run, "id long, x double, y double, distance double")
 
 
-def place_labels(labels: DataFrame) -> DataFrame:
-    """Greedy labels of a map (map, id, text, x, y, room): the roomiest first, at sizes 1, .85 and .7.
-
-    A label takes the first size whose box fits its room and meets no label placed before. The order
-    makes it sequential, so one map is one group; maps run in parallel.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        placed, out = [], []
-        for r in rows.sort_values(["room", "id"], ascending=[False, True]).itertuples():
-            for size in (1.0, 0.85, 0.7):
-                w, h = 0.56 * len(r.text) * size, 1.2 * size
-                box = (r.x - w / 2, r.y - h / 2, r.x + w / 2, r.y + h / 2)
-                if (w * w + h * h) ** 0.5 <= 2 * r.room and not any(box[0] <= b[2] and b[0] <= box[2] and box[1] <= b[3] and b[1] <= box[3] for b in placed):
-                    placed.append(box)
-                    out.append((r.map, r.id, size, *box))
-                    break
-        return pd.DataFrame(out, columns=["map", "id", "size", "x0", "y0", "x1", "y1"])
-
-    return labels.groupBy("map").applyInPandas(run, "map long, id long, size double, x0 double, y0 double, x1 double, y1 double")
-
-
 def smoothed(points: DataFrame, key: str, order: str, value: str, passes: int = 2) -> DataFrame:
     """Three-point moving average with fixed ends, repeated."""
     w = W.partitionBy(key).orderBy(order)

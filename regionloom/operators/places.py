@@ -1,4 +1,4 @@
-"""Capitals, point labels, language variants, worldviews, and areas named in titles."""
+"""Capitals, point labels, language variants and worldviews."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_markup
 from . import spatial
+from .labels import LINE, Places, around, width
 
 
 def shown_capitals(places: DataFrame, subject: DataFrame, bounds: tuple[float, float, float, float], mode: str, cell: float = 64.0) -> DataFrame:
@@ -29,24 +29,23 @@ def shown_capitals(places: DataFrame, subject: DataFrame, bounds: tuple[float, f
     return out.where(F.col("within") | (F.col("rank") == 0)).withColumn("priority", F.struct(~F.col("within"), F.col("rank"), F.col("pid")))
 
 
-def point_labels(points: DataFrame, size: float, bounds: tuple[float, float, float, float]) -> DataFrame:
-    """Labels beside points (map, pid, text, x, y, order): right, left, above, below; the first that fits.
+def point_labels(points: DataFrame, size: float, bounds: tuple[float, float, float, float], reserved: Sequence[tuple[float, float, float, float]] = ()) -> DataFrame:
+    """Labels beside points (map, pid, text, x, y, order): right, left, above, below; the first that is free and within the bounds.
 
-    Earlier labels take their place first, so one map is one group.
+    Earlier labels take their place first, so one map is one group; `reserved` boxes are taken on every map.
     """
     west, south, east, north = bounds
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        placed, out = [], []
+        placed, out = Places(8 * size, reserved), []
         for r in rows.sort_values(["order", "pid"]).itertuples():
-            if not r.text.strip():
+            if not (r.text or "").strip():
                 continue
-            w, h, gap = 0.56 * len(r.text) * size, 1.2 * size, 0.45 * size
+            w, h, gap = width(r.text, size), LINE * size, 0.45 * size
             for x, y in ((r.x + gap + w / 2, r.y), (r.x - gap - w / 2, r.y), (r.x, r.y - gap - h / 2), (r.x, r.y + gap + h / 2)):
-                b = (x - w / 2, y - h / 2, x + w / 2, y + h / 2)
-                inside = b[0] >= west + 1 and b[2] <= east - 1 and b[1] >= south + 1 and b[3] <= north - 1
-                if inside and not any(b[0] <= q[2] and q[0] <= b[2] and b[1] <= q[3] and q[1] <= b[3] for q in placed):
-                    placed.append(b)
+                b = around(x, y, w, h)
+                if b[0] >= west + 1 and b[2] <= east - 1 and b[1] >= south + 1 and b[3] <= north - 1 and placed.free(b):
+                    placed.take(b)
                     out.append((r.map, r.pid, x, y))
                     break
         return pd.DataFrame(out, columns=["map", "pid", "x", "y"])
@@ -79,46 +78,3 @@ def worldview_labels(views: DataFrame, countries: DataFrame) -> DataFrame:
     named = views.where("has_file").withColumn("id", code).join(countries.select("id", "name"), "id", "left")
     label = F.when(F.col("code") == "ISO", "ISO 3166").when(F.col("name").isNotNull(), F.concat("name", F.lit(" ("), "code", F.lit(")"))).otherwise(F.col("code"))
     return named.select("code", label.alias("label"))
-
-
-#: Words that join a map and its area, and words after "maps by" that list maps instead of naming an area.
-JOINING = ("of", "for", "in", "showing", "covering", "around")
-LISTING = ("country", "region", "continent", "type")
-
-
-def _bare(words: Column) -> Column:
-    """Words as text, without bracketed words at the end and without punctuation around."""
-    text = F.array_join(words, " ")
-    open_at = F.when(text.endswith(")"), F.locate("(", text))
-    text = F.when(open_at > 0, F.substring(text, F.lit(1), open_at - 1)).otherwise(text)
-    return F.btrim(text, F.lit(" .,:"))
-
-
-def _after(words: Column, lead: Column) -> Column:
-    """The words after the first position at which `lead` (by position) holds; none where it never does."""
-    at = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lead), F.lit(0)), F.size(words))
-    return F.slice(words, at + 3, F.size(words))
-
-
-def _map_then(words: Column, second: Sequence[str]):
-    """At a position: the word 'map' or 'maps' and one of the second words after it."""
-    low = F.transform(words, F.lower)
-    return lambda i: F.get(low, i).isin("map", "maps") & F.get(low, i + 1).isin(*second)
-
-
-def area_of_category(category: Column) -> Column:
-    """The area that a map category names: all words after 'map(s)' and a joining word; else ''."""
-    words = F.split(F.btrim(F.regexp_replace(category, "^Category:", "")), " +")
-    low = F.transform(words, F.lower)
-    lists = F.exists(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (F.get(low, i).isin("map", "maps")) & (F.get(low, i + 1) == "by") & F.get(low, i + 2).isin(*LISTING))
-    return F.when(lists, "").otherwise(_bare(_after(words, _map_then(words, JOINING))))
-
-
-def described_area(text: Column, known: Sequence[str]) -> Column:
-    """The area in a description's first sentence after 'map(s)' and a joining word or a dash, else the first known area, else ''."""
-    clean = clean_markup(text)
-    words = F.split(F.btrim(F.get(F.split(clean, "[.;]"), F.lit(0))), " +")
-    named = _bare(_after(words, _map_then(words, (*JOINING[:5], "-", "_", ":"))))
-    present = F.transform(F.split(F.lower(clean), "[^a-z]+"), lambda w: w)
-    first = F.coalesce(*[F.when(F.array_contains(present, n.lower()), F.initcap(F.lit(n))) for n in known], F.lit(""))
-    return F.when(named != "", named).otherwise(first)

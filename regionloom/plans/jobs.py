@@ -7,21 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clip, layout, rings, snap, spatial
+from ..operators import clip, layout, naming, rings, snap, spatial
 from ..session import table
 from .registry import query
 from .shapes import _BOX_SQL, _boxes, _odd_shapes, _squares
 
 
-def unique_ids(rows: DataFrame, raw: str, order: str) -> DataFrame:
-    """`rows` plus xml_id: plain characters, 'id-' before a digit, '-2', '-3' for repeats."""
-    plain = F.regexp_replace(raw, r"[^\p{L}\p{N}_.-]", "_")
-    plain = F.when(plain.rlike(r"^[\p{L}_]"), plain).otherwise(F.concat(F.lit("id-"), plain))
-    n = F.row_number().over(W.partitionBy("_p").orderBy(order))
-    out = rows.withColumn("_p", plain).withColumn("_n", n)
-    return out.withColumn("xml_id", F.when(F.col("_n") == 1, F.col("_p")).otherwise(F.concat("_p", F.lit("-"), F.col("_n").cast("string")))).drop("_p", "_n")
-
-
 def output_name(stem, code, multi, single_region):
     """A job's file name: code, stem, or both when many files have many regions."""
     both = F.concat(stem, F.lit("-"), code)
@@ -41,12 +32,23 @@ def truncated(values, most: int):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_size || ' ' || p_brand AS raw FROM part),
-q AS (SELECT p_partkey, 'id-' || regexp_replace(raw, '[^A-Za-z0-9_.-]', '_', 'g') AS b FROM p)
-SELECT p_partkey, CASE WHEN row_number() OVER w = 1 THEN b ELSE b || '-' || row_number() OVER w END AS xml_id FROM q WINDOW w AS (PARTITION BY b ORDER BY p_partkey)""")
+WITH RECURSIVE r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || '-2' WHEN 2 THEN p_brand || '-' || p_partkey % 7 ELSE p_size || ' ' || p_type END AS raw FROM part),
+p AS (SELECT p_partkey, regexp_replace(raw, '[^A-Za-z0-9_.-]', '_', 'g') AS c FROM r),
+n AS (SELECT p_partkey, CASE WHEN regexp_matches(c, '^[A-Za-z_]') THEN c ELSE 'id-' || c END AS id FROM p),
+f AS (SELECT *, regexp_replace(id, '(-[0-9]+)+$', '') AS stem, row_number() OVER (PARTITION BY regexp_replace(id, '(-[0-9]+)+$', '') ORDER BY p_partkey) AS i FROM n),
+step AS (
+  SELECT stem, i, p_partkey, id AS xml_id, [id] AS used FROM f WHERE i = 1
+  UNION ALL
+  SELECT stem, i, p_partkey, xml_id, list_append(used, xml_id) FROM (
+    SELECT f.stem, f.i, f.p_partkey, s.used, list_filter(list_transform(range(1, len(s.used) + 2), lambda k: CASE WHEN k = 1 THEN f.id ELSE f.id || '-' || k END), lambda x: NOT list_contains(s.used, x))[1] AS xml_id
+    FROM step s JOIN f ON f.stem = s.stem AND f.i = s.i + 1))
+SELECT p_partkey, xml_id FROM step""")
 def unique_xml_ids(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("raw", F.concat_ws(" ", "p_size", "p_brand"))
-    return unique_ids(p, "raw", "p_partkey").select("p_partkey", "xml_id")
+    """Ids with numbers at their end among them, so that a numbered repeat meets an id that is really there."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    raw = F.when(k % 4 == 0, brand).when(k % 4 == 1, F.concat(brand, F.lit("-2"))).when(k % 4 == 2, F.concat_ws("-", brand, (k % 7).cast("string")))
+    p = table(spark, sf_dir, "part").withColumn("raw", raw.otherwise(F.concat_ws(" ", F.col("p_size").cast("string"), "p_type")))
+    return naming.unique_ids(p, "raw", "p_partkey").select("p_partkey", "xml_id")
 
 
 @query("""
@@ -251,7 +253,7 @@ def repaired_rings(spark, sf_dir):
 
 @query("""
 SELECT s_suppkey AS feature, count(*) AS parts, round(sum(area), 9) AS area FROM supplier,
-  (VALUES (0, 1.0), (1, 0.25), (1, 0.25), (3, 15.0), (3, 1.0)) v(kind, area) WHERE s_suppkey % 4 = kind GROUP BY s_suppkey""")
+  (VALUES (0, 1.0::DOUBLE), (1, 0.25), (1, 0.25), (3, 15.0), (3, 1.0)) v(kind, area) WHERE s_suppkey % 4 = kind GROUP BY s_suppkey""")
 def rebuilt_shapes(spark, sf_dir):
     """Squares stay, bow ties become two triangles, a ring without area goes, of a hole over the edge the outer half is land by the even-odd rule."""
     found = snap.repair(_odd_shapes(spark, sf_dir), 1e-6)[0]

@@ -131,21 +131,10 @@ def svg_codes(spark, sf_dir):
     return markup.svg_codes(table(spark, sf_dir, "nation").select(F.concat(land, other).alias("svg")), "svg")
 
 
-@query()
+@query("""SELECT n_nationkey::BIGINT AS id, (n_nationkey + 1)::DOUBLE AS distance, (n_nationkey % 6 + n_nationkey + 1)::DOUBLE AS x, (n_nationkey + 1)::DOUBLE AS y FROM nation""")
 def label_poles(spark, sf_dir):
+    """Right triangles of sides 3, 4 and 5 by key: the pole is the centre of the circle inside."""
     k = F.col("n_nationkey")
-    ring = F.array(*[F.array(F.lit(float(x)) * (k + 1), F.lit(float(y)) * (k + 2)) for x, y in ((0, 0), (4, 0), (4, 1), (1, 1), (1, 3), (0, 3))])
-    return L.poles(table(spark, sf_dir, "nation").select(k.cast("long").alias("id"), ring.alias("ring")), 0.01)
-
-
-@query()
-def region_labels(spark, sf_dir):
-    k = F.col("s_suppkey")
-    rows = table(spark, sf_dir, "supplier").select((k % 5).cast("long").alias("map"), k.alias("id"), F.col("s_name").alias("text"), (k * 7 % 60).cast("double").alias("x"), (k * 11 % 40).cast("double").alias("y"), (4 + k % 9).cast("double").alias("room"))
-    return L.place_labels(rows)
-
-
-@query()
-def legend_slots(spark, sf_dir):
-    g = _whole_grid(spark, sf_dir).withColumn("map", F.xxhash64("p_type"))
-    return L.legend_slots(g.select("map", "row", "col", (F.col("n") > 0).alias("taken")))
+    ring = F.array(*[F.array((k % 6 + F.lit(x) * (k + 1)).cast("double"), (F.lit(y) * (k + 1)).cast("double")) for x, y in ((0, 0), (4, 0), (0, 3))])
+    p = L.poles(table(spark, sf_dir, "nation").select(k.cast("long").alias("id"), ring.alias("ring")), 1e-4)
+    return p.select("id", F.round("distance", 2).alias("distance"), F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))

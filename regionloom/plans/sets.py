@@ -202,7 +202,7 @@ def catalogue_totals(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, sha1(event_type || chr(31) || coalesce(props, '') || chr(31) || user_id::VARCHAR) AS key FROM events""")
+SELECT event_id, sha1(event_type || chr(31) || CASE WHEN event_id % 3 = 0 THEN chr(1) ELSE coalesce(props, chr(1)) END || chr(31) || user_id::VARCHAR) AS key FROM events""")
 def cache_keys(spark, sf_dir):
-    parts = [F.col("event_type"), F.coalesce("props", F.lit("")), F.col("user_id").cast("string")]
+    parts = [F.col("event_type"), F.when(F.col("event_id") % 3 != 0, F.col("props")), F.col("user_id").cast("string")]
     return table(spark, sf_dir, "events").select("event_id", S.cache_key(parts).alias("key"))

@@ -1,6 +1,7 @@
 """Depths without a cap, cycles, and positions with gaps."""
 
-from regionloom.operators import codes, graph, places, rings
+from regionloom.functions import scalars
+from regionloom.operators import codes, graph, naming, rings
 
 
 def test_chain_longer_than_any_cap_and_cycles(spark):
@@ -39,5 +40,34 @@ def test_rings_with_non_finite_vertices_go(spark):
 def test_areas(spark):
     rows = [("Category:Blank maps of Lower Saxony (old)", "Blank map of Peru; other"), ("Maps by country", "map - Chad"), ("Flags", "It is in Africa"), ("Map showing Mali.", "None")]
     df = spark.createDataFrame(rows, "c string, t string")
-    got = df.select(places.area_of_category(df.c).alias("a"), places.described_area(df.t, ["asia", "africa"]).alias("b")).collect()
+    got = df.select(naming.area_of_category(df.c).alias("a"), naming.described_area(df.t).alias("b")).collect()
     assert [tuple(r) for r in got] == [("Lower Saxony", "Peru"), ("", "Chad"), ("", "Africa"), ("Mali", "")]
+
+
+def test_areas_of_several_words(spark):
+    rows = ["A look at North America in 1900", "Trade with South Korea", "Southern Koreatown", "afro-eurasia", None, ""]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(naming.described_area(df.t)).collect()] == ["North America", "South Korea", "", "Afro-Eurasia", "", ""]
+
+
+def test_unique_ids_meet_ids_that_are_there(spark):
+    raw = ["a", "a", "a-2", "a", "a-2", "a-2-2", "1", "é é", None, "b-3", "b", "b", "b"]
+    df = spark.createDataFrame(list(enumerate(raw)), "k long, r string")
+    got = {r["k"]: r["xml_id"] for r in naming.unique_ids(df, "r", "k").collect()}
+    used, want = set(), []
+    for x in raw:
+        x = "".join(c if c.isalnum() or c in "_.-" else "_" for c in x or "")
+        x = x if x[:1].isalpha() or x[:1] == "_" else "id-" + x
+        n, y = 2, x
+        while y in used:
+            y, n = f"{x}-{n}", n + 1
+        used.add(y)
+        want.append(y)
+    assert [got[k] for k in range(len(raw))] == want and got[1] == "a-2" and got[2] == "a-2-2"
+    assert naming.unique_ids(df.limit(0), "r", "k").count() == 0
+
+
+def test_cache_keys_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a", "", "b")], "x string, y string, z string")
+    keys = {r[0] for r in df.select(scalars.cache_key([df.x, df.y, df.z])).collect()} | {r[0] for r in df.select(scalars.cache_key([df.x, df.z])).collect()}
+    assert len(keys) == 5

@@ -160,7 +160,6 @@ def test_simplify_and_poles():
     assert rings.simplify(p, 0.1).tolist() == [[0, 0], [2, 0], [3, 5], [4, 0]]
     x, y, d = layout.pole([(0, 0), (4, 0), (4, 4), (0, 4)], 0.01)
     assert (x, y) == (2, 2) and d == pytest.approx(2)
-    assert layout.largest_empty([[False, True], [False, False]])[0] == 2
 
 
 def test_polygon_validity(spark):
