@@ -74,39 +74,6 @@ def clip_segments(segments: DataFrame, box: Box) -> DataFrame:
     return s.withColumns({"ax": at("ax", dx, "_i"), "ay": at("ay", dy, "_i"), "bx": at("ax", dx, "_o"), "by": at("ay", dy, "_o")}).drop("_i", "_o")
 
 
-def seam_strips(unwrapped: list[list[tuple[float, float]]], lon0: float) -> list[list[tuple[float, float]]]:
-    """Unwrapped rings cut into the turns around lon0 that they cover, each moved back into place."""
-    out = []
-    for ring in unwrapped:
-        xs = [p[0] for p in ring]
-        low, high = int((min(xs) - lon0 + 180) // 360), int((max(xs) - lon0 + 180) // 360)
-        for turn in range(low, high + 1):
-            west = lon0 - 180 + 360 * turn
-            cut = clip_ring(ring, (west, -91.0, west + 360, 91.0))
-            if cut:
-                out.append([(x - 360 * turn, y) for x, y in cut])
-    return out
-
-
-def split_at_seam(features: DataFrame, lon0: float) -> DataFrame:
-    """(id, ring) of outer rings cut at lon0 +- 180 degrees; rings are arrays of [lon, lat]."""
-    kind = features.schema["id"].dataType.simpleString()
-
-    def unwrap(ring) -> list[tuple[float, float]]:
-        out, ref = [], lon0
-        for lon, lat in ring:
-            ref = lon - 360.0 * round((lon - ref) / 360.0)
-            out.append((ref, lat))
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, [list(p) for p in r]) for i, ring in zip(b["id"], b["ring"]) for r in seam_strips([unwrap(ring)], lon0)]
-            yield pd.DataFrame(rows, columns=["id", "ring"])
-
-    return features.select("id", "ring").mapInPandas(run, f"id {kind}, ring array<array<double>>")
-
-
 def box_outline(west: float, south: float, east: float, north: float, steps: int = 32) -> Column:
     """A box's outline with `steps` points a side, closed, as an array of (x, y)."""
     e = east + 360.0 if east < west else east

@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .spatial import filled
+
 Point = tuple[float, float]
 Box = tuple[float, float, float, float]
 
@@ -310,7 +312,7 @@ def place_labels(regions: DataFrame, options: Options = Options(), reserved: Dat
         out = [(map_, i, f.text, f.kind, f.x, f.y, f.size, [list(p) for p in f.path]) for i, f in sorted(found.items())]
         return pd.DataFrame(out, columns=[c.split()[0] for c in LABEL.split(", ")])
 
-    regions = regions.select("map", "id", "text", "geometry")
+    regions = regions.select("map", "id", "text", filled("geometry")[0].alias("geometry"))
     if reserved is None:
         return regions.groupBy("map").applyInPandas(lambda key, own: rows(key[0], own, []), LABEL)
 

@@ -121,16 +121,21 @@ def _shapes(shape: str):
 
 
 def intersection_shape(*polygons: str) -> Column:
-    return _shapes("intersection")(*polygons)
+    return _shapes("intersection")(*filled(*polygons))
 
 
 def union_shape(*polygons: str) -> Column:
     """One polygon is rebuilt by the even-odd rule: a bow tie becomes two triangles."""
-    return _shapes("union")(*polygons)
+    return _shapes("union")(*filled(*polygons))
+
+
+def filled(*polygons: str) -> list[Column]:
+    """Polygon columns with empty ones as nulls: Python workers die of empty arrays nested this deep."""
+    return [F.when(F.size(p) > 0, F.col(p)) for p in polygons]
 
 
 def intersection_area(*polygons: str) -> Column:
-    return _areas("intersection")(*polygons)
+    return _areas("intersection")(*filled(*polygons))
 
 
 def polygon_area(polygon: str) -> Column:
@@ -149,7 +154,7 @@ def polygon_area(polygon: str) -> Column:
 
 
 def union_area(*polygons: str) -> Column:
-    return _areas("union")(*polygons)
+    return _areas("union")(*filled(*polygons))
 
 
 def polygon_box(geometry: str) -> dict[str, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import rings
-from ..sources import documents, geojson, gpkg, tables
+from ..sources import documents, geojson, gpkg, tables, wikitext
 from ..session import table
 from .registry import query
 from .shapes import _squares
@@ -144,3 +144,20 @@ def name_scalars(spark, sf_dir):
     column = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("9"), c)).otherwise(c)
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.lower(c), "p_size").alias("k"), S.sql_name(column).alias("col"),
         F.round(S.text_width(c, 10.0), 6).alias("width"), S.page_title(F.replace(c, F.lit(" "), F.lit("_"))).alias("title"))
+
+
+@query("""
+WITH r AS (SELECT r_regionkey AS id, count(*)::INT AS n, array_agg(n_name ORDER BY n_nationkey) AS names, min(n_nationkey) AS low FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT id, CASE WHEN id % 2 = 0 THEN 'countries' ELSE 'mixed' END AS dataset, n AS regions, names[1] AS first, low::VARCHAR || '%' AS value,
+  CASE WHEN id % 3 = 0 THEN 'africa' WHEN id % 3 = 1 THEN NULL ELSE (id - 22.5)::DECIMAL(6,2) || ';' || '-17.58;' || (id + 22.5)::DECIMAL(6,2) || ';17.58' END AS bbox,
+  CASE WHEN id % 3 = 1 THEN 2 ELSE 1 END AS notes FROM r""")
+def choropleth_recipes(spark, sf_dir):
+    """A template a region, its nations on lines with a value, links and footnotes between."""
+    n = _nations(spark, sf_dir)
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit("%: [[X ("), "n_nationkey", F.lit(")|"), "n_name", F.lit("]]<ref>a, b</ref>; "))
+    lists = n.groupBy(F.col("r_regionkey").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda s: s["l"]), "\n").alias("list"))
+    key = F.when(F.col("id") % 2 == 0, "countries").otherwise("states")
+    view = F.when(F.col("id") % 3 == 0, "|view=Africa").when(F.col("id") % 3 == 1, "|view=Nowhere").otherwise(F.concat(F.lit("|latitude=0|zoom=3|longitude="), "id", F.lit("|width=256|height=200")))
+    text = F.concat(F.lit("Text {{Other|x}} {{Choropleth map\n| "), key, F.lit(" = \n"), "list", F.lit("\n"), view, F.lit("}} more"))
+    r = wikitext.choropleth_recipes(lists.select("id", text.alias("text")), "id", "text")
+    return r.select("id", "dataset", F.size("regions").alias("regions"), F.col("regions")[0].alias("first"), F.col("values")[F.col("regions")[0]].alias("value"), F.col("params")["bbox"].alias("bbox"), F.size("notes").alias("notes"))

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clip, layout, naming, rings, snap, spatial
+from ..operators import clip, coast, frame, layout, naming, rings, seam, snap, spatial
 from ..session import table
 from .registry import query
-from .shapes import _BOX_SQL, _boxes, _odd_shapes, _squares
+from .shapes import _BOX_SQL, _WEIGHTS, _boxes, _clusters, _odd_shapes, _squares
 
 
 def output_name(stem, code, multi, single_region):
@@ -174,17 +174,82 @@ def clipped_segments(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT n_nationkey::BIGINT AS id, (n_nationkey % 5 * 10)::DOUBLE AS y FROM nation) SELECT id, 170.0::DOUBLE AS west, 180.0::DOUBLE AS east FROM r UNION ALL SELECT id, -180, -165 FROM r""")
+WITH n AS (SELECT n_nationkey::BIGINT AS id, (150 + n_nationkey)::DOUBLE AS w, (-150 - n_nationkey % 7)::DOUBLE AS e, (10 + n_nationkey % 5)::DOUBLE AS h, 4 - n_nationkey % 4 AS d FROM nation)
+SELECT id, w AS west, 180.0::DOUBLE AS east, 2 - (w > 168)::INT AS rings, (180 - w) * h - 2 * d - CASE WHEN w > 168 THEN 0 ELSE 4 END AS area FROM n
+UNION ALL SELECT id, -180, e, 1, (e + 180) * h - 3 * d FROM n""")
 def seam_split(spark, sf_dir):
-    """Boxes from 170 E to 165 W are two rings for a map centred on 0."""
-    y = (F.col("n_nationkey") % 5 * 10).cast("double")
-    p = lambda lon, dy: F.array(F.lit(lon), y + dy)
-    ring = F.array(p(170.0, 0), p(-165.0, 0), p(-165.0, 5), p(170.0, 5), p(170.0, 0))
-    cut = clip.split_at_seam(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), ring.alias("ring")), 0.0)
-    xs = F.transform("ring", lambda q: q[0])
-    return cut.select("id", F.array_min(xs).alias("west"), F.array_max(xs).alias("east"))
+    """Boxes over the seam with a hole on it, of different width on either side, and for some one west of it."""
+    k = F.col("n_nationkey")
+    box = lambda w, e, s, n: F.array(*[F.array((x + F.lit(0.0)).cast("double"), (y + F.lit(0.0)).cast("double")) for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))])
+    on = box(F.lit(178), F.lit(-177), F.lit(1), 5 - k % 4)
+    rings_ = F.concat(F.array(box(150 + k, -150 - k % 7, F.lit(0), 10 + k % 5), on), F.when(150 + k <= 168, F.array(box(F.lit(170), F.lit(172), F.lit(2), F.lit(4)))).otherwise(F.array().cast("array<array<array<double>>>")))
+    cut = seam.split_at_seam(table(spark, sf_dir, "nation").select(k.cast("long").alias("id"), F.array(rings_).alias("geometry")), 0.0)
+    parts = cut.select("id", F.explode("geometry").alias("part")).withColumn("shape", F.array("part"))
+    xs = F.transform(F.col("part")[0], lambda q: q[0])
+    return parts.select("id", F.array_min(xs).alias("west"), F.array_max(xs).alias("east"), F.size("part").alias("rings"), F.round(spatial.polygon_area("shape"), 9).alias("area"))
+
+
+@query("""
+WITH n AS (SELECT n_nationkey::BIGINT AS id, (170 - n_nationkey)::DOUBLE AS w, (-160 + n_nationkey)::DOUBLE AS e FROM nation)
+SELECT id, 0 AS piece, w AS first_x, 180.0::DOUBLE AS last_x, 0.0::DOUBLE AS first_y, 180 - w AS last_y FROM n UNION ALL SELECT id, 1, -180, e, 180 - w, e + 360 - w FROM n""")
+def seam_lines(spark, sf_dir):
+    """Diagonals over the seam in two pieces that meet at the latitude where they cross it."""
+    k = F.col("n_nationkey").cast("double")
+    w, e = 170 - k, -160 + k
+    line = F.array(F.array(w, F.lit(0.0)), F.array(e, e + 360 - w))
+    cut = seam.split_lines_at_seam(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), line.alias("points")), 0.0)
+    end = lambda i, c: F.round(F.element_at("points", i)[c], 9)
+    return cut.select("id", "piece", end(1, 0).alias("first_x"), end(-1, 0).alias("last_x"), end(1, 1).alias("first_y"), end(-1, 1).alias("last_y"))
+
+
+@query("""
+WITH n AS (SELECT n_nationkey AS k, n_nationkey % 5 AS x, n_nationkey // 5 AS y, n_nationkey % 3 = 0 AS subject FROM nation),
+s(pos, dx, dy) AS (VALUES (0, 0, -1), (1, 1, 0), (2, 0, 1), (3, -1, 0)),
+e AS (SELECT n.k, pos, EXISTS (FROM n o WHERE o.x = n.x + dx AND o.y = n.y + dy AND NOT o.subject) AS land FROM n, s WHERE n.subject),
+r AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY pos) AS run FROM (SELECT *, coalesce((land <> lag(land) OVER (PARTITION BY k ORDER BY pos))::INT, 1) AS new FROM e))
+SELECT k::BIGINT AS line, run::INT AS run, CASE WHEN land THEN 'external' ELSE 'coast' END AS kind, count(*)::INT + 1 AS points FROM r GROUP BY k, run, land""")
+def coast_runs(spark, sf_dir):
+    """Every third square of a grid as subject: its sides are borders where another square lies."""
+    v = _squares(spark, sf_dir)
+    lines = v.where("feature % 3 = 0").select(F.col("feature").alias("line"), "pos", "x", "y", F.lit(True).alias("interior_left"))
+    box = v.where("feature % 3 <> 0").groupBy(F.col("feature").alias("id")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    e = lambda a, b, c, d: F.struct(F.col(a).alias("x0"), F.col(b).alias("y0"), F.col(c).alias("x1"), F.col(d).alias("y1"))
+    edges = F.array(e("x0", "y0", "x1", "y0"), e("x1", "y0", "x1", "y1"), e("x1", "y1", "x0", "y1"), e("x0", "y1", "x0", "y0"))
+    runs = coast.outline_runs(lines, box.withColumn("edges", edges), 0.25, 0.5)
+    return runs.select("line", "run", "kind", F.size("points").alias("points"))
+
+
+_MAIN = _WEIGHTS + ", o AS (SELECT component FROM w ORDER BY weight DESC, component LIMIT 1), k AS (SELECT a.* FROM a JOIN comp ON node = id WHERE component = (FROM o))"
+
+
+def _parts(spark, sf_dir):
+    """Nations' boxes as parts; a region's parts are one feature."""
+    boxes = _clusters(spark, sf_dir)[0].withColumnRenamed("id", "part")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("part"), F.col("n_regionkey").cast("long").alias("feature"))
+    at = F.row_number().over(W.partitionBy("feature").orderBy("part")) - 1
+    return boxes.join(n.withColumn("at", at), "part")
+
+
+@query(_MAIN + """SELECT n_regionkey::BIGINT AS feature, count(*)::INT AS parts, sum(id)::DOUBLE AS keys FROM k JOIN nation ON n_nationkey = id GROUP BY 1""")
+def framed_features(spark, sf_dir):
+    """Features cut down to their parts in the main cluster."""
+    parts = _parts(spark, sf_dir)
+    ring = lambda p: F.array(F.array(F.array(p.cast("double"), F.lit(0.0))))
+    features = parts.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list("part")), ring).alias("geometry"))
+    cut = frame.framed(features, parts, 3000.0)[0]
+    keys = F.aggregate("geometry", F.lit(0.0), lambda t, p: t + p[0][0][0])
+    return cut.select("feature", F.size("geometry").alias("parts"), keys.alias("keys"))
 
 
+@query(_MAIN + """, lons AS (SELECT DISTINCT lon FROM (SELECT (x0 + 180) % 360 - 180 AS lon FROM k UNION ALL SELECT (x1 + 180) % 360 - 180 FROM k)),
+gaps AS (SELECT lon, lon - lag(lon) OVER (ORDER BY lon) AS gap FROM lons),
+arc AS (SELECT min(lon) AS first, max(lon) AS last, max(gap) AS gap, min(lon) FILTER (gap = (SELECT max(gap) FROM gaps)) AS at_lon FROM gaps),
+fr AS (SELECT CASE WHEN coalesce(gap, -1) > first + 360 - last THEN at_lon ELSE first END AS start, 360 - greatest(first + 360 - last, coalesce(gap, 0)) AS span,
+  (SELECT min(y0) FROM k) AS south, (SELECT max(y1) FROM k) AS north FROM arc)
+SELECT (start + span / 2 + 540) % 360 - 180 AS lon0, (south + north) / 2 AS lat0, span, south, north,
+  CASE WHEN span > 200 THEN 'equal_earth' WHEN span >= 45 AND abs((south + north) / 2) BETWEEN 20 AND 70 THEN 'albers' ELSE 'laea' END AS projection FROM fr""")
+def chosen_frame(spark, sf_dir):
+    return frame.framed(spark.createDataFrame([], "feature long, geometry array<array<array<array<double>>>>"), _parts(spark, sf_dir), 3000.0)[1].drop("parallel_1", "parallel_2")
 @query("SELECT n_nationkey, 129 AS points, 190.0::DOUBLE AS east FROM nation")
 def box_outlines(spark, sf_dir):
     o = clip.box_outline(170.0, -10.0, -170.0, 10.0)

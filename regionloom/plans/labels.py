@@ -114,14 +114,14 @@ def leader_labels(spark, sf_dir):
 
 @query("""
 SELECT s_suppkey % 5 AS map, s_suppkey AS id, 'curved' AS kind, (s_suppkey // 5 * 60 + 9)::DOUBLE AS x, (s_suppkey % 7 * 3 + 200)::DOUBLE AS y,
-  CASE WHEN s_suppkey % 2 = 0 THEN 11.0 ELSE 9.35 END::DOUBLE AS size, round(s_suppkey % 7 * 3 + 400 * 23 / 24, 6)::DOUBLE AS first_y, round(s_suppkey % 7 * 3 + 400 / 24, 6)::DOUBLE AS last_y FROM supplier""")
+  CASE WHEN s_suppkey % 2 = 0 THEN 11.0 ELSE 9.35 END::DOUBLE AS size, round(s_suppkey % 7 * 3 + 400 * 23 / 24, 0)::DOUBLE AS first_y, round(s_suppkey % 7 * 3 + 400 / 24, 0)::DOUBLE AS last_y FROM supplier""")
 def curved_labels(spark, sf_dir):
     """Slivers of two widths: names run along them, from bottom to top, in the size that their width allows."""
     k = F.col("s_suppkey")
     thin = F.when(k % 2 == 0, 18).otherwise(11)
     r = _rectangles(table(spark, sf_dir, "supplier"), k % 5, k, F.substring("s_name", 1, 8), F.floor(k / 5) * 60 + 9 - thin / 2, k % 7 * 3, thin, F.lit(400))
     found = labels.place_labels(r, labels.Options(leaders=False))
-    y = lambda i: F.round(F.element_at("path", i)[1], 6)
+    y = lambda i: F.round(F.element_at("path", i)[1], 0)
     return found.select("map", "id", "kind", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("size", 6).alias("size"), y(1).alias("first_y"), y(-1).alias("last_y"))
 
 

@@ -113,3 +113,10 @@ def test_grouped_references_match_parent_level_units(spark):
     p = spatial.box_pairs(point, ref, 1.0).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
     assert spatial.best_match(p, F.col("overlap"), spatial.box_area(), spatial.box_area("_b"), 0.0).count() == 0
     assert spatial.overlap_crosswalk(p, F.col("overlap"), spatial.box_area(), 0.0).count() == 0
+
+
+def test_empty_and_null_shapes_reach_no_worker(spark):
+    shape = [[[[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]]]]
+    df = spark.createDataFrame([(1, shape, []), (2, [], []), (3, None, shape), (4, shape, None)], "id int, a array<array<array<array<double>>>>, b array<array<array<array<double>>>>").repartition(4, "id")
+    got = {r["id"]: (r["i"], r["u"], len(r["s"])) for r in df.select("id", spatial.intersection_area("a", "b").alias("i"), spatial.union_area("a", "b").alias("u"), spatial.union_shape("a", "b").alias("s")).collect()}
+    assert got == {1: (0.0, 0.5, 1), 2: (0.0, 0.0, 0), 3: (0.0, 0.5, 1), 4: (0.0, 0.5, 1)}
