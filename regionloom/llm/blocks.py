@@ -69,9 +69,10 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, marks), [len(keys)]]).astype(np.int64)
 
 
-def _blob(rows: pa.Table) -> bytes:
+def _blob(rows: pa.Table, level: int | None = None) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    codec = pa.Codec("zstd", compression_level=level) if level else "zstd"
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
         w.write_table(rows.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -115,17 +116,17 @@ def store(rows: DataFrame, block: Column, n_blocks: int, shrink=None, most: int
     return _saved(packed.repartition(buckets, "block"), buckets)
 
 
-def store_as_read(rows: DataFrame, n_blocks: int, block_bytes: int, most: int = TABLE_BUCKETS) -> DataFrame:
+def store_as_read(rows: DataFrame, n_blocks: int, block_bytes: int, most: int = TABLE_BUCKETS, level: int | None = None) -> DataFrame:
     """`rows` (with a text column) packed as they come, about block_bytes of text a block: a table as of `store`.
 
-    No text is shuffled: a block is named by the task that packs it and stays whole in one bucket.
+    No text is shuffled: a block is named by the task that packs it and stays whole in one bucket. `level`: of its compression.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held, size, made = TaskContext.get().partitionId(), [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            out = [pa.array([task << 32 | made], pa.int64()), pa.array([_blob(pa.Table.from_batches(held))], pa.binary())]
+            out = [pa.array([task << 32 | made], pa.int64()), pa.array([_blob(pa.Table.from_batches(held), level)], pa.binary())]
             return pa.RecordBatch.from_arrays(out, ["block", "blob"])
 
         for batch in batches:

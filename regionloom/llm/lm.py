@@ -17,9 +17,8 @@ the root to the word, for a word not in training back to the root.
 Scale. The model is never gathered anywhere: its n-grams grow with the corpus. A block of texts asks
 for the counts of just its own n-grams, builds its part of the automaton from the answers and reads its
 texts through it (see blocks.py). Counts are summed within blocks before they move. Within a block n-grams
-are known by numbers, which are exact; between blocks by 64-bit hashes (XXH64, mixed): two of n words, pairs
-or triples fall together by a chance of n^2 / 2^65. A block sends a bucket the hashes of the words that
-end its triples once, and for each triple the place of its word among them.
+are known by numbers, which are exact; between blocks by 64-bit hashes (XXH64, mixed), sent as sorted
+differences: two of n words, pairs or triples fall together by a chance of n^2 / 2^65.
 
 Edge cases. Null and empty texts are one end token. A null learn flag is false. With no training text
 every probability is 1 (score 0). Repeated rows are learned and scored as often as they occur. An empty
@@ -105,6 +104,10 @@ class Grams:
         self.triple[at] = inverse
         self.triple_pairs = self.pair[at[first] - 1], self.pair[at[first]]
 
+    def triple_keys(self) -> np.ndarray:
+        """The triples' hashes by number."""
+        return K.mix(self.pairs[self.triple_pairs[0]] * _STEP + self.words[self.triples.astype(np.uint32)])
+
     def counts(self, learn: np.ndarray) -> list[np.ndarray]:
         """How often each word, pair and triple stands in the texts to learn from."""
         on = np.repeat(learn, self.stops - self.starts)
@@ -193,30 +196,26 @@ def _block_rows(blobs: pa.Table) -> tuple[pa.Table, Grams, np.ndarray]:
 _KINDS = ("words", "pairs", "triples")
 
 
-_SENT = ("words", "pairs", "followers", "last", "triples", "n_words", "n_pairs", "n_triples")
+_SENT = (*_KINDS, "n_words", "n_pairs", "n_triples")
 
 
 def _ask(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in _SENT)])
 
     def ask(key, blobs):
-        """Per bucket: sorted words and pairs, how many words follow each pair, these words (once, sorted, then their places), and all counts."""
+        """Per bucket: sorted words, pairs and triples, and all counts."""
         _, grams, learn = _block_rows(blobs)
-        order = np.argsort(grams.words)
-        n1, n2, n3 = grams.counts(learn)
-        n1, words, pairs = n1[order], grams.words[order], grams.pairs
-        first, last = (grams.triples >> np.uint64(32)).astype(np.int64), grams.words[grams.triples.astype(np.uint32)]
+        keys, counts = [grams.words, grams.pairs, grams.triple_keys()], grams.counts(learn)
         del grams
-        w, p = bucket_edges(words, buckets), bucket_edges(pairs, buckets)
-        t = np.searchsorted(first, p)
-        followers = np.bincount(first, minlength=len(pairs)).astype(np.uint32)
+        for i in (0, 2):  # pairs ascend
+            order = np.argsort(keys[i])
+            keys[i], counts[i] = keys[i][order], counts[i][order]
+        edges = [bucket_edges(k, buckets) for k in keys]
         out = []
         for i in range(buckets):
-            a, b, c = slice(w[i], w[i + 1]), slice(p[i], p[i + 1]), slice(t[i], t[i + 1])
-            if a.start < a.stop or b.start < b.stop:
-                ends, place = np.unique(last[c], return_inverse=True)
-                row = squeeze_sorted(words[a]), squeeze_sorted(pairs[b]), squeeze(followers[b]), squeeze_sorted(ends), *map(squeeze, (place.astype(np.uint32), n1[a], n2[b], n3[c]))
-                out.append((i, key[0].as_py(), *row))
+            parts = [slice(e[i], e[i + 1]) for e in edges]
+            if any(p.start < p.stop for p in parts):
+                out.append((i, key[0].as_py(), *(squeeze_sorted(k[p]) for k, p in zip(keys, parts)), *(squeeze(n[p]) for n, p in zip(counts, parts))))
         K.release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -237,11 +236,7 @@ def _answer(key, asked):
         parts = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
         return sums, [squeeze(p) for p in parts]
 
-    sums, words = summed([expand_sorted(x) for x in cols["words"]], cols["n_words"])
-    keys = [expand_sorted(x) for x in cols["pairs"]]
-    _, pairs = summed(keys, cols["n_pairs"])
-    last = (np.repeat(k, expand(n, np.uint32)) * _STEP + expand_sorted(e)[expand(x, np.uint32)] for k, n, e, x in zip(keys, cols["followers"], cols["last"], cols["triples"]))
-    _, triples = summed([K.mix(x) for x in last], cols["n_triples"])
+    (sums, words), (_, pairs), (_, triples) = (summed([expand_sorted(x) for x in cols[k]], cols[f"n_{k}"]) for k in _KINDS)
     n, bucket = len(words), key[0].as_py()
     K.release()
     return pa.table({
@@ -277,7 +272,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, tables: int = TABLE_B
     keep = [c for c in docs.columns if c not in ("text", "learn", *_RESULT)]
     kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
     rows = docs.select(kept.alias("row"), "text", F.coalesce("learn", F.lit(False)).alias("learn"))
-    blocks = store_as_read(rows, block_count(size, block_bytes), block_bytes, tables)
+    blocks = store_as_read(rows, block_count(size, block_bytes), block_bytes, tables, level=6)
     sent = "bucket int, block long, " + ", ".join(f"{c} binary" for c in _SENT)
     buckets = bucket_count(size, BUCKET_BYTES) if size > LEAST_BUCKETS << 20 else max(1, size >> 20)
     asked = blocks.groupBy("block").applyInArrow(_ask(buckets), sent)
@@ -290,8 +285,11 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, tables: int = TABLE_B
         rows, grams, _ = _block_rows(blobs)
         got = got.sort_by("bucket")
         counts = [np.concatenate([expand(x, np.uint64) for x in got.column(f"n_{k}").to_pylist()]).astype(np.int64) for k in _KINDS]
-        words = np.empty_like(counts[0])
-        words[np.argsort(grams.words)] = counts[0]
+        for i, names in ((0, grams.words), (2, grams.triple_keys())):
+            own = np.empty_like(counts[i])
+            own[np.argsort(names)] = counts[i]
+            counts[i] = own
+        words = counts[0]
         base = np.log10((words + 1.0) / (total + distinct + 1.0))
         known = (words > 0)[grams.word].astype(np.int64)
         new = {
