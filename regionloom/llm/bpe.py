@@ -12,7 +12,8 @@ size (in bytes, estimated). Ranks come from a vocabulary file named by a paramet
 Results leave the worker in slices of bounded text size.
 
 Edge cases. Null and empty texts have no tokens and decode to no bytes. Repeated rows get equal
-results. Result columns replace input columns of the same name.
+results. Result columns replace input columns of the same name. An empty table has an empty result. A very
+long text is encoded whole, piece by piece; a task holds one text with its ids.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Prediction sees only the text.
 
 Edge cases. Ids may be of any type that has a text form. Null texts and texts without a letter are 'und' with score 0. Documents with a null id
 are never learned from; null languages neither. With nothing to learn from all is 'und'. Repeated
-rows get equal results. Result columns replace input columns of the same name.
+rows get equal results. Result columns replace input columns of the same name. An empty table has an empty
+result. A very long text counts whole, as one row.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ allocation, scale factor selection or side information), durations are exact rat
 of every frame is kept: `Stream.seek` gives the frame that holds a time.
 
 Edge cases. Null and empty texts are 64 zero bytes. A stream without a frame gives 0 frames, 0
-samples and no payload. Equal texts give equal bytes and features. Each row is handled on its own.
+samples and no payload. Equal texts, so also repeated rows, give equal bytes and features. Each row is handled on
+its own, a very long text as one long stream. Result columns replace input columns of the same name; an empty
+table has an empty result.
 """
 
 from __future__ import annotations

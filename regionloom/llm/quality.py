@@ -14,7 +14,7 @@ Exactness. Repeated windows are found by numbers of words and windows, not by ha
 Edge cases. A null or empty text has no words, so it is base_failed. A text under three code points
 has ratio 0. Without trusted documents both multinomials are smoothed alike and the ratio only
 measures how common the trigrams are; verdicts are still defined. Repeated rows get equal results.
-Result columns replace input columns of the same name.
+Result columns replace input columns of the same name. An empty table has an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ rules are at most `MAX_TRIE_BYTES` of text; beyond that, urls are joined with th
 host suffixes and path prefixes, which gives the same verdicts.
 
 Edge cases. A null url, or one without '://', has an empty host and path, which no rule fits. An
-empty rule list leaves every url to the default. Repeated rows get equal results.
+empty rule list leaves every url to the default. Repeated rows get equal results. Result columns replace input
+columns of the same name. An empty table has an empty result; a url's length has no bound but its row's.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
-from regionloom.llm import lines, media, mixing, quality, urls
+from regionloom.llm import bpe, langid, lines, media, mixing, quality, urls
 
 ROWS = [
     (1, "the cat sat on the mat", "b"),
@@ -214,3 +214,20 @@ def test_urls(spark):
     a = sorted(map(tuple, urls.filter_urls(more, rules).collect()), key=str)
     assert a == sorted(map(tuple, urls.filter_urls(more, rules, max_bytes=0).select(*urls.filter_urls(more, rules).columns).collect()), key=str)
     assert urls.filter_urls(df.limit(0), urls.RULES).count() == 0 and urls.filter_urls(df, []).where("verdict <> 'allow'").count() == 0
+
+
+def test_empty_tables_long_texts_and_clashing_names(spark):
+    import public_tokenizers
+
+    rows = [(1, "wörd " * 1_000_000, "de"), (2, "short words here", "en"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"n_bytes": F.lit("mine"), "n_tokens": F.lit("x"), "score": F.lit("y")})
+    got = {r["doc_id"]: r for r in media.round_trip(docs).collect()}
+    assert got[1]["n_bytes"] == 6_000_000 and got[1]["payload_sha256"] == hashlib.sha256(media.padded(rows[0][1])[1]).hexdigest() and got[3]["n_bytes"] == 0
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    n = {r["doc_id"]: r["n_tokens"] for r in bpe.tokenize(docs, path, public_tokenizers.PATTERN, ("n_tokens",), False).collect()}
+    assert n[1] == 3_000_001 and n[3] == 0 and bpe.tokenize(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+    model = langid.fit(docs)
+    said = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert said[1] == "de" and said[2] in ("de", "en") and said[3] == "und" and langid.predict(docs.limit(0), model).count() == 0
+    nothing = langid.fit(docs.limit(0))
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(docs, nothing).collect()} == {("und", 0.0)}
