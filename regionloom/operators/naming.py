@@ -137,3 +137,8 @@ def title_area(title: Column, base: Column, extra: Sequence[str] = ()) -> Column
     unnamed = (subject == "") | subject.rlike(r"(?i)\b(?:maps?|blank|locator|location)\b")
     found = F.when(~stem.rlike(split), on_globe).when(unnamed, "").otherwise(inside)
     return F.coalesce(found, F.lit(""))
+
+
+def file_name(*parts: str) -> Column:
+    """Parts joined by a blank, as a safe file name."""
+    return F.regexp_replace(F.concat_ws(" ", *parts), r"[^A-Za-z0-9._-]", "_")

@@ -80,14 +80,6 @@ def truncated_warnings(spark, sf_dir):
     return g.select("region", truncated(F.col("names"), 3).alias("text"))
 
 
-@query("""
-SELECT c_mktsegment AS file, c_nationkey AS region, count(*) AS features, round(sum(c_acctbal), 2) AS total, count(*) < 5 AS failed FROM customer GROUP BY ALL""")
-def batch_jobs(spark, sf_dir):
-    """One job a file and region, its outcome a row; a job that fails does not stop the others."""
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("file"), F.col("c_nationkey").alias("region"))
-    return c.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("c_acctbal"), 2).alias("total"), (F.count(F.lit(1)) < 5).alias("failed"))
-
-
 @query("""
 SELECT lang AS dataset, count(*) AS regions, CASE WHEN min(source) = max(source) THEN min(source) END AS provenance, max(n_chars)::BIGINT AS release FROM documents GROUP BY lang""")
 def dataset_listing(spark, sf_dir):
@@ -117,44 +109,6 @@ def provenance_defaults(spark, sf_dir):
     return s.select(F.col("s_suppkey").alias("id"), F.coalesce(F.when(F.col("s_acctbal") > 0, F.col("s_name")), "n_name", F.lit("unknown")).alias("source"))
 
 
-@query("""
-WITH o AS (SELECT c_custkey AS town, c_nationkey AS county, round(c_acctbal * 100)::BIGINT AS land FROM customer WHERE c_acctbal > 0),
-n AS (SELECT c_custkey AS town, c_mktsegment AS region FROM customer WHERE c_custkey % 10 <> 0)
-SELECT county, region, sum(land)::BIGINT AS land FROM o JOIN n USING (town) GROUP BY ALL""")
-def bridge_join(spark, sf_dir):
-    """Land that moved from old to new areas, by the towns that both versions know."""
-    c = table(spark, sf_dir, "customer")
-    old = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("town"), F.col("c_nationkey").alias("county"), F.round(F.col("c_acctbal") * 100).cast("long").alias("land"))
-    new = c.where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("town"), F.col("c_mktsegment").alias("region"))
-    return old.join(new, "town").groupBy("county", "region").agg(F.sum("land").alias("land"))
-
-
-@query("""
-WITH r AS (SELECT r_name AS code, 0 AS level, lower(r_name) AS alias FROM region UNION ALL SELECT 'N-' || n_nationkey, 1, 'land ' || (n_nationkey % 7) FROM nation
-  UNION ALL SELECT 'ASIA-1', 1, 'asia'),
-i AS (SELECT r_regionkey::BIGINT AS pos, lower(r_name) AS input FROM region UNION ALL SELECT 10 + n_nationkey, 'land ' || n_nationkey FROM nation WHERE n_nationkey < 9)
-SELECT pos, arg_min(code, level || code) AS code FROM i JOIN r ON alias = input GROUP BY pos""")
-def selection_levels(spark, sf_dir):
-    """A name shared by several regions means the one of the lowest level, then the smallest code."""
-    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
-    names = r.select(F.col("r_name").alias("code"), F.lit(0).alias("level"), F.lower("r_name").alias("input"))
-    names = names.unionByName(n.select(F.concat(F.lit("N-"), k.cast("string")).alias("code"), F.lit(1).alias("level"), F.concat(F.lit("land "), (k % 7).cast("string")).alias("input")))
-    names = names.unionByName(spark.createDataFrame([("ASIA-1", 1, "asia")], names.schema))
-    said = r.select(F.col("r_regionkey").cast("long").alias("pos"), F.lower("r_name").alias("input"))
-    said = said.unionByName(n.where(k < 9).select((k + 10).cast("long").alias("pos"), F.concat(F.lit("land "), k.cast("string")).alias("input")))
-    return said.join(names, "input").groupBy("pos").agg(F.min_by("code", F.struct("level", "code")).alias("code"))
-
-
-@query("""
-WITH f AS (SELECT 'C' || n_nationkey AS id FROM nation), subject AS (SELECT id FROM f WHERE id IN ('C1', 'C2', 'C3')), regions AS (SELECT 'C2' AS code UNION ALL SELECT 'C9')
-SELECT id FROM subject WHERE id IN (SELECT code FROM regions)""")
-def picker_codes(spark, sf_dir):
-    f = table(spark, sf_dir, "nation").select(F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("id"))
-    regions = spark.createDataFrame([("C2",), ("C9",)], "id string")
-    return f.where(F.col("id").isin("C1", "C2", "C3")).join(regions, "id", "left_semi")
-
-
 @query(_BOX_SQL + """w AS (SELECT 1),
 c AS (SELECT id, greatest(x0, -60) AS x0, greatest(y0, -30) AS y0, least(x1, 60) AS x1, least(y1, 30) AS y1 FROM a WHERE x1 >= -60 AND x0 <= 60 AND y1 >= -30 AND y0 <= 30)
 SELECT id, (x1 - x0) * (y1 - y0) AS area FROM c WHERE x1 > x0 AND y1 > y0""")

@@ -21,4 +21,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import files, jobs, joins, labels, listings, maps, sets, shapes  # noqa: E402, F401  (they register themselves)
+from . import composite, files, jobs, joins, labels, listings, maps, sets, shapes  # noqa: E402, F401  (they register themselves)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,19 +50,41 @@ def column(table: DataFrame, name: str) -> str:
     return found[0]
 
 
+def records(text: str) -> list[tuple[int, list[str]]]:
+    """A delimited text's records (line on which one begins, trimmed cells) without blank ones; the header is the first.
+
+    Cells may be quoted, with doubled quotes and line breaks inside; a quote that isn't closed is an error.
+    """
+    text = text.removeprefix("\ufeff")
+    out, at = [], 0
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter=sniff(text.split("\n", 1)[0]), strict=True)
+    try:
+        for cells in reader:
+            if any(c.strip() for c in cells):
+                out.append((at, [c.strip() for c in cells]))
+            at = reader.line_num
+    except csv.Error as e:
+        raise ValueError(f"line {at + 1}: a quote is not closed or stands within a cell ({e})") from None
+    return out
+
+
 def parse_text(texts: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
-    """Tables held as texts in a column: one row a record, columns by name (absent ones null).
+    """Tables held as texts in a column: one row a record, columns by name (absent ones null), and line_no.
 
-    Each text is small (a request's or a recipe's); files are read by `read_table`.
+    Each text is small (a request's or a recipe's); files are read by `read_table`. Null texts have no records.
     """
-    lines = F.posexplode(F.split(F.regexp_replace(F.col(text), "^﻿", ""), r"\r?\n")).alias("line_no", "line")
-    keep = [c for c in texts.columns if c != text]
-    rows = texts.select(*keep, F.col(text).alias("_t"), lines).where(F.trim("line") != "")
-    head = F.split(F.regexp_replace(F.col("_t"), "^﻿", ""), r"\r?\n").getItem(0)
-    best = F.array_max(F.array(*[F.struct(F.length(head) - F.length(F.replace(head, F.lit(d))), F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]))
-    cells = lambda c: F.transform(F.regexp_extract_all(F.concat(F.lit("\x01"), F.replace(c, F.col("d"), F.lit("\x01"))), F.lit("\x01([^\x01]*)"), F.lit(1)), lambda x: F.trim(x))
-    rows = rows.withColumn("d", best["d"]).withColumn("head", cells(head)).withColumn("cells", cells(F.col("line"))).where("line_no > 0")
-    return rows.select(*keep, "line_no", *[F.get("cells", F.array_position("head", n).cast("int") - 1).alias(n) if n else F.lit(None) for n in names])
+    def run(column: pd.Series) -> pd.Series:
+        out = []
+        for t in column:
+            found = records(t)
+            head = found[0][1] if found else []
+            at = [head.index(n) if n in head else None for n in names]
+            out.append([{"line_no": line, "cells": [None if i is None or i >= len(cells) else cells[i] for i in at]} for line, cells in found[1:]])
+        return pd.Series(out, dtype=object)
+
+    rows = F.pandas_udf(run, "array<struct<line_no:int,cells:array<string>>>")(F.col(text))
+    found = texts.where(F.col(text).isNotNull()).select(*[c for c in texts.columns if c != text], F.explode(rows).alias("_r"))
+    return found.select("*", "_r.line_no", *[F.col("_r.cells")[i].alias(n) for i, n in enumerate(names)]).drop("_r")
 
 
 def csv_lines(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
