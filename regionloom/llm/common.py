@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
     Where it is unset, a local session gets a temporary folder of its own and any other session
-    uses its warehouse, which is shared by definition.
+    uses its warehouse, if that isn't a machine's own folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             found = "file://" + tempfile.mkdtemp(prefix="regionloom-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_regionloom"
+            if found.startswith(("file:", "/")):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share; the warehouse is a local one")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
