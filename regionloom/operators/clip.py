@@ -74,15 +74,15 @@ def clip_segments(segments: DataFrame, box: Box) -> DataFrame:
     return s.withColumns({"ax": at("ax", dx, "_i"), "ay": at("ay", dy, "_i"), "bx": at("ax", dx, "_o"), "by": at("ay", dy, "_o")}).drop("_i", "_o")
 
 
-def box_outline(west: float, south: float, east: float, north: float, steps: int = 32) -> Column:
-    """A box's outline with `steps` points a side, closed, as an array of (x, y)."""
-    e = east + 360.0 if east < west else east
-    n = F.sequence(F.lit(0), F.lit(4 * steps))
+def box_outline(west: Column | float, south: Column | float, east: Column | float, north: Column | float, steps: int = 32) -> Column:
+    """A box's outline with `steps` points a side, closed, as an array of (x, y); a box whose east is west of its west goes over the seam."""
+    w, s, e, n = (v if isinstance(v, Column) else F.lit(float(v)) for v in (west, south, east, north))
+    e = F.when(e < w, e + 360.0).otherwise(e)
     t = lambda i: F.pmod(i, F.lit(steps)) / F.lit(float(steps))
     side = lambda i: F.floor(i / F.lit(steps)) % 4
-    x = lambda i: F.when(side(i) == 0, F.lit(west) + t(i) * (e - west)).when(side(i) == 1, F.lit(e)).when(side(i) == 2, F.lit(e) + t(i) * (west - e)).otherwise(F.lit(west))
-    y = lambda i: F.when(side(i) == 0, F.lit(south)).when(side(i) == 1, F.lit(south) + t(i) * (north - south)).when(side(i) == 2, F.lit(north)).otherwise(F.lit(north) + t(i) * (south - north))
-    return F.transform(n, lambda i: F.struct(x(i).alias("x"), y(i).alias("y")))
+    x = lambda i: F.when(side(i) == 0, w + t(i) * (e - w)).when(side(i) == 1, e).when(side(i) == 2, e + t(i) * (w - e)).otherwise(w)
+    y = lambda i: F.when(side(i) == 0, s).when(side(i) == 1, s + t(i) * (n - s)).when(side(i) == 2, n).otherwise(n + t(i) * (s - n))
+    return F.transform(F.sequence(F.lit(0), F.lit(4 * steps)), lambda i: F.struct(x(i).alias("x"), y(i).alias("y")))
 
 
 def land_grid(polygons: DataFrame, width: int, height: int, cell: float = 6.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components and category graphs, as joins repeated to a fixpoint, however many rounds that takes.
 
 Each round's result is cut off by checkpoint() in the folder named by spark.checkpoint.dir; where that is
-unset, a local session gets a temporary folder and any other one uses its warehouse.
+unset, a local session gets a temporary folder and any other one uses its warehouse, if that isn't a machine's own folder.
 """
 
 from __future__ import annotations
@@ -19,7 +19,11 @@ def cut(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and sc.master.split("[")[0] == "local":
             folder = tempfile.mkdtemp(prefix="regionloom-")
-        sc.setCheckpointDir(folder or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        if not folder:
+            folder = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+            if folder.startswith(("file:", "/")):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share; the warehouse is a local one")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -62,15 +66,15 @@ def top_clusters(clusters: DataFrame, k: int, least_share: float = 2.5e-4) -> Da
 
 def category_tree(links: DataFrame, root: str) -> DataFrame:
     """(category, level): breadth-first distance below `root` over links (parent, child); cycles end where they close."""
-    seen = cut(links.sparkSession.createDataFrame([(root, 0)], "category string, level int"))
-    edge, level = seen, 0
+    edge = cut(links.sparkSession.createDataFrame([(root, 0)], "category string, level int"))
+    seen, level = edge, 0  # the levels found so far, each written once
     while True:
         level += 1
         step = links.join(edge.select(F.col("category").alias("parent")), "parent", "left_semi").select(F.col("child").alias("category")).distinct()
         edge = cut(step.join(seen, "category", "left_anti").withColumn("level", F.lit(level)))
         if not edge.limit(1).count():
             return seen
-        seen = cut(seen.unionByName(edge))
+        seen = seen.unionByName(edge)
 
 
 def category_members(links: DataFrame, tree: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def longest_depth(links: DataFrame, root: str) -> DataFrame:
         ready = cut(open_.where("left = 0").select("category", "depth"))
         if not ready.limit(1).count():
             break
-        done = ready if done is None else cut(done.unionByName(ready))
+        done = ready if done is None else done.unionByName(ready)
         step = edges.join(ready.withColumnRenamed("category", "parent"), "parent").groupBy(F.col("child").alias("category"))
         step = step.agg(F.count(F.lit(1)).alias("n"), (F.max("depth") + 1).alias("d"))
         rest = open_.where("left > 0").join(step, "category", "left")

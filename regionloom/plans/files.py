@@ -115,25 +115,36 @@ def svg_documents(spark, sf_dir):
     return docs.select("map", F.size(F.regexp_extract_all(page, F.lit('class="mg-land"'), F.lit(0))).alias("paths"))
 
 
-@query("SELECT n_nationkey::BIGINT AS feature, 5::BIGINT AS n FROM nation")
+@query("""
+SELECT n_nationkey::BIGINT AS feature, 5::BIGINT AS n, (5 * (n_nationkey % 5) + 2)::DOUBLE AS xs FROM nation WHERE n_nationkey % 5 <> 4 AND n_nationkey % 7 <> 6""")
 def cleaned_rings(spark, sf_dir):
-    """Rings with every vertex twice and left open are cleaned and closed."""
+    """Vertices repeated by key, rings closed or left open; of some only two points are left, others have a vertex that is no number."""
     v = _squares(spark, sf_dir)
-    twice = v.withColumn("pos", F.col("pos") * 2).unionByName(v.withColumn("pos", F.col("pos") * 2 + 1)).where("pos < 8")
-    return rings.clean_rings(twice).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("feature")
+    v = v.where((k % 5 != 4) | (F.col("pos") < 2)).where((k % 2 == 0) | (F.col("pos") < 4))
+    v = v.withColumn("x", F.when((k % 7 == 6) & (F.col("pos") == 1), float("nan")).otherwise(F.col("x")))
+    many = v.withColumn("again", F.explode(F.sequence(F.lit(0), (k % 3).cast("int")))).withColumn("pos", F.col("pos") * 4 + F.col("again")).drop("again")
+    return rings.clean_rings(many).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("xs"))
 
 
-@query("SELECT n_nationkey::BIGINT AS feature, 3::BIGINT AS n FROM nation")
+@query("""
+SELECT n_nationkey::BIGINT AS feature, sum((n_nationkey + p.p) % 4)::BIGINT AS n FROM nation, range(3) p(p) GROUP BY 1 HAVING sum((n_nationkey + p.p) % 4) > 0""")
 def repeated_vertices(spark, sf_dir):
     v = _squares(spark, sf_dir).where("pos < 3")
-    twice = v.withColumn("pos", F.col("pos") * 2).unionByName(v.withColumn("pos", F.col("pos") * 2 + 1))
-    return rings.repeated_vertices(twice)
+    times = ((F.col("feature") + F.col("pos")) % 4).cast("int")
+    many = v.withColumn("again", F.explode(F.sequence(F.lit(0), times))).withColumn("pos", F.col("pos") * 4 + F.col("again")).drop("again")
+    return rings.repeated_vertices(many)
 
 
-@query("""SELECT s_suppkey, [170, 190, 185, 170]::DOUBLE[] AS lons FROM supplier""")
+@query("""
+WITH s AS (SELECT s_suppkey, 20 + s_suppkey % 100 AS step, ((s_suppkey * 37 + 180) % 360 + 360) % 360 - 180.0::DOUBLE AS base FROM supplier),
+f AS (SELECT *, base - 360 * round((base - 180) / 360) AS first FROM s)
+SELECT s_suppkey, list_transform(range(6), lambda i: first + i * step) AS lons FROM f""")
 def unwrapped_longitudes(spark, sf_dir):
-    lons = F.array(*[F.lit(x) for x in (170.0, -170.0, -175.0, 170.0)])
-    return table(spark, sf_dir, "supplier").select("s_suppkey", rings.unwrap(lons, 180.0).alias("lons"))
+    """Walks eastward in equal steps by key, wrapped at every step, made continuous again."""
+    k = F.col("s_suppkey")
+    walk = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: S.wrap_longitude((k * 37 + i * (20 + k % 100)).cast("double")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", rings.unwrap(walk, 180.0).alias("lons"))
 
 
 @query("""

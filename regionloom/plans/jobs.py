@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clip, coast, frame, layout, naming, rings, seam, snap, spatial
+from ..operators import arcs, clip, coast, frame, layout, naming, rings, seam, snap, spatial
 from ..session import table
 from .registry import query
 from .shapes import _BOX_SQL, _WEIGHTS, _boxes, _clusters, _odd_shapes, _squares
@@ -204,10 +204,17 @@ SELECT (start + span / 2 + 540) % 360 - 180 AS lon0, (south + north) / 2 AS lat0
   CASE WHEN span > 200 THEN 'equal_earth' WHEN span >= 45 AND abs((south + north) / 2) BETWEEN 20 AND 70 THEN 'albers' ELSE 'laea' END AS projection FROM fr""")
 def chosen_frame(spark, sf_dir):
     return frame.framed(spark.createDataFrame([], "feature long, geometry array<array<array<array<double>>>>"), _parts(spark, sf_dir), 3000.0)[1].drop("parallel_1", "parallel_2")
-@query("SELECT n_nationkey, 129 AS points, 190.0::DOUBLE AS east FROM nation")
+
+
+@query("""
+WITH b AS (SELECT n_nationkey AS k, (170 - n_nationkey)::DOUBLE AS w, CASE WHEN n_nationkey % 2 = 0 THEN -170.0 ELSE 175 END::DOUBLE AS e, (-10 - n_nationkey)::DOUBLE AS s FROM nation)
+SELECT k AS n_nationkey, 129 AS points, w AS west, CASE WHEN e < w THEN e + 360 ELSE e END AS east, round(2 * (CASE WHEN e < w THEN e + 360 ELSE e END - w + 10 - s), 6) AS length FROM b""")
 def box_outlines(spark, sf_dir):
-    o = clip.box_outline(170.0, -10.0, -170.0, 10.0)
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.size(o).alias("points"), F.array_max(F.transform(o, lambda p: p["x"])).alias("east"))
+    """Boxes by key, some over the seam."""
+    k = F.col("n_nationkey")
+    o = clip.box_outline((170 - k).cast("double"), (-10 - k).cast("double"), F.when(k % 2 == 0, -170.0).otherwise(175.0), F.lit(10.0))
+    xs = F.transform(o, lambda p: p["x"])
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.size(o).alias("points"), F.array_min(xs).alias("west"), F.array_max(xs).alias("east"), F.round(arcs.line_length(o), 6).alias("length"))
 
 
 @query("""
@@ -240,10 +247,11 @@ def smoothed_centreline(spark, sf_dir):
     return layout.smoothed(p, "k", "o", "v").withColumn("v", F.round("v", 6))
 
 
-@query("""
-SELECT n_nationkey::BIGINT AS feature, 4.0::DOUBLE AS length FROM nation""")
+@query("SELECT n_nationkey::BIGINT AS feature, (4 * (1 + n_nationkey % 4))::DOUBLE AS length FROM nation")
 def outline_lengths(spark, sf_dir):
-    return layout.path_lengths(_squares(spark, sf_dir), "feature", "pos").groupBy("feature").agg(F.max("length").alias("length"))
+    scale = 1 + F.col("feature") % 4
+    v = _squares(spark, sf_dir).withColumns({"x": F.col("x") * scale, "y": F.col("y") * scale})
+    return layout.path_lengths(v, "feature", "pos").groupBy("feature").agg(F.max("length").alias("length"))
 
 
 @query("""

@@ -281,18 +281,26 @@ def junction_vertices(spark, sf_dir):
     return rings.junctions(rings.open_rings(_squares(spark, sf_dir)))
 
 
-@query("SELECT 'outline' AS kind, 20::BIGINT - 4 AS arcs, 4::BIGINT AS longer UNION ALL SELECT 'shared', 40, 0")
+@query(_EDGES + """,
+v AS (SELECT ax AS x, ay AS y FROM e UNION ALL SELECT bx, by_ FROM e),
+once AS (SELECT x, y FROM v GROUP BY x, y HAVING count(*) = 2)
+SELECT 'outline' AS kind, count(*) FILTER (uses = 1) - (SELECT count(*) FROM once) AS arcs, (SELECT count(*) FROM once) AS longer FROM g
+UNION ALL SELECT 'shared', count(*) FILTER (uses = 2), 0 FROM g""")
 def topology_arcs(spark, sf_dir):
-    """Arcs between junctions: the four corners lie inside outline arcs of two edges."""
+    """Arcs between junctions: a corner of one square alone lies inside an outline arc of two edges."""
     opened = rings.open_rings(_squares(spark, sf_dir))
     t = rings.topology(rings.cut_arcs(opened, rings.junctions(opened)))
     return t.groupBy("kind").agg(F.count(F.lit(1)).alias("arcs"), F.count_if(F.size("key") > 2).alias("longer"))
 
 
-@query("SELECT n_nationkey::BIGINT AS feature, 1.0::DOUBLE AS area FROM nation")
+@query("SELECT n_nationkey::BIGINT AS feature, ((1 + n_nationkey % 4) ** 2 * CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS area FROM nation")
 def ring_areas(spark, sf_dir):
-    v = _squares(spark, sf_dir).groupBy("feature", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
-    return v.select("feature", F.abs(rings.ring_area(F.col("p"))).alias("area"))
+    """Squares of four sizes, walked left and right about."""
+    scale = 1 + F.col("feature") % 4
+    along = F.when(F.col("feature") % 2 == 0, F.col("pos")).otherwise(-F.col("pos"))
+    v = _squares(spark, sf_dir).select("feature", "part", "ring", along.alias("pos"), (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
+    g = v.groupBy("feature", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
+    return g.select("feature", rings.ring_area(F.col("p")).alias("area"))
 
 
 _ISSUES = """
