@@ -13,11 +13,12 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .spatial import filled
 
@@ -322,6 +323,84 @@ def place_labels(regions: DataFrame, options: Options = Options(), reserved: Dat
     return regions.groupBy("map").cogroup(reserved.groupBy("map")).applyInPandas(with_reserved, LABEL)
 
 
+#: Sizes of the names of places and of neighbours beside those of the regions.
+PLACE_SCALE = 0.85
+CONTEXT_SCALE = 0.9
+DOT = 6.0
+
+PANEL = "map long, lang string, layer string, " + LABEL.split(", ", 1)[1]
+
+
+def beside(points: list[tuple[int, str, float, float]], size: float, bounds: Box, places: Places) -> dict[int, Label]:
+    """Names beside points, in the given order: right, left, above, below; the first place that is free and within the bounds."""
+    out = {}
+    for i, text, px, py in points:
+        if not (text or "").strip():
+            continue
+        w, h, gap = width(text, size), LINE * size, 0.45 * size
+        for x, y in ((px + gap + w / 2, py), (px - gap - w / 2, py), (px, py - gap - h / 2), (px, py + gap + h / 2)):
+            b = around(x, y, w, h)
+            if b[0] >= bounds[0] + 1 and b[1] >= bounds[1] + 1 and b[2] <= bounds[2] - 1 and b[3] <= bounds[3] - 1 and places.free(b):
+                places.take(b)
+                out[i] = Label(text, "straight", x, y, size)
+                break
+    return out
+
+
+def outline(label: Label) -> Box:
+    """The box around a whole label; a curved one's line with half a line of text above and below."""
+    if label.kind != "curved":
+        return label.boxes()[0]
+    xs, ys = zip(*label.path)
+    return min(xs), min(ys) - 0.6 * label.size, max(xs), max(ys) + 0.6 * label.size
+
+
+def panel_labels(subject: DataFrame, places: DataFrame, context: DataFrame, languages: list[str], options: Options = Options(), reserved: DataFrame | None = None) -> DataFrame:
+    """All names of a map in its own language ('') and others: regions first, then places clear of them, then neighbours.
+
+    subject and context: (map, id, name, names map, geometry); places: (map, id, name, names, x, y), in order of id; a name that a
+    language lacks stays as it is. Dots and reserved boxes (map, x0, y0, x1, y1) are taken for every name. A map and language
+    are one group.
+    """
+    lang = F.explode(F.array(F.lit(""), *map(F.lit, languages))).alias("lang")
+    box = [F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    none = F.lit(None).cast("array<array<array<array<double>>>>").alias("geometry")
+
+    def rows(df: DataFrame, layer: str, *columns) -> DataFrame:
+        text = F.coalesce(F.try_element_at("names", F.col("lang")), F.col("name")).alias("text")
+        return df.select("*", lang).select("map", "lang", F.lit(layer).alias("layer"), "id", text, *columns)
+
+    def boxes(df: DataFrame) -> DataFrame:
+        return df.select("*", lang).select("map", "lang", F.lit("box").alias("layer"), F.lit(0).cast("long").alias("id"), F.lit("").alias("text"), none, "x0", "y0", "x1", "y1")
+
+    at = [F.col("x").alias("x0"), F.col("y").alias("y0"), *box[2:]]
+    parts = rows(subject, "region", *filled_as("geometry"), *box).unionByName(rows(context, "context", *filled_as("geometry"), *box)).unionByName(rows(places, "place", none, *at))
+    if reserved is not None:
+        parts = parts.unionByName(boxes(reserved))
+
+    def run(key: tuple, given: pd.DataFrame) -> pd.DataFrame:
+        layer = {name: g for name, g in given.groupby("layer")}
+        none_ = given.iloc[:0]
+        points = layer.get("place", none_).sort_values("id")
+        taken = list(layer.get("box", none_)[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
+        taken += [around(x, y, DOT, DOT) for x, y in zip(points["x0"], points["y0"])]
+        shapes = {name: list(zip(g["id"], g["text"], g["geometry"])) for name, g in layer.items()}
+        found = {"region": place(shapes.get("region", []), options, taken)}
+        taken += map(outline, found["region"].values())
+        found["place"] = beside(list(zip(points["id"], points["text"], points["x0"], points["y0"])), PLACE_SCALE * options.size, options.bounds, Places(taken=taken))
+        taken += map(outline, found["place"].values())
+        small = replace(options, size=CONTEXT_SCALE * options.size, min_scale=0.8, leaders=False)
+        found["context"] = place(shapes.get("context", []), small, taken)
+        out = [(*key, name, i, f.text, f.kind, f.x, f.y, f.size, [list(p) for p in f.path]) for name, labels in found.items() for i, f in labels.items()]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PANEL.split(", ")])
+
+    return parts.groupBy("map", "lang").applyInPandas(run, PANEL)
+
+
+def filled_as(name: str) -> list:
+    return [filled(name)[0].alias(name)]
+
+
 #: Where a legend may be anchored (0 start, 1 centre, 2 end of width and height), in reading order, and its least side.
 POSITIONS = tuple((f"{v}-{h}" if (h, v) != ("center", "middle") else "center", i, j) for j, v in enumerate(("top", "middle", "bottom")) for i, h in enumerate(("left", "center", "right")))
 LEAST_SIDE = 48.0

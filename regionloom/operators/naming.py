@@ -142,3 +142,71 @@ def title_area(title: Column, base: Column, extra: Sequence[str] = ()) -> Column
 def file_name(*parts: str) -> Column:
     """Parts joined by a blank, as a safe file name."""
     return F.regexp_replace(F.concat_ws(" ", *parts), r"[^A-Za-z0-9._-]", "_")
+
+
+UNCLEAR = "Unclear from title/categories"
+MOST = 420  # characters of a description
+
+#: What a map's description says by its kind, {0} being its area.
+LOCATES = "Locator map for {0}; shows the named area within a wider region."
+KINDS_SAID = (
+    (r"topograph|physical|relief|terrain|elevation", "Physical or topographic blank map of {0}; see the source categories for detail."),
+    (r"historic|historical|century|\b(?:1[5-9]|20)\d{2}\b", "Historical blank map of {0}; see the title and source categories for its period and scope."),
+    (r"political|administrative|\b(?:region|province|department|county|district|state)\b", "Political or administrative blank map of {0}; see source categories for boundary detail."),
+    ("", "Outline map of {0}, intended for adding labels or data; see categories for its scope."),
+)
+TEMPLATE = "Generic locator template; it does not identify a fixed geographic region or country boundaries."
+
+
+def _said(text: str, area: Column) -> Column:
+    before, after = text.split("{0}")
+    return F.concat(F.lit(before), area, F.lit(after))
+
+
+def short_description(title: Column, area: Column, description: Column, locator: Column) -> Column:
+    """At most 420 characters on a map: its own description, cut where it speaks of tools or at a blank; locator maps and maps
+    without a description get a sentence by their kind. `locator`: do its categories say that it is a locator map?
+    """
+    stem = F.btrim(F.regexp_replace(F.translate(F.regexp_replace(title, r"(?i)\.svgz?$", ""), "_", " "), "-+", " "))
+    locates = F.coalesce(locator, F.lit(False)) | stem.rlike(r"(?i)location\s+map|locator\s+map")
+    own = clean_markup(F.coalesce(description, F.lit("")))
+    made = own.rlike(r"(?i)^Locator map for .*; shows the named area within a wider region\.$|processed using|qgis atlas|generated using|\bsee filename|\bxy\b")
+    head = F.btrim(F.regexp_extract(own, r"(?i)^(.*?)\b(?:processed using|generated using|based on)\b", 1), F.lit(" ,;."))
+    cut = F.substring(own, 1, MOST - 3)
+    short = F.concat(F.coalesce(F.nullif(F.btrim(F.regexp_extract(cut, "(?s)^(.*) [^ ]*$", 1)), F.lit("")), F.btrim(cut)), F.lit("..."))
+    given = F.when(locates & made, _said(LOCATES, area)).when(F.length(own) <= MOST, own).when((head != "") & (F.length(head) <= MOST), head).otherwise(short)
+    kind = F.when(locates, _said(LOCATES, area))
+    for pattern, text in KINDS_SAID:
+        kind = kind.when(stem.rlike(f"(?i){pattern}") if pattern else F.lit(True), _said(text, area))
+    untold = F.concat(F.lit("Blank-map file titled \u201c"), stem, F.lit("\u201d; its coverage is unclear from Commons metadata."))
+    found = F.when(own != "", given).when(area != UNCLEAR, kind).otherwise(untold)
+    return F.when(F.lower(title) == "blank map.svg", TEMPLATE).otherwise(found)
+
+
+#: Other names of data sets.
+ALIASES = {"countries": "ne-admin0", "country": "ne-admin0", "world": "ne-admin0", "subdivisions": "ne-admin1", "states": "ne-admin1", "provinces": "ne-admin1", "admin1": "ne-admin1", "countries and subdivisions": "mixed"}
+
+
+def dataset_name(text: Column) -> Column:
+    """A data set's own name."""
+    name = F.lower(F.trim(text))
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))[name], name)
+
+
+def credit_of_year(credit: Column, year: Column) -> Column:
+    """A credit with the year of the boundaries, or either alone; null without both."""
+    return F.when(credit.isNotNull() & year.isNotNull(), F.concat(credit, F.lit("; boundaries as of "), year)).when(year.isNotNull(), F.concat(F.lit("Boundaries as of "), year)).otherwise(credit)
+
+
+def template_variables(jobs: DataFrame, countries: DataFrame, level: str = "", year: str | None = None) -> DataFrame:
+    """`jobs` (stem, code, sidecar_level, sidecar_year, credit, ...) plus vars: code (the stem without one), name (of the country
+    (id, name) with that code, else the code), level and year (the run's own year before the sidecar's), stem and data.
+    """
+    coded = jobs.withColumn("_code", F.coalesce("code", "stem"))
+    names = countries.groupBy(F.col("id").alias("_code")).agg(F.min("name").alias("_name"))
+    value = {
+        "code": F.col("_code"), "name": F.coalesce("_name", "_code"), "level": F.coalesce("sidecar_level", F.lit(level)),
+        "year": F.coalesce(F.lit(year).cast("string"), "sidecar_year", F.lit("")), "stem": F.col("stem"), "data": F.coalesce("credit", F.lit("")),
+    }
+    out = coded.join(names, "_code", "left").withColumn("vars", F.create_map(*(x for k, v in value.items() for x in (F.lit(k), v))))
+    return out.drop("_code", "_name")

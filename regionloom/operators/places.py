@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spatial
-from .labels import LINE, Places, around, width
+from .labels import Places, beside
 
 
 def shown_capitals(places: DataFrame, subject: DataFrame, bounds: tuple[float, float, float, float], mode: str, cell: float = 64.0) -> DataFrame:
@@ -34,21 +34,11 @@ def point_labels(points: DataFrame, size: float, bounds: tuple[float, float, flo
 
     Earlier labels take their place first, so one map is one group; `reserved` boxes are taken on every map.
     """
-    west, south, east, north = bounds
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        placed, out = Places(8 * size, reserved), []
-        for r in rows.sort_values(["order", "pid"]).itertuples():
-            if not (r.text or "").strip():
-                continue
-            w, h, gap = width(r.text, size), LINE * size, 0.45 * size
-            for x, y in ((r.x + gap + w / 2, r.y), (r.x - gap - w / 2, r.y), (r.x, r.y - gap - h / 2), (r.x, r.y + gap + h / 2)):
-                b = around(x, y, w, h)
-                if b[0] >= west + 1 and b[2] <= east - 1 and b[1] >= south + 1 and b[3] <= north - 1 and placed.free(b):
-                    placed.take(b)
-                    out.append((r.map, r.pid, x, y))
-                    break
-        return pd.DataFrame(out, columns=["map", "pid", "x", "y"])
+        own = rows.sort_values(["order", "pid"])
+        found = beside(list(zip(own["pid"], own["text"], own["x"], own["y"])), size, bounds, Places(8 * size, reserved))
+        return pd.DataFrame([(rows["map"].iloc[0], i, f.x, f.y) for i, f in found.items()], columns=["map", "pid", "x", "y"])
 
     return points.select("map", "pid", "text", "x", "y", "order").groupBy("map").applyInPandas(run, "map long, pid long, x double, y double")
 

@@ -161,3 +161,32 @@ def bridge_join(spark, sf_dir):
     old = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("town"), F.col("c_nationkey").alias("county"), F.round(F.col("c_acctbal") * 100).cast("long").alias("land"))
     new = c.where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("town"), F.col("c_mktsegment").alias("region"))
     return jobs.bridge(old, new, ("county", "region"), "town", "land")
+
+
+@query("""
+WITH d AS (SELECT p_partkey AS k, p_name AS area, p_partkey % 7 AS v FROM part)
+SELECT k, CASE v WHEN 0 THEN 'Locator map for ' || area || '; shows the named area within a wider region.' WHEN 1 THEN 'Own words on ' || area || '.'
+  WHEN 2 THEN 'Physical or topographic blank map of ' || area || '; see the source categories for detail.' WHEN 3 THEN 'Historical blank map of ' || area || '; see the title and source categories for its period and scope.'
+  WHEN 4 THEN 'Blank-map file titled “' || 'X ' || k || '”; its coverage is unclear from Commons metadata.' WHEN 5 THEN 'Head of ' || area ELSE 'Outline map of ' || area || ', intended for adding labels or data; see categories for its scope.' END AS text FROM d""")
+def short_descriptions(spark, sf_dir):
+    k, area = F.col("p_partkey"), F.col("p_name")
+    v = k % 7
+    title = F.when(v == 0, F.concat(area, F.lit(" location map.svg"))).when(v == 2, "Terrain-of-it.svg").when(v == 3, "It_in_1789.svg").when(v == 4, F.concat(F.lit("X_"), k.cast("string"), F.lit(".svg"))).otherwise("It.svg")
+    own = F.when(v == 1, F.concat(F.lit("Own <i>words</i> on "), area, F.lit("."))).when(v == 5, F.concat(F.lit("Head of "), area, F.lit(", based on "), F.repeat(F.lit("much "), 100)))
+    about = naming.short_description(title, F.when(v == 4, naming.UNCLEAR).otherwise(area), own, F.lit(False))
+    return table(spark, sf_dir, "part").select(k.alias("k"), about.alias("text"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_nationkey FROM supplier), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3)
+SELECT k, CASE WHEN k % 4 = 0 THEN 'f' || k ELSE s_nationkey::VARCHAR END AS code, coalesce(CASE WHEN k % 4 <> 0 THEN n_name END, CASE WHEN k % 4 = 0 THEN 'f' || k ELSE s_nationkey::VARCHAR END) AS name,
+  CASE WHEN k % 3 = 0 THEN 'ADM2' ELSE 'ADM1' END AS level, CASE WHEN k % 5 = 0 THEN '' ELSE (2000 + k % 20)::VARCHAR END AS year FROM s LEFT JOIN n ON n_nationkey = s_nationkey""")
+def template_variables(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(
+        k.alias("k"), F.concat(F.lit("f"), k.cast("string")).alias("stem"), F.when(k % 4 != 0, F.col("s_nationkey").cast("string")).alias("code"),
+        F.when(k % 3 == 0, "ADM2").alias("sidecar_level"), F.when(k % 5 != 0, (2000 + k % 20).cast("string")).alias("sidecar_year"), F.lit(None).cast("string").alias("credit"),
+    )
+    n = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    v = naming.template_variables(s, n, "ADM1")
+    return v.select("k", *[F.col("vars")[c].alias(c) for c in ("code", "name", "level", "year")])

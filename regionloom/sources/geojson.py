@@ -37,24 +37,27 @@ def records(texts: DataFrame, text: str = "text") -> DataFrame:
     return rows.where(F.col("f.geometry").isNotNull()).select(*keep, "row", F.col("f.id").alias("feature_id"), F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
 
 
-def polygons(geometry: Column) -> Column:
-    """Polygon parts of a geometry text: polygons, multipolygons and collections of them; else none."""
+NESTED = 6  # collections within collections that are read
+
+
+def _parts(geometry: Column, one: str, many: str, element: str, nested: int) -> Column:
+    """Parts of a geometry text of type `one` or `many`, also out of collections, nested ones too; else none."""
+    kind, coords = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    own = F.when(kind == one, F.array(F.from_json(coords, element))).when(kind == many, F.from_json(coords, f"array<{element}>"))
+    if nested:
+        inner = F.from_json(F.get_json_object(geometry, "$.geometries"), "array<string>")
+        own = own.when(kind == "GeometryCollection", F.flatten(F.transform(inner, lambda g: _parts(g, one, many, element, nested - 1))))
+    return own.otherwise(F.array().cast(f"array<{element}>"))
 
-    def parts(g: Column) -> Column:
-        kind, coords = F.get_json_object(g, "$.type"), F.get_json_object(g, "$.coordinates")
-        none = F.array().cast(_MULTI)
-        return F.when(kind == "Polygon", F.array(F.from_json(coords, _POLYGON))).when(kind == "MultiPolygon", F.from_json(coords, _MULTI)).otherwise(none)
 
-    inner = F.from_json(F.get_json_object(geometry, "$.geometries"), "array<string>")
-    collected = F.flatten(F.transform(inner, parts))
-    return F.when(F.get_json_object(geometry, "$.type") == "GeometryCollection", collected).otherwise(parts(geometry))
+def polygons(geometry: Column) -> Column:
+    """Polygon parts of a geometry text: polygons, multipolygons and collections of them; else none."""
+    return _parts(geometry, "Polygon", "MultiPolygon", _POLYGON, NESTED)
 
 
 def lines(geometry: Column) -> Column:
-    """Line parts of a geometry text."""
-    kind, coords = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
-    line = "array<array<double>>"
-    return F.when(kind == "LineString", F.array(F.from_json(coords, line))).when(kind == "MultiLineString", F.from_json(coords, f"array<{line}>")).otherwise(F.array().cast(f"array<{line}>"))
+    """Line parts of a geometry text, out of collections too."""
+    return _parts(geometry, "LineString", "MultiLineString", "array<array<double>>", NESTED)
 
 
 def property_of(name: str) -> Column:

@@ -109,3 +109,41 @@ def test_texts_of_quoted_cells(spark):
     assert got == [(7, 1, "1", 'Dukes; and "Nantucket"', "a", None), (7, 3, "2", "two\nlines", None, None), (7, 6, "3", "c", "d", None)]
     with pytest.raises(ValueError, match="not closed"):
         tables.records('a,b\n1,"open')
+
+
+def test_descriptions(spark):
+    long = "word " * 100
+    rows = [
+        ("Blank map.svg", "x", None, None), ("France location map.svg", "France", "", None), ("A.svg", "Peru", "Made; processed using tools", True), ("A.svg", "Peru", "Own <b>text</b>.", True),
+        ("Relief of B.svg", "B", None, None), ("B in 1890.svg", "B", None, None), ("B provinces region.svg", "B", None, None), ("B.svg", "B", None, None),
+        ("My_odd--map.svgz", naming.UNCLEAR, None, None), ("C.svg", "C", long, None), ("C.svg", "C", f"A head, based on {long}", None), ("C.svg", "C", "x" * 500, None),
+    ]
+    df = spark.createDataFrame(rows, "t string, a string, d string, l boolean")
+    got = [r[0] for r in df.select(naming.short_description(F.col("t"), F.col("a"), F.col("d"), F.col("l"))).collect()]
+    assert got[0] == naming.TEMPLATE and got[1] == naming.LOCATES.format("France") and got[2] == naming.LOCATES.format("Peru") and got[3] == "Own text."
+    assert got[4].startswith("Physical") and got[5].startswith("Historical") and got[6].startswith("Political") and got[7].startswith("Outline map of B")
+    assert got[8] == "Blank-map file titled “My odd map”; its coverage is unclear from Commons metadata."
+    assert got[9] == "word " * 82 + "word..." and len(got[9]) <= 420 and got[10] == "A head" and got[11] == "x" * 417 + "..."
+
+
+def test_names_credits_and_variables(spark):
+    df = spark.createDataFrame([("Countries", "A", "2020"), (" own ", None, "2020"), ("states", "A", None), (None, None, None)], "d string, c string, y string")
+    got = [tuple(r) for r in df.select(naming.dataset_name(F.col("d")), naming.credit_of_year(F.col("c"), F.col("y"))).collect()]
+    assert got == [("ne-admin0", "A; boundaries as of 2020"), ("own", "Boundaries as of 2020"), ("ne-admin1", "A"), (None, None)]
+    runs = spark.createDataFrame([("fra", "FR", "ADM1", "2019", "c"), ("deu", None, None, None, None)], "stem string, code string, sidecar_level string, sidecar_year string, credit string")
+    names = spark.createDataFrame([("FR", "France")], "id string, name string")
+    vars_ = {r["stem"]: r["vars"] for r in naming.template_variables(runs, names, "ADM0").collect()}
+    assert vars_["fra"] == {"code": "FR", "name": "France", "level": "ADM1", "year": "2019", "stem": "fra", "data": "c"}
+    assert vars_["deu"] == {"code": "deu", "name": "deu", "level": "ADM0", "year": "", "stem": "deu", "data": ""}
+
+
+def test_nested_collections(spark):
+    from regionloom.sources import geojson
+
+    poly = '{"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [0, 1], [0, 0]]]}'
+    line = '{"type": "LineString", "coordinates": [[0, 0], [1, 1]]}'
+    inner = f'{{"type": "GeometryCollection", "geometries": [{poly}, {line}, {{"type": "Point", "coordinates": [1, 2]}}]}}'
+    outer = f'{{"type": "GeometryCollection", "geometries": [{inner}, {poly}, {inner}]}}'
+    df = spark.createDataFrame([(g,) for g in (poly, line, inner, outer, '{"type": "Point", "coordinates": [1, 2]}')], "g string")
+    got = [tuple(r) for r in df.select(F.size(geojson.polygons(F.col("g"))), F.size(geojson.lines(F.col("g")))).collect()]
+    assert got == [(1, 0), (0, 1), (1, 1), (3, 2), (0, 0)]

@@ -105,3 +105,22 @@ def test_maps_on_spark(spark):
     got = {(r["map"], r["id"]): r["kind"] for r in L.place_labels(df, WIDE, reserved).collect()}
     assert got == {(1, 1): "straight", (1, 2): "leader", (2, 2): "leader"}
     assert L.place_labels(df.limit(0)).count() == 0
+
+
+def test_panels_by_language(spark):
+    kind = "array<array<array<array<double>>>>"
+    shape = lambda *b: [[[list(map(float, p)) for p in r] for r in part] for part in rect(*b)]
+    subject = spark.createDataFrame([(1, 1, "Alpha", {"fr": "Un nom beaucoup trop long pour elle"}, shape(0, 0, 100, 100)), (1, 2, "Beta", None, shape(200, 0, 300, 100)), (2, 1, "Solo", {}, None)], f"map long, id long, name string, names map<string,string>, geometry {kind}")
+    places = spark.createDataFrame([(1, 1, "Capital", {"fr": "Capitale"}, 150.0, 50.0), (1, 2, "Twin", None, 50.0, 85.0)], "map long, id long, name string, names map<string,string>, x double, y double")
+    context = spark.createDataFrame([(1, 7, "Near", None, shape(0, 200, 300, 300))], f"map long, id long, name string, names map<string,string>, geometry {kind}")
+    got = {(r["map"], r["lang"], r["layer"], r["id"]): r for r in L.panel_labels(subject, places, context, ["fr"], L.Options(bounds=(0, 0, 400, 400))).collect()}
+    assert got[1, "", "region", 2]["text"] == "Beta" and got[1, "fr", "place", 1]["text"] == "Capitale" and got[1, "", "place", 1]["size"] == pytest.approx(11 * 0.85)
+    assert got[1, "", "context", 7]["size"] == pytest.approx(9.9)
+    assert (1, "fr", "region", 1) not in got and (1, "", "region", 1) in got  # too long for its region, which is too wide for a leader
+    assert not any(k[0] == 2 for k in got)
+    for lang in ("", "fr"):
+        boxes = [L.outline(L.Label(r["text"], r["kind"], r["x"], r["y"], r["size"], r["path"])) for k, r in got.items() if k[1] == lang]
+        assert all(a is b or a[0] > b[2] or b[0] > a[2] or a[1] > b[3] or b[1] > a[3] for a in boxes for b in boxes)
+        assert all(not (b[0] <= x + 3 and x - 3 <= b[2] and b[1] <= y + 3 and y - 3 <= b[3]) for x, y in ((50, 85), (150, 50)) for b in boxes)
+    taken = spark.createDataFrame([(1, 0.0, 0.0, 400.0, 400.0)], "map long, x0 double, y0 double, x1 double, y1 double")
+    assert L.panel_labels(subject, places, context, [], L.Options(), taken).where("map = 1").count() == 0
