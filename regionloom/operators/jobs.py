@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import rings, spatial
+from . import codes, rings, snap, spatial
 from .graph import cut
 
 WORLD = "world"
@@ -161,3 +161,55 @@ def bridge(old: DataFrame, new: DataFrame, keys: tuple[str, str], unit: str, amo
     """(old key, new key, amount): what moved from old areas to new ones, by units that kept their code in both; `amount` is summed."""
     a = old.groupBy(keys[0], unit).agg(F.sum(amount).alias(amount))
     return a.join(new.select(keys[1], unit).distinct(), unit).groupBy(*keys).agg(F.sum(amount).alias(amount))
+
+
+def shapes_of(rows: DataFrame) -> DataFrame:
+    """(feature, geometry) of ring rows (feature, part, ring, pos, x, y); a feature's parts and a part's rings in their order."""
+    in_order = lambda at, value: F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda s: s[value])
+    ring = rows.withColumn("p", F.array("x", "y")).groupBy(*rings.RING).agg(in_order("pos", "p").alias("points"))
+    part = ring.groupBy("feature", "part").agg(in_order("ring", "points").alias("rings"))
+    return part.groupBy("feature").agg(in_order("part", "rings").alias("geometry"))
+
+
+def convert(
+    records: DataFrame, tolerance: float | None = None, references: DataFrame | None = None, min_share: float = 0.5,
+    codes_from: tuple[DataFrame, Column] | None = None, names: DataFrame | None = None, prefix: str = "",
+) -> tuple[DataFrame, DataFrame]:
+    """A layer made ready for writing, and a report (step, done, total, detail).
+
+    records: (pos long, name, geometry, ...). In this order, each step only if it is asked for: shapes are repaired within the
+    tolerance; ids are taken from references (code, parent, geometry) that are the same place; codes from a table (key, value),
+    by the records' column given with it; parents are named by names (key, value), with or without the prefix.
+    """
+    spark, done = records.sparkSession, []
+    report = "step string, done long, total long, detail string"
+    out = records
+    if tolerance is not None:
+        fixed, summary = snap.repair(ring_rows(out.select(F.col("pos").alias("feature"), "geometry")), tolerance)
+        shapes = shapes_of(fixed).withColumnRenamed("feature", "pos")
+        areal = F.coalesce(F.size("geometry") > 0, F.lit(False))
+        out = out.withColumn("_areal", areal).drop("geometry").join(shapes, "pos", "left").withColumn("geometry", F.when(F.col("_areal"), F.coalesce("geometry", F.array().cast(spatial.POLYGON)))).drop("_areal")
+        detail = ", ".join(f"{k} {v}" for k, v in summary.items())
+        done.append(spark.createDataFrame([("repair", int(summary["fixed_polygons"]), records.count(), detail)], report))
+    if references is not None:
+        out = cut(take_ids(out, references, min_share))
+        r = take_report(out, F.col("name"))
+        done.append(r.select(F.lit("ids").alias("step"), F.col("matched").alias("done"), "total", F.concat(F.col("reused").cast("string"), F.lit(" codes used again; unmatched: "), "unmatched").alias("detail")))
+    if codes_from is not None:
+        table, match = codes_from
+        clear, unclear = codes.lookup(table, "key", "value")
+        had = out.withColumn("_had", F.col("code")) if "code" in out.columns else out.withColumn("_had", F.lit(None).cast("string"))
+        out = codes.assign_codes(had.drop("code"), match, clear).withColumn("code", F.coalesce("code", "_had")).drop("_had")
+        n = unclear.agg(F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("keys"))  # ambiguous keys of a code table
+        r = out.agg(F.count_if("matched").alias("done"), F.count(F.lit(1)).alias("total")).join(F.broadcast(n))
+        done.append(r.select(F.lit("codes").alias("step"), "done", "total", F.concat(F.lit("ambiguous: "), "keys").alias("detail")))
+        out = out.drop("matched")
+    if names is not None:
+        out = codes.parent_names(out if "parent" in out.columns else out.withColumn("parent", F.lit(None).cast("string")), "parent", names, prefix)
+        missing = codes.unmatched_parents(out, "parent", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_pos", "parent"))), lambda s: s["parent"]), ", ").alias("gaps"))
+        r = out.agg(F.count("parent_name").alias("done"), F.count(F.lit(1)).alias("total")).join(F.broadcast(missing))
+        done.append(r.select(F.lit("parents").alias("step"), "done", "total", F.concat(F.lit("without a name: "), "gaps").alias("detail")))
+    told = spark.createDataFrame([], report)
+    for r in done:
+        told = told.unionByName(r)
+    return out, told

@@ -147,3 +147,20 @@ def test_nested_collections(spark):
     df = spark.createDataFrame([(g,) for g in (poly, line, inner, outer, '{"type": "Point", "coordinates": [1, 2]}')], "g string")
     got = [tuple(r) for r in df.select(F.size(geojson.polygons(F.col("g"))), F.size(geojson.lines(F.col("g")))).collect()]
     assert got == [(1, 0), (0, 1), (1, 1), (3, 2), (0, 0)]
+
+
+def test_a_layer_is_converted(spark):
+    bow = [[[[30.0, 0.0], [31.0, 1.0], [31.0, 0.0], [30.0, 1.0], [30.0, 0.0]]]]
+    rec = spark.createDataFrame([(0, "Alpha", square(0.0, 0.0)), (1, "Beta", square(1.00005, 0.0)), (2, "Gamma", bow), (3, "Delta", None)], f"pos long, name string, geometry {SHAPE}")
+    ref = spark.createDataFrame([("US-31", "US-1", square(0.1, 0.0)), ("US-99", "US-2", square(1.1, 0.0))], f"code string, parent string, geometry {SHAPE}")
+    table = spark.createDataFrame([("Gamma", "G"), ("Delta", "D1"), ("Delta", "D2")], "key string, value string")
+    names = spark.createDataFrame([("1", "Nebraska")], "key string, value string")
+    out, told = jobs.convert(rec, 1e-4, ref, 0.5, (table, F.col("name")), names, "US-")
+    got = {r["name"]: r for r in out.collect()}
+    assert {n: (r["code"], r["parent"], r["parent_name"]) for n, r in got.items()} == {"Alpha": ("US-31", "US-1", "Nebraska"), "Beta": ("US-99", "US-2", None), "Gamma": ("G", None, None), "Delta": (None, None, None)}
+    assert len(got["Gamma"]["geometry"]) == 2 and got["Delta"]["geometry"] is None and min(p[0] for p in got["Beta"]["geometry"][0][0]) == 1.0
+    said = {r["step"]: (r["done"], r["total"], r["detail"]) for r in told.collect()}
+    assert said["ids"] == (2, 4, "0 codes used again; unmatched: Gamma, Delta") and said["codes"] == (1, 4, "ambiguous: Delta") and said["parents"] == (1, 4, "without a name: US-2")
+    assert said["repair"][:2] == (1, 4) and "snapped_vertices 2" in said["repair"][2]
+    same, none = jobs.convert(rec)
+    assert same.count() == 4 and none.count() == 0
