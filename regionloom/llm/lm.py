@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from . import kernels as K
-from .blocks import LEAST_BUCKETS, TABLE_BUCKETS, block_count, bucket_count, bucket_edges, expand, expand_sorted, squeeze, squeeze_sorted, store_as_read, unpack
+from .blocks import LEAST_BUCKETS, TABLE_BUCKETS, block_count, bucket_count, bucket_edges, expand, expand_keys, squeeze, squeeze_keys, store_as_read, unpack
 from .common import materialize, table, text_bytes
 from .langid import held_out
 
@@ -215,7 +215,7 @@ def _ask(buckets: int):
         for i in range(buckets):
             parts = [slice(e[i], e[i + 1]) for e in edges]
             if any(p.start < p.stop for p in parts):
-                out.append((i, key[0].as_py(), *(squeeze_sorted(k[p]) for k, p in zip(keys, parts)), *(squeeze(n[p]) for n, p in zip(counts, parts))))
+                out.append((i, key[0].as_py(), *(squeeze_keys(k[p]) for k, p in zip(keys, parts)), *(squeeze(n[p]) for n, p in zip(counts, parts))))
         K.release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -236,7 +236,7 @@ def _answer(key, asked):
         parts = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
         return sums, [squeeze(p) for p in parts]
 
-    (sums, words), (_, pairs), (_, triples) = (summed([expand_sorted(x) for x in cols[k]], cols[f"n_{k}"]) for k in _KINDS)
+    (sums, words), (_, pairs), (_, triples) = (summed([expand_keys(x) for x in cols[k]], cols[f"n_{k}"]) for k in _KINDS)
     n, bucket = len(words), key[0].as_py()
     K.release()
     return pa.table({

@@ -127,3 +127,14 @@ def test_words_that_agree_on_half_their_hash_are_told_apart(spark):
     for i, want in enumerate(plain_scores(rows)):
         assert got[i] == pytest.approx(want[-1], abs=1e-9)
     assert abs(got[4] - got[5]) > 0.05
+
+
+def test_keys_travel_in_planes():
+    from regionloom.llm import blocks
+
+    rng = np.random.default_rng(2)
+    for n, high in ((0, 1), (1, 1 << 63), (5, 3), (7000, 1 << 57), (300, 1 << 8), (2, 1)):
+        k = np.sort(rng.integers(0, high, n).astype(np.uint64))
+        assert (blocks.expand_keys(blocks.squeeze_keys(k)) == k).all()
+    top = np.array([0, 1, (1 << 64) - 1], np.uint64)
+    assert (blocks.expand_keys(blocks.squeeze_keys(top)) == top).all()
