@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dissolve, jobs, naming
+from ..operators import dissolve, jobs, listing, naming
 from ..session import table
+from ..sources import layers
 from .registry import query
 
 
@@ -190,3 +191,65 @@ def template_variables(spark, sf_dir):
     n = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
     v = naming.template_variables(s, n, "ADM1")
     return v.select("k", *[F.col("vars")[c].alias(c) for c in ("code", "name", "level", "year")])
+
+
+@query("""
+WITH r AS (SELECT c_nationkey % 9 AS d, c_custkey AS code, c_mktsegment AS credit, 'r' || c_custkey % 4 AS release FROM customer WHERE c_nationkey % 9 <> 8),
+g AS (SELECT d, count(*) AS n, arg_min(credit, code) AS credit, arg_min(release, code) AS release FROM r GROUP BY d)
+SELECT 'd' || s.d AS dataset, s.d % 2 = 0 AS per_region, coalesce(n, 0) AS regions, CASE WHEN s.d % 2 = 1 THEN credit END AS credit, CASE WHEN s.d % 2 = 1 THEN release END AS release
+FROM (SELECT DISTINCT n_nationkey % 9 AS d FROM nation) s LEFT JOIN g USING (d)""")
+def dataset_listing(spark, sf_dir):
+    """Data sets with the number of their regions; those of one file tell its origin."""
+    d = F.col("n_nationkey") % 9
+    catalogue = table(spark, sf_dir, "nation").select(F.concat(F.lit("d"), d.cast("string")).alias("dataset"), (d % 2 == 0).alias("per_region")).distinct()
+    k = F.col("c_custkey")
+    regions = table(spark, sf_dir, "customer").where("c_nationkey % 9 <> 8").select(F.concat(F.lit("d"), (F.col("c_nationkey") % 9).cast("string")).alias("dataset"), k.alias("code"), F.col("c_mktsegment").alias("credit"), F.concat(F.lit("r"), (k % 4).cast("string")).alias("release"))
+    return listing.datasets(catalogue, regions)
+
+
+@query("""
+SELECT CASE WHEN n_nationkey = 3 THEN 'world' ELSE 'N' || n_nationkey END AS code, CASE WHEN n_regionkey = 0 THEN 'CONTINENT' WHEN n_regionkey = 1 THEN 'ISO' END AS "column",
+  CASE WHEN n_regionkey = 0 THEN 'continent' WHEN n_regionkey = 1 THEN 'region' WHEN n_nationkey = 3 THEN 'world' ELSE 'file' END AS kind FROM nation""")
+def region_listing(spark, sf_dir):
+    code = F.when(F.col("n_nationkey") == 3, "world").otherwise(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")))
+    column = F.when(F.col("n_regionkey") == 0, "CONTINENT").when(F.col("n_regionkey") == 1, "ISO")
+    return listing.region_kinds(table(spark, sf_dir, "nation").select(code.alias("code"), column.alias("column")))
+
+
+@query("""
+SELECT p_partkey AS code, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'Das ' || p_name END AS de, CASE WHEN p_size % 3 = 0 THEN 2 WHEN p_size % 2 = 0 THEN 1 ELSE 0 END - CASE WHEN p_size % 3 = 0 AND p_size % 2 <> 0 THEN 1 ELSE 0 END AS names, p_type AS parent FROM part WHERE p_brand < 'Brand#3'""")
+def feature_listing(spark, sf_dir):
+    """A region's features with their names in two of three languages; no other column reaches the scan."""
+    n = F.col("p_size")
+    names = F.create_map(F.lit("de"), F.when(n % 2 == 0, F.concat(F.lit("Das "), "p_name")), F.lit("fr"), F.when(n % 3 == 0, F.concat(F.lit("Le "), "p_name")), F.lit("it"), F.col("p_name"))
+    layer = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), names.alias("names"), F.col("p_type").alias("parent"), "p_brand")
+    f = listing.features(layer, F.col("p_brand") < "Brand#3", ["de", "fr"])
+    return f.select("code", "name", F.try_element_at("names", F.lit("de")).alias("de"), F.size("names").alias("names"), "parent")
+
+
+@query("""
+SELECT s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN s_name ELSE 'its set' END AS source, 'CC0' AS licence FROM supplier""")
+def provenance_defaults(spark, sf_dir):
+    """A record's own source, else its data set's; what no record tells is the data set's."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("source"))
+    return layers.provenance(s, {"source": "its set", "licence": "CC0"})
+
+
+@query("""
+WITH c AS (SELECT p_brand AS file, p_size AS depth, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'Countries of ' || p_type WHEN 2 THEN p_type ELSE '' END AS area,
+  CASE p_partkey % 4 WHEN 0 THEN 'Category:Maps of ' || p_name || ' (x)' WHEN 1 THEN 'Blank maps of Countries of ' || p_type WHEN 2 THEN 'SVG maps of ' || p_type || ' by User:Z' ELSE 'Maps by country' END AS category FROM part)
+SELECT file, max({'a': area NOT LIKE 'Countries of %', 'b': length(area), 'c': depth, 'd': area, 'e': category}).d AS area FROM c WHERE area <> '' GROUP BY file""")
+def best_area(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    category = F.when(k == 0, F.concat(F.lit("Category:Maps of "), "p_name", F.lit(" (x)"))).when(k == 1, F.concat(F.lit("Blank maps of Countries of "), "p_type"))
+    category = category.when(k == 2, F.concat(F.lit("SVG maps of "), "p_type", F.lit(" by User:Z"))).otherwise("Maps by country")
+    return listing.best_areas(table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), category.alias("category"), F.col("p_size").alias("depth")))
+
+
+@query("""
+WITH f AS (SELECT doc_id, n_chars % 50 AS usages, md5(text) AS hash, n_chars < 100 AS issue FROM documents)
+SELECT count(*) AS files, count(*) FILTER (usages > 0) AS used, sum(usages)::BIGINT AS usages, count(*) FILTER (issue) AS issues,
+  (SELECT count(*) FROM (SELECT hash FROM f WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1)) AS duplicate_groups FROM f""")
+def catalogue_totals(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return listing.totals(d.select((F.col("n_chars") % 50).alias("usages"), F.md5("text").alias("hash"), (F.col("n_chars") < 100).alias("issue")))

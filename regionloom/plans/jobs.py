@@ -80,35 +80,6 @@ def truncated_warnings(spark, sf_dir):
     return g.select("region", truncated(F.col("names"), 3).alias("text"))
 
 
-@query("""
-SELECT lang AS dataset, count(*) AS regions, CASE WHEN min(source) = max(source) THEN min(source) END AS provenance, max(n_chars)::BIGINT AS release FROM documents GROUP BY lang""")
-def dataset_listing(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("dataset"))
-    return d.agg(F.count(F.lit(1)).alias("regions"), F.when(F.min("source") == F.max("source"), F.min("source")).alias("provenance"), F.max("n_chars").alias("release"))
-
-
-@query("""
-SELECT r_name AS code, CASE WHEN r_name = 'ASIA' THEN 'world' WHEN r_name LIKE 'A%' THEN 'continent' ELSE 'region' END AS kind FROM region""")
-def region_listing(spark, sf_dir):
-    kind = F.when(F.col("r_name") == "ASIA", "world").when(F.col("r_name").startswith("A"), "continent").otherwise("region")
-    return table(spark, sf_dir, "region").select(F.col("r_name").alias("code"), kind.alias("kind"))
-
-
-@query("SELECT p_partkey AS id, p_name AS name, p_type AS class FROM part")
-def feature_listing(spark, sf_dir):
-    """Only the listed columns reach the scan."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("class"))
-
-
-@query("""
-SELECT s_suppkey AS id, coalesce(CASE WHEN s_acctbal > 0 THEN s_name END, n_name, 'unknown') AS source FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3""")
-def provenance_defaults(spark, sf_dir):
-    """A record's own source, else its dataset's, else a constant."""
-    n = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    s = table(spark, sf_dir, "supplier").join(n, "s_nationkey", "left")
-    return s.select(F.col("s_suppkey").alias("id"), F.coalesce(F.when(F.col("s_acctbal") > 0, F.col("s_name")), "n_name", F.lit("unknown")).alias("source"))
-
-
 @query(_BOX_SQL + """w AS (SELECT 1),
 c AS (SELECT id, greatest(x0, -60) AS x0, greatest(y0, -30) AS y0, least(x1, 60) AS x1, least(y1, 30) AS y1 FROM a WHERE x1 >= -60 AND x0 <= 60 AND y1 >= -30 AND y0 <= 30)
 SELECT id, (x1 - x0) * (y1 - y0) AS area FROM c WHERE x1 > x0 AND y1 > y0""")

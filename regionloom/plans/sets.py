@@ -187,20 +187,6 @@ def category_depth(spark, sf_dir):
     return graph.longest_depth(_links(spark, sf_dir), "root")
 
 
-@query("""
-SELECT c_mktsegment AS area, arg_max(c_name, length(c_name) * 100000 + c_custkey) AS best FROM customer GROUP BY 1""")
-def best_area(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.groupBy(F.col("c_mktsegment").alias("area")).agg(F.max_by("c_name", F.struct(F.length("c_name"), "c_custkey")).alias("best"))
-
-
-@query("""
-SELECT count(*) AS files, count(*) FILTER (n_chars > 1000) AS used, sum(n_chars)::BIGINT AS total, count(DISTINCT lang) AS areas FROM documents""")
-def catalogue_totals(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n_chars") > 1000).alias("used"), F.sum("n_chars").alias("total"), F.countDistinct("lang").alias("areas"))
-
-
 @query("""
 SELECT event_id, sha1(event_type || chr(31) || CASE WHEN event_id % 3 = 0 THEN chr(1) ELSE coalesce(props, chr(1)) END || chr(31) || user_id::VARCHAR) AS key FROM events""")
 def cache_keys(spark, sf_dir):
