@@ -72,13 +72,13 @@ def title_areas(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT s_suppkey % 4 AS map, s_suppkey AS pid, length(s_name) * 0.56 * 4 AS w, (s_suppkey // 4 % 5 * 45 + 15)::DOUBLE AS x, (s_suppkey // 20 * 20 + 10)::DOUBLE AS y FROM supplier)
+WITH p AS (SELECT s_suppkey % 4 AS map, s_suppkey AS pid, length(s_name) * 0.56 * 4 AS w, (s_suppkey // 4 % 3 * 85 + 15)::DOUBLE AS x, (s_suppkey // 12 * 20 + 10)::DOUBLE AS y FROM supplier)
 SELECT map, pid, round(CASE WHEN x + 1.8 + w <= 199 THEN x + 1.8 + w / 2 ELSE x - 1.8 - w / 2 END, 6) AS x, y FROM p""")
 def point_labels(spark, sf_dir):
-    """Points in rows: at the right edge the label goes to the left, where the neighbour's would have been."""
+    """Points in rows: labels to their right, at the right edge of the map to their left."""
     k = F.col("s_suppkey")
     j = F.floor(k / 4)
-    rows = table(spark, sf_dir, "supplier").select((k % 4).alias("map"), k.alias("pid"), F.col("s_name").alias("text"), (j % 5 * 45 + 15).cast("double").alias("x"), (F.floor(k / 20) * 20 + 10).cast("double").alias("y"), (-k).alias("order"))
+    rows = table(spark, sf_dir, "supplier").select((k % 4).alias("map"), k.alias("pid"), F.col("s_name").alias("text"), (j % 3 * 85 + 15).cast("double").alias("x"), (F.floor(k / 12) * 20 + 10).cast("double").alias("y"), (-k).alias("order"))
     return P.point_labels(rows, 4.0, (0.0, 0.0, 200.0, 1e9)).withColumn("x", F.round("x", 6))
 
 

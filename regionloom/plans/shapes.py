@@ -118,9 +118,9 @@ def best_match_polygons(spark, sf_dir):
     return spatial.best_match(p, F.round(F.col("overlap") / det, 6), F.col("area") / det, F.col("area_b") / det, 0.2001)
 
 
-@query(_BOX_SQL.split("b AS (SELECT c_custkey")[0].rstrip().rstrip(",") + """,
+@query(_BOX_SQL.rstrip().rstrip(",") + """,
 m AS (SELECT a.id AS a, b.id AS b, a.x0, a.y0, a.x1, a.y1, (a.x0 + a.x1) / 2 AS nx, (a.y0 + a.y1) / 2 AS ny, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, (b.x0 + b.x1) / 2 AS mx, (b.y0 + b.y1) / 2 AS my
-  FROM a JOIN a b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+  FROM b a JOIN b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
 p AS (SELECT a, b,
   (greatest(0, least(x1, bx1) - greatest(x0, bx0)) * greatest(0, least(y1, by1) - greatest(y0, by0))
   - greatest(0, least(x1, bx1) - greatest(nx, bx0)) * greatest(0, least(y1, by1) - greatest(ny, by0))
@@ -130,7 +130,7 @@ p AS (SELECT a, b,
 SELECT a, b, round(share, 6) AS share FROM p WHERE share > 0.1001""")
 def overlap_self_polygons(spark, sf_dir):
     """Concave shapes of one layer that overlap."""
-    a = _notched(_boxes(spark, sf_dir)).withColumns(spatial.polygon_box("geometry"))
+    a = _notched(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6))).withColumns(spatial.polygon_box("geometry"))
     p = spatial.box_pairs(a, a, 8.0).where("id < id_b").withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
     found = spatial.self_overlaps(p, F.col("overlap"), spatial.polygon_area("geometry"), spatial.polygon_area("geometry_b"), 0.1001)
     return found.select("a", "b", F.round("share", 6).alias("share"))
