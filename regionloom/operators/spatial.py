@@ -129,6 +129,12 @@ def union_shape(*polygons: str) -> Column:
     return _shapes("union")(*filled(*polygons))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, for geometry in Python: small tables would else meet in one task, as their bytes don't tell their work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def filled(*polygons: str) -> list[Column]:
     """Polygon columns with empty ones as nulls: Python workers die of empty arrays nested this deep."""
     return [F.when(F.size(p) > 0, F.col(p)) for p in polygons]
