@@ -67,10 +67,10 @@ def take_ids(records: DataFrame, references: DataFrame, min_share: float = 0.5,
     """`records` (pos, geometry, ...) with code and parent of the reference (code, parent, geometry) that is the same place, and
     `reused`: an earlier record has the code already. Records without a match keep nulls.
     """
-    box = lambda df, name: cut(df.select(F.col(name).alias("id"), "geometry").where(F.size("geometry") > 0).withColumns(spatial.polygon_box("geometry")))
+    box = lambda df, name: cut(df.select(F.col(name).alias("id"), "geometry").where(F.size("geometry") > 0).withColumns(spatial.polygon_box("geometry") | {"area": spatial.polygon_area("geometry")}))
     refs = cut(references.select("code", "parent", "geometry"))
     pairs = spatial.dealt(spatial.box_pairs(box(records, "pos"), box(refs, "code"), size)).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
-    m = spatial.best_match(pairs, F.col("overlap"), spatial.polygon_area("geometry"), spatial.polygon_area("geometry_b"), min_share)
+    m = spatial.best_match(pairs, F.col("overlap"), F.col("area"), F.col("area_b"), min_share)
     m = cut(m.where("overlap > 0").select(F.col("id").alias("pos"), F.col("id_b").alias("code")))
     first = m.groupBy("code").agg(F.min("pos").alias("first"))
     found = m.join(first, "code").join(refs.select("code", "parent"), "code", "left")
@@ -104,9 +104,9 @@ def check_layer(features: DataFrame, tolerance: float = 1e-4, overlap: float = 1
     n = F.size("outer")
     length = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda t, i: t + F.hypot(F.col("outer")[i][0] - F.col("outer")[(i + 1) % n][0], F.col("outer")[i][1] - F.col("outer")[(i + 1) % n][1]))
     parts = ring.where(n > 0).select("feature", spatial.polygon_area("one").alias("area"), length.alias("perimeter"))
-    boxes = cut(features.where(full).select(F.col("feature").alias("id"), "geometry").withColumns(spatial.polygon_box("geometry")))
+    boxes = cut(features.where(full).select(F.col("feature").alias("id"), "geometry").withColumns(spatial.polygon_box("geometry") | {"area": spatial.polygon_area("geometry")}))
     pairs = spatial.dealt(spatial.box_pairs(boxes, boxes, size).where("id < id_b")).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
-    overlaps = spatial.self_overlaps(pairs, F.col("overlap"), spatial.polygon_area("geometry"), spatial.polygon_area("geometry_b"), overlap)
+    overlaps = spatial.self_overlaps(pairs, F.col("overlap"), F.col("area"), F.col("area_b"), overlap)
     open_ = vertices.join(vertices.groupBy(*rings.RING).agg(F.max("pos").alias("pos")), [*rings.RING, "pos"], "left_anti")  # without closing vertices
     v = cut(open_.withColumns({"pid": F.monotonically_increasing_id(), "owner": F.col("feature")}))
     edge = rings.edges(vertices)

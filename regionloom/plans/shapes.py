@@ -82,13 +82,17 @@ def _holed(df):
     return df.select("id", F.array(F.array(outer, inner)).alias("geometry"))
 
 
+def _measured(shapes):
+    """Shapes with their boxes and areas, stored: once a shape, not once a pair and use."""
+    return graph.cut(shapes.withColumns(spatial.polygon_box("geometry") | {"area": spatial.polygon_area("geometry")}))
+
+
 def _shape_pairs(spark, sf_dir):
     """Pairs of notched suppliers and holed customers whose boxes meet, with the area of their intersection and their own."""
     a = _notched(_boxes(spark, sf_dir))
     b = _holed(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6)))
-    a, b = (graph.cut(x.withColumns(spatial.polygon_box("geometry"))) for x in (a, b))  # else every use builds the shapes anew
-    p = spatial.dealt(spatial.box_pairs(a, b, 8.0)).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
-    return p.withColumns({"area": spatial.polygon_area("geometry"), "area_b": spatial.polygon_area("geometry_b")})
+    a, b = (_measured(x) for x in (a, b))
+    return spatial.dealt(spatial.box_pairs(a, b, 8.0)).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
 
 
 #: In the plane before the map: what the boxes share, less the part in the notch, less the parts in the hole outside the notch.
@@ -130,9 +134,9 @@ p AS (SELECT a, b,
 SELECT a, b, round(share, 6) AS share FROM p WHERE share > 0.1001""")
 def overlap_self_polygons(spark, sf_dir):
     """Concave shapes of one layer that overlap."""
-    a = graph.cut(_notched(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6))).withColumns(spatial.polygon_box("geometry")))
+    a = _measured(_notched(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6))))
     p = spatial.dealt(spatial.box_pairs(a, a, 8.0).where("id < id_b")).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
-    found = spatial.self_overlaps(p, F.col("overlap"), spatial.polygon_area("geometry"), spatial.polygon_area("geometry_b"), 0.1001)
+    found = spatial.self_overlaps(p, F.col("overlap"), F.col("area"), F.col("area_b"), 0.1001)
     return found.select("a", "b", F.round("share", 6).alias("share"))
 
 
