@@ -22,7 +22,8 @@ def conflicts_csv(spark, sf_dir):
 @query(_PAIR_SQL + """, r AS (SELECT id, id_b, round(ov / ar / sum(ov / ar) OVER (PARTITION BY id), 6) AS w FROM p WHERE ov / ar >= 0.05)
 SELECT id || ',' || id_b || ',' || regexp_replace(w::VARCHAR, '\\.0$', '') AS "from,to,weight" FROM r""")
 def crosswalk_csv(spark, sf_dir):
-    rows = spatial.overlap_crosswalk(_pairs(spark, sf_dir), spatial.box_overlap(), spatial.box_area(), 0.05)
+    pairs, a, b = _pairs(spark, sf_dir)
+    rows = spatial.crosswalk_of_all(spatial.overlap_crosswalk(pairs, spatial.box_overlap(), spatial.box_area(), 0.05), a, b)
     return R.crosswalk_csv(rows.select(F.col("from").cast("string").alias("from"), F.col("to").cast("string").alias("to"), "weight"))
 
 

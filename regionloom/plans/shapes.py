@@ -25,7 +25,10 @@ def _boxes(spark, sf_dir, name="supplier", key="s_suppkey", m=(37, 53, 4, 9, 3,
 
 
 def _pairs(spark, sf_dir):
-    return spatial.box_pairs(_boxes(spark, sf_dir), _boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6)), 12.0)
+    """Pairs of suppliers' and customers' boxes without repeats, and whose copies all suppliers and customers are."""
+    a, of_a = spatial.copies(_boxes(spark, sf_dir), *spatial.BOX)
+    b, of_b = spatial.copies(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6)), *spatial.BOX)
+    return spatial.box_pairs(a, b, 12.0), of_a, of_b
 
 
 _PAIR_SQL = _BOX_SQL + """
@@ -37,17 +40,20 @@ p AS (SELECT a.id, b.id AS id_b, greatest(0, least(a.x1, b.x1) - greatest(a.x0,
 
 @query(_PAIR_SQL + "SELECT id, id_b, ov AS overlap FROM p")
 def box_intersections(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("id", "id_b", spatial.box_overlap().alias("overlap"))
+    pairs, a, b = _pairs(spark, sf_dir)
+    return spatial.of_all(pairs.withColumn("overlap", spatial.box_overlap()), a, b, ("overlap",))
 
 
 @query(_PAIR_SQL + """SELECT id AS "from", id_b AS "to", round(ov / ar / sum(ov / ar) OVER (PARTITION BY id), 6) AS weight FROM p WHERE ov / ar >= 0.05""")
 def overlap_crosswalk_boxes(spark, sf_dir):
-    return spatial.overlap_crosswalk(_pairs(spark, sf_dir), spatial.box_overlap(), spatial.box_area(), 0.05)
+    pairs, a, b = _pairs(spark, sf_dir)
+    return spatial.crosswalk_of_all(spatial.overlap_crosswalk(pairs, spatial.box_overlap(), spatial.box_area(), 0.05), a, b)
 
 
 @query(_PAIR_SQL + "SELECT id, arg_min(id_b, id_b - 1e7 * ov) AS id_b, max(ov) AS overlap FROM p WHERE ov / ar >= 0.3 AND ov / br >= 0.3 GROUP BY id")
 def best_match_boxes(spark, sf_dir):
-    return spatial.best_match(_pairs(spark, sf_dir), spatial.box_overlap(), spatial.box_area(), spatial.box_area("_b"), 0.3)
+    pairs, a, _ = _pairs(spark, sf_dir)
+    return spatial.best_of_all(spatial.best_match(pairs, spatial.box_overlap(), spatial.box_area(), spatial.box_area("_b"), 0.3), a)
 
 
 @query(_BOX_SQL + """
@@ -56,8 +62,9 @@ p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0
   FROM a JOIN a b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)
 SELECT a, b, share FROM p WHERE share > 0.1""")
 def overlap_self(spark, sf_dir):
-    boxes = _boxes(spark, sf_dir)
-    return spatial.self_overlaps(spatial.box_pairs(boxes, boxes, 12.0), spatial.box_overlap(), spatial.box_area(), spatial.box_area("_b"), 0.1)
+    boxes, all_ = spatial.copies(_boxes(spark, sf_dir), *spatial.BOX)
+    pairs = spatial.box_pairs(boxes, boxes, 12.0).where("id <= id_b")
+    return spatial.self_overlaps_of_all(pairs, all_, spatial.box_overlap(), spatial.box_area(), spatial.box_area("_b"), 0.1)
 
 
 def _sheared(*corners):
@@ -83,16 +90,20 @@ def _holed(df):
 
 
 def _measured(shapes):
-    """Shapes with their boxes and areas, stored: once a shape, not once a pair and use."""
-    return graph.cut(shapes.withColumns(spatial.polygon_box("geometry") | {"area": spatial.polygon_area("geometry")}))
+    """Shapes without repeats, with their boxes and areas, stored: once a shape, not once a pair and use; and all shapes' copies."""
+    one, all_ = spatial.copies(shapes, "geometry")
+    return graph.cut(one.withColumns(spatial.polygon_box("geometry") | {"area": spatial.polygon_area("geometry")})), all_
 
 
 def _shape_pairs(spark, sf_dir):
-    """Pairs of notched suppliers and holed customers whose boxes meet, with the area of their intersection and their own."""
+    """Pairs of notched suppliers and holed customers (without repeats) whose boxes meet, with the area of their intersection and
+    their own, and the copies.
+    """
     a = _notched(_boxes(spark, sf_dir))
     b = _holed(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6)))
-    a, b = (_measured(x) for x in (a, b))
-    return spatial.dealt(spatial.box_pairs(a, b, 8.0)).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
+    (a, of_a), (b, of_b) = (_measured(x) for x in (a, b))
+    pairs = spatial.dealt(spatial.box_pairs(a, b, 8.0)).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
+    return pairs, of_a, of_b
 
 
 #: In the plane before the map: what the boxes share, less the part in the notch, less the parts in the hole outside the notch.
@@ -112,14 +123,15 @@ p AS (SELECT id, id_b,
 @query(_SHAPE_SQL + """SELECT id AS "from", id_b AS "to", round(ov / ar / sum(ov / ar) OVER (PARTITION BY id), 6) AS weight FROM p WHERE ov / ar >= 0.0501""")
 def overlap_crosswalk_polygons(spark, sf_dir):
     """Areal weights of concave shapes against shapes with holes."""
-    return spatial.overlap_crosswalk(_shape_pairs(spark, sf_dir), F.col("overlap"), F.col("area"), 0.0501)
+    pairs, a, b = _shape_pairs(spark, sf_dir)
+    return spatial.crosswalk_of_all(spatial.overlap_crosswalk(pairs, F.col("overlap"), F.col("area"), 0.0501), a, b)
 
 
 @query(_SHAPE_SQL + "SELECT id, arg_min(id_b, id_b - 1e7 * round(ov, 6)) AS id_b, round(max(ov), 6) AS overlap FROM p WHERE ov / ar >= 0.2001 AND ov / br >= 0.2001 GROUP BY id")
 def best_match_polygons(spark, sf_dir):
-    p = _shape_pairs(spark, sf_dir)
+    p, a, _ = _shape_pairs(spark, sf_dir)
     det = 1 - 1 / 8  # of the map
-    return spatial.best_match(p, F.round(F.col("overlap") / det, 6), F.col("area") / det, F.col("area_b") / det, 0.2001)
+    return spatial.best_of_all(spatial.best_match(p, F.round(F.col("overlap") / det, 6), F.col("area") / det, F.col("area_b") / det, 0.2001), a)
 
 
 @query(_BOX_SQL.rstrip().rstrip(",") + """,
@@ -134,9 +146,9 @@ p AS (SELECT a, b,
 SELECT a, b, round(share, 6) AS share FROM p WHERE share > 0.1001""")
 def overlap_self_polygons(spark, sf_dir):
     """Concave shapes of one layer that overlap."""
-    a = _measured(_notched(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6))))
-    p = spatial.dealt(spatial.box_pairs(a, a, 8.0).where("id < id_b")).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
-    found = spatial.self_overlaps(p, F.col("overlap"), F.col("area"), F.col("area_b"), 0.1001)
+    a, all_ = _measured(_notched(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6))))
+    p = spatial.dealt(spatial.box_pairs(a, a, 8.0).where("id <= id_b")).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
+    found = spatial.self_overlaps_of_all(p, all_, F.col("overlap"), F.col("area"), F.col("area_b"), 0.1001)
     return found.select("a", "b", F.round("share", 6).alias("share"))
 
 
