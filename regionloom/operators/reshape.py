@@ -131,7 +131,9 @@ def conflicts_csv(result: Reshaped) -> DataFrame:
 
 
 def crosswalk_csv(crosswalk: DataFrame) -> DataFrame:
-    """One text line a crosswalk row (from, to, weight), in order of from and to; no weight is 1."""
-    weight = number_text(F.coalesce(F.col("weight"), F.lit(1.0)))
+    """One text line a crosswalk row (from, to, weight), in order of from and to; no weight is 1. Weights below 0.0001 have an exponent."""
+    value = F.round(F.coalesce(F.col("weight"), F.lit(1.0)), 9)
+    tiny = F.regexp_replace(F.format_string("%.5e", value), r"\.?0*e", "e")
+    weight = F.when((F.abs(value) < 1e-4) & (value != 0), tiny).otherwise(number_text(value))
     line = F.concat_ws(",", csv_cell(F.col("from")), csv_cell(F.col("to")), weight)
     return crosswalk.orderBy("from", "to").select(line.alias("from,to,weight"))

@@ -1,7 +1,8 @@
 """Rows that repeat meet once, and no pair of their copies is lost."""
 
+import duckdb
 from pyspark.sql import functions as F
-from regionloom.operators import spatial
+from regionloom.operators import reshape, spatial
 
 BOXES = "id long, x0 double, y0 double, x1 double, y1 double"
 
@@ -27,6 +28,16 @@ def test_pairs_of_copies(spark, monkeypatch):
     assert rows(spatial.self_overlaps_of_all(own, of_a, *arguments)) == rows(spatial.self_overlaps(spatial.box_pairs(a, a, 2.0), *arguments))
 
 
+def test_small_weights_in_text(spark):
+    """Below 0.0001 a weight is written with an exponent, as the query's SQL does."""
+    w = [1e-06, 1e-05, 1.9e-05, 9.9e-05, 0.0001, 0.000123, 0.25, 1.0, 0.0]
+    df = spark.createDataFrame([(f"{i}", "x", v) for i, v in enumerate(w)], "`from` string, `to` string, weight double")
+    got = [r[0] for r in reshape.crosswalk_csv(df).collect()]
+    con = duckdb.connect()
+    said = [con.execute("SELECT regexp_replace(?::DOUBLE::VARCHAR, '\\.0$', '')", [v]).fetchall()[0][0] for v in w]
+    assert got == [f"{i},x,{t}" for i, t in enumerate(said)]
+
+
 def test_points_of_copies(spark):
     e = lambda a, b, c, d: F.struct(F.col(a).alias("x0"), F.col(b).alias("y0"), F.col(c).alias("x1"), F.col(d).alias("y1"))
     edges = F.array(e("x0", "y0", "x1", "y0"), e("x1", "y0", "x1", "y1"), e("x1", "y1", "x0", "y1"), e("x0", "y1", "x0", "y0"))
