@@ -94,20 +94,24 @@ UNION ALL SELECT k, 'invalid', NULL FROM f WHERE v = 4
 UNION ALL SELECT k - 1, 'overlap', k::VARCHAR FROM f WHERE v = 1 AND k - 1 IN (SELECT k FROM f)
 UNION ALL SELECT k - 1, 'near_miss_border', k::VARCHAR FROM f WHERE v = 7 AND k % 48 <> 7 AND k - 1 IN (SELECT k FROM f)""")
 def layer_issues(spark, sf_dir):
-    """Squares on a grid, and among them by key: overlaps, empty ones, slivers, bow ties, repeated vertices, near misses."""
+    """Squares on a grid with room for 10^8 of them on the globe, and among them by key: overlaps, empty ones, slivers, bow ties,
+    repeated vertices, near misses.
+    """
     k = F.col("s_suppkey")
-    v, one = k % 8, F.lit(1.0)
-    px, py = _slot(k - 1)
-    x, y = _slot(k)
-    y = F.when(k % 48 == 6, 95.0 + F.floor(k / 24)).otherwise(y - 80)
-    c = lambda a, b: F.array(x + a, y + b)
+    v, side = k % 8, 1 / 128
+    one = F.lit(side)
+    place = lambda k: ((k % 16384 / 64 - 128).cast("double"), (F.floor(k / 16384) / 64 - 80).cast("double"))
+    px, py = place(k - 1)
+    x, y = place(k)
+    y = F.when(k % 48 == 6, 95.0 + F.floor(k / 24)).otherwise(y)
+    c = lambda a, b: F.array(x + a * side, y + b * side)
     bow = F.array(F.array(F.array(c(0, 0), c(1, 1), c(1, 0), c(0, 1), c(0, 0))))
     twice = F.array(F.array(F.array(c(0, 0), c(1, 0), c(1, 0), c(1, 1), c(0, 1), c(0, 0))))
     none = F.array().cast("array<array<array<array<double>>>>")
-    shape = F.when(v == 1, _box(px + 0.5, py - 80, one, one)).when(v == 2, none).when(v == 3, _box(x, y, one, F.lit(1e-5))).when(v == 4, bow).when(v == 5, twice)
-    shape = shape.when(v == 7, _box(px + 1.00005, py - 80, one, one)).otherwise(_box(x, y, one, one))
+    shape = F.when(v == 1, _box(px + side / 2, py, one, one)).when(v == 2, none).when(v == 3, _box(x, y, one, F.lit(1e-5))).when(v == 4, bow).when(v == 5, twice)
+    shape = shape.when(v == 7, _box(px + side + 0.00005, py, one, one)).otherwise(_box(x, y, one, one))
     name = F.when(k % 10 == 0, "same").otherwise(F.concat(F.lit("S"), k.cast("string")))
-    return jobs.check_layer(table(spark, sf_dir, "supplier").select(k.alias("feature"), name.alias("id"), shape.alias("geometry")), size=4.0).select("feature", "kind", "other")
+    return jobs.check_layer(table(spark, sf_dir, "supplier").select(k.alias("feature"), name.alias("id"), shape.alias("geometry")), size=side).select("feature", "kind", "other")
 
 
 _BATCH = """
