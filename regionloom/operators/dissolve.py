@@ -63,7 +63,13 @@ def grouped_references(features: DataFrame, code: Column, parent: Column, prefix
 
 
 def ring_counts(geometry: str) -> dict[str, Column]:
-    """parts, holes and the length of all rings of a polygon column."""
+    """parts, holes and the length of all rings of a polygon column.
+
+    Holes are pieces of the outside that a part encloses: rings that share a vertex are one piece, and a ring that shares one with
+    the part's outer ring is none.
+    """
     ring = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda t, i: t + F.hypot(r[i][0] - r[i - 1][0], r[i][1] - r[i - 1][1]))
     rings = F.flatten(F.col(geometry))
-    return {"parts": F.size(geometry), "holes": F.size(rings) - F.size(geometry), "length": F.aggregate(rings, F.lit(0.0), lambda t, r: t + ring(r))}
+    opened = lambda part: F.flatten(F.transform(part, lambda r: F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))))
+    touches = F.aggregate(geometry, F.lit(0), lambda t, part: t + F.size(opened(part)) - F.size(F.array_distinct(opened(part))))
+    return {"parts": F.size(geometry), "holes": F.size(rings) - F.size(geometry) - touches, "length": F.aggregate(rings, F.lit(0.0), lambda t, r: t + ring(r))}
