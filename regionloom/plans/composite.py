@@ -232,11 +232,13 @@ def feature_listing(spark, sf_dir):
 
 
 @query("""
-SELECT s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN s_name ELSE 'its set' END AS source, 'CC0' AS licence FROM supplier""")
+SELECT s_suppkey AS id, coalesce(CASE WHEN s_acctbal > 0 THEN s_name END, n_name, 'unknown') AS source, 'CC0' AS licence
+FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3""")
 def provenance_defaults(spark, sf_dir):
-    """A record's own source, else its data set's; what no record tells is the data set's."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("source"))
-    return layers.provenance(s, {"source": "its set", "licence": "CC0"})
+    """A record's own source, else its data set's, else a constant; what neither tells is a constant."""
+    n = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("source"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("source"))
+    return layers.provenance(s, {"source": "unknown", "licence": "CC0"}, n, "s_nationkey").drop("s_nationkey")
 
 
 @query("""

@@ -131,8 +131,12 @@ def load_crosswalks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(name.alias("crosswalk"), "from", "to", weight.alias("weight")).where("`from` is not null and `to` is not null")
 
 
-def provenance(records: DataFrame, defaults: Mapping[str, str | None]) -> DataFrame:
-    """Sidecar values over a dataset's defaults."""
+def provenance(records: DataFrame, defaults: Mapping[str, str | None], sets: DataFrame | None = None, key: str = "") -> DataFrame:
+    """Sidecar values over those of the record's data set (`sets`, one row each, met on `key`), over constants."""
+    if sets is not None:
+        told = [c for c in sets.columns if c != key]
+        joined = records.join(sets.withColumnsRenamed({c: f"_{c}" for c in told}), key, "left")
+        records = joined.withColumns({c: F.coalesce(c, f"_{c}") if c in records.columns else F.col(f"_{c}") for c in told}).drop(*(f"_{c}" for c in told))
     return records.withColumns({k: F.coalesce(F.col(k), F.lit(v).cast("string")) if k in records.columns else F.lit(v).cast("string") for k, v in defaults.items()})
 
 
