@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import filled
+from .spatial import dealt, filled
 
 Point = tuple[float, float]
 Box = tuple[float, float, float, float]
@@ -112,14 +112,17 @@ class Shape:
         self.area = areas[0] - sum(areas[1:])
         self.box = (*self.outer.min(0).tolist(), *self.outer.max(0).tolist())
 
-    def inside(self, points: np.ndarray) -> np.ndarray:
-        """Strictly inside? Even-odd; points on an edge are not."""
+    def _even_odd(self, points: np.ndarray) -> np.ndarray:
         x, y = points[:, :1], points[:, 1:]
         ax, ay, bx, by = self.edges.T
         spans = (ay > y) != (by > y)
         with np.errstate(divide="ignore", invalid="ignore"):
             at = ax + (y - ay) / (by - ay) * (bx - ax)
-        return ((spans & (at > x)).sum(1) % 2 == 1) & (self.distance(points) > 1e-9)
+        return (spans & (at > x)).sum(1) % 2 == 1
+
+    def inside(self, points: np.ndarray) -> np.ndarray:
+        """Strictly inside? Even-odd; points on an edge are not."""
+        return self._even_odd(points) & (self.distance(points) > 1e-9)
 
     def distance(self, points: np.ndarray) -> np.ndarray:
         """To the nearest edge."""
@@ -130,7 +133,9 @@ class Shape:
         return np.sqrt(((d - t[..., None] * v) ** 2).sum(2).min(1))
 
     def pole(self, precision: float = 0.5) -> tuple[Point, float]:
-        """The point farthest from all edges inside, and how far: squares are halved while they may hold a better one."""
+        """The point farthest from all edges inside, and how far: squares are halved while they may hold a better one, the most
+        promising of them together.
+        """
         x0, y0, x1, y1 = self.box
         side = min(x1 - x0, y1 - y0)
         if side <= 0:
@@ -138,7 +143,7 @@ class Shape:
 
         def depth(points: np.ndarray) -> np.ndarray:
             d = self.distance(points)
-            return np.where(self.inside(points), d, -d)
+            return np.where(self._even_odd(points) & (d > 1e-9), d, -d)
 
         xs, ys = np.meshgrid(np.arange(x0, x1, side) + side / 2, np.arange(y0, y1, side) + side / 2)
         centre = np.array([[(x0 + x1) / 2, (y0 + y1) / 2]])
@@ -150,15 +155,21 @@ class Shape:
             best, far = tuple(points[k]), float(found[k])
         heap = [(-(d + half * math.sqrt(2)), i, p[0], p[1], half) for i, (p, d) in enumerate(zip(points[1:].tolist(), found[1:].tolist()))]
         heapq.heapify(heap)
-        n = len(heap)
+        n, most = len(heap), max(1, min(64, 50_000 // max(1, len(self.edges))))
         while heap and -heap[0][0] - far > precision:
-            _, _, x, y, half = heapq.heappop(heap)
-            h = half / 2
-            four = np.array([[x - h, y - h], [x + h, y - h], [x - h, y + h], [x + h, y + h]])
-            for p, d in zip(four.tolist(), depth(four).tolist()):
-                if d > far:
-                    best, far = tuple(p), d
-                heapq.heappush(heap, (-(d + h * math.sqrt(2)), n, p[0], p[1], h))
+            cells = []
+            while heap and len(cells) < most and -heap[0][0] - far > precision:
+                cells.append(heapq.heappop(heap)[2:])
+            h = np.array([half / 2 for _, _, half in cells]).repeat(4)
+            four = np.array([c[:2] for c in cells]).repeat(4, 0) + np.tile([(-1, -1), (1, -1), (-1, 1), (1, 1)], (len(cells), 1)) * h[:, None]
+            found = depth(four)
+            k = int(found.argmax())
+            if found[k] > far + 1e-9:
+                best, far = tuple(four[k].tolist()), float(found[k])
+            bound = found + h * math.sqrt(2)
+            hopeful = bound - far > precision
+            for b, p, half in zip(bound[hopeful].tolist(), four[hopeful].tolist(), h[hopeful].tolist()):
+                heapq.heappush(heap, (-b, n, p[0], p[1], half))
                 n += 1
         return best, far
 
@@ -267,25 +278,59 @@ def leader(text: str, anchor: Point, size: float, bounds: Box, places: Places, l
     return None
 
 
-def place(regions: list[tuple[int, str, list]], options: Options, reserved=()) -> dict[int, Label]:
+Middle = tuple[Point, float, tuple[np.ndarray, np.ndarray] | None]
+
+
+def main_part(parts: list[Shape]) -> Shape:
+    return max(parts, key=lambda s: s.area)
+
+
+def shapes_of(geometry) -> list[Shape]:
+    return [Shape(p) for p in geometry if len(p) and len(p[0]) >= 3] if geometry is not None else []
+
+
+def middles(curved: bool):
+    """A pandas UDF: of each geometry's largest part the pole (x, y, distance) and the centreline (x, y, width)."""
+
+    def run(geometry: pd.Series) -> pd.DataFrame:
+        rows = []
+        for parts in map(shapes_of, geometry):
+            shape = main_part(parts) if parts else None
+            (at, radius), line = shape.pole() if parts else ((None, None), None), shape.centreline() if parts and curved else None
+            rows.append(([*at, radius] if parts else None, None if line is None else np.column_stack(line).tolist()))
+        return pd.DataFrame(rows, columns=["pole", "line"])
+
+    return F.pandas_udf(run, "pole array<double>, line array<array<double>>")
+
+
+def middle_of(pole, line) -> Middle | None:
+    if pole is None:
+        return None
+    path = None if line is None else np.array([tuple(p) for p in line], float)
+    return (float(pole[0]), float(pole[1])), float(pole[2]), None if path is None else (path[:, :2], path[:, 2])
+
+
+def place(regions: list[tuple[int, str, list]], options: Options, reserved=(), known: dict[int, Middle] | None = None) -> dict[int, Label]:
     """Labels of one map's regions (id, text, geometry): the largest first, at full size straight, then curved, then smaller,
-    and at last on a leader if the region is narrow.
+    and at last on a leader if the region is narrow. `known`: poles, their distances and centrelines that are worked out already.
     """
-    shapes = {i: [Shape(p) for p in g if len(p) and len(p[0]) >= 3] for i, _, g in regions if g is not None}
+    shapes = {i: shapes_of(g) for i, _, g in regions if g is not None}
     land = Places()
     for parts in shapes.values():
         for s in parts:
             land.take(s.box, s)
     places, out = Places(taken=reserved), {}
-    main = {i: max(parts, key=lambda s: s.area) for i, parts in shapes.items() if parts}
+    main = {i: main_part(parts) for i, parts in shapes.items() if parts}
     texts = {i: t for i, t, _ in regions}
     sizes = [s * options.size for s in SIZES if s >= min(1.0, max(0.1, options.min_scale)) - 1e-9]
     for i in sorted(main, key=lambda i: (-main[i].area, i)):
         text, shape = texts[i], main[i]
         if not (text or "").strip():
             continue
-        pole, radius = shape.pole()
-        line = shape.centreline() if options.curved else None
+        if known is not None:
+            pole, radius, line = known[i]
+        else:
+            (pole, radius), line = shape.pole(), shape.centreline() if options.curved else None
         found = None
         for size in sizes:
             found = straight(text, shape, pole, size, places) or curved(text, line, size, places)
@@ -305,15 +350,17 @@ LABEL = "map long, id long, text string, kind string, x double, y double, size d
 
 def place_labels(regions: DataFrame, options: Options = Options(), reserved: DataFrame | None = None) -> DataFrame:
     """Labels of regions (map, id, text, geometry), clear of reserved boxes (map, x0, y0, x1, y1): kind, centre, size and path;
-    the path is a curved label's line, or a leader's two ends.
+    the path is a curved label's line, or a leader's two ends. Poles and centrelines are worked out region by region on all cores.
     """
 
     def rows(map_: int, own: pd.DataFrame, taken: list[Box]) -> pd.DataFrame:
-        found = place(list(zip(own["id"], own["text"], own["geometry"])), options, taken)
+        known = {i: middle_of(p, line) for i, p, line in zip(own["id"], own["pole"], own["line"])}
+        found = place(list(zip(own["id"], own["text"], own["geometry"])), options, taken, known)
         out = [(map_, i, f.text, f.kind, f.x, f.y, f.size, [list(p) for p in f.path]) for i, f in sorted(found.items())]
         return pd.DataFrame(out, columns=[c.split()[0] for c in LABEL.split(", ")])
 
-    regions = regions.select("map", "id", "text", filled("geometry")[0].alias("geometry"))
+    regions = dealt(regions.select("map", "id", "text", filled("geometry")[0].alias("geometry")))
+    regions = regions.withColumn("_m", middles(options.curved)("geometry")).select("*", "_m.pole", "_m.line").drop("_m")
     if reserved is None:
         return regions.groupBy("map").applyInPandas(lambda key, own: rows(key[0], own, []), LABEL)
 
