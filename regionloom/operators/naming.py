@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,6 +64,11 @@ def _bare(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"(\s*\([^)]*\)\s*)+$", ""), F.lit(" .,:"))
 
 
+def _given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once a row, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _joined(words: Sequence[str]) -> str:
     return "|".join(words)
 
@@ -79,19 +84,23 @@ def known_area(text: Column, known: Sequence[str] = AREAS) -> Column:
     """The first of the known areas, in their order, whose words stand in the text one after another; else ''."""
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
     plain = [(n, f" {' '.join(n.lower().replace('-', ' ').split())} ") for n in known]
-    found = F.filter(F.array(*(F.struct(F.lit(n.title()).alias("name"), F.lit(p).alias("words")) for n, p in plain)), lambda a: F.contains(padded, a["words"]))
-    return F.coalesce(F.get(found, F.lit(0))["name"], F.lit(""))
+    names = F.array(*(F.struct(F.lit(n.title()).alias("name"), F.lit(p).alias("words")) for n, p in plain))
+    found = _given(padded, lambda text: F.get(F.filter(names, lambda a: F.contains(text, a["words"])), F.lit(0))["name"])
+    return F.coalesce(found, F.lit(""))
 
 
 def described_area(text: Column, known: Sequence[str] = AREAS) -> Column:
     """The area in a description up to the first full stop or semicolon after it: behind 'map(s)' and a joining word, else behind
     'map' and a dash, underscore or colon; else the first known area in the text; else ''.
     """
-    clean = clean_markup(text)
+    return _given(clean_markup(text), lambda clean: _area_in(clean, known))
+
+
+def _area_in(clean: Column, known: Sequence[str]) -> Column:
     joined = F.regexp_extract(clean, rf"(?i)\bmaps?\s+(?:{_joined(JOINING[:5])})\s+(.+?)(?:[.;]|$)", 1)
     dashed = F.regexp_extract(clean, r"(?i)\bmap\s*[-_:]+\s*([A-Za-z].+?)(?:[.;]|$)", 1)
-    named = _bare(F.when(joined != "", joined).otherwise(dashed))
-    return F.coalesce(F.when(named != "", named).otherwise(known_area(clean, known)), F.lit(""))
+    named = _bare(_given(joined, lambda j: F.when(j != "", j).otherwise(dashed)))
+    return F.coalesce(_given(named, lambda n: F.when(n != "", n).otherwise(known_area(clean, known))), F.lit(""))
 
 
 def _normal(text: Column) -> Column:
@@ -106,15 +115,18 @@ def broad_area(text: Column, extra: Sequence[str] = ()) -> Column:
     """The text if it names a wide area, without brackets and years; else what follows its first 'of' or 'in', if that does; else ''."""
     value = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), _END_BRACKET, ""))
     value = F.regexp_replace(value, "^[0-9]{3,4}[–-][0-9]{3,4}\\s+", "")
-    after = F.btrim(F.regexp_extract(value, r"(?i)\b(?:of|in)\s+(.+)$", 1))
-    return F.when(is_wide(value, extra), value).when(is_wide(after, extra), after).otherwise("")
+    after = lambda v: F.btrim(F.regexp_extract(v, r"(?i)\b(?:of|in)\s+(.+)$", 1))
+    wide = lambda v, a: F.when(is_wide(v, extra), v).when(is_wide(a, extra), a).otherwise("")
+    return _given(value, lambda v: _given(after(v), lambda a: wide(v, a)))
 
 
 def title_area(title: Column, base: Column, extra: Sequence[str] = ()) -> Column:
     """'Subject, region, wider area' of a file name like 'Subject in Region.svg' or 'Subject on the globe.svg'; else ''."""
     stem = F.btrim(F.translate(F.regexp_replace(title, r"(?i)\.(?:svgz?|png|gif|jpe?g)$", ""), "_", " "))
-    wide = broad_area(base, extra)
+    return _given(stem, lambda s: _given(broad_area(base, extra), lambda wide: _area_of_stem(s, wide, extra)))
+
 
+def _area_of_stem(stem: Column, wide: Column, extra: Sequence[str]) -> Column:
     globe = F.btrim(F.regexp_extract(stem, r"(?i)^(.+?)\s+on\s+the\s+globe\b", 1), F.lit(" ,"))
     around = F.when(wide != "", wide).otherwise(sorted(extra, key=str.casefold)[0] if extra else "")
     on_globe = F.when((around == "") | (F.lower(globe) == F.lower(around)), globe).otherwise(F.concat(globe, F.lit(", "), around))
@@ -126,17 +138,28 @@ def title_area(title: Column, base: Column, extra: Sequence[str] = ()) -> Column
     kind = rf"(?:[^()]*(?:{_joined(KINDS)})[^()]*|\s*(?:us[0-9]+|w[0-9]+|[a-z]{{2,4}})\s*)"
     region = F.btrim(F.regexp_replace(region, rf"(?i)(?:\s*\({kind}\)\s*)+$", ""), F.lit(" ,.;"))
     region = F.when(region.rlike(r"(?i)^(?:ca\.?\s*)?[0-9]{3,4}(?:\s*(?:bc|ad|bce|ce))?$"), "").otherwise(region)
+    inside = _given(subject, lambda s: _given(region, lambda r: _area_in_region(s, r, wide)))
+    return F.coalesce(F.when(~stem.rlike(split), on_globe).otherwise(inside), F.lit(""))
+
+
+def _area_in_region(subject: Column, region: Column, wide: Column) -> Column:
     within = F.regexp_extract(region, r"^(.+?)\s+\(([^()]+)\)$", 2)
-    explicit = F.when((within != "") & is_wide(F.btrim(within)), F.btrim(within)).otherwise("")
+    explicit = _given(F.btrim(within), lambda w: F.when((w != "") & is_wide(w), w).otherwise(""))
+    return _given(explicit, lambda e: _given(_region_beside(region, e, wide), lambda r: _joined_area(subject, r, e, wide)))
+
+
+def _region_beside(region: Column, explicit: Column, wide: Column) -> Column:
     region = F.when(explicit != "", F.btrim(F.regexp_extract(region, r"^(.+?)\s+\(([^()]+)\)$", 1))).otherwise(region)
-    region = F.when((region == "") | region.rlike(r"(?i)^(?:its|their|this)\s+(?:region|location)$"), wide).otherwise(region)
+    return _given(region, lambda r: F.when((r == "") | r.rlike(r"(?i)^(?:its|their|this)\s+(?:region|location)$"), wide).otherwise(r))
+
+
+def _joined_area(subject: Column, region: Column, explicit: Column, wide: Column) -> Column:
     parent = F.when(explicit != "", explicit).otherwise(wide)
     both = F.concat(subject, F.lit(", "), region)
     more = (parent != "") & ~F.contains(F.lower(F.concat(subject, F.lit(" "), region)), _normal(parent)) & ~F.lower(region).isin(*AREAS, *FORMER)
     inside = F.when(region == "", "").when(F.lower(subject) == F.lower(region), region).when(more, F.concat(both, F.lit(", "), parent)).otherwise(both)
     unnamed = (subject == "") | subject.rlike(r"(?i)\b(?:maps?|blank|locator|location)\b")
-    found = F.when(~stem.rlike(split), on_globe).when(unnamed, "").otherwise(inside)
-    return F.coalesce(found, F.lit(""))
+    return F.when(unnamed, "").otherwise(inside)
 
 
 def file_name(*parts: str) -> Column:

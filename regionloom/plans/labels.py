@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels, naming
+from ..operators import labels, naming, spatial
 from ..operators import places as P
 from ..session import table
 from .registry import query
@@ -68,7 +68,8 @@ def title_areas(spark, sf_dir):
     title = F.when(k % 5 == 0, F.concat(F.lit("Locator map of "), name, F.lit(" in Jeju (special marker).svg"))).when(k % 5 == 1, F.concat(name, F.lit("_in_Soviet Union - 1950.png"))).when(
         k % 5 == 2, F.concat(name, F.lit(" in "), "p_type", F.lit(" (Africa).svg"))).when(k % 5 == 3, F.concat(name, F.lit(" on the globe (small).svg"))).otherwise("Blank map in colour.svg")
     found = {"area": naming.area_of_category(category), "described": naming.described_area(text), "broad": naming.broad_area(base), "title": naming.title_area(title, base)}
-    return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in found.items()))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    return spatial.dealt(parts).select("p_partkey", *(c.alias(n) for n, c in found.items()))
 
 
 @query("""
