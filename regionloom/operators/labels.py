@@ -359,7 +359,7 @@ def place_labels(regions: DataFrame, options: Options = Options(), reserved: Dat
         out = [(map_, i, f.text, f.kind, f.x, f.y, f.size, [list(p) for p in f.path]) for i, f in sorted(found.items())]
         return pd.DataFrame(out, columns=[c.split()[0] for c in LABEL.split(", ")])
 
-    regions = dealt(regions.select("map", "id", "text", filled("geometry")[0].alias("geometry")))
+    regions = dealt(regions.select("map", "id", "text", filled("geometry")[0].alias("geometry")).where("geometry IS NOT NULL"))
     regions = regions.withColumn("_m", middles(options.curved)("geometry")).select("*", "_m.pole", "_m.line").drop("_m")
     if reserved is None:
         return regions.groupBy("map").applyInPandas(lambda key, own: rows(key[0], own, []), LABEL)
