@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import overlay, rings, spatial
@@ -166,8 +167,11 @@ def _in_waves(rows: DataFrame, tolerance: float, schema: str) -> DataFrame:
     return done if done is not None else rows
 
 
-def _rows_of(shapes: list[list]) -> list[tuple]:
-    return [(p, r, i, x, y) for p, part in enumerate(shapes) for r, ring in enumerate(part) for i, (x, y) in enumerate(ring)]
+def _parts(rows: DataFrame) -> DataFrame:
+    """(feature, part, geometry) of ring rows: every part a polygon of its own."""
+    in_order = lambda at, value: F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda s: s[value])
+    ring = rows.withColumn("p", F.array(F.col("x").cast("double"), F.col("y").cast("double"))).groupBy(*rings.RING).agg(in_order("pos", "p").alias("points"))
+    return ring.groupBy("feature", "part").agg(F.array(in_order("ring", "points")).alias("geometry"))
 
 
 def rebuilt(vertices: DataFrame, cell: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -179,15 +183,13 @@ def rebuilt(vertices: DataFrame, cell: float = 1.0) -> tuple[DataFrame, DataFram
     bad = vertices.join(problems.select("feature", "part"), ["feature", "part"], "left_semi")
     last = vertices.groupBy("feature").agg((F.max("part") + 1).alias("base"))
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        given = [[r[["x", "y"]].to_numpy(float).tolist() for _, r in g.sort_values(["ring", "pos"]).groupby("ring")] for _, g in rows.groupby("part")]
-        shapes = [part for polygon in given for part in overlay.unions([[[polygon]]])[0]]
-        out = pd.DataFrame(_rows_of(shapes), columns=["part", "ring", "pos", "x", "y"])
-        return out.assign(feature=key[0])[["feature", "part", "ring", "pos", "x", "y"]]
-
     kinds = {c: vertices.schema[c].dataType.simpleString() for c in ("feature", "part", "ring", "pos", "x", "y")}
-    new = bad.groupBy("feature").applyInPandas(build, ", ".join(f"{c} {k}" for c, k in kinds.items()))
-    new = new.join(last, "feature").withColumn("part", (F.col("part") + F.col("base")).cast(kinds["part"])).drop("base")
+    built = cut(spatial.dealt(_parts(bad)).select("feature", "part", spatial.union_shape("geometry").alias("geometry")))  # batches of parts are one arrangement
+    found = built.select("feature", F.col("part").alias("of"), F.posexplode("geometry").alias("at", "rings")).join(last, "feature")
+    number = (F.col("base") + F.row_number().over(W.partitionBy("feature").orderBy("of", "at")) - 1).cast(kinds["part"])
+    ring = found.select("feature", number.alias("part"), "rings").select("feature", "part", F.posexplode("rings").alias("ring", "points"))
+    new = ring.select("feature", "part", F.col("ring").cast(kinds["ring"]).alias("ring"), F.posexplode("points").alias("pos", "p"))
+    new = new.withColumns({"pos": F.col("pos").cast(kinds["pos"]), "x": F.col("p")[0].cast(kinds["x"]), "y": F.col("p")[1].cast(kinds["y"])})
     kept = vertices.join(problems.select("feature", "part"), ["feature", "part"], "left_anti")
     return kept.select(*kinds).unionByName(new.select(*kinds)), problems
 
@@ -196,7 +198,7 @@ def _misses(vertices: DataFrame, tolerance: float) -> tuple[int, int]:
     """Pairs of features with near misses, and their vertices."""
     v = vertices.withColumns({"pid": F.monotonically_increasing_id(), "owner": F.col("feature")})
     e = rings.edges(v).select(F.col("feature").alias("owner"), F.monotonically_increasing_id().alias("sid"), F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
-    return tuple(spatial.near_misses(cut(v), cut(e), tolerance).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first())
+    return tuple(spatial.near_misses(cut(v), cut(spatial.dealt(e)), tolerance).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first())
 
 
 def repair(vertices: DataFrame, tolerance: float, cell: float = 1.0) -> tuple[DataFrame, dict[str, int | bool]]:
@@ -206,7 +208,7 @@ def repair(vertices: DataFrame, tolerance: float, cell: float = 1.0) -> tuple[Da
     rebuilt. If more pairs of features miss each other then than before, or as many in more vertices, the snapping is undone.
     """
     columns = ("feature", "part", "ring", "pos", "x", "y")
-    given = cut(vertices.select(*columns))
+    given = cut(spatial.dealt(vertices.select(*columns)))
     before = _misses(given, tolerance)
     moved, reverted = 0, False
 
