@@ -4,6 +4,8 @@ A level joins the polygons of a group that lie in one cell, at most about `FAN`
 crowded cell is dealt over several), on the next level cells are four times as wide, so neighbours
 meet early and inner borders are gone before a group's parts come together. No level holds a group
 whole but the last, which gets at most `FAN` polygons of each.
+
+Equal polygons of a group are one. A task joins about `POINTS_A_TASK` points, so tasks become more, not larger.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from . import overlay, spatial
 from .graph import cut
 
 FAN = 48
+POINTS_A_TASK = 50_000
 
 
 def _joined(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -23,14 +26,16 @@ def _joined(rows: DataFrame, by: list[str]) -> DataFrame:
     def unions(shapes: pd.Series) -> pd.Series:
         return pd.Series(overlay.unions([list(s) for s in shapes]), dtype=object)
 
-    one = rows.groupBy(*by).agg(F.collect_list("geometry").alias("shapes"))  # about FAN polygons
+    points = rows.agg(F.sum(F.size(F.flatten(F.flatten("geometry"))))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(points) // POINTS_A_TASK))
+    one = rows.repartition(tasks, *by).groupBy(*by).agg(F.collect_list("geometry").alias("shapes"))  # about FAN polygons
     return one.select(*by, F.pandas_udf(unions, spatial.POLYGON)("shapes").alias("geometry"))
 
 
 def union_by(features: DataFrame, key: str, fan: int = FAN) -> DataFrame:
     """(key, geometry): the union of each key's polygons. Rows without a key take no part; empty and null geometries add nothing."""
     f = features.select(F.col(key).alias("_key"), "geometry").where("_key IS NOT NULL")
-    rows = cut(f.where(F.size("geometry") > 0).withColumns(spatial.polygon_box("geometry")))
+    rows = cut(f.where(F.size("geometry") > 0).distinct().withColumns(spatial.polygon_box("geometry")))
     keys = f.select("_key").distinct()
     width = rows.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
     width = 2.0 * width if width and width < float("inf") else 1.0
@@ -42,7 +47,7 @@ def union_by(features: DataFrame, key: str, fan: int = FAN) -> DataFrame:
         rows = rows.withColumns({"cx": F.floor((F.col("x0") + F.col("x1")) / 2 / w), "cy": F.floor((F.col("y0") + F.col("y1")) / 2 / w)})
         place = ["_key", "cx", "cy"]
         crowds = rows.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("deals"))
-        dealt = rows.join(crowds, place).withColumn("deal", F.pmod(F.xxhash64("x0", "y0", "x1", "y1"), F.col("deals")))
+        dealt = rows.join(crowds, place).withColumn("deal", F.pmod(F.xxhash64("geometry"), F.col("deals")))
         rows = cut(_joined(dealt, [*place, "deal"]).drop(*place[1:], "deal").withColumns(spatial.polygon_box("geometry")))
         width *= 4.0
     whole = _joined(rows.select("_key", "geometry"), ["_key"])
