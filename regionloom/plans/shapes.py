@@ -148,8 +148,7 @@ def overlap_self_polygons(spark, sf_dir):
     """Concave shapes of one layer that overlap."""
     a, all_ = _measured(_notched(_boxes(spark, sf_dir, "customer", "c_custkey", (29, 31, 3, 8, 3, 6))))
     p = spatial.dealt(spatial.box_pairs(a, a, 8.0).where("id <= id_b")).withColumn("overlap", spatial.intersection_area("geometry", "geometry_b"))
-    found = spatial.self_overlaps_of_all(p, all_, F.col("overlap"), F.col("area"), F.col("area_b"), 0.1001)
-    return found.select("a", "b", F.round("share", 6).alias("share"))
+    return spatial.self_overlaps_of_all(p, all_, F.col("overlap"), F.col("area"), F.col("area_b"), 0.1001, 6)
 
 
 _CELLS_SQL = """
