@@ -11,9 +11,9 @@ A suffix array needs its strings in one place, so strings are first brought toge
 50-byte window the smallest of its 31 hashed 20-byte grams stands for it; windows in a row with the
 same gram form a span, and equal windows have equal grams. Blocks of texts ask which grams occur in
 two texts (see blocks.py), then send the distinct spans of those grams to the gram's bucket. There,
-spans that agree on the gram and 25 bytes beside it form a family, the suffix array of a family's
-spans brings equal windows together, and the smallest document of each goes back. A span alone in its
-family needs no sorting.
+spans that have windows of one hash form a family, each cut to where such windows begin and end, the
+suffix array of a family's spans brings equal windows together, and the smallest document of each goes
+back. A span alone in its family needs no sorting.
 
 Exactness. Hashes only bring strings together; what is equal is decided by bytes. Spans are told
 apart by their bytes in blocks and buckets, windows by the suffix array and their bytes. Whole texts
@@ -51,10 +51,9 @@ GRAM = 20
 HOT_SPANS = 1000
 PIECE = 256  # windows of a span at most: longer ones (periodic text) are cut
 FAMILY_SYMBOLS = 1 << 16
-SIDES = [(a, LENGTH - GRAM - 5 - a) for a in range(0, LENGTH - GRAM, 5)]  # bytes left and right of a gram
 BUCKET_BYTES = 16 << 20  # of text whose grams and spans a bucket can hold
 _LAST = (1 << 63) - 1
-_CHUNK = 1 << 18
+_CHUNK = 1 << 17
 U64 = np.uint64
 
 
@@ -155,22 +154,29 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
-def smallest_ids(spans: list[bytes], ids: list[int]) -> list[list[int]]:
-    """For every window of every span: the smallest id of the spans that hold the same window."""
+def smallest_ids(spans: list[bytes], ids: list[int], grams: list[int] | None = None) -> list[list[int]]:
+    """For every window of every span: the smallest id of the spans that hold the same window.
+
+    `grams`: where in each span the same `GRAM` bytes stand, which all its windows hold; they are one symbol.
+    """
     if sum(map(len, spans)) > FAMILY_SYMBOLS:
         return _smallest_by_windows(spans, ids)
-    text = b"\x00".join(spans)  # bytes 0-255 become 2-257; 1 separates spans, 0 ends
+    text = b"".join(spans) if grams is None else b"".join([x[: p + 1] + x[p + GRAM :] for x, p in zip(spans, grams)])
+    codes = [c + 2 for c in text]  # bytes 0-255 become 2-257, a gram 258; 1 separates spans, 0 ends
     s: list[int] = []
-    for x in spans:
-        s += [c + 2 for c in x]
+    owner, inside, base, at = [], [], [], 0
+    for k, x in enumerate(spans):
+        base.append(len(s))
+        n, windows = len(x) - (GRAM - 1 if grams else 0), len(x) - LENGTH + 1
+        s += codes[at : at + n]
         s.append(1)
+        if grams:
+            s[base[k] + grams[k]] = 258
+        owner += [k] * windows + [-1] * (n + 1 - windows)
+        inside += range(windows)
+        inside += [0] * (n + 1 - windows)
+        at += n
     s.append(0)
-    at, owner, inside, base = 0, [], [], []
-    for k, x in enumerate(spans):
-        base.append(at)
-        windows = len(x) - LENGTH + 1
-        owner += [k] * windows + [-1] * (len(x) + 1 - windows)
-        at += len(x) + 1
     owner.append(-1)
     out = [[0] * (len(x) - LENGTH + 1) for x in spans]
     run: list[int] = []
@@ -178,13 +184,13 @@ def smallest_ids(spans: list[bytes], ids: list[int]) -> list[list[int]]:
 
     def close() -> None:
         for i in run:
-            out[owner[i]][i - base[owner[i]]] = low
+            out[owner[i]][inside[i]] = low
 
     for i in suffix_array(s):
         k = owner[i]
         if k < 0:
             continue
-        window = text[i : i + LENGTH]
+        window = spans[k][inside[i] : inside[i] + LENGTH]
         if window != last:
             close()
             run, low, last = [], ids[k], window
@@ -208,17 +214,18 @@ def _smallest_by_windows(spans: list[bytes], ids: list[int]) -> list[list[int]]:
 
 def _distinct(deal: np.ndarray, raw: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of byte strings raw[begin:stop] with ascending `deal`: the first of each that are equal, and which one each equals."""
+    same = deal[1:] == deal[:-1]
+    many = np.flatnonzero(np.r_[False, same] | np.r_[same, False])  # only these can equal another one
+    head = np.arange(len(deal))
     seen: dict[bytes, int] = {}
-    first: list[int] = []
-    which, last = [], -1
-    for i, (d, a, b) in enumerate(zip(deal.tolist(), begin.tolist(), stop.tolist())):
+    heads, last = [], -1
+    for i, d, a, b in zip(many.tolist(), deal[many].tolist(), begin[many].tolist(), stop[many].tolist()):
         if d != last:
             seen, last = {}, d
-        k = seen.setdefault(raw[a:b], len(first))
-        if k == len(first):
-            first.append(i)
-        which.append(k)
-    return np.array(first, np.int64), np.array(which, np.int64)
+        heads.append(seen.setdefault(raw[a:b], i))
+    head[many] = heads
+    first = np.flatnonzero(head == np.arange(len(deal)))
+    return first, np.searchsorted(first, head)
 
 
 def gram_hashes(buf: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -387,22 +394,35 @@ def _ask_spans(buckets: int):
     return ask
 
 
-def _families(spans: list[bytes], grams: int) -> list[list[int]]:
-    """Spans of one gram that may share a window, alone or by others: those that agree around the gram.
+def _families(raw: bytes, begin: np.ndarray, windows: np.ndarray, deal: np.ndarray):
+    """Distinct spans (by ascending `deal`) that share windows, directly or by others, as families: for each the spans, the first and the
+    number of windows that are left of each, and where its gram begins there (None, if one holds it more than once).
 
-    A window that two spans share has o bytes left of the gram and 30 - o right of it, so the spans agree
-    on one of `SIDES` at least: the multiple of 5 below o on the left and 25 in all.
+    Windows of different hashes differ, so no span shares what is left out: windows before its first and behind its last one whose
+    hash comes again. The others are told apart by `smallest_ids`.
     """
-    lengths = np.fromiter(map(len, spans), np.int64, len(spans))
-    starts = np.cumsum(lengths) - lengths
-    buf = np.frombuffer(b"".join(spans), np.uint8)
-    hit = np.flatnonzero(gram_key(gram_hashes(buf)) == U64(grams))
-    of = np.searchsorted(starts, hit, side="right") - 1
-    inside = hit + GRAM <= starts[of] + lengths[of]
-    hit, of = (hit - starts[of])[inside], of[inside]
-    if len(hit) != len(spans):  # the gram repeats inside a span: keep all together
-        return [list(range(len(spans)))]
-    root = list(range(len(spans)))
+    same = deal[1:] == deal[:-1]
+    many = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    if not len(many):
+        return
+    n, w = len(many), windows[many]
+    length = w + LENGTH - 1
+    start = np.cumsum(length) - length
+    text = b"".join([raw[a:b] for a, b in zip(begin[many].tolist(), (begin[many] + length).tolist())])
+    buf = np.frombuffer(text, np.uint8)
+    of = np.repeat(np.arange(n), w)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w)
+    h = gram_hashes(buf, LENGTH)[at + start[of]]
+    order = np.argsort(h)
+    again = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    i, j = order[again], order[again + 1]
+    met = np.zeros(len(h), bool)
+    met[i] = met[j] = True
+    first, last = np.full(n, len(buf)), np.full(n, -1)
+    np.minimum.at(first, of[met], at[met])
+    np.maximum.at(last, of[met], at[met])
+    i, j = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
+    root = list(range(n))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -410,18 +430,28 @@ def _families(spans: list[bytes], grams: int) -> list[list[int]]:
             i = root[i]
         return i
 
-    seen: dict[tuple[int, bytes], int] = {}
-    for i, (x, p) in enumerate(zip(spans, hit.tolist())):
-        right = len(x) - p - GRAM
-        for a, b in SIDES:
-            if a <= p and b <= right:
-                first = seen.setdefault((a, x[p - a : p + GRAM + b]), i)
-                if first != i:
-                    root[find(i)] = find(first)
-    out: dict[int, list[int]] = {}
-    for i in range(len(spans)):
-        out.setdefault(find(i), []).append(i)
-    return list(out.values())
+    for pair in np.unique(i * n + j).tolist():
+        a, b = find(pair // n), find(pair % n)
+        root[max(a, b)] = min(a, b)
+    g = gram_hashes(buf)
+    hit = np.flatnonzero(gram_key(g) == np.repeat(deal[many], length)[: len(g)])
+    own = np.searchsorted(start, hit, side="right") - 1
+    inside = hit + GRAM <= start[own] + length[own]
+    hit, own = hit[inside], own[inside]
+    single = np.bincount(own, minlength=n) == 1
+    gram = np.zeros(n, np.int64)
+    gram[own] = hit - start[own]
+    families: dict[int, list[int]] = {}
+    for k in np.flatnonzero(last >= 0).tolist():
+        families.setdefault(find(k), []).append(k)
+    for family in families.values():
+        if len(family) < 2:
+            continue
+        k = np.array(family)
+        at = (gram[k] - first[k]).tolist() if single[k].all() else None
+        if at and len({text[a : a + GRAM] for a in (start[k] + gram[k]).tolist()}) > 1:
+            at = None
+        yield many[k].tolist(), first[k].tolist(), (last[k] - first[k] + 1).tolist(), at
 
 
 def _answer_spans(key, asked):
@@ -445,16 +475,11 @@ def _answer_spans(key, asked):
     place = np.cumsum(windows[one]) - windows[one]
     low = np.repeat(least, windows[one])
     d = deal[one]
-    cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(one)]):
-        if b - a < 2:
-            continue
-        texts = [raw[s:e] for s, e in zip(begin[one[a:b]].tolist(), (begin + length)[one[a:b]].tolist())]
-        for family in _families(texts, int(d[a])):
-            if len(family) > 1:
-                found = smallest_ids([texts[i] for i in family], [int(least[a + i]) for i in family])
-                for i, values in zip(family, found):
-                    low[place[a + i] : place[a + i] + len(values)] = values
+    starts, values = begin[one].tolist(), least.tolist()
+    for family, first, left, grams in _families(raw, begin[one], windows[one], d):
+        spans = [raw[starts[i] + a : starts[i] + a + n + LENGTH - 1] for i, a, n in zip(family, first, left)]
+        for i, a, found in zip(family, first, smallest_ids(spans, [values[i] for i in family], grams)):
+            low[place[i] + a : place[i] + a + len(found)] = found
     answers, at = [], 0
     for n in sizes:
         mine = span[at : at + n]
@@ -481,11 +506,11 @@ def _remove(with_text: bool):
         offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         known = low[np.repeat(place[span], windows) + offset] < np.repeat(block.ids[text], windows)
         at = (np.repeat(first, windows) + offset)[known]
-        edge = np.zeros(len(block.buf) + LENGTH + 1, np.int32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + LENGTH, -1)
+        starts = np.zeros(len(block.buf) + LENGTH + 1, bool)
+        starts[at + 1] = True
+        begun = np.cumsum(starts, dtype=np.int32)  # windows that start before a byte
         gone = np.zeros(len(block.buf) + 2, np.int8)
-        gone[1:-1] = np.cumsum(edge)[: len(block.buf)] > 0
+        gone[1:-1] = begun[1 : len(block.buf) + 1] > np.r_[np.zeros(LENGTH - 1, np.int32), begun][: len(block.buf)]
         step = np.diff(gone)
         a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         of_a, of_b = np.searchsorted(a, block.starts), np.searchsorted(a, block.ends)
@@ -501,7 +526,7 @@ def _remove(with_text: bool):
                    [{"start": x, "end": y} for x, y in spans] if with_text else None, kept if with_text else None, hashlib.sha256(kept).hexdigest())
             for name, x in zip(out, row):
                 out[name].append(x)
-        del known, at, edge, gone, step, offset
+        del known, at, starts, begun, gone, step, offset
         K.release()
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pair, pa.binary(), pa.string())
