@@ -42,7 +42,7 @@ def block_count(n_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
 
 def squeeze(a: np.ndarray) -> bytes:
     """An integer array as compressed byte planes (8-byte little-endian count first)."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b""
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
     return len(a).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
@@ -54,9 +54,18 @@ def expand(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(item, n).T).view(kind).reshape(n)
 
 
+def differences(a: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """What each number is above the one before it; a number that a part begins with (at `starts`, else the first) stays."""
+    out = a.copy()
+    out[1:] -= a[:-1]
+    if starts is not None:
+        out[starts] = a[starts]
+    return out
+
+
 def squeeze_sorted(a: np.ndarray) -> bytes:
     """An ascending uint64 array by its differences."""
-    return squeeze(np.diff(a, prepend=np.uint64(0)))
+    return squeeze(differences(a))
 
 
 def expand_sorted(b: bytes) -> np.ndarray:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import kernels as K
-from .blocks import TABLE_BUCKETS, block_count, bucket_count, bucket_edges, expand, expand_sorted, squeeze, squeeze_sorted, store, unpack
+from .blocks import TABLE_BUCKETS, block_count, bucket_count, bucket_edges, differences, expand, expand_sorted, squeeze, store, unpack
 from .common import materialize, table, text_bytes
 
 LENGTH = 50
@@ -342,10 +342,11 @@ def _ask_grams(buckets: int):
         edges = bucket_edges(names, buckets)
         full = [i for i in range(buckets) if edges[i] < edges[i + 1]]
         cut = [slice(edges[i], edges[i + 1]) for i in full]
+        keys, counts = differences(names, edges[full]), counts.astype(np.uint32)
         return pa.table({
             "bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int64()),
-            "keys": pa.array([squeeze_sorted(names[c]) for c in cut], pa.binary()),
-            "counts": pa.array([squeeze(counts[c].astype(np.uint32)) for c in cut], pa.binary()),
+            "keys": pa.array([squeeze(keys[c]) for c in cut], pa.binary()),
+            "counts": pa.array([squeeze(counts[c]) for c in cut], pa.binary()),
         })
 
     return ask
@@ -377,14 +378,14 @@ def _ask_spans(buckets: int):
         deal, first, windows, ids, *_ = block.candidates(_in_order(answers, np.uint8))
         raw = block.raw
         edges = bucket_edges(deal, buckets)
+        full = np.flatnonzero(edges[1:] > edges[:-1])
         out = {"bucket": [], "block": [], "deal": [], "windows": [], "ids": [], "spans": []}
-        for i in range(buckets):
-            a, b = int(edges[i]), int(edges[i + 1])
-            if a == b:
-                continue
-            c = slice(a, b)
-            spans = b"".join([raw[f : f + w + LENGTH - 1] for f, w in zip(first[c].tolist(), windows[c].tolist())])
-            row = (i, key[0].as_py(), squeeze_sorted(deal[c]), squeeze(windows[c].astype(np.uint16)), squeeze(ids[c]))
+        ends = np.concatenate([[0], np.cumsum(windows + LENGTH - 1)])
+        text = b"".join([raw[f : f + n] for f, n in zip(first.tolist(), np.diff(ends).tolist())])
+        keys, windows = differences(deal, edges[full]), windows.astype(np.uint16)
+        for i, a, b in zip(full.tolist(), edges[full].tolist(), edges[full + 1].tolist()):
+            spans = text[ends[a] : ends[b]]
+            row = (i, key[0].as_py(), squeeze(keys[a:b]), squeeze(windows[a:b]), squeeze(ids[a:b]))
             for name, x in zip(out, (*row, len(spans).to_bytes(8, "little") + pa.compress(spans, codec="zstd", asbytes=True))):
                 out[name].append(x)
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
@@ -403,8 +404,14 @@ def _families(raw: bytes, begin: np.ndarray, windows: np.ndarray, deal: np.ndarr
     """
     same = deal[1:] == deal[:-1]
     many = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-    if not len(many):
-        return
+    grams = np.flatnonzero(np.r_[True, deal[many][1:] != deal[many][:-1]]) if len(many) else many
+    part = (np.cumsum(windows[many]) - windows[many])[grams] // _CHUNK
+    for spans in np.split(many, grams[1:][part[1:] != part[:-1]]):  # whole grams, about _CHUNK windows at a time
+        if len(spans):
+            yield from _families_of(spans, raw, begin, windows, deal)
+
+
+def _families_of(many: np.ndarray, raw: bytes, begin: np.ndarray, windows: np.ndarray, deal: np.ndarray):
     n, w = len(many), windows[many]
     length = w + LENGTH - 1
     start = np.cumsum(length) - length
@@ -480,12 +487,12 @@ def _answer_spans(key, asked):
         spans = [raw[starts[i] + a : starts[i] + a + n + LENGTH - 1] for i, a, n in zip(family, first, left)]
         for i, a, found in zip(family, first, smallest_ids(spans, [values[i] for i in family], grams)):
             low[place[i] + a : place[i] + a + len(found)] = found
+    ends = np.concatenate([[0], np.cumsum(windows)])
+    shift = place[span] - ends[:-1]
     answers, at = [], 0
     for n in sizes:
-        mine = span[at : at + n]
-        w = windows[one[mine]]
-        index = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(place[mine], w)
-        answers.append(squeeze(np.diff(low[index], prepend=0)))
+        index = np.arange(ends[at], ends[at + n]) + np.repeat(shift[at : at + n], windows[at : at + n])
+        answers.append(squeeze(differences(low[index])))
         at += n
     del raw, low
     K.release()

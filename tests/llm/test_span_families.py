@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from regionloom.llm import suffix as S
-from regionloom.llm.blocks import _blob, expand
+from regionloom.llm.blocks import _blob, differences, expand, expand_sorted, squeeze, squeeze_sorted
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz    "
 
@@ -34,7 +36,9 @@ def test_spans_without_a_common_window(monkeypatch):
     assert windows and got == ids and symbols == 0
 
 
-def test_common_windows(monkeypatch):
+@pytest.mark.parametrize("chunk", [1 << 17, 40])
+def test_common_windows(monkeypatch, chunk):
+    monkeypatch.setattr(S, "_CHUNK", chunk)
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice(LETTERS) for _ in range(n))
     passage, twice = word(200), word(30) * 4
@@ -48,3 +52,12 @@ def test_common_windows(monkeypatch):
         low[w] = min(k, low.get(w, k))
     assert got == [low[w] for w in windows]
     assert any(g < k for g, k in zip(got, ids)) and symbols
+
+
+def test_differences_of_parts():
+    rng = np.random.default_rng(3)
+    a, starts = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64)), np.array([0, 1, 70, 71, 400])
+    parts = np.split(differences(a, starts), starts[1:])
+    assert [p.cumsum(dtype=np.uint64).tolist() for p in parts] == [p.tolist() for p in np.split(a, starts[1:])]
+    assert [squeeze(p) for p in parts] == [squeeze_sorted(p) for p in np.split(a, starts[1:])]
+    assert expand_sorted(squeeze_sorted(a)).tolist() == a.tolist() and differences(a[:0], starts[:0]).tolist() == []
